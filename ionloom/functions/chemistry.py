@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionloom.functions.binding import let
 from ionloom.constants import (
     DRIFT_GAS_MASS,
     ELEMENTS,
@@ -80,13 +81,17 @@ def residue_masses(residues: Column, sites: Column | None = None, deltas: dict |
     bare = F.transform(F.split(residues, ""), lambda residue: F.try_element_at(table, residue))
     if sites is None:
         return bare
-    return F.transform(
-        bare,
-        lambda mass, i: mass
-        + F.aggregate(
-            F.filter(sites, lambda s: s["pos"] == i),
-            F.lit(0.0),
-            lambda acc, s: acc + spec_mass(s["spec"], deltas or {}),
+    placed = F.transform(
+        sites,
+        lambda s: F.struct(s["pos"].alias("pos"), spec_mass(s["spec"], deltas or {}).alias("delta")),
+    )
+    return let(
+        placed,
+        lambda bound: F.transform(
+            bare,
+            lambda mass, i: F.aggregate(
+                bound, mass, lambda acc, s: F.when(s["pos"] == i, acc + s["delta"]).otherwise(acc)
+            ),
         ),
     )
 
@@ -109,9 +114,12 @@ def fragment_grid(masses: Column) -> Column:
 
     Site ``i`` lies after residue ``i+1``: b ordinal ``i+1``, y ordinal ``length-1-i``.
     """
-    prefix = prefix_sums(masses)
+    return let(prefix_sums(masses), _grid_of)
+
+
+def _grid_of(prefix: Column) -> Column:
     total = F.element_at(prefix, -1)
-    length = F.size(masses)
+    length = F.size(prefix)
 
     def row(p: Column, i: Column) -> Column:
         cells = []

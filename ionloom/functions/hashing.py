@@ -83,7 +83,7 @@ def spectrum_id():
 def unsigned(bits: Column) -> Column:
     """Signed 64-bit pattern as the unsigned number, ``decimal(20,0)``."""
     wide = bits.cast("decimal(20,0)")
-    return F.when(bits < 0, wide + F.lit(2**64).cast("decimal(20,0)")).otherwise(wide).cast(
+    return F.when(bits < 0, wide + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(wide).cast(
         "decimal(20,0)"
     )
 
@@ -91,9 +91,9 @@ def unsigned(bits: Column) -> Column:
 def signed(number: Column) -> Column:
     """Inverse of :func:`unsigned`."""
     wide = number.cast("decimal(20,0)")
-    half = F.lit(2**63).cast("decimal(20,0)")
+    half = F.lit(str(2**63)).cast("decimal(20,0)")
     return (
-        F.when(wide >= half, wide - F.lit(2**64).cast("decimal(20,0)")).otherwise(wide).cast("bigint")
+        F.when(wide >= half, wide - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(wide).cast("bigint")
     )
 
 

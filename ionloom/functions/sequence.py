@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ionloom.constants import ENZYMES, VALID_RESIDUES
+from ionloom.functions.binding import let
 
 # --- Fixed values: text patterns of the accepted modification grammar -------------------------
 MOD_TOKEN = r"\[UNIMOD:\d+\]|-"
@@ -90,16 +91,18 @@ def proforma_sites(proforma: Column) -> Column:
 def spec_order(spec: Column) -> Column:
     """Canonical order of specs on one site: accession number, then formula, then mass."""
     accession = F.regexp_extract(spec, r"^UNIMOD:(\d+)$", 1)
-    return (
-        F.when(accession != "", F.struct(F.lit(0), accession.try_cast("double"), F.lit("")))
-        .when(spec.startswith("Formula:"), F.struct(F.lit(1), F.lit(0.0), spec))
-        .otherwise(F.struct(F.lit(2), spec.try_cast("double"), F.lit("")))
-    )
+    formula = spec.startswith("Formula:")
+    kind = F.when(accession != "", 0).when(formula, 1).otherwise(2)
+    number = F.when(accession != "", accession.try_cast("double")).when(~formula, spec.try_cast("double"))
+    return F.struct(kind.alias("kind"), number.alias("number"), spec.alias("spec"))
 
 
 def render_proforma(residues: Column, sites: Column) -> Column:
     """Canonical text of residues and sites; the order of ``sites`` does not matter."""
+    return let(sites, lambda bound: _render(residues, bound))
+
 
+def _render(residues: Column, sites: Column) -> Column:
     def specs(chosen: Column) -> Column:
         ordered = F.array_sort(
             F.transform(chosen, lambda s: F.struct(spec_order(s["spec"]).alias("o"), s["spec"]))
@@ -207,40 +210,7 @@ def cleaved_fragments(residues: Column, enzyme: str = "trypsin") -> Column:
         raise ValueError(f"unknown enzyme {enzyme!r}; known: {sorted(ENZYMES)}")
     after, unless = ENZYMES[enzyme]
     pattern = f"(?<=[{after}])" + (f"(?![{unless}])" if unless else "")
-    return F.filter(F.split(residues, pattern), lambda piece: piece != "")
-
-
-def digest_array(
-    residues: Column,
-    enzyme: str = "trypsin",
-    missed_cleavages: int = 2,
-    min_length: int = 7,
-    max_length: int = 30,
-) -> Column:
-    """Every peptide of one protein with up to ``missed_cleavages`` joined pieces, as an array."""
-    pieces = cleaved_fragments(residues, enzyme)
-    count = F.size(pieces)
-    spans = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda start: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.least(F.lit(missed_cleavages + 1), count - start + 1), F.lit(1))),
-            lambda width: F.array_join(F.slice(pieces, start, width), ""),
-        ),
-    )
-    return F.filter(
-        F.flatten(spans),
-        lambda peptide: F.length(peptide).between(min_length, max_length)
-        & is_valid_sequence(peptide),
-    )
-
-
-def windows_array(residues: Column, width: Column | int) -> Column:
-    """All substrings of one length, in order."""
-    w = F.lit(width) if isinstance(width, int) else width
-    last = F.length(residues) - w + 1
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(residues, i, w))
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(residues, pattern), "")
 
 
 @dataclass(frozen=True)

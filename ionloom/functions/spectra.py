@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ionloom.constants import ANGLE_BINS, ION_COLUMNS
+from ionloom.functions.binding import let
 
 
 def finite(value: Column) -> Column:
@@ -55,6 +56,16 @@ def norm(a: Column) -> Column:
     )
 
 
+def unit(a: Column) -> Column:
+    """The array scaled to length one, or null when it has no length."""
+    return let(
+        norm(a),
+        lambda length: F.when(
+            length > 0, F.transform(a, lambda x: x.cast("double") / F.when(length > 0, length))
+        ),
+    )
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
@@ -103,17 +114,18 @@ def masked_angle(a: Column, b: Column, sites: Column) -> Column:
 
 def sum_normalised_l2(a: Column, b: Column) -> Column:
     """Distance of the two spectra as distributions; NaN when either sums to nothing."""
-    ta, tb = total(a), total(b)
-    squares = F.zip_with(
-        a,
-        b,
-        lambda x, y: F.pow(
-            x.cast("double") / F.when(ta > 0, ta) - y.cast("double") / F.when(tb > 0, tb),
-            F.lit(2.0),
-        ),
-    )
-    value = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
-    return F.when((ta > 0) & (tb > 0), value).otherwise(F.lit(float("nan")))
+
+    def distance(sums: Column) -> Column:
+        usable = (sums["a"] > 0) & (sums["b"] > 0)
+        gaps = F.zip_with(
+            a,
+            b,
+            lambda x, y: x.cast("double") / F.when(usable, sums["a"])
+            - y.cast("double") / F.when(usable, sums["b"]),
+        )
+        return F.when(usable, norm(gaps)).otherwise(F.lit(float("nan")))
+
+    return let(F.struct(total(a).alias("a"), total(b).alias("b")), distance)
 
 
 def base_peak(values: Column) -> Column:
@@ -124,16 +136,18 @@ def base_peak(values: Column) -> Column:
 
 def grid_peaks(ms2: Column, grid: Column, min_intensity: float = 0.0) -> Column:
     """Peaks of a flat grid: relative to the base peak, floor applied, m/z from ``grid``."""
-    top = base_peak(ms2)
-    cells = F.zip_with(
-        grid,
-        ms2,
-        lambda cell, value: F.struct(
-            cell["mz"].alias("mz"),
-            (value.cast("double") / top).alias("intensity"),
-            cell["ion"].alias("ion"),
-            cell["ordinal"].alias("ordinal"),
-            cell["charge"].alias("charge"),
+    cells = let(
+        base_peak(ms2),
+        lambda top: F.zip_with(
+            grid,
+            ms2,
+            lambda cell, value: F.struct(
+                cell["mz"].alias("mz"),
+                (value.cast("double") / top).alias("intensity"),
+                cell["ion"].alias("ion"),
+                cell["ordinal"].alias("ordinal"),
+                cell["charge"].alias("charge"),
+            ),
         ),
     )
     return F.filter(cells, lambda peak: peak["intensity"] >= min_intensity)

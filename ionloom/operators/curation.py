@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions import spectra
+from ionloom.functions.binding import let
 from ionloom.functions.spectra import evidence, finite
 from ionloom.operators.joins import checked_join
 from ionloom.operators.ordering import exact_quantiles, with_position
@@ -356,10 +357,9 @@ def leave_one_out_angles(verdicts: DataFrame, spectra_table: DataFrame, keys: li
     unit = (
         verdicts.select("spectrum_id", *keys, "within_apex_window", "selected")
         .join(spectra_table.select("spectrum_id", "ms2"), "spectrum_id")
-        .withColumn("__norm", spectra.norm(F.col("ms2")))
-        .where("__norm > 0")
-        .withColumn("unit", F.transform("ms2", lambda x: x.cast("double") / F.col("__norm")))
-        .drop("ms2", "__norm")
+        .withColumn("unit", spectra.unit(F.col("ms2")))
+        .where("unit is not null")
+        .drop("ms2")
     )
     flags = {
         "all": F.lit(True),
@@ -379,10 +379,12 @@ def leave_one_out_angles(verdicts: DataFrame, spectra_table: DataFrame, keys: li
     rows = unit.join(totals.where("n_all >= 2"), keys)
 
     def angle(name: str) -> Column:
-        peers = F.zip_with("unit", "sums", lambda u, s: s[name] - u)
-        along = spectra.dot(F.col("unit"), peers)
-        length = spectra.norm(peers)
-        cosine = F.when(length > 0, along / F.when(length > 0, length))
+        def against(peers: Column) -> Column:
+            length = spectra.norm(peers)
+            along = spectra.dot(F.col("unit"), peers)
+            return F.when(length > 0, along / F.when(length > 0, length))
+
+        cosine = let(F.zip_with("unit", "sums", lambda u, s: s[name] - u), against)
         counted = flags[name] & (F.col(f"n_{name}") >= 2)
         return F.struct(
             F.lit(name).alias("subset"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.constants import ENZYMES
-from ionloom.functions.sequence import digest_array, windows_array
+from ionloom.functions.sequence import cleaved_fragments, is_valid_sequence
 
 
 @dataclass(frozen=True)
@@ -37,16 +37,31 @@ class DigestRules:
             )
 
 
+def joined_runs(proteins: DataFrame, pieces: Column, longest: int, name: str) -> DataFrame:
+    """Every run of up to ``longest`` neighbouring pieces of each protein, as text.
+
+    The piece list is zipped with its own shifts, so a run is a concatenation of the columns of
+    one row. Work is linear in the protein, and nothing is looked up by position.
+    """
+    listed = proteins.withColumn("__pieces", pieces)
+    shifts = [
+        (F.slice("__pieces", i + 1, 1 << 30) if i else F.col("__pieces")).alias(f"p{i}")
+        for i in range(longest)
+    ]
+    rows = listed.select("protein_id", F.explode(F.arrays_zip(*shifts)).alias("at"))
+    # a shift that ran off the end is null, and so is every run that would need it
+    runs = [F.concat(*[F.col(f"at.p{j}") for j in range(i + 1)]) for i in range(longest)]
+    return rows.select("protein_id", F.explode(F.array(*runs)).alias(name)).where(F.col(name).isNotNull())
+
+
 def digest(proteins: DataFrame, rules: DigestRules = DigestRules()) -> DataFrame:
     """``(protein_id, peptide)`` rows, one per occurrence. Narrow: no shuffle."""
-    peptides = digest_array(
-        F.col("residues"),
-        rules.enzyme,
-        rules.missed_cleavages,
-        rules.min_length,
-        rules.max_length,
+    pieces = cleaved_fragments(F.col("residues"), rules.enzyme)
+    runs = joined_runs(proteins, pieces, rules.missed_cleavages + 1, "peptide")
+    return runs.where(
+        F.length("peptide").between(rules.min_length, rules.max_length)
+        & is_valid_sequence(F.col("peptide"))
     )
-    return proteins.select("protein_id", F.explode(peptides).alias("peptide"))
 
 
 def require_peptides(peptides: DataFrame, rules: DigestRules) -> DataFrame:
@@ -93,11 +108,6 @@ def protein_lists(memberships: DataFrame, max_members: int = 100_000) -> tuple[D
 
 def windows(proteins: DataFrame, min_length: int, max_length: int) -> DataFrame:
     """Every substring of ``min_length..max_length`` residues, one row per occurrence."""
-    widths = proteins.select(
-        "protein_id",
-        "residues",
-        F.explode(F.sequence(F.lit(min_length), F.lit(max_length))).alias("width"),
-    )
-    return widths.select(
-        "protein_id", "width", F.explode(windows_array(F.col("residues"), F.col("width"))).alias("window")
-    )
+    letters = F.split("residues", "")
+    runs = joined_runs(proteins, letters, max_length, "window")
+    return runs.withColumn("width", F.length("window")).where(F.col("width") >= min_length)

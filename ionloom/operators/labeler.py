@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.constants import ION_COLUMNS, RESIDUE_MASS, WATER
-from ionloom.functions.chemistry import hydropathy_sum
+from ionloom.constants import ION_COLUMNS, RESIDUE_MASS
+from ionloom.functions.binding import let
+from ionloom.functions.chemistry import hydropathy_sum, prefix_sums
+from ionloom.functions.spectra import base_peak
 
 LABEL_SCHEMA = "ms2 array<float>, rt double, ccs double"
 
@@ -55,28 +57,26 @@ def smooth_labels(peptide: Column, masses: Column, neutral: Column, charge: Colu
     follows hydropathy and mass, cross section mass over charge. ``masses`` are the per-position
     residue masses, modifications included.
     """
-    total = F.aggregate(masses, F.lit(0.0), lambda acc, m: acc + m)
-    prefix = F.slice(
-        F.aggregate(
-            masses, F.array(F.lit(0.0)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m))
-        ),
-        F.lit(2),
-        F.size(masses) - 1,
-    )
-    raw = F.flatten(
-        F.transform(
-            prefix,
-            lambda b: F.array(
-                *[
-                    0.5 * (1 + F.sin((b if ion == "b" else total - b) / F.lit(37.0 * z) + charge))
-                    for ion, z in ION_COLUMNS
-                ]
-            ),
+
+    def waves(prefix: Column) -> Column:
+        last = F.element_at(prefix, -1)
+        return F.flatten(
+            F.transform(
+                F.slice(prefix, F.lit(1), F.size(prefix) - 1),
+                lambda b: F.array(
+                    *[
+                        0.5 * (1 + F.sin((b if ion == "b" else last - b) / F.lit(37.0 * z) + charge))
+                        for ion, z in ION_COLUMNS
+                    ]
+                ),
+            )
         )
-    )
-    top = F.array_max(raw)
+
+    def scaled(raw: Column) -> Column:
+        return let(base_peak(raw), lambda top: F.transform(raw, lambda x: x / top))
+
     return F.struct(
-        F.transform(raw, lambda x: F.when(top > 0, x / F.when(top > 0, top)).otherwise(x)).alias("ms2"),
+        let(let(prefix_sums(masses), waves), scaled).alias("ms2"),
         (hydropathy_sum(peptide) + 0.02 * neutral).alias("rt"),
         (0.9 * neutral / charge + 30.0 * charge).alias("ccs"),
     )
@@ -148,8 +148,3 @@ def labels_from_tables(precursors: DataFrame, fragments: DataFrame, key: str) ->
     return precursors.join(grids, key, "left").withColumn(
         "ms2", F.coalesce("ms2", F.array().cast("array<double>"))
     )
-
-
-def bounded_mass(neutral: Column) -> Column:
-    """Residue mass without the water."""
-    return neutral - F.lit(WATER)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions import chemistry, hashing, sequence
+from ionloom.functions.binding import let
 from ionloom.functions.sequence import SITE_TYPE, ModRule
 
 
@@ -29,11 +30,14 @@ def variable_forms(
     if not rules or max_mods == 0:
         return none
     # (candidate index, site) so combinations can be grown with increasing indices only
-    candidates = F.transform(
+    indexed = F.transform(
         fixed_sites(residues, rules),
         lambda site, i: F.struct(i.alias("i"), site.alias("site")),
     )
+    return let(indexed, lambda candidates: _grow(candidates, max_mods, one_per_site))
 
+
+def _grow(candidates: Column, max_mods: int, one_per_site: bool) -> Column:
     def extend(forms: Column) -> Column:
         def with_next(form: Column) -> Column:
             allowed = F.filter(
@@ -52,12 +56,15 @@ def variable_forms(
 
         return F.flatten(F.transform(forms, with_next))
 
+    def levels(done: Column, last: Column, left: int) -> Column:
+        """Forms of all sizes: each level is computed once and passed on."""
+        if left == 0:
+            return done
+        return let(extend(last), lambda more: levels(F.concat(done, more), more, left - 1))
+
     empty = F.array(F.filter(candidates, lambda c: F.lit(False)))
-    levels = [empty]
-    for _ in range(max_mods):
-        levels.append(extend(levels[-1]))
     return F.transform(
-        F.concat(*levels), lambda form: F.transform(form, lambda c: c["site"])
+        levels(empty, empty, max_mods), lambda form: F.transform(form, lambda c: c["site"])
     )
 
 

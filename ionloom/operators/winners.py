@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.functions.binding import let
 from ionloom.functions.spectra import evidence
 from ionloom.operators.ordering import with_group_position
 
@@ -70,22 +71,16 @@ def backbone_coverage(ms2: Column, min_intensity: float) -> Column:
 
     Null for a spectrum without a positive intensity.
     """
-    top = F.array_max(ms2).cast("double")
-    sites = F.size(ms2) / F.lit(4)
-    covered = F.size(
-        F.array_distinct(
-            F.filter(
-                F.transform(
-                    ms2,
-                    lambda x, i: F.when(
-                        x.cast("double") / F.when(top > 0, top) >= min_intensity, F.floor(i / 4)
-                    ),
-                ),
-                lambda site: site.isNotNull(),
-            )
+
+    def share(top: Column) -> Column:
+        site = F.transform(
+            ms2,
+            lambda x, i: F.when(x.cast("double") / F.when(top > 0, top) >= min_intensity, F.floor(i / 4)),
         )
-    )
-    return F.when((top > 0) & (covered > 0), covered / sites)
+        covered = F.size(F.array_distinct(F.array_compact(site)))
+        return F.when((top > 0) & (covered > 0), covered / (F.size(ms2) / F.lit(4)))
+
+    return let(F.array_max(ms2).cast("double"), share)
 
 
 def reference_shortlist(

@@ -7,59 +7,121 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-PSM_METADATA = _schema(
-    "raw_file string, scan_number bigint, modified_sequence string, precursor_charge bigint, "
-    "retention_time double, indexed_retention_time double, aligned_collision_energy double, "
-    "mass_analyzer string, fragmentation string, andromeda_score double, "
-    "precursor_intensity double"
+LONG, DOUBLE, FLOAT, TEXT, FLAG = (
+    T.LongType(),
+    T.DoubleType(),
+    T.FloatType(),
+    T.StringType(),
+    T.BooleanType(),
 )
-REQUIRED_METADATA = ("raw_file", "scan_number", "modified_sequence", "precursor_charge")
-
-FRAGMENTS = _schema(
-    "raw_file string, scan_number bigint, ion_type string, no bigint, charge bigint, "
-    "intensity float, neutral_loss string"
+IDENTIFIER = T.DecimalType(20, 0)
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    """A schema from column names and types, in the order given."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+PSM_METADATA = struct(
+    raw_file=TEXT,
+    scan_number=LONG,
+    modified_sequence=TEXT,
+    precursor_charge=LONG,
+    retention_time=DOUBLE,
+    indexed_retention_time=DOUBLE,
+    aligned_collision_energy=DOUBLE,
+    mass_analyzer=TEXT,
+    fragmentation=TEXT,
+    andromeda_score=DOUBLE,
+    precursor_intensity=DOUBLE,
 )
+REQUIRED_METADATA = ("raw_file", "scan_number", "modified_sequence", "precursor_charge")
 
-PREPARED = _schema(
-    "spectrum_id decimal(20,0), dataset string, raw_file string, scan_number bigint, "
-    "proforma string, charge bigint, split string, irt double, raw_rt double, "
-    "instrument string, detector string, fragmentation string, energy double, "
-    "andromeda_score double, ms2 array<float>"
+FRAGMENTS = struct(
+    raw_file=TEXT,
+    scan_number=LONG,
+    ion_type=TEXT,
+    no=LONG,
+    charge=LONG,
+    intensity=FLOAT,
+    neutral_loss=TEXT,
 )
 
-CURATION_INPUT = T.StructType(
-    [*PREPARED.fields, T.StructField("precursor_intensity", T.DoubleType())]
+PREPARED = struct(
+    spectrum_id=IDENTIFIER,
+    dataset=TEXT,
+    raw_file=TEXT,
+    scan_number=LONG,
+    proforma=TEXT,
+    charge=LONG,
+    split=TEXT,
+    irt=DOUBLE,
+    raw_rt=DOUBLE,
+    instrument=TEXT,
+    detector=TEXT,
+    fragmentation=TEXT,
+    energy=DOUBLE,
+    andromeda_score=DOUBLE,
+    ms2=T.ArrayType(FLOAT),
 )
 
-CURATION_ANNOTATION = _schema(
-    "spectrum_id decimal(20,0), precursor_intensity double, intensity_ratio double, "
-    "supports_half_max boolean, apex_rt double, run_width_minutes double, "
-    "apex_window_start double, apex_window_end double, within_apex_window boolean, "
-    "peptidoform_window_psms bigint, context_window_psms bigint, selection_rank bigint, "
-    "selected boolean, selection_reason string"
+CURATION_INPUT = T.StructType([*PREPARED.fields, T.StructField("precursor_intensity", DOUBLE)])
+
+CURATION_ANNOTATION = struct(
+    spectrum_id=IDENTIFIER,
+    precursor_intensity=DOUBLE,
+    intensity_ratio=DOUBLE,
+    supports_half_max=FLAG,
+    apex_rt=DOUBLE,
+    run_width_minutes=DOUBLE,
+    apex_window_start=DOUBLE,
+    apex_window_end=DOUBLE,
+    within_apex_window=FLAG,
+    peptidoform_window_psms=LONG,
+    context_window_psms=LONG,
+    selection_rank=LONG,
+    selected=FLAG,
+    selection_reason=TEXT,
 )
 
-WINNERS = _schema("spectrum_id decimal(20,0)")
-
-SHARD_MANIFEST = _schema(
-    "version bigint, data_uri string, rows bigint, source_shard string, "
-    "task struct<ordinal:bigint,source_id:string,dataset:string,shard_index:bigint,"
-    "config_fingerprint:string,policy_version:bigint>, "
-    "curation struct<policy:string,rows:bigint,missing_intensity_rows:bigint,"
-    "peptidoform_groups:bigint,selected_rows:bigint,rejected_peptidoforms:bigint,"
-    "runs:bigint,clamped_runs:bigint,ceiling:map<string,array<bigint>>>"
+WINNERS = struct(spectrum_id=IDENTIFIER)
+
+SHARD_MANIFEST = struct(
+    version=LONG,
+    data_uri=TEXT,
+    rows=LONG,
+    source_shard=TEXT,
+    task=struct(
+        ordinal=LONG,
+        source_id=TEXT,
+        dataset=TEXT,
+        shard_index=LONG,
+        config_fingerprint=TEXT,
+        policy_version=LONG,
+    ),
+    curation=struct(
+        policy=TEXT,
+        rows=LONG,
+        missing_intensity_rows=LONG,
+        peptidoform_groups=LONG,
+        selected_rows=LONG,
+        rejected_peptidoforms=LONG,
+        runs=LONG,
+        clamped_runs=LONG,
+        ceiling=T.MapType(TEXT, T.ArrayType(LONG)),
+    ),
 )
 
-CORPUS_MANIFEST = _schema(
-    "version bigint, datasets map<string,bigint>, "
-    "chunks array<struct<uri:string,dataset:string,rows:bigint,source_shard:string>>, "
-    "val_winners array<decimal(20,0)>, val_winners_uri string, irt_stats array<double>, "
-    "split_rows map<string,bigint>, split_datasets map<string,array<string>>, "
-    "source struct<config_fingerprint:string,policy_version:bigint,shards:bigint>"
+CORPUS_MANIFEST = struct(
+    version=LONG,
+    datasets=T.MapType(TEXT, LONG),
+    chunks=T.ArrayType(struct(uri=TEXT, dataset=TEXT, rows=LONG, source_shard=TEXT)),
+    val_winners=T.ArrayType(IDENTIFIER),
+    val_winners_uri=TEXT,
+    irt_stats=T.ArrayType(DOUBLE),
+    split_rows=T.MapType(TEXT, LONG),
+    split_datasets=T.MapType(TEXT, T.ArrayType(TEXT)),
+    source=struct(config_fingerprint=TEXT, policy_version=LONG, shards=LONG),
 )
 
 
