@@ -92,32 +92,38 @@ def reordered_sites(sites: Column, order: Column) -> Column:
     )
 
 
-def decoy_candidates(rows: DataFrame, method: str, seed: int = 0) -> DataFrame:
+def decoy_candidates(
+    rows: DataFrame, method: str, seed: int = 0, first: int = 0, last: int | None = None
+) -> DataFrame:
     """One row per target and attempt with the candidate peptidoform.
 
-    ``rows`` has ``ordinal, peptide, sites, charge``. Reversal tries flanks 1, 2, ...; shuffling
-    tries a fixed number of seeds.
+    ``rows`` has ``ordinal, peptide, sites, charge``. Attempt 0, 1, ... reverses all but 1, 2, ...
+    residues on either end, or shuffles with its own seed. ``first`` and ``last`` bound the
+    attempts made here.
     """
     if method == "reverse":
-        last = F.floor((F.length("peptide") - 2) / 2)
-        tries = rows.where(last >= 1).withColumn("attempt", F.explode(F.sequence(F.lit(1).cast("bigint"), last)))
-        flank = F.col("attempt").cast("int")
-        tries = tries.withColumn("decoy_peptide", reverse_interior(F.col("peptide"), flank)).withColumn(
-            "decoy_sites", move_sites_reversed(F.col("sites"), F.length("peptide"), flank)
-        )
+        tries = F.floor((F.length("peptide") - 2) / 2).cast("int")
     elif method == "shuffle":
-        tries = rows.withColumn(
-            "attempt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHUFFLE_ATTEMPTS - 1).cast("bigint")))
+        tries = F.lit(SHUFFLE_ATTEMPTS)
+    else:
+        raise ValueError(f"unknown decoy method {method!r}")
+    end = tries if last is None else F.least(tries, F.lit(last + 1))
+    made = rows.where(end > first).withColumn("attempt", F.explode(F.sequence(F.lit(first), end - 1)))
+    if method == "reverse":
+        flank = F.col("attempt") + 1
+        made = made.withColumn("decoy_peptide", reverse_interior(F.col("peptide"), flank)).withColumn(
+            "decoy_sites", move_sites_reversed(F.col("sites"), F.length("peptide"), flank)
         )
-        tries = tries.withColumn("__order", shuffle_order(seed)(F.col("peptide"), F.col("charge"), F.col("attempt")))
-        tries = (
-            tries.withColumn("decoy_peptide", reordered(F.col("peptide"), F.col("__order")))
+    else:
+        made = (
+            made.withColumn(
+                "__order", shuffle_order(seed)(F.col("peptide"), F.col("charge"), F.col("attempt"))
+            )
+            .withColumn("decoy_peptide", reordered(F.col("peptide"), F.col("__order")))
             .withColumn("decoy_sites", reordered_sites(F.col("sites"), F.col("__order")))
             .drop("__order")
         )
-    else:
-        raise ValueError(f"unknown decoy method {method!r}")
-    return tries.withColumn("identity", render_proforma(F.col("decoy_peptide"), F.col("decoy_sites")))
+    return made.withColumn("identity", render_proforma(F.col("decoy_peptide"), F.col("decoy_sites")))
 
 
 def search_decoys(rows: DataFrame, method: str = "reverse", seed: int = 0) -> DataFrame:
@@ -129,40 +135,59 @@ def search_decoys(rows: DataFrame, method: str = "reverse", seed: int = 0) -> Da
 
     Every target proposes its first open candidate and a candidate goes to the earliest proposer;
     whoever loses proposes its next one. With one common order of service this settles on what
-    serving the targets one by one gives. Rounds end when nobody loses, which takes as many as the
-    longest chain of displaced targets.
+    serving the targets one by one gives. Nearly all targets settle on their first candidate, so
+    the others are made only for targets left without one.
     """
     identity = rows.withColumn("identity", render_proforma(F.col("peptide"), F.col("sites")))
     targets = identity.where(~F.col("decoy")).select("identity").distinct()
     taken = identity.select("identity", "charge").distinct()
     supplied = rows.where("decoy").select("decoy_group").distinct()
-    open_targets = rows.where(~F.col("decoy")).join(supplied, "decoy_group", "left_anti")
-    slots = materialise(
-        decoy_candidates(open_targets, method, seed)
-        .join(targets, "identity", "left_anti")
-        .join(taken, ["identity", "charge"], "left_anti")
-        .groupBy("ordinal", "identity", "charge")  # a repeated candidate counts once
-        .agg(F.min_by(F.struct("decoy_peptide", "decoy_sites"), "attempt").alias("made"), F.min("attempt").alias("attempt"))
-    )
+    seekers = rows.where(~F.col("decoy")).join(supplied, "decoy_group", "left_anti")
+
+    def free(made: DataFrame) -> DataFrame:
+        """Candidates that collide with nothing given, a repeated one only at its first attempt."""
+        return materialise(
+            made.join(targets, "identity", "left_anti")
+            .join(taken, ["identity", "charge"], "left_anti")
+            .groupBy("ordinal", "identity", "charge")
+            .agg(F.min(F.struct("attempt", "decoy_peptide", "decoy_sites")).alias("m"))
+            .select("ordinal", "identity", "charge", "m.*")
+        )
+
+    slots = free(decoy_candidates(seekers, method, seed, last=0))
+    held, lost = _settle(slots, None)
+    expanded = None
+    while True:
+        left = seekers.join(held.select("ordinal"), "ordinal", "left_anti")
+        if expanded is not None:
+            left = left.join(expanded, "ordinal", "left_anti")
+        left = materialise(left)
+        if left.isEmpty():
+            break
+        more = free(decoy_candidates(left, method, seed, first=1))
+        expanded = left.select("ordinal") if expanded is None else expanded.unionByName(left.select("ordinal"))
+        slots = slots.unionByName(more)
+        held, lost = _settle(slots, lost)
+    found = slots.join(held.select("ordinal", "attempt"), ["ordinal", "attempt"]).drop("charge")
+    return seekers.join(found, "ordinal", "left").withColumn("paired", F.col("identity").isNotNull())
+
+
+def _settle(slots: DataFrame, lost: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Proposal rounds until nobody loses: the holders, and the (target, attempt) pairs lost."""
     narrow = slots.select("ordinal", "attempt", "identity", "charge")
-    # Each target's current proposal: its first candidate that it has not lost.
-    lost = None
     while True:
         still = narrow if lost is None else narrow.join(lost, ["ordinal", "attempt"], "left_anti")
-        proposals = still.groupBy("ordinal").agg(
-            F.min_by(F.struct("attempt", "identity", "charge"), "attempt").alias("p")
-        ).select("ordinal", "p.*")
+        proposals = (
+            still.groupBy("ordinal")
+            .agg(F.min(F.struct("attempt", "identity", "charge")).alias("p"))
+            .select("ordinal", "p.*")
+        )
         holders = proposals.groupBy("identity", "charge").agg(F.min("ordinal").alias("holder"))
         judged = materialise(proposals.join(holders, ["identity", "charge"]))
         losers = judged.where(F.col("ordinal") != F.col("holder")).select("ordinal", "attempt")
         if losers.isEmpty():
-            break
+            return judged, lost
         lost = materialise(losers if lost is None else lost.unionByName(losers))
-    chosen = judged.select("ordinal", "attempt")
-    found = slots.join(chosen, ["ordinal", "attempt"]).select(
-        "ordinal", "attempt", "identity", "made.decoy_peptide", "made.decoy_sites"
-    )
-    return open_targets.join(found, "ordinal", "left").withColumn("paired", F.col("identity").isNotNull())
 
 
 def number_decoy_groups(forms: DataFrame, order: list[Column], min_charge: int, max_charge: int) -> DataFrame:

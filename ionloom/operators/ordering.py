@@ -22,23 +22,23 @@ def _sorted_chunks(df: DataFrame, order: list[Column]) -> DataFrame:
     Written once: range boundaries come from sampling, and a second evaluation could cut the
     chunks elsewhere.
     """
-    numbered = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
+    numbered = df.orderBy(*order).withColumn("__sort_mid", F.monotonically_increasing_id())
     return (
         materialise(numbered)
-        .withColumn("__chunk", F.shiftright("__mid", _CHUNK_BITS))
-        .withColumn("__place", F.col("__mid").bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1)))
+        .withColumn("__sort_chunk", F.shiftright("__sort_mid", _CHUNK_BITS))
+        .withColumn("__sort_place", F.col("__sort_mid").bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1)))
     )
 
 
 def _carries(chunks: DataFrame, amount: Column) -> DataFrame:
     """Per chunk, the total of all chunks before it: one row per sort partition."""
-    before = Window.partitionBy(F.lit(0)).orderBy("__chunk").rowsBetween(
+    before = Window.partitionBy(F.lit(0)).orderBy("__sort_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
     return (
-        chunks.groupBy("__chunk")
-        .agg(amount.alias("__amount"))
-        .select("__chunk", F.coalesce(F.sum("__amount").over(before), F.lit(0)).alias("__carry"))
+        chunks.groupBy("__sort_chunk")
+        .agg(amount.alias("__sort_amount"))
+        .select("__sort_chunk", F.coalesce(F.sum("__sort_amount").over(before), F.lit(0)).alias("__sort_carry"))
     )
 
 
@@ -47,9 +47,9 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     chunks = _sorted_chunks(df, order)
     carries = _carries(chunks, F.count(F.lit(1)))
     return (
-        chunks.join(F.broadcast(carries), "__chunk")
-        .withColumn(name, F.col("__carry") + F.col("__place"))
-        .drop("__mid", "__chunk", "__place", "__carry")
+        chunks.join(F.broadcast(carries), "__sort_chunk")
+        .withColumn(name, F.col("__sort_carry") + F.col("__sort_place"))
+        .drop("__sort_mid", "__sort_chunk", "__sort_place", "__sort_carry")
     )
 
 
@@ -57,12 +57,12 @@ def with_group_position(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "position"
 ) -> DataFrame:
     """Zero-based place of every row within its group, safe for a group of any size."""
-    placed = with_position(df, [F.col(k).asc_nulls_first() for k in keys] + order, "__global")
-    starts = placed.groupBy(*keys).agg(F.min("__global").alias("__start"))
+    placed = with_position(df, [F.col(k).asc_nulls_first() for k in keys] + order, "__sort_global")
+    starts = placed.groupBy(*keys).agg(F.min("__sort_global").alias("__sort_start"))
     return (
         null_safe(placed, starts, keys, "left")
-        .withColumn(name, F.col("__global") - F.col("__start"))
-        .drop("__global", "__start")
+        .withColumn(name, F.col("__sort_global") - F.col("__sort_start"))
+        .drop("__sort_global", "__sort_start")
     )
 
 
@@ -70,16 +70,16 @@ def with_running_total(
     df: DataFrame, order: list[Column], weight: Column, name: str = "running"
 ) -> DataFrame:
     """Sum of ``weight`` over the rows up to and including each row of the global order."""
-    chunks = _sorted_chunks(df.withColumn("__weight", weight), order)
-    carries = _carries(chunks, F.sum("__weight"))
-    inside = Window.partitionBy("__chunk").orderBy("__place").rowsBetween(
+    chunks = _sorted_chunks(df.withColumn("__sort_weight", weight), order)
+    carries = _carries(chunks, F.sum("__sort_weight"))
+    inside = Window.partitionBy("__sort_chunk").orderBy("__sort_place").rowsBetween(
         Window.unboundedPreceding, 0
     )
     return (
-        chunks.withColumn("__inside", F.sum("__weight").over(inside))
-        .join(F.broadcast(carries), "__chunk")
-        .withColumn(name, F.col("__carry") + F.col("__inside"))
-        .drop("__mid", "__chunk", "__place", "__carry", "__weight", "__inside")
+        chunks.withColumn("__sort_inside", F.sum("__sort_weight").over(inside))
+        .join(F.broadcast(carries), "__sort_chunk")
+        .withColumn(name, F.col("__sort_carry") + F.col("__sort_inside"))
+        .drop("__sort_mid", "__sort_chunk", "__sort_place", "__sort_carry", "__sort_weight", "__sort_inside")
     )
 
 

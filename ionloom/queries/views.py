@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ionloom.constants import RESIDUE_MASS, WATER
 from ionloom.operators.digest import DigestRules, digest
 from ionloom.operators.ordering import with_group_position
+from ionloom.session import spread
 
 RULES = DigestRules()
 
@@ -23,9 +24,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def proteome(spark: SparkSession, sf: str) -> DataFrame:
     """Letters of each document as one protein; the six non-residue letters are mapped."""
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return (
-        table(spark, sf, "documents")
-        .select(
+        documents.select(
             F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("protein_id"),
             F.translate(letters, "BJOUXZ", "GLSTVE").alias("residues"),
         )

@@ -16,6 +16,8 @@ _RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Work per row is heavy here; small shuffles still use every core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
@@ -54,6 +56,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than the cluster has cores a partition per core.
+
+    For steps that make many rows of one. A scan with enough splits is left as it is, so a large
+    input is never shuffled for this. ``scan`` must be a plain scan: its splits are known without
+    running anything.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots * 4, key)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when a bounded probe shows at most ``max_rows`` rows.
 
