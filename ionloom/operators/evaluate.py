@@ -208,15 +208,13 @@ def grouping_levels(scores: DataFrame) -> DataFrame:
     """
     cell = F.concat_ws("/", "detector", "fragmentation")
     state = F.when(F.col("labelled"), F.lit("labelled ")).otherwise(F.lit("label-free "))
-    levels = F.array(
-        F.struct(F.lit("dataset").alias("level"), F.col("dataset").alias("cell")),
-        F.struct(F.lit("acquisition"), cell),
-        F.struct(F.lit("label_acquisition"), F.concat(state, cell)),
-        F.struct(F.lit("overall"), F.lit("all")),
+    levels = F.create_map(
+        F.lit("dataset"), F.col("dataset"),
+        F.lit("acquisition"), cell,
+        F.lit("label_acquisition"), F.concat(state, cell),
+        F.lit("overall"), F.lit("all"),
     )
-    return scores.withColumn("__level", F.explode(levels)).select(
-        "*", F.col("__level.level").alias("level"), F.col("__level.cell").alias("cell")
-    ).drop("__level")
+    return scores.select("*", F.explode(levels).alias("level", "cell"))
 
 
 def distribution_report(scores: DataFrame, value: str = "angle") -> DataFrame:

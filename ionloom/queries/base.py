@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ionloom.queries import views
 from ionloom.session import shared_folder, tune
+from ionloom.sinks.libraries import fixed
 
 DIGITS = 6
 
@@ -70,5 +71,5 @@ def run_folder(spark: SparkSession) -> str:
 def joined(values, digits: int = DIGITS):
     """An array of numbers as text with fixed decimals, for results without array columns."""
     return F.array_join(
-        F.transform(values, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ";"
+        F.transform(values, lambda x: fixed(x, digits)), ";"
     )
