@@ -126,7 +126,7 @@ def smooth_predictor():
 
 def labels_tables(labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Precursor-grain and fragment-grain tables of labels: ``(key, rt, ccs)`` and one row per site."""
-    rows = labels.select(key, "ms2", F.posexplode(F.sequence(F.lit(0), F.size("ms2") / 4 - 1)).alias("position", "__site"))
+    rows = labels.select(key, "ms2", F.explode(F.sequence(F.lit(0), (F.size("ms2") / 4).cast("int") - 1)).alias("position"))
     cells = [
         F.element_at("ms2", (F.col("position") * 4 + i + 1).cast("int")).cast("double").alias(f"{ion}_z{z}")
         for i, (ion, z) in enumerate(ION_COLUMNS)

@@ -1,3 +1,261 @@
+"""Library, writer, label and predictor queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ionloom.constants import HYDROPATHY
+from ionloom.functions import chemistry, sequence, spectra
+from ionloom.operators import labeler, library, modforms
+from ionloom.operators.digest import DigestRules
+from ionloom.plans import library as plan
+from ionloom.queries import views
 from ionloom.queries.base import Book
+from ionloom.queries.q_projections import _GRID_SQL, SQL_PROTON
+from ionloom.queries.views import SQL_WATER, sql_mass
+from ionloom.sinks import libraries as sink
 
 BOOK = Book()
+add = BOOK.add
+
+
+def spectrum_rows(spark, sf, limit: int = 6):
+    """Validated rows with the strongest peaks, as the writers take them."""
+    sid = F.col("spectrum_id")
+    rows = library.spectrum_rows(
+        views.precursors(spark, sf).withColumn("masses", chemistry.residue_masses(F.col("peptide"))), 0.0, limit
+    )
+    return library.require_valid_rows(rows).select(
+        "*",
+        F.col("peptide").alias("proforma"),
+        (sid % 4 == 0).alias("decoy"),
+        F.when(sid % 2 == 0, sid).alias("decoy_group"),
+        F.when(sid % 3 == 0, F.col("rt") * 2).alias("irt"),
+        F.when(sid % 5 == 0, F.array(F.lit("P1"), F.lit("P2"))).otherwise(F.array(F.lit("P1"))).alias("proteins"),
+    )
+
+
+_ROWS_SQL = f"""{_GRID_SQL},
+kept AS (SELECT * FROM peaks QUALIFY row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, cell) <= 6),
+heads AS (SELECT *, {sql_mass('peptide')} + {SQL_WATER} AS neutral, ({sql_mass('peptide')} + {SQL_WATER} + charge * {SQL_PROTON}) / charge AS pmz FROM precursors),
+rows AS (SELECT *, ccs * sqrt(pmz * charge * 28.0 / (pmz * charge + 28.0)) / charge / 1059.62245 AS mobility,
+  CASE WHEN spectrum_id % 5 = 0 THEN 'P1;P2' ELSE 'P1' END AS proteins FROM heads)"""
+
+
+@add(
+    "diann_rows",
+    "K3",
+    needs=("precursors", "spectra"),
+    sql=f"""WITH {_ROWS_SQL} SELECT r.peptide AS "ModifiedPeptide", r.peptide AS "StrippedPeptide", printf('%.8f', pmz) AS "PrecursorMz", r.charge::VARCHAR AS "PrecursorCharge",
+  printf('%.6f', rt) AS "Tr_recalibrated", printf('%.8f', mobility) AS "IonMobility", proteins AS "ProteinID", CASE WHEN r.spectrum_id % 4 = 0 THEN '1' ELSE '0' END AS "Decoy",
+  printf('%.8f', mz) AS "FragmentMz", ion AS "FragmentType", ordinal::VARCHAR AS "FragmentNumber", k.charge::VARCHAR AS "FragmentCharge", 'noloss' AS "FragmentLossType",
+  printf('%.8f', intensity) AS "RelativeIntensity" FROM rows r JOIN kept k ON k.spectrum_id = r.spectrum_id""",
+)
+def diann_rows(spark, sf):
+    return sink.diann_rows(spectrum_rows(spark, sf))
+
+
+@add(
+    "speclib_entries",
+    "K4",
+    needs=("precursors", "spectra"),
+    sql=f"""WITH {_ROWS_SQL}, p AS (SELECT spectrum_id, count(*) AS n, string_agg(printf('%.6f', mz) || chr(9) || printf('%.6f', intensity) || chr(9) ||
+  ion || ordinal || CASE WHEN charge = 2 THEN '^2' ELSE '' END, chr(10) ORDER BY mz, cell) AS lines FROM kept GROUP BY 1)
+SELECT row_number() OVER (ORDER BY r.spectrum_id) AS "index", '<Spectrum=' || row_number() OVER (ORDER BY r.spectrum_id) || '>' || chr(10) || concat_ws(chr(10),
+  'MS:1003061|library spectrum name=' || peptide || '/' || charge,
+  CASE WHEN r.spectrum_id % 4 = 0 THEN 'MS:1003212|library attribute set name=Decoy' END,
+  CASE WHEN r.spectrum_id % 2 = 0 THEN '[3]MS:1003275|other attribute name=ionloom:decoy_group' || chr(10) || '[3]MS:1003276|other attribute value=' || r.spectrum_id END,
+  'MS:1000041|charge state=' || charge, 'MS:1000744|selected ion m/z=' || printf('%.8f', pmz),
+  CASE WHEN r.spectrum_id % 3 = 0 THEN '[1]MS:1000894|retention time=' || printf('%.6f', rt) || chr(10) || '[1]UO:0000000|unit=UO:0000031|minute' || chr(10) ||
+    '[2]MS:1000896|normalized retention time=' || printf('%.6f', rt * 2) || chr(10) || '[2]UO:0000000|unit=UO:0000031|minute'
+  ELSE '[1]MS:1000896|normalized retention time=' || printf('%.6f', rt) || chr(10) || '[1]UO:0000000|unit=UO:0000031|minute' END,
+  'MS:1002815|inverse reduced ion mobility=' || printf('%.8f', mobility), 'MS:1003059|number of peaks=' || n, '<Analyte=1>',
+  'MS:1003270|proforma peptidoform ion notation=' || peptide || '/' || charge, 'MS:1000888|stripped peptide sequence=' || peptide,
+  'MS:1003043|number of residues=17', 'MS:1003637|theoretical neutral monoisotopic mass=' || printf('%.8f', neutral),
+  'MS:1000885|protein accession=P1', CASE WHEN r.spectrum_id % 5 = 0 THEN 'MS:1000885|protein accession=P2' END, '<Peaks>', lines) || chr(10) AS entry
+FROM rows r JOIN p ON p.spectrum_id = r.spectrum_id""",
+)
+def speclib_entries(spark, sf):
+    """One text entry per precursor, numbered in identifier order."""
+    return sink.speclib_entries(spectrum_rows(spark, sf), [F.col("spectrum_id").asc()])
+
+
+@add(
+    "library_counts",
+    "A16",
+    needs=("precursors",),
+    sql="""SELECT count(*) AS precursors, count(*) FILTER (spectrum_id % 4 = 0) AS decoys, count(DISTINCT peptide) FILTER (spectrum_id % 4 <> 0) AS peptides,
+  (count(*) * 6)::BIGINT AS fragments FROM precursors""",
+)
+def library_counts(spark, sf):
+    return library.library_counts(spectrum_rows(spark, sf))
+
+
+def split_precursors(spark, sf):
+    """Modified peptides at three charges with a split."""
+    rows = views.modified(spark, sf).select(
+        "peptide", sequence.proforma_sites(F.col("proforma")).alias("sites"), F.lit("train").alias("split")
+    )
+    return modforms.expand_charges(rows, 2, 4)
+
+
+_MODS_SQL = """letters AS (SELECT peptide, unnest(string_split(peptide, '')) AS r, generate_subscripts(string_split(peptide, ''), 1) - 1 AS i FROM cleaved),
+mods AS (SELECT peptide, string_agg(i || ':' || CASE r WHEN 'M' THEN 'UNIMOD:35' ELSE 'UNIMOD:4' END, ';' ORDER BY i) AS inner_mods FROM letters WHERE r IN ('M', 'C') GROUP BY 1)"""
+
+_MOD_MASS_SQL = f"""({sql_mass('m.peptide')} + {SQL_WATER} + (length(m.peptide) - length(replace(m.peptide, 'M', ''))) * 15.994914622::DOUBLE
+  + (length(m.peptide) - length(replace(m.peptide, 'C', ''))) * 57.021463723::DOUBLE + CASE WHEN m.peptide LIKE 'A%' THEN 42.0105647::DOUBLE ELSE 0 END)"""
+
+
+@add(
+    "precursor_table",
+    "K7",
+    needs=("modified",),
+    sql=f"""WITH {_MODS_SQL} SELECT m.peptide AS sequence, concat_ws(';', CASE WHEN m.peptide LIKE 'A%' THEN 'n:UNIMOD:1' END, inner_mods) AS mods, proforma AS modified_sequence,
+  length(m.peptide)::BIGINT AS length, z::BIGINT AS charge, round(({_MOD_MASS_SQL} + z * {SQL_PROTON}) / z, 6) AS precursor_mz, 'train' AS split
+FROM modified m LEFT JOIN mods ON mods.peptide = m.peptide CROSS JOIN range(2, 5) r(z)""",
+)
+def precursor_table(spark, sf):
+    return modforms.precursor_table(split_precursors(spark, sf), plan.DEFAULT_DELTAS)
+
+
+@add(
+    "precursor_roundtrip",
+    "K7",
+    needs=("modified",),
+    sql="SELECT proforma, z::BIGINT AS charge FROM modified CROSS JOIN range(2, 5) r(z)",
+)
+def precursor_roundtrip(spark, sf):
+    """The flat table read back renders to the peptidoforms it came from."""
+    back = modforms.precursors_from_table(precursor_table_raw(spark, sf))
+    return back.select(sequence.render_proforma(F.col("peptide"), F.col("sites")).alias("proforma"), "charge")
+
+
+def precursor_table_raw(spark, sf):
+    return modforms.precursor_table(split_precursors(spark, sf), plan.DEFAULT_DELTAS)
+
+
+_HYDRO_SQL = " + ".join(
+    f"(length(peptide) - length(replace(peptide, '{r}', ''))) * ({v!r}::DOUBLE)" for r, v in sorted(HYDROPATHY.items())
+)
+_WAVE_SQL = f"""sites AS (SELECT peptide, unnest(range(0, length(peptide) - 1)) AS site FROM cleaved),
+masses AS (SELECT peptide, site, {sql_mass('substr(peptide, 1, site + 1)')} AS b, {sql_mass('substr(peptide, site + 2)')} AS y FROM sites),
+waves AS (SELECT peptide, site, 0.5 * (1 + sin(b / 37.0 + 2)) AS b1, 0.5 * (1 + sin(y / 37.0 + 2)) AS y1, 0.5 * (1 + sin(b / 74.0 + 2)) AS b2, 0.5 * (1 + sin(y / 74.0 + 2)) AS y2 FROM masses),
+tops AS (SELECT peptide, max(greatest(b1, y1, b2, y2)) AS top FROM waves GROUP BY 1)"""
+
+
+def smooth(spark, sf):
+    """Built-in labels as columns for every cleaved peptide at charge 2."""
+    p, charge = F.col("peptide"), F.lit(2)
+    labels = labeler.smooth_labels(p, chemistry.residue_masses(p), chemistry.mono_mass(p), charge)
+    return views.cleaved(spark, sf).select("peptide", labels.alias("l")).select("peptide", "l.*")
+
+
+@add(
+    "smooth_labels",
+    "F2",
+    needs=("cleaved",),
+    sql=f"""WITH {_WAVE_SQL}, t AS (SELECT w.peptide, sum(b1 + y1 + b2 + y2) / max(top) AS total FROM waves w JOIN tops ON tops.peptide = w.peptide GROUP BY 1)
+SELECT peptide, round(total, 6) AS total, round({_HYDRO_SQL} + 0.02::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}), 6) AS rt,
+  round(0.9::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}) / 2 + 60, 6) AS ccs FROM t""",
+)
+def smooth_labels(spark, sf):
+    return smooth(spark, sf).select("peptide", spectra.total(F.col("ms2")).alias("total"), "rt", "ccs")
+
+
+@add(
+    "batch_labels",
+    "F1",
+    needs=("cleaved",),
+    sql=f"""WITH {_WAVE_SQL}, t AS (SELECT w.peptide, sum(b1 + y1 + b2 + y2) / max(top) AS total FROM waves w JOIN tops ON tops.peptide = w.peptide GROUP BY 1)
+SELECT peptide, round(total, 3) AS total, round({_HYDRO_SQL} + 0.02::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}), 6) AS rt,
+  round(0.9::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}) / 2 + 60, 6) AS ccs FROM t""",
+)
+def batch_labels(spark, sf):
+    """The same labels from a batch predictor behind the user contract."""
+    rows = views.cleaved(spark, sf).select(
+        "peptide",
+        F.lit(2).alias("charge"),
+        chemistry.mono_mass(F.col("peptide")).alias("neutral_mass"),
+        chemistry.hydropathy_sum(F.col("peptide")).alias("rt_index"),
+    )
+    labelled = labeler.label_batches(rows, labeler.smooth_predictor, ["peptide", "charge"])
+    return labelled.select("peptide", F.round(spectra.total(F.col("ms2")), 3).alias("total"), "rt", "ccs")
+
+
+@add(
+    "label_tables",
+    "K8",
+    needs=("cleaved",),
+    sql=f"""WITH {_WAVE_SQL} SELECT w.peptide, site AS position, round(b1 / top, 6) AS b_z1, round(y1 / top, 6) AS y_z1, round(b2 / top, 6) AS b_z2, round(y2 / top, 6) AS y_z2
+FROM waves w JOIN tops ON tops.peptide = w.peptide""",
+)
+def label_tables(spark, sf):
+    return labeler.labels_tables(smooth(spark, sf), "peptide")[1]
+
+
+@add(
+    "label_roundtrip",
+    "K8",
+    needs=("cleaved",),
+    sql=f"""WITH {_WAVE_SQL} SELECT w.peptide, string_agg(printf('%.4f', b1 / top) || ';' || printf('%.4f', y1 / top) || ';' || printf('%.4f', b2 / top) || ';' || printf('%.4f', y2 / top), ';' ORDER BY site) AS ms2
+FROM waves w JOIN tops ON tops.peptide = w.peptide GROUP BY 1""",
+)
+def label_roundtrip(spark, sf):
+    """Both label tables put together again give every grid back."""
+    from ionloom.queries.base import joined
+
+    heads, cells = labeler.labels_tables(smooth(spark, sf), "peptide")
+    back = labeler.labels_from_tables(heads, cells, "peptide")
+    return back.select("peptide", joined("ms2", 4).alias("ms2"))
+
+
+_REVERSED = "substr(peptide, 1, 1) || reverse(substr(peptide, 2, length(peptide) - 2)) || substr(peptide, length(peptide))"
+
+
+@add(
+    "charged_forms",
+    "P11",
+    "G4",
+    "J7",
+    needs=("memberships",),
+    sql=f"""WITH targets AS (SELECT DISTINCT peptide FROM memberships),
+rows AS (SELECT peptide, false AS decoy FROM targets UNION ALL SELECT d, true FROM (SELECT {_REVERSED} AS d FROM targets) WHERE d NOT IN (SELECT peptide FROM targets))
+SELECT replace(peptide, 'C', 'C[UNIMOD:4]') AS proforma, decoy, z::BIGINT AS charge, round(({sql_mass('peptide')} + {SQL_WATER} +
+  (length(peptide) - length(replace(peptide, 'C', ''))) * 57.021463723::DOUBLE + z * {SQL_PROTON}) / z, 6) AS mz FROM rows CROSS JOIN range(2, 4) r(z)""",
+)
+def charged_forms(spark, sf):
+    """Target and decoy precursors of the whole proteome with their m/z."""
+    options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3))
+    targets = views.memberships(spark, sf).select("peptide").distinct()
+    rows = plan.precursor_frame(targets, options)
+    neutral = F.aggregate("masses", F.lit(chemistry.WATER), lambda acc, m: acc + m)
+    return rows.select("proforma", "decoy", "charge", chemistry.charged_mz(neutral, F.col("charge")).alias("mz"))
+
+
+_LIBRARY_SQL = f"""targets AS (SELECT DISTINCT peptide FROM memberships),
+forms AS (SELECT peptide, false AS decoy FROM targets UNION ALL SELECT d, true FROM (SELECT {_REVERSED} AS d FROM targets) WHERE d NOT IN (SELECT peptide FROM targets)),
+sites AS (SELECT peptide, decoy, unnest(range(0, length(peptide) - 1)) AS site FROM forms),
+masses AS (SELECT peptide, decoy, {sql_mass("replace(substr(peptide, 1, site + 1), 'C', 'CG')")} AS b, {sql_mass("replace(substr(peptide, site + 2), 'C', 'CG')")} AS y FROM sites),
+cells AS (SELECT peptide, decoy, z, unnest([0.5 * (1 + sin(b / 37.0 + z)), 0.5 * (1 + sin(y / 37.0 + z)), 0.5 * (1 + sin(b / 74.0 + z)), 0.5 * (1 + sin(y / 74.0 + z))])::FLOAT AS v
+  FROM masses CROSS JOIN range(2, 4) r(z)),
+tops AS (SELECT *, max(v) OVER (PARTITION BY peptide, decoy, z) AS top FROM cells)"""
+
+
+@add(
+    "library_build",
+    "P18",
+    "P19",
+    "W8",
+    "F1",
+    "T4",
+    needs=("memberships",),
+    sql=f"""WITH {_LIBRARY_SQL}, n AS (SELECT peptide, decoy, z, least(count(*) FILTER (v / top >= 0.0099), 15) AS kept FROM tops GROUP BY 1, 2, 3)
+SELECT z::BIGINT AS charge, decoy, count(*) AS precursors, sum(kept)::BIGINT AS fragments FROM n GROUP BY 1, 2""",
+)
+def library_build(spark, sf):
+    """A whole library: digest, groups, forms, decoys, labels, validation, fifteen peaks each."""
+    options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3), max_fragments=15)
+    rows = library.require_valid_rows(plan.build_library(views.proteome(spark, sf), options))
+    return rows.groupBy("charge", "decoy").agg(
+        F.count(F.lit(1)).alias("precursors"), F.sum(F.size("peaks")).alias("fragments")
+    )

@@ -118,12 +118,21 @@ def coded_peptide(number: Column, length: int) -> Column:
     )
 
 
+_HEX = ("0123456789abcdef", "ACDEFGHILMNPQSTV")
+
+
+def hashed_peptide(number: Column) -> Column:
+    """A varied 17-residue peptide spelled from a number's hash, ending in K."""
+    head = F.substring(F.md5(number.cast("string")), 1, 16)
+    return F.concat(F.translate(head, *_HEX), F.lit("K"))
+
+
 def precursors(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as precursors of coded 17-residue peptides with their grid as prediction."""
+    """Embeddings as precursors of varied 17-residue peptides with their grid as prediction."""
     return spectra(spark, sf).select(
         "spectrum_id",
         "context",
-        coded_peptide(F.col("spectrum_id"), 17).alias("peptide"),
+        hashed_peptide(F.col("spectrum_id")).alias("peptide"),
         (2 + F.col("spectrum_id") % 2).alias("charge"),
         (F.col("context") * 7.5 + 0.25).alias("rt"),
         (F.lit(300.0) + F.col("spectrum_id") % 50).alias("ccs"),
@@ -251,7 +260,7 @@ SQL = {
     "cells": """SELECT vec_id AS spectrum_id, label::BIGINT AS context, unnest(embedding)::DOUBLE AS signed,
   generate_subscripts(embedding, 1) - 1 AS cell FROM embeddings""",
     "spectra": "SELECT spectrum_id, context, cell, abs(signed) AS value FROM cells",
-    "precursors": f"""SELECT vec_id AS spectrum_id, label::BIGINT AS context, {sql_coded('vec_id', 17)} AS peptide,
+    "precursors": f"""SELECT vec_id AS spectrum_id, label::BIGINT AS context, translate(substr(md5(vec_id::VARCHAR), 1, 16), '{_HEX[0]}', '{_HEX[1]}') || 'K' AS peptide,
   2 + vec_id % 2 AS charge, label * 7.5::DOUBLE + 0.25::DOUBLE AS rt, 300.0::DOUBLE + vec_id % 50 AS ccs FROM embeddings""",
     "pair_ids": """SELECT * FROM (SELECT vec_id AS spectrum_id, label::BIGINT AS context,
   lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id FROM embeddings) WHERE next_id IS NOT NULL""",

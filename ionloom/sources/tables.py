@@ -71,13 +71,18 @@ def split_scan(
     )
 
 
-def read_shard_manifests(spark: SparkSession, prefix: str) -> DataFrame:
-    """Every ``shards/**/manifest.json`` under a prefix, with an explicit schema."""
+def read_shard_manifests(
+    spark: SparkSession, prefix: str, pattern: str = "manifest.json", multi_line: bool = True
+) -> DataFrame:
+    """Every ``shards/**/manifest.json`` under a prefix, with an explicit schema.
+
+    One document per file by default; one per line with ``multi_line`` off.
+    """
     return (
         spark.read.schema(schemas.SHARD_MANIFEST)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "manifest.json")
+        .option("pathGlobFilter", pattern)
         .json(f"{prefix.rstrip('/')}/shards")
     )
 
