@@ -99,7 +99,7 @@ def spec_order(spec: Column) -> Column:
 
 def render_proforma(residues: Column, sites: Column) -> Column:
     """Canonical text of residues and sites; the order of ``sites`` does not matter."""
-    return let(sites, lambda bound: _render(residues, bound))
+    return let(sites, lambda bound: F.when(F.size(bound) == 0, residues).otherwise(_render(residues, bound)))
 
 
 def _render(residues: Column, sites: Column) -> Column:

@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ionloom.constants import ION_COLUMNS, RESIDUE_MASS
+from ionloom.constants import (
+    DRIFT_GAS_MASS,
+    HYDROPATHY,
+    ION_COLUMNS,
+    MOBILITY_COEFFICIENT,
+    PROTON,
+    RESIDUE_MASS,
+    WATER,
+)
 from ionloom.functions.binding import let
 from ionloom.functions.chemistry import hydropathy_sum, prefix_sums
 from ionloom.functions.spectra import base_peak
@@ -124,6 +135,173 @@ def smooth_predictor():
     return predict
 
 
+@dataclass(frozen=True)
+class LengthBatch:
+    """Peptidoforms of one length at one charge, as arrays: rows by residues."""
+
+    residues: np.ndarray  # uint8 letters
+    masses: np.ndarray  # residue masses, modifications included
+    charge: int
+
+    @property
+    def neutral(self) -> np.ndarray:
+        return self.masses.sum(axis=1) + WATER
+
+
+def smooth_arrays():
+    """The built-in labels under the array contract: a factory for :func:`library_batches`.
+
+    Returns per batch ``ms2`` (rows x sites x 4, float32), ``rt`` and ``ccs``.
+    """
+    hydropathy = np.zeros(128)
+    for residue, value in HYDROPATHY.items():
+        hydropathy[ord(residue)] = value
+
+    def predict(batch: LengthBatch):
+        prefix = np.cumsum(batch.masses, axis=1)
+        b = prefix[:, :-1]
+        y = prefix[:, -1:] - b
+        waves = [0.5 * (1 + np.sin((b if ion == "b" else y) / (37.0 * z) + batch.charge)) for ion, z in ION_COLUMNS]
+        ms2 = np.stack(waves, axis=2)
+        top = ms2.max(axis=(1, 2), keepdims=True)
+        ms2 = (ms2 / np.where(top > 0, top, 1.0)).astype(np.float32)
+        mass = batch.neutral
+        rt = hydropathy[batch.residues].sum(axis=1) + 0.02 * mass
+        return ms2, rt, 0.9 * mass / batch.charge + 30.0 * batch.charge
+
+    return predict
+
+
+def library_batches(
+    peptidoforms: DataFrame,
+    factory: Callable[[], Callable[[LengthBatch], tuple]],
+    keys: list[str],
+    charges: list[int],
+    min_intensity: float = 0.0,
+    max_fragments: int | None = None,
+) -> DataFrame:
+    """Predict and assemble library rows in one Arrow pass, one row per peptidoform and charge.
+
+    ``peptidoforms`` has ``peptide, mod_pos, mod_delta`` (modification positions and masses) and
+    the ``keys`` to carry. Each Arrow batch is cut by length, so nothing is padded; a batch is
+    encoded once and predicted for all charges. Only the kept peaks go back to the JVM. Every peak
+    is checked before the cap; a faulty one stops the job.
+    """
+    carried = [f for f in peptidoforms.schema.fields if f.name in keys]
+    schema = T.StructType([*carried, *_ROW_FIELDS])
+    table = np.full(128, np.nan)
+    for residue, mass in RESIDUE_MASS.items():
+        table[ord(residue)] = mass
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = factory()
+        for batch in batches:
+            for rows, residues, masses in _by_length(batch, table):
+                for z in charges:
+                    part = LengthBatch(residues, masses, z)
+                    columns = _assemble(part, predict(part), min_intensity, max_fragments)
+                    kept = batch.select(keys).take(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept.columns, *columns], names=[*keys, *[f.name for f in _ROW_FIELDS]]
+                    )
+
+    return peptidoforms.mapInArrow(run, schema)
+
+
+def _by_length(batch: pa.RecordBatch, table: np.ndarray):
+    """Rows of one Arrow batch cut by peptide length: row numbers, letters, masses."""
+    peptides = batch.column("peptide").to_pylist()
+    lengths = np.fromiter((len(p) for p in peptides), dtype=np.int64, count=len(peptides))
+    positions, deltas = batch.column("mod_pos"), batch.column("mod_delta")
+    mod_row = np.repeat(np.arange(len(peptides)), np.diff(positions.offsets.to_numpy()))
+    mod_pos = positions.flatten().to_numpy(zero_copy_only=False)
+    mod_delta = deltas.flatten().to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        text = "".join([peptides[i] for i in rows]).encode()
+        residues = np.frombuffer(text, dtype=np.uint8).reshape(len(rows), n)
+        masses = table[residues]
+        place = np.full(len(peptides), -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[mod_row] >= 0
+        np.add.at(masses, (place[mod_row[mine]], mod_pos[mine]), mod_delta[mine])
+        yield pa.array(rows), residues, masses
+
+
+def _assemble(batch: LengthBatch, labels: tuple, min_intensity: float, max_fragments: int | None) -> list[pa.Array]:
+    """Library columns of one batch: masses, retention, mobility and the kept peaks."""
+    ms2, rt, ccs = labels
+    count, sites = len(ms2), ms2.shape[1]
+    prefix = np.cumsum(batch.masses, axis=1)
+    b = prefix[:, :-1]
+    y = prefix[:, -1:] - b + WATER
+    mz = np.stack([((b if ion == "b" else y) + z * PROTON) / z for ion, z in ION_COLUMNS], axis=2).reshape(count, -1)
+    grid = ms2.reshape(count, -1)
+    top = grid.max(axis=1, keepdims=True)
+    share = (grid / np.where(top > 0, top, 1.0).astype(grid.dtype)).astype(np.float64)
+    neutral = batch.neutral
+    precursor = (neutral + batch.charge * PROTON) / batch.charge
+    mass = precursor * batch.charge
+    mobility = ccs * np.sqrt(mass * DRIFT_GAS_MASS / (mass + DRIFT_GAS_MASS)) / batch.charge / MOBILITY_COEFFICIENT
+    for name, value in (("precursor_mz", precursor), ("ccs", ccs), ("mobility", mobility)):
+        if not (np.isfinite(value) & (value > 0)).all():
+            raise ValueError(f"non-physical {name} at charge {batch.charge}")
+    kept = share >= min_intensity
+    fine = np.isfinite(mz) & (mz > 0) & np.isfinite(share) & (share <= 1.0) & (share >= 0.0)
+    if not np.isfinite(rt).all() or not (fine | ~kept).all():
+        raise ValueError(f"invalid retention or fragment at charge {batch.charge}")
+    if max_fragments is not None and max_fragments < share.shape[1]:
+        order = np.argsort(np.where(kept, -share, np.inf), axis=1, kind="stable")
+        strongest = np.zeros_like(kept)
+        np.put_along_axis(strongest, order[:, :max_fragments], True, axis=1)
+        kept &= strongest
+    row, cell = np.nonzero(kept)
+    site, column = np.divmod(cell, len(ION_COLUMNS))
+    is_b = np.array([ion == "b" for ion, _ in ION_COLUMNS])[column]
+    charge = np.array([z for _, z in ION_COLUMNS], dtype=np.int32)[column]
+    ordinal = np.where(is_b, site + 1, sites - site).astype(np.int32)
+    peaks = pa.StructArray.from_arrays(
+        [
+            pa.array(mz[row, cell]),
+            pa.array(share[row, cell]),
+            pa.array(["y", "b"]).take(pa.array(is_b.astype(np.int8))),
+            pa.array(ordinal),
+            pa.array(charge),
+        ],
+        names=["mz", "intensity", "ion", "ordinal", "charge"],
+    )
+    offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+    return [
+        pa.array(np.full(count, batch.charge, dtype=np.int32)),
+        pa.array(neutral),
+        pa.array(precursor),
+        pa.array(rt),
+        pa.array(ccs),
+        pa.array(mobility),
+        pa.ListArray.from_arrays(pa.array(offsets), peaks),
+    ]
+
+
+_PEAK = T.StructType(
+    [
+        T.StructField("mz", T.DoubleType()),
+        T.StructField("intensity", T.DoubleType()),
+        T.StructField("ion", T.StringType()),
+        T.StructField("ordinal", T.IntegerType()),
+        T.StructField("charge", T.IntegerType()),
+    ]
+)
+_ROW_FIELDS = [
+    T.StructField("charge", T.IntegerType()),
+    T.StructField("neutral_mass", T.DoubleType()),
+    T.StructField("precursor_mz", T.DoubleType()),
+    T.StructField("rt", T.DoubleType()),
+    T.StructField("ccs", T.DoubleType()),
+    T.StructField("mobility", T.DoubleType()),
+    T.StructField("peaks", T.ArrayType(_PEAK)),
+]
+
+
 def labels_tables(labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Precursor-grain and fragment-grain tables of labels: ``(key, rt, ccs)`` and one row per site."""
     rows = labels.select(key, "ms2", F.explode(F.sequence(F.lit(0), (F.size("ms2") / 4).cast("int") - 1)).alias("position"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ionloom.constants import MODIFICATIONS
 from ionloom.functions import chemistry
 from ionloom.functions.sequence import ModRule, move_sites_reversed, parse_rule, render_proforma, reverse_interior
-from ionloom.operators.decoys import DECOY_PREFIX, without_collisions
-from ionloom.operators.digest import DigestRules, digest
-from ionloom.operators.labeler import label_batches, smooth_predictor
-from ionloom.operators.library import spectrum_rows
+from ionloom.operators.decoys import DECOY_PREFIX
+from ionloom.operators.digest import DigestRules, digest, protein_groups
+from ionloom.operators.labeler import library_batches, smooth_arrays
 from ionloom.operators.modforms import expand_charges, modified_forms
+from ionloom.session import materialise
 
 DEFAULT_DELTAS = {accession: delta for accession, _, _, delta in MODIFICATIONS}
 
@@ -45,60 +45,85 @@ class LibraryOptions:
         return [parse_rule(r) for r in self.fixed], [parse_rule(r) for r in self.variable]
 
 
-def precursor_frame(peptides: DataFrame, options: LibraryOptions) -> DataFrame:
-    """Target and decoy peptidoforms with masses, one row per charge.
+def peptidoform_frame(peptides: DataFrame, options: LibraryOptions) -> DataFrame:
+    """Target and decoy peptidoforms, one row each, with ``sites``, ``proforma`` and ``decoy``.
 
     ``peptides`` has distinct ``peptide`` and carried columns. Collisions are decided on stripped
-    sequences before forms multiply them. ``masses`` are the per-position masses, for the whole
-    peptidoform.
+    sequences, before forms multiply them, and once for all forms of a peptide.
     """
     fixed, variable = options.parsed()
-    targets = modified_forms(peptides, fixed, variable, options.max_variable).withColumn("decoy", F.lit(False))
-    rows = targets
-    if options.decoys:
-        reversed_names = peptides.withColumn("decoy_peptide", reverse_interior(F.col("peptide")))
-        emitting = without_collisions(reversed_names, peptides)
-        forms = modified_forms(emitting, fixed, variable, options.max_variable)
-        decoys = (
-            forms.withColumn("sites", move_sites_reversed(F.col("sites"), F.length("peptide")))
-            .withColumn("peptide", F.col("decoy_peptide"))
-            .withColumn("decoy", F.lit(True))
-            .select(*rows.columns)
-        )
-        rows = rows.unionByName(decoys)
-    rows = rows.withColumn("masses", chemistry.residue_masses(F.col("peptide"), F.col("sites"), options.deltas))
-    rows = rows.withColumn("proforma", render_proforma(F.col("peptide"), F.col("sites")))
+    rows = flag_decoys(peptides) if options.decoys else peptides.withColumn("emits_decoy", F.lit(False))
+    forms = modified_forms(rows, fixed, variable, options.max_variable).drop("n_variable")
+    both = F.when(F.col("emits_decoy"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    read = forms.withColumn("source", F.col("peptide")).withColumn("decoy", F.explode(both)).drop("emits_decoy")
+    turned = F.when(
+        F.col("decoy"), move_sites_reversed(F.col("sites"), F.length("peptide"))
+    ).otherwise(F.col("sites"))
+    return (
+        read.withColumn("sites", turned)
+        .withColumn("peptide", F.when(F.col("decoy"), reverse_interior(F.col("peptide"))).otherwise(F.col("peptide")))
+        .withColumn("proforma", render_proforma(F.col("peptide"), F.col("sites")))
+    )
+
+
+def flag_decoys(peptides: DataFrame) -> DataFrame:
+    """Whether each distinct peptide's reversal is free of the targets: one join, no fan-out.
+
+    Reversal undone is the target again, so at most one peptide maps to each reading.
+    """
+    targets = peptides.select(F.col("peptide").alias("decoy_peptide"), F.lit(True).alias("taken"))
+    return (
+        peptides.withColumn("decoy_peptide", reverse_interior(F.col("peptide")))
+        .join(targets, "decoy_peptide", "left")
+        .withColumn("emits_decoy", F.col("taken").isNull())
+        .drop("decoy_peptide", "taken")
+    )
+
+
+def precursor_frame(peptides: DataFrame, options: LibraryOptions) -> DataFrame:
+    """Peptidoforms by charges with their neutral mass."""
+    mass = chemistry.mono_mass(F.col("peptide"), chemistry.mods_mass(F.col("sites"), options.deltas))
+    rows = peptidoform_frame(peptides, options).withColumn("neutral_mass", mass)
     return expand_charges(rows, options.rules.min_charge, options.rules.max_charge)
 
 
 def build_library(proteins: DataFrame, options: LibraryOptions = LibraryOptions()) -> DataFrame:
     """Spectrum rows of a whole proteome, labelled by the built-in predictor."""
-    memberships = digest(proteins, options.rules)
-    peptides = memberships.groupBy("peptide").agg(
-        F.count_distinct("protein_id").alias("n_proteins"), F.min("protein_id").alias("first_protein")
-    )
+    # Read twice below (targets and collisions): digesting again would cost more than the write.
+    peptides = materialise(protein_groups(digest(proteins, options.rules)))
     return library_from_peptides(peptides, options)
 
 
-def library_from_peptides(peptides: DataFrame, options: LibraryOptions) -> DataFrame:
-    precursors = precursor_frame(peptides, options)
-    neutral = F.aggregate("masses", F.lit(chemistry.WATER), lambda acc, m: acc + m)
-    bare = chemistry.residue_masses(F.col("peptide"))
-    inputs = (
-        precursors.withColumn("neutral_mass", neutral)
-        .withColumn("rt_index", chemistry.hydropathy_sum(F.col("peptide")))
-        .withColumn("mod_masses", F.zip_with("masses", bare, lambda m, b: m - b))
-        .drop("sites", "n_variable")
+def library_from_peptides(
+    peptides: DataFrame, options: LibraryOptions, factory=smooth_arrays
+) -> DataFrame:
+    """Spectrum rows of given peptides; ``factory`` makes the predictor in each task.
+
+    A modification without a known mass stops the job instead of counting as zero.
+    """
+    forms = peptidoform_frame(peptides, options)
+    delta = lambda s: chemistry.spec_mass(s["spec"], options.deltas)
+    known = F.forall("sites", lambda s: delta(s).isNotNull())
+    inputs = forms.where(
+        F.when(known, F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("unknown modification in "), F.col("proforma"))).cast("boolean")
+        )
+    ).select(
+        *[c for c in forms.columns if c != "sites"],
+        F.transform("sites", lambda s: s["pos"]).alias("mod_pos"),
+        F.transform("sites", delta).alias("mod_delta"),
     )
-    keys = [c for c in inputs.columns if c not in ("neutral_mass", "rt_index", "mod_masses")]
-    labelled = label_batches(inputs, smooth_predictor, keys)
-    rows = spectrum_rows(labelled, options.min_intensity, options.max_fragments)
+    keys = [c for c in inputs.columns if c not in ("mod_pos", "mod_delta")]
+    charges = list(range(options.rules.min_charge, options.rules.max_charge + 1))
+    rows = library_batches(inputs, factory, keys, charges, options.min_intensity, options.max_fragments)
     return rows.withColumn("irt", F.lit(None).cast("double"))
 
 
-def protein_names(rows: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Rows with their protein list; generated decoys carry the decoy prefix."""
+def with_protein_names(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows with their protein list by source peptide; generated decoys carry the decoy prefix."""
     names = F.when(
         F.col("decoy"), F.transform("proteins", lambda p: F.concat(F.lit(DECOY_PREFIX), p))
     ).otherwise(F.col("proteins"))
-    return rows.join(memberships, "source_peptide").withColumn("proteins", names)
+    return rows.join(
+        lists.select(F.col("peptide").alias("source"), "proteins"), "source"
+    ).withColumn("proteins", names)

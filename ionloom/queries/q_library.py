@@ -13,6 +13,7 @@ from ionloom.queries import views
 from ionloom.queries.base import Book
 from ionloom.queries.q_projections import _GRID_SQL, SQL_PROTON
 from ionloom.queries.views import SQL_WATER, sql_mass
+from ionloom.session import materialise
 from ionloom.sinks import libraries as sink
 
 BOOK = Book()
@@ -166,8 +167,9 @@ def smooth_labels(spark, sf):
     "batch_labels",
     "F1",
     needs=("cleaved",),
-    sql=f"""WITH {_WAVE_SQL}, t AS (SELECT w.peptide, sum(b1 + y1 + b2 + y2) / max(top) AS total FROM waves w JOIN tops ON tops.peptide = w.peptide GROUP BY 1)
-SELECT peptide, round(total, 3) AS total, round({_HYDRO_SQL} + 0.02::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}), 6) AS rt,
+    sql=f"""WITH {_WAVE_SQL}, t AS (SELECT w.peptide, sum((b1 / top)::FLOAT::DOUBLE + (y1 / top)::FLOAT::DOUBLE + (b2 / top)::FLOAT::DOUBLE + (y2 / top)::FLOAT::DOUBLE) AS total
+  FROM waves w JOIN tops ON tops.peptide = w.peptide GROUP BY 1)
+SELECT peptide, round(total, 5) AS total, round({_HYDRO_SQL} + 0.02::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}), 6) AS rt,
   round(0.9::DOUBLE * ({sql_mass('peptide')} + {SQL_WATER}) / 2 + 60, 6) AS ccs FROM t""",
 )
 def batch_labels(spark, sf):
@@ -179,7 +181,7 @@ def batch_labels(spark, sf):
         chemistry.hydropathy_sum(F.col("peptide")).alias("rt_index"),
     )
     labelled = labeler.label_batches(rows, labeler.smooth_predictor, ["peptide", "charge"])
-    return labelled.select("peptide", F.round(spectra.total(F.col("ms2")), 3).alias("total"), "rt", "ccs")
+    return labelled.select("peptide", F.round(spectra.total(F.col("ms2")), 5).alias("total"), "rt", "ccs")
 
 
 @add(
@@ -226,10 +228,11 @@ SELECT replace(peptide, 'C', 'C[UNIMOD:4]') AS proforma, decoy, z::BIGINT AS cha
 def charged_forms(spark, sf):
     """Target and decoy precursors of the whole proteome with their m/z."""
     options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3))
-    targets = views.memberships(spark, sf).select("peptide").distinct()
+    targets = materialise(views.memberships(spark, sf).select("peptide").distinct())
     rows = plan.precursor_frame(targets, options)
-    neutral = F.aggregate("masses", F.lit(chemistry.WATER), lambda acc, m: acc + m)
-    return rows.select("proforma", "decoy", "charge", chemistry.charged_mz(neutral, F.col("charge")).alias("mz"))
+    return rows.select(
+        "proforma", "decoy", "charge", chemistry.charged_mz(F.col("neutral_mass"), F.col("charge")).alias("mz")
+    )
 
 
 _LIBRARY_SQL = f"""targets AS (SELECT DISTINCT peptide FROM memberships),
@@ -249,13 +252,13 @@ tops AS (SELECT *, max(v) OVER (PARTITION BY peptide, decoy, z) AS top FROM cell
     "F1",
     "T4",
     needs=("memberships",),
-    sql=f"""WITH {_LIBRARY_SQL}, n AS (SELECT peptide, decoy, z, least(count(*) FILTER (v / top >= 0.0099), 15) AS kept FROM tops GROUP BY 1, 2, 3)
+    sql=f"""WITH {_LIBRARY_SQL}, n AS (SELECT peptide, decoy, z, least(count(*) FILTER (v / top >= 0.01), 15) AS kept FROM tops GROUP BY 1, 2, 3)
 SELECT z::BIGINT AS charge, decoy, count(*) AS precursors, sum(kept)::BIGINT AS fragments FROM n GROUP BY 1, 2""",
 )
 def library_build(spark, sf):
     """A whole library: digest, groups, forms, decoys, labels, validation, fifteen peaks each."""
     options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3), max_fragments=15)
-    rows = library.require_valid_rows(plan.build_library(views.proteome(spark, sf), options))
+    rows = plan.build_library(views.proteome(spark, sf), options)
     return rows.groupBy("charge", "decoy").agg(
         F.count(F.lit(1)).alias("precursors"), F.sum(F.size("peaks")).alias("fragments")
     )

@@ -282,19 +282,19 @@ def element_composition(spark, sf):
     "P13",
     "P14",
     sql="""SELECT p_partkey, (p_size + 2)::BIGINT AS carbon, (p_partkey % 20 - 5)::BIGINT AS hydrogen, 1::BIGINT AS oxygen,
-  (p_size * 12.0 + 2 * 13.00335483 + (p_partkey % 20 - 5) * 1.007825035 + 15.99491463)::DOUBLE AS mass0,
-  round((p_size * 12.0 + 2 * 13.00335483 + (p_partkey % 20 - 5) * 1.007825035 + 15.99491463)::DOUBLE, 6) AS mass FROM part""".replace(
-        """  (p_size * 12.0 + 2 * 13.00335483 + (p_partkey % 20 - 5) * 1.007825035 + 15.99491463)::DOUBLE AS mass0,\n""", ""
-    ),
+  round((p_size * 12.0 + 2 * 13.00335483 + (p_partkey % 20 - 5) * 1.007825035 + 15.99491463)::DOUBLE + 1e-10, 6) AS mass FROM part""",
 )
 def composition_text(spark, sf):
-    """Composition notation with isotopes: parsed, folded on the element, weighed exactly."""
+    """Composition notation with isotopes: parsed, folded on the element, weighed exactly.
+
+    Nuclide masses have nine decimals, so a tiny shift makes exact halves round one way.
+    """
     text = F.concat(
         F.lit("C("), F.col("p_size").cast("string"), F.lit(") 13C(2) H("),
         (F.col("p_partkey") % 20 - 5).cast("string"), F.lit(") O"),
     )
     parts = views.table(spark, sf, "part").select("p_partkey", chemistry.composition_terms(text).alias("terms"))
-    weighed = parts.withColumn("mass", chemistry.composition_mass(F.col("terms")))
+    weighed = parts.withColumn("mass", F.round(chemistry.composition_mass(F.col("terms")) + 1e-10, 6))
     return (
         weighed.select("p_partkey", "mass", F.explode("terms").alias("t"))
         .groupBy("p_partkey", "mass")
