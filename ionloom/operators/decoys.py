@@ -138,20 +138,18 @@ def search_decoys(rows: DataFrame, method: str = "reverse", seed: int = 0) -> Da
     serving the targets one by one gives. Nearly all targets settle on their first candidate, so
     the others are made only for targets left without one.
     """
-    identity = rows.withColumn("identity", render_proforma(F.col("peptide"), F.col("sites")))
-    targets = identity.where(~F.col("decoy")).select("identity").distinct()
-    taken = identity.select("identity", "charge").distinct()
+    identity = render_proforma(F.col("peptide"), F.col("sites"))
+    targets = materialise(rows.where(~F.col("decoy")).select(identity.alias("identity")).distinct())
+    # Targets are excluded at every charge, so of the given rows only decoys can hold a slot.
+    held_before = rows.where("decoy").select(identity.alias("identity"), "charge").distinct()
     supplied = rows.where("decoy").select("decoy_group").distinct()
     seekers = rows.where(~F.col("decoy")).join(supplied, "decoy_group", "left_anti")
 
     def free(made: DataFrame) -> DataFrame:
-        """Candidates that collide with nothing given, a repeated one only at its first attempt."""
         return materialise(
             made.join(targets, "identity", "left_anti")
-            .join(taken, ["identity", "charge"], "left_anti")
-            .groupBy("ordinal", "identity", "charge")
-            .agg(F.min(F.struct("attempt", "decoy_peptide", "decoy_sites")).alias("m"))
-            .select("ordinal", "identity", "charge", "m.*")
+            .join(held_before, ["identity", "charge"], "left_anti")
+            .select("ordinal", "attempt", "identity", "charge", "decoy_peptide", "decoy_sites")
         )
 
     slots = free(decoy_candidates(seekers, method, seed, last=0))
@@ -166,14 +164,20 @@ def search_decoys(rows: DataFrame, method: str = "reverse", seed: int = 0) -> Da
             break
         more = free(decoy_candidates(left, method, seed, first=1))
         expanded = left.select("ordinal") if expanded is None else expanded.unionByName(left.select("ordinal"))
+        if more.isEmpty():
+            continue
         slots = slots.unionByName(more)
         held, lost = _settle(slots, lost)
-    found = slots.join(held.select("ordinal", "attempt"), ["ordinal", "attempt"]).drop("charge")
+    found = slots.join(held, ["ordinal", "attempt"]).drop("charge")
     return seekers.join(found, "ordinal", "left").withColumn("paired", F.col("identity").isNotNull())
 
 
 def _settle(slots: DataFrame, lost: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Proposal rounds until nobody loses: the holders, and the (target, attempt) pairs lost."""
+    """Proposal rounds until nobody loses: the holders, and the (target, attempt) pairs lost.
+
+    A round is two aggregates over narrow rows; only contested slots, which are few, take part in
+    its join.
+    """
     narrow = slots.select("ordinal", "attempt", "identity", "charge")
     while True:
         still = narrow if lost is None else narrow.join(lost, ["ordinal", "attempt"], "left_anti")
@@ -182,11 +186,19 @@ def _settle(slots: DataFrame, lost: DataFrame | None) -> tuple[DataFrame, DataFr
             .agg(F.min(F.struct("attempt", "identity", "charge")).alias("p"))
             .select("ordinal", "p.*")
         )
-        holders = proposals.groupBy("identity", "charge").agg(F.min("ordinal").alias("holder"))
-        judged = materialise(proposals.join(holders, ["identity", "charge"]))
-        losers = judged.where(F.col("ordinal") != F.col("holder")).select("ordinal", "attempt")
-        if losers.isEmpty():
-            return judged, lost
+        holders = materialise(
+            proposals.groupBy("identity", "charge").agg(
+                F.min(F.struct("ordinal", "attempt")).alias("holder"), F.count(F.lit(1)).alias("proposers")
+            )
+        )
+        contested = holders.where("proposers > 1")
+        if contested.isEmpty():
+            return holders.select("holder.*"), lost
+        losers = (
+            proposals.join(contested, ["identity", "charge"])
+            .where(F.col("ordinal") != F.col("holder.ordinal"))
+            .select("ordinal", "attempt")
+        )
         lost = materialise(losers if lost is None else lost.unionByName(losers))
 
 

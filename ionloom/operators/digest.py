@@ -37,8 +37,10 @@ class DigestRules:
             )
 
 
-def joined_runs(proteins: DataFrame, pieces: Column, longest: int, name: str) -> DataFrame:
-    """Every run of up to ``longest`` neighbouring pieces of each protein, as text.
+def joined_runs(
+    proteins: DataFrame, pieces: Column, longest: int, name: str, shortest: int = 1
+) -> DataFrame:
+    """Every run of ``shortest..longest`` neighbouring pieces of each protein, as text.
 
     The piece list is zipped with its own shifts, so a run is a concatenation of the columns of
     one row. Work is linear in the protein, and nothing is looked up by position.
@@ -50,7 +52,7 @@ def joined_runs(proteins: DataFrame, pieces: Column, longest: int, name: str) ->
     ]
     rows = listed.select("protein_id", F.explode(F.arrays_zip(*shifts)).alias("at"))
     # a shift that ran off the end is null, and so is every run that would need it
-    runs = [F.concat(*[F.col(f"at.p{j}") for j in range(i + 1)]) for i in range(longest)]
+    runs = [F.concat(*[F.col(f"at.p{j}") for j in range(i)]) for i in range(shortest, longest + 1)]
     return rows.select("protein_id", F.explode(F.array(*runs)).alias(name)).where(F.col(name).isNotNull())
 
 
@@ -109,5 +111,5 @@ def protein_lists(memberships: DataFrame, max_members: int = 100_000) -> tuple[D
 def windows(proteins: DataFrame, min_length: int, max_length: int) -> DataFrame:
     """Every substring of ``min_length..max_length`` residues, one row per occurrence."""
     letters = F.split("residues", "")
-    runs = joined_runs(proteins, letters, max_length, "window")
-    return runs.withColumn("width", F.length("window")).where(F.col("width") >= min_length)
+    runs = joined_runs(proteins, letters, max_length, "window", shortest=min_length)
+    return runs.withColumn("width", F.length("window"))

@@ -75,10 +75,13 @@ def digest_guards(spark, sf):
     "sequence_windows",
     "G3",
     needs=("proteome",),
-    sql="""WITH starts AS (SELECT residues, width, unnest(range(1, length(residues) - width + 2)) AS i
-  FROM proteome CROSS JOIN (VALUES (8), (9), (10), (11)) w(width) WHERE length(residues) >= width),
-windows AS (SELECT width, substr(residues, i, width) AS word FROM starts)
-SELECT width::BIGINT AS width, substr(word, 1, 2) AS head, count(*) AS windows, min(word) AS first, max(word) AS last FROM windows GROUP BY ALL""",
+    sql="WITH letters AS (SELECT protein_id, unnest(string_split(residues, '')) AS r, generate_subscripts(string_split(residues, ''), 1) AS i FROM proteome),\n"
+    + "eights AS (SELECT r" + "".join(f" || lead(r, {k}) OVER w" for k in range(1, 8)) + " AS w8, "
+    + ", ".join(f"lead(r, {k}) OVER w AS r{k}" for k in (8, 9, 10))
+    + """ FROM letters WINDOW w AS (PARTITION BY protein_id ORDER BY i)),
+windows AS (SELECT 8 AS width, w8 AS word FROM eights UNION ALL SELECT 9, w8 || r8 FROM eights UNION ALL SELECT 10, w8 || r8 || r9 FROM eights
+  UNION ALL SELECT 11, w8 || r8 || r9 || r10 FROM eights)
+SELECT width::BIGINT AS width, substr(word, 1, 2) AS head, count(*) AS windows, min(word) AS first, max(word) AS last FROM windows WHERE word IS NOT NULL GROUP BY ALL""",
 )
 def sequence_windows(spark, sf):
     """All windows of 8 to 11 residues of every protein, counted by width and first two residues."""

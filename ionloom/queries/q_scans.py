@@ -83,8 +83,7 @@ def speclib_scan(spark, sf):
     views.library_lines(spark, sf).write.option("sep", "\t").option("header", True).csv(folder)
     rows = libraries.read_speclib(spark, folder)
     records = library.library_precursors(rows).where(F.size("fragments") > 0)
-    names = rows.select("peptide_text", F.col("parsed.residues").alias("residues")).distinct()
-    return records.join(names, "peptide_text").select(
+    return libraries.parsed_peptides(records).select(
         "residues", "charge", F.round("retention", 4).alias("retention"), F.size("fragments").alias("fragments"),
         F.col("fragments_dropped").alias("dropped"),
     )
@@ -101,8 +100,7 @@ def speclib_scan_rich(spark, sf):
     rows.write.option("sep", "\t").option("header", True).csv(folder)
     parsed = libraries.read_speclib(spark, folder)
     records = library.library_precursors(parsed).where(F.size("fragments") > 0)
-    names = parsed.select("peptide_text", F.col("parsed.residues").alias("residues")).distinct()
-    return records.join(names, "peptide_text").select(
+    return libraries.parsed_peptides(records).select(
         "residues", "charge", F.round("retention", 4).alias("retention"), F.size("fragments").alias("fragments"),
         F.col("fragments_dropped").alias("dropped"),
     )

@@ -92,8 +92,9 @@ def library_rows(
         (~F.coalesce(text("decoy"), F.lit("")).isin("0", "", "False", "false", "FALSE")).alias("decoy"),
         F.coalesce(text("exclude"), F.lit("")).isin("True", "true", "TRUE", "1").alias("excluded"),
     )
-    parsed = flagged.withColumn("parsed", library_peptide(F.col("peptide_text")))
-    return parsed.withColumn("length", F.length("parsed.residues"))
+    # Only the residue count is needed per fragment; the peptide is parsed once per precursor.
+    bare = F.regexp_replace("peptide_text", r"\[[^\]]*\]|\([^)]*\)|[_\s]", "")
+    return flagged.withColumn("length", F.length(bare))
 
 
 def _required(text: Column, kind: str, what: str) -> Column:
@@ -102,19 +103,30 @@ def _required(text: Column, kind: str, what: str) -> Column:
 
 
 def read_speclib(spark: SparkSession, path: str, retention_column: str | None = None) -> DataFrame:
-    rows = library_rows(read_tsv(spark, path), retention_column)
-    return rows.where(
-        F.when(F.col("parsed.valid") | F.col("decoy"), F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("unreadable modified sequence "), F.col("peptide_text"))).cast("boolean")
-        )
+    """Fragment rows of a library file; :func:`parsed_peptides` reads their peptides."""
+    return library_rows(read_tsv(spark, path), retention_column)
+
+
+def parsed_peptides(rows: DataFrame) -> DataFrame:
+    """Rows with ``residues`` and ``shifts`` of their ``peptide_text``; unreadable text stops the job.
+
+    Meant for one row per precursor or distinct text, not for every fragment.
+    """
+    valid = F.when(F.col("parsed.valid"), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("unreadable modified sequence "), F.col("peptide_text"))).cast("boolean")
+    )
+    return (
+        rows.withColumn("parsed", library_peptide(F.col("peptide_text")))
+        .where(valid)
+        .select(*rows.columns, "parsed.residues", "parsed.shifts")
     )
 
 
 def library_shifts(rows: DataFrame) -> DataFrame:
     """Distinct mass shifts of the target rows, with their spelling."""
     return (
-        rows.where(~F.col("decoy"))
-        .select(F.explode("parsed.shifts").alias("s"))
+        parsed_peptides(rows.where(~F.col("decoy")).select("peptide_text").distinct())
+        .select(F.explode("shifts").alias("s"))
         .select(F.col("s.spelled").alias("spelled"), F.col("s.shift").alias("shift"))
         .distinct()
     )
