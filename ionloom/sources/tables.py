@@ -105,7 +105,7 @@ def manifest_chunks(manifest: DataFrame) -> DataFrame:
 
 def manifest_winners(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Validation winners: the inline list, or the side file when the list is empty."""
-    head = manifest.select(F.size("val_winners").alias("inline"), "val_winners_uri").first()
+    head = manifest.select(F.coalesce(F.size("val_winners"), F.lit(0)).alias("inline"), "val_winners_uri").first()
     if head["inline"] <= 0 and head["val_winners_uri"]:
         return schemas.enforce_schema(spark.read.parquet(head["val_winners_uri"]), schemas.WINNERS)
     return manifest.select(F.explode("val_winners").alias("spectrum_id"))
