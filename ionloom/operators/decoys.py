@@ -219,13 +219,8 @@ def number_decoy_groups(forms: DataFrame, order: list[Column], min_charge: int,
 def fill_missing_groups(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Give rows without a group the ids after the largest declared one, in input order."""
     missing = with_position(rows.where("decoy_group is null"), order, "__place")
-    top = rows.agg(F.coalesce(F.max("decoy_group"), F.lit(0)).alias("__top"), F.lit(0).alias("__one"))
-    filled = (
-        missing.withColumn("__one", F.lit(0))
-        .join(F.broadcast(top), "__one")  # one row
-        .withColumn("decoy_group", F.col("__top") + F.col("__place") + 1)
-        .drop("__one", "__top", "__place")
-    )
+    largest = rows.agg(F.coalesce(F.max("decoy_group"), F.lit(0))).scalar()
+    filled = missing.withColumn("decoy_group", largest + F.col("__place") + 1).drop("__place")
     return rows.where("decoy_group is not null").unionByName(filled)
 
 

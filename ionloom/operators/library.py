@@ -72,30 +72,43 @@ def library_precursors(rows: DataFrame, drop_excluded: bool = False) -> DataFram
 
     ``rows`` has ``line, peptide_text, charge, retention, mobility, ion, ordinal,
     fragment_charge, lossless, intensity, decoy, excluded, length``. The first line gives retention
-    and mobility. In-grid fragments are kept in file order; there are at most a few times
-    ``4 (length - 1)`` of them, one spectrum's worth. Records without any are marked.
+    and mobility. A repeated grid cell keeps its last line, as on the dense grid, so a record
+    lists at most ``4 (length - 1)`` fragments however many lines it has; ``fragment_rows`` counts
+    the lines. Records without any fragment have an empty list.
     """
     kept = rows.where(~F.col("decoy"))
     if drop_excluded:
         kept = kept.where(~F.col("excluded"))
     cell = spectra.fragment_cell(F.col("ion"), F.col("ordinal"), F.col("fragment_charge"), F.col("length"))
-    placed = kept.withColumn("cell", F.when(F.col("lossless"), cell))
-    entry = F.when(
-        F.col("cell").isNotNull(), F.struct("line", "cell.site", "cell.col", "intensity")
+    by_cell = (
+        kept.withColumn("cell", F.when(F.col("lossless"), cell))
+        .groupBy("peptide_text", "charge", "cell")
+        .agg(
+            F.min(F.struct("line", "retention", "mobility")).alias("first"),
+            F.max(F.struct("line", "intensity")).alias("last"),
+            F.count(F.lit(1)).alias("rows"),
+        )
     )
+    inside = F.col("cell").isNotNull()
+    entry = F.when(inside, F.struct("last.line", "cell.site", "cell.col", "last.intensity"))
     return (
-        placed.groupBy("peptide_text", "charge")
+        by_cell.groupBy("peptide_text", "charge")
         .agg(
-            F.min_by(F.struct("retention", "mobility"), "line").alias("first"),
+            F.min("first").alias("first"),
             F.array_sort(F.collect_list(entry)).alias("fragments"),
-            F.count_if(F.col("cell").isNull()).alias("fragments_dropped"),
+            F.sum(F.when(inside, F.col("rows")).otherwise(0)).alias("fragment_rows"),
+            F.sum(F.when(inside, 0).otherwise(F.col("rows"))).alias("fragments_dropped"),
         )
         .select(
             "peptide_text",
             "charge",
             F.col("first.retention").alias("retention"),
             F.col("first.mobility").alias("mobility"),
-            F.transform("fragments", lambda f: F.struct(f["site"], f["col"], f["intensity"])).alias("fragments"),
+            F.transform(
+                "fragments",
+                lambda f: F.struct(f["site"].alias("site"), f["col"].alias("col"), f["intensity"].alias("intensity")),
+            ).alias("fragments"),
+            "fragment_rows",
             "fragments_dropped",
         )
     )
@@ -125,7 +138,7 @@ def require_no_unmapped(resolved: DataFrame) -> DataFrame:
 
 
 def scatter_library(precursors: DataFrame, length: str) -> DataFrame:
-    """Sparse fragments onto the flat grid; a repeated cell keeps the last one in file order."""
+    """Sparse fragments onto the flat grid."""
     filled = F.aggregate(
         "fragments",
         F.array_repeat(F.lit(0.0), ((F.col(length) - 1) * 4).cast("int")),

@@ -228,8 +228,8 @@ def anchor_check(spark, sf):
 
 
 def library_input(spark, sf):
-    raw = views.library_lines(spark, sf)
-    return libraries.library_rows(raw, line=F.xxhash64(*raw.columns))
+    """Library rows in an order every engine can repeat: by intensity."""
+    return libraries.library_rows(views.library_lines(spark, sf), line=F.col("RelativeIntensity"))
 
 
 @add(
@@ -238,8 +238,11 @@ def library_input(spark, sf):
     "S4",
     needs=("library_lines",),
     sql="""SELECT text AS peptide_text, charge, round(any_value(retention), 6) AS retention, round(any_value(mobility)::FLOAT::DOUBLE, 6) AS mobility,
-  count(*) FILTER (ok) AS fragments, count(*) FILTER (NOT ok) AS fragments_dropped, round(sum(intensity::FLOAT::DOUBLE) FILTER (ok), 2) AS intensity FROM (
-  SELECT *, lossless AND fragment_charge <= 2 AND ordinal BETWEEN 1 AND 8 AS ok FROM library_lines WHERE NOT decoy) GROUP BY 1, 2
+  count(*) FILTER (ok) AS fragments, sum(n) FILTER (ok)::BIGINT AS fragment_rows, coalesce(sum(n) FILTER (NOT ok), 0)::BIGINT AS fragments_dropped,
+  round(sum(top::FLOAT::DOUBLE) FILTER (ok), 2) AS intensity FROM (
+  SELECT text, charge, ok, site, col, any_value(retention) AS retention, any_value(mobility) AS mobility, max(intensity) AS top, count(*) AS n FROM (
+    SELECT *, CASE WHEN ok THEN CASE ion WHEN 'b' THEN ordinal - 1 ELSE 8 - ordinal END END AS site, CASE WHEN ok THEN ion || fragment_charge END AS col FROM (
+    SELECT *, lossless AND fragment_charge <= 2 AND ordinal BETWEEN 1 AND 8 AS ok FROM library_lines WHERE NOT decoy)) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2
   HAVING count(*) FILTER (ok) > 0""",
 )
 def library_precursors(spark, sf):
@@ -250,6 +253,7 @@ def library_precursors(spark, sf):
         "retention",
         "mobility",
         F.size("fragments").alias("fragments"),
+        "fragment_rows",
         "fragments_dropped",
         F.round(spectra.total(F.transform("fragments", lambda f: f["intensity"])), 2).alias("intensity"),
     )

@@ -9,6 +9,7 @@ from ionloom.operators import curation as cur
 from ionloom.operators.ordering import with_group_position
 from ionloom.queries import views
 from ionloom.queries.base import Book
+from ionloom.session import materialise
 
 BOOK = Book()
 add = BOOK.add
@@ -76,7 +77,7 @@ def peptidoform_summary(spark, sf):
     sql=f"WITH {_CURATION_SQL} SELECT raw_file, round(width, 6) AS run_width_minutes, anchors AS width_anchor_peptidoforms, clamped AS width_clamped FROM widths",
 )
 def run_widths(spark, sf):
-    return cur.run_widths(cur.peptidoform_summary(supported(spark, sf)), POLICY)
+    return cur.run_widths(materialise(cur.peptidoform_summary(supported(spark, sf))), POLICY)
 
 
 @add(
@@ -89,7 +90,7 @@ def run_widths(spark, sf):
 def clamped_run_widths(spark, sf):
     """The default limits clamp every measured width; an unmeasured one stays without a value."""
     widths = cur.run_widths(
-        cur.peptidoform_summary(supported(spark, sf)), cur.CurationPolicy(width_anchor_min_psms=2)
+        materialise(cur.peptidoform_summary(supported(spark, sf))), cur.CurationPolicy(width_anchor_min_psms=2)
     )
     return widths.select(
         "raw_file", F.coalesce("run_width_minutes", F.lit(-1.0)).alias("run_width_minutes"), "width_clamped"
@@ -104,7 +105,7 @@ def clamped_run_widths(spark, sf):
   round(win_start, 6) AS apex_window_start, round(win_end, 6) AS apex_window_end FROM windows""",
 )
 def apex_windows(spark, sf):
-    peptidoforms = cur.peptidoform_summary(supported(spark, sf))
+    peptidoforms = materialise(cur.peptidoform_summary(supported(spark, sf)))
     return cur.apex_windows(peptidoforms, cur.run_widths(peptidoforms, POLICY))
 
 
@@ -116,7 +117,7 @@ def apex_windows(spark, sf):
 )
 def window_membership(spark, sf):
     rows = supported(spark, sf)
-    peptidoforms = cur.peptidoform_summary(rows)
+    peptidoforms = materialise(cur.peptidoform_summary(rows))
     windows = cur.apex_windows(peptidoforms, cur.run_widths(peptidoforms, POLICY))
     members = cur.window_membership(rows, windows, POLICY.min_in_window_psms)
     return members.select(

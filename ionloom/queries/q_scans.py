@@ -72,7 +72,7 @@ def fragment_scan(spark, sf):
 
 
 _SPECLIB_SQL = """ok AS (SELECT *, lossless AND fragment_charge <= 2 AND ordinal BETWEEN 1 AND 8 AS ok FROM library_lines WHERE NOT decoy)
-SELECT residues, charge, round(any_value(retention)::FLOAT::DOUBLE, 4) AS retention, count(*) FILTER (ok) AS fragments, count(*) FILTER (NOT ok) AS dropped
+SELECT residues, charge, round(any_value(retention)::FLOAT::DOUBLE, 4) AS retention, count(DISTINCT ion || ordinal || '^' || fragment_charge) FILTER (ok) AS fragments, count(*) FILTER (NOT ok) AS dropped
 FROM ok GROUP BY 1, 2 HAVING count(*) FILTER (ok) > 0"""
 
 

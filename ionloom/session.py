@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared folder and continue from that copy.
+    """Write the rows once as a table in the shared folder and continue from that copy.
 
-    Used where later steps must see the same rows twice (range boundaries, loops). The copy
-    outlives any executor, so a lost one costs a re-read and never a different answer.
+    Used where later steps must see the same rows twice (range boundaries, loops) or would
+    compute them twice. The copy outlives any executor, so a lost one costs a re-read and never a
+    different answer. Parquet rather than a checkpoint: rows are computed once, and later reads
+    take only the columns they need. The folder's owner clears old runs.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
