@@ -8,6 +8,7 @@ from ionloom.constants import HYDROPATHY
 from ionloom.functions import chemistry, sequence, spectra
 from ionloom.operators import labeler, library, modforms
 from ionloom.operators.digest import DigestRules
+from ionloom.plans import evaluate as evaluation
 from ionloom.plans import library as plan
 from ionloom.queries import views
 from ionloom.queries.base import Book
@@ -15,6 +16,7 @@ from ionloom.queries.q_projections import _GRID_SQL, SQL_PROTON
 from ionloom.queries.views import SQL_WATER, sql_mass
 from ionloom.session import materialise
 from ionloom.sinks import libraries as sink
+from ionloom.sources import libraries
 
 BOOK = Book()
 add = BOOK.add
@@ -262,3 +264,57 @@ def library_build(spark, sf):
     return rows.groupBy("charge", "decoy").agg(
         F.count(F.lit(1)).alias("precursors"), F.sum(F.size("peaks")).alias("fragments")
     )
+
+
+_SCORED_SQL = f"""cells AS (SELECT residues, charge, CASE ion WHEN 'b' THEN ordinal - 1 ELSE 8 - ordinal END AS site,
+  CASE ion WHEN 'b' THEN 0 ELSE 1 END + 2 * (fragment_charge - 1) AS col, max(intensity::FLOAT::DOUBLE) AS v FROM library_lines
+  WHERE NOT decoy AND lossless AND fragment_charge <= 2 AND ordinal BETWEEN 1 AND 8 GROUP BY 1, 2, 3, 4),
+heads AS (SELECT DISTINCT residues, charge FROM cells),
+marked AS (SELECT *, replace(replace(residues, 'C', 'CG'), 'M', 'Mo') AS full_text FROM heads),
+sites AS (SELECT residues, charge, unnest(range(0, 8)) AS site FROM marked),
+masses AS (SELECT residues, charge, site, {sql_mass('substr(residues, 1, site + 1)')}
+  + (length(substr(residues, 1, site + 1)) - length(replace(substr(residues, 1, site + 1), 'M', ''))) * 15.994914622::DOUBLE
+  + (length(substr(residues, 1, site + 1)) - length(replace(substr(residues, 1, site + 1), 'C', ''))) * 57.021463723::DOUBLE AS b,
+  {sql_mass('substr(residues, site + 2)')} + (length(substr(residues, site + 2)) - length(replace(substr(residues, site + 2), 'M', ''))) * 15.994914622::DOUBLE
+  + (length(substr(residues, site + 2)) - length(replace(substr(residues, site + 2), 'C', ''))) * 57.021463723::DOUBLE AS y FROM sites),
+waves AS (SELECT residues, charge, site, col, 0.5 * (1 + sin(CASE col % 2 WHEN 0 THEN b ELSE y END / (37.0 * (1 + col // 2)) + charge)) AS p FROM masses CROSS JOIN range(0, 4) r(col)),
+scored AS (SELECT w.residues, w.charge, 1 - 2 * acos(greatest(least(sum(p * coalesce(v, 0)) / (sqrt(sum(p * p)) * sqrt(sum(coalesce(v, 0) * coalesce(v, 0)))), 1), -1)) / pi() AS angle
+  FROM waves w LEFT JOIN cells c ON c.residues = w.residues AND c.charge = w.charge AND c.site = w.site AND c.col = w.col GROUP BY 1, 2)"""
+
+
+def scored_library(spark, sf):
+    """A library export scored against the built-in labels, its shifts named by declared aliases."""
+    rows = libraries.library_rows(views.library_lines(spark, sf), line=F.col("RelativeIntensity"))
+    aliases = spark.createDataFrame(
+        [(0, 35, 15.994914622, None), (1, 4, 57.021463723, 57.0215)],
+        "alias_order int, accession int, table_mass double, observed_mass double",
+    )
+    return evaluation.score_library(rows, aliases)
+
+
+@add(
+    "library_scores",
+    "S4",
+    "P8",
+    "J9",
+    "A17",
+    "P16",
+    needs=("library_lines",),
+    sql=f"WITH {_SCORED_SQL} SELECT residues AS peptide, charge, round(angle, 6) AS angle FROM scored",
+)
+def library_scores(spark, sf):
+    return scored_library(spark, sf).select("peptide", "charge", "angle")
+
+
+@add(
+    "library_evaluation",
+    "A24",
+    "P25",
+    needs=("library_lines",),
+    sql=f"""WITH {_SCORED_SQL}, f AS (SELECT 'charge' AS facet, 'z' || charge AS level, angle FROM scored UNION ALL SELECT 'length', '5-9', angle FROM scored
+  UNION ALL SELECT 'modification', CASE WHEN residues LIKE '%C%' AND residues LIKE '%M%' THEN 'Carbamidomethyl+Oxidation' WHEN residues LIKE '%C%' THEN 'Carbamidomethyl'
+    WHEN residues LIKE '%M%' THEN 'Oxidation' ELSE 'unmodified' END, angle FROM scored)
+SELECT facet, level, count(*) AS n, round(avg(angle), 6) AS mean, round(median(angle), 6) AS median FROM f GROUP BY 1, 2""",
+)
+def library_evaluation(spark, sf):
+    return evaluation.library_facets(scored_library(spark, sf)).where("facet <> 'mass'")

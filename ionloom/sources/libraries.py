@@ -124,9 +124,13 @@ def parsed_peptides(rows: DataFrame) -> DataFrame:
 
 def library_shifts(rows: DataFrame) -> DataFrame:
     """Distinct mass shifts of the target rows, with their spelling."""
+    return distinct_shifts(parsed_peptides(rows.where(~F.col("decoy")).select("peptide_text").distinct()))
+
+
+def distinct_shifts(peptides: DataFrame) -> DataFrame:
+    """Distinct mass shifts of parsed peptides, with their spelling."""
     return (
-        parsed_peptides(rows.where(~F.col("decoy")).select("peptide_text").distinct())
-        .select(F.explode("shifts").alias("s"))
+        peptides.select(F.explode("shifts").alias("s"))
         .select(F.col("s.spelled").alias("spelled"), F.col("s.shift").alias("shift"))
         .distinct()
     )
