@@ -348,6 +348,20 @@ def scored_pairs(spark, sf):
 )
 def shard_completion(spark, sf):
     """Tasks against manifests: some are missing, some stale, some of an old version."""
+    return _completion(spark, sf).select("source_id", "shard_index", "complete")
+
+
+@add(
+    "completion_counts",
+    "J16",
+    sql="""WITH c AS (SELECT s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS done FROM supplier)
+SELECT count(*) FILTER (done) AS complete, count(*) FILTER (NOT done) AS missing, count(*) AS total FROM c""",
+)
+def completion_counts(spark, sf):
+    return catalog.completion_counts(_completion(spark, sf))
+
+
+def _completion(spark, sf):
     s = views.table(spark, sf, "supplier")
     tasks = s.select(
         F.concat(F.lit("src"), F.col("s_nationkey").cast("string")).alias("source_id"), F.col("s_suppkey").alias("shard_index")
@@ -361,7 +375,7 @@ def shard_completion(spark, sf):
         uri.alias("data_uri"),
         F.struct(F.when(F.col("s_suppkey") % 5 == 0, "old").otherwise("now").alias("config_fingerprint")).alias("task"),
     )
-    return catalog.completion(tasks, manifests, "now", "base").select("source_id", "shard_index", "complete")
+    return catalog.completion(tasks, manifests, "now", "base")
 
 
 @add(

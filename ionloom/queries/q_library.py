@@ -318,3 +318,15 @@ SELECT facet, level, count(*) AS n, round(avg(angle), 6) AS mean, round(median(a
 )
 def library_evaluation(spark, sf):
     return evaluation.library_facets(scored_library(spark, sf)).where("facet <> 'mass'")
+
+
+@add(
+    "library_histogram",
+    "A8",
+    "A24",
+    needs=("library_lines",),
+    sql=f"""WITH {_SCORED_SQL}, b AS (SELECT CASE WHEN angle BETWEEN 0 AND 1 THEN least(floor(angle * 50), 49) END AS bin FROM scored)
+SELECT s.bin, count(b.bin) AS count, (SELECT count(bin) FROM b) AS counted, (SELECT count(*) FROM b) AS total FROM range(0, 50) s(bin) LEFT JOIN b ON b.bin = s.bin GROUP BY 1""",
+)
+def library_histogram(spark, sf):
+    return evaluation.library_histogram(scored_library(spark, sf)).drop("scope")

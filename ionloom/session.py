@@ -1,4 +1,4 @@
-"""Session helpers: runtime settings, durable lineage cuts, size-checked broadcasts."""
+"""Session helpers: runtime settings, durable lineage cuts, spreading of small scans."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Runtime SQL settings every job here relies on. All are session-level and may be set again.
 #: Forcing the skew-join rewrite matters: most joins put an aggregate back on the rows it came
@@ -70,13 +69,3 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots * 4, key)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a bounded probe shows at most ``max_rows`` rows.
-
-    The probe reads one row more than the limit. Above the limit the plain frame comes back and
-    the join shuffles.
-    """
-    probe = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if probe <= max_rows else df

@@ -12,12 +12,17 @@ from ionloom.schemas import PREPARED, WINNERS, enforce_schema
 ROW_GROUP_ROWS = 65_536
 
 
-def write_prepared(prepared: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+def write_prepared(
+    prepared: DataFrame, path: str, partition_by: tuple[str, ...] = (), files_per_directory: int = 16
+) -> None:
     """Zstandard Parquet with bounded row groups; optional extra columns become directories.
 
-    Rows are spread by a hash of their identifier before the write when directories are used, so a
-    large source is written by many tasks.
+    With directories, rows are spread by a hash of their identifier over a stated number of files
+    each: a large source is written by several tasks, and no task writes to every directory.
     """
+    if partition_by:
+        bucket = F.pmod(F.xxhash64("spectrum_id"), F.lit(files_per_directory))
+        prepared = prepared.repartition(*partition_by, bucket)
     writer = (
         prepared.write.mode("error")
         .option("compression", "zstd")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom import schemas
-from ionloom.functions.hashing import signed
 from ionloom.functions.sequence import stripped_length
 from ionloom.operators.joins import require_empty
 from ionloom.operators.resolve import keep_backbone_fragments, require_metadata_columns
@@ -109,8 +108,3 @@ def manifest_winners(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     if head["inline"] <= 0 and head["val_winners_uri"]:
         return schemas.enforce_schema(spark.read.parquet(head["val_winners_uri"]), schemas.WINNERS)
     return manifest.select(F.explode("val_winners").alias("spectrum_id"))
-
-
-def join_key(prepared: DataFrame) -> DataFrame:
-    """The unsigned identifier as signed 64 bits, which join and shuffle cheaper than decimals."""
-    return prepared.withColumn("spectrum_key", signed(F.col("spectrum_id")))
