@@ -25,10 +25,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -111,10 +112,16 @@ class Encoder:
         return b"".join([get(c) or missing(c) for c in chunks])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept by the Python worker from task to task."""
-    return Encoder(path)
+    """The encoder of a file, kept by the Python worker from task to task.
+
+    Functions travel with their task, so a module variable would start empty each time; a module of the
+    worker's own holds the encoders instead.
+    """
+    held = sys.modules.setdefault("ionloom_worker_encoders", ModuleType("ionloom_worker_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _rejoin_ends(chunks: list[str]) -> list[str]:
@@ -260,7 +267,7 @@ def _first_pass(path: str, with_ids: bool, chunk_ids: int) -> Callable[[Iterator
 
 
 def _again(with_ids: bool):
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         chunk = _Chunk(with_ids)
         rows = rows.sort_by([("sequence", "ascending"), ("offset", "ascending")])
         for doc, start, tokens, ids in zip(*[rows.column(c).to_pylist() for c in ("doc", "start", "doc_tokens", "ids")]):
