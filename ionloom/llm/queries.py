@@ -1,6 +1,6 @@
 """All queries of this folder; importing it registers them."""
 
-from ionloom.llm import q_chat, q_jaccard, q_langid, q_packing, q_secrets, q_sharding  # noqa: F401
+from ionloom.llm import q_chat, q_jaccard, q_langid, q_packing, q_secrets, q_sharding, q_toxicity  # noqa: F401
 from ionloom.llm.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

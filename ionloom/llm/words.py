@@ -45,6 +45,9 @@ class _Powers:
     def __init__(self) -> None:
         self.up, self.down = np.ones(0, np.uint64), np.ones(0, np.uint64)
 
+    def __reduce__(self):
+        return _Powers, ()  # a task makes its own
+
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, BLOCK + 4096)
