@@ -35,6 +35,10 @@ def inverse(value: int) -> int:
     return pow(value, -1, 1 << 64)
 
 
+#: Separators for words of ASCII letters and digits and all other scripts: every other ASCII byte.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _RAW_TO_LETTER = _LETTER[_LOWER]
 
@@ -87,14 +91,28 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(array: pa.Array) -> Words:
+def fold_latin(raw: np.ndarray) -> np.ndarray:
+    """The UTF-8 bytes with the capitals of Latin-1 (U+00C0 to U+00DE) as small letters."""
+    if len(raw) < 2:
+        return raw
+    capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    if not capital.any():
+        return raw
+    out = raw.copy()
+    out[1:][capital] += 0x20
+    return out
+
+
+def words(array: pa.Array, separators: np.ndarray = _SEPARATOR, fold: bool = False) -> Words:
+    """Words of the texts. ``separators`` tells by byte what parts words; ``fold`` also lowers Latin-1 capitals."""
     raw, offsets = text_bytes(array)
+    folded = fold_latin(raw) if fold else raw
     n = len(raw)
     rows = len(array)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, none, raw, rows)
-    inside = ~_SEPARATOR[raw]
+    inside = ~separators[raw]
     first = np.zeros(n, bool)  # bytes at which a text starts
     first[offsets[:-1][offsets[:-1] < n]] = True
     begins = inside.copy()
@@ -110,7 +128,7 @@ def words(array: pa.Array) -> Words:
         low, high = int(start[at]), int(end[until - 1])
         up, down = _powers(high - low)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_RAW_TO_LETTER[raw[low:high]] * up, dtype=np.uint64, out=sums[1:])
+        np.cumsum(_RAW_TO_LETTER[folded[low:high]] * up, dtype=np.uint64, out=sums[1:])
         s, e = start[at:until] - low, end[at:until] - low
         out[at:until] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         at = until
