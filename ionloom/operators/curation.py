@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 from ionloom.functions import spectra
 from ionloom.functions.binding import let
 from ionloom.functions.spectra import evidence, finite
-from ionloom.operators.joins import checked_join
+from ionloom.operators.joins import checked_join, null_safe
 from ionloom.operators.ordering import exact_quantiles, with_position
 from ionloom.session import materialise
 
 PEPTIDOFORM = ["raw_file", "proforma"]
 CONTEXT = [*PEPTIDOFORM, "charge", "detector", "fragmentation", "energy_key"]
-_NO_ENERGY = -(2**63)  # stands for a null bucket, which is a group of its own
 REPORT_QUANTILES = {
     "p00": 0.0,
     "p25": 0.25,
@@ -87,7 +86,7 @@ def apex_ratio(psms: DataFrame, half_max_fraction: float) -> DataFrame:
         F.col("precursor_intensity") / F.when(top != 0, top)
     )
     return (
-        psms.join(apex, PEPTIDOFORM, "left")
+        null_safe(psms, apex, PEPTIDOFORM, "left")
         .withColumn("intensity_ratio", ratio)
         .withColumn(
             "supports_half_max",
@@ -156,7 +155,7 @@ def run_widths(peptidoforms: DataFrame, policy: CurationPolicy) -> DataFrame:
 def apex_windows(peptidoforms: DataFrame, widths: DataFrame) -> DataFrame:
     """Acceptance window per peptidoform: its apex plus and minus half the run's width."""
     half = F.col("run_width_minutes") / 2
-    return peptidoforms.join(widths, "raw_file", "left").select(
+    return null_safe(peptidoforms, widths, ["raw_file"], "left").select(
         *PEPTIDOFORM,
         "apex_rt",
         "run_width_minutes",
@@ -170,7 +169,7 @@ def window_membership(supported: DataFrame, windows: DataFrame, min_in_window: i
     rt = F.col("raw_rt")
     inside = rt.between(F.col("apex_window_start"), F.col("apex_window_end")) & finite(F.col("apex_rt"))
     placed = (
-        supported.join(windows, PEPTIDOFORM, "left")
+        null_safe(supported, windows, PEPTIDOFORM, "left")
         .withColumn("within_apex_window", F.coalesce(inside, F.lit(False)))
         .withColumn("apex_distance", F.abs(rt - F.col("apex_rt")))
     )
@@ -181,7 +180,7 @@ def window_membership(supported: DataFrame, windows: DataFrame, min_in_window: i
         F.sum("context_window_psms").alias("peptidoform_window_psms")
     )
     return (
-        placed.join(by_context.join(by_peptidoform, PEPTIDOFORM), CONTEXT, "left")
+        null_safe(placed, null_safe(by_context, by_peptidoform, PEPTIDOFORM, "inner"), CONTEXT, "left")
         .withColumn(
             "eligible",
             F.col("within_apex_window") & (F.col("peptidoform_window_psms") >= min_in_window),
@@ -206,7 +205,7 @@ def rank_contexts(members: DataFrame, policy: CurationPolicy) -> DataFrame:
         F.min("place").alias("start"), F.count_if("eligible").alias("eligible_psms")
     )
     rank = F.when(F.col("eligible"), F.col("place") - F.col("start") + 1).otherwise(F.col("eligible_psms"))
-    ranked = placed.join(starts, CONTEXT, "left").withColumn("selection_rank", rank)
+    ranked = null_safe(placed, starts, CONTEXT, "left").withColumn("selection_rank", rank)
     selected = F.col("eligible") & (F.col("selection_rank") <= policy.max_psms_per_context)
     reason = (
         F.when(F.col("selected"), "top_context_psm")
@@ -222,8 +221,8 @@ def rank_contexts(members: DataFrame, policy: CurationPolicy) -> DataFrame:
 
 
 def with_context_key(psms: DataFrame, energy_bucket_width: float) -> DataFrame:
-    bucket = spectra.energy_bucket(F.col("energy"), energy_bucket_width)
-    return psms.withColumn("energy_key", F.coalesce(bucket, F.lit(_NO_ENERGY)))
+    """The energy bucket as part of the context; a null bucket, like any null key, is a group of its own."""
+    return psms.withColumn("energy_key", spectra.energy_bucket(F.col("energy"), energy_bucket_width))
 
 
 _RANKING = [
@@ -376,7 +375,7 @@ def leave_one_out_angles(verdicts: DataFrame, spectra_table: DataFrame, keys: li
         F.array_sort(F.collect_list(entry)).alias("sums"),
         *[F.max(f"n_{name}").alias(f"n_{name}") for name in SUBSETS],
     )
-    rows = unit.join(totals.where("n_all >= 2"), keys)
+    rows = null_safe(unit, totals.where("n_all >= 2"), keys, "inner")
 
     def angle(name: str) -> Column:
         def against(peers: Column) -> Column:

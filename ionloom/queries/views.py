@@ -64,9 +64,9 @@ def psms(spark: SparkSession, sf: str) -> DataFrame:
         eid.alias("scan_number"),
         F.col("event_type").alias("proforma"),
         (2 + eid % 2).alias("charge"),
-        F.when(eid % 3 == 0, "ITMS").otherwise("FTMS").alias("detector"),
-        F.lit("HCD").alias("fragmentation"),
-        ((eid % 4) * 10).cast("double").alias("energy"),
+        F.when(eid % 3 == 0, "ITMS").when(eid % 7 != 1, "FTMS").alias("detector"),
+        F.when(eid % 11 != 2, "HCD").alias("fragmentation"),
+        F.when(eid % 13 != 3, ((eid % 4) * 10).cast("double")).alias("energy"),
         minutes.alias("raw_rt"),
         F.col("value").alias("precursor_intensity"),
         F.regexp_extract("props", r"(\d+)", 1).cast("double").alias("andromeda_score"),
@@ -246,8 +246,8 @@ SQL = {
   || replace(replace(peptide, 'M', 'M[UNIMOD:35]'), 'C', 'C[UNIMOD:4]') AS proforma FROM cleaved""",
     "psms": r"""SELECT event_id AS spectrum_id, 'run' || (user_id % 20) AS raw_file, event_id AS scan_number,
   event_type AS proforma, 2 + event_id % 2 AS charge,
-  CASE WHEN event_id % 3 = 0 THEN 'ITMS' ELSE 'FTMS' END AS detector, 'HCD' AS fragmentation,
-  ((event_id % 4) * 10)::DOUBLE AS energy,
+  CASE WHEN event_id % 3 = 0 THEN 'ITMS' WHEN event_id % 7 <> 1 THEN 'FTMS' END AS detector, CASE WHEN event_id % 11 <> 2 THEN 'HCD' END AS fragmentation,
+  CASE WHEN event_id % 13 <> 3 THEN ((event_id % 4) * 10)::DOUBLE END AS energy,
   hour(ts) * 60 + minute(ts) + (microsecond(ts) / 1e6) / 60.0::DOUBLE AS raw_rt,
   value AS precursor_intensity, regexp_extract(props, '(\d+)', 1)::DOUBLE AS andromeda_score FROM events""",
     "candidates": """SELECT 'run' || (l_suppkey % 10) AS raw_file, l_orderkey * 10 + l_linenumber AS scan_number,
