@@ -47,7 +47,7 @@ def joined_runs(
     """
     listed = proteins.withColumn("__pieces", pieces)
     shifts = [
-        (F.slice("__pieces", i + 1, 1 << 30) if i else F.col("__pieces")).alias(f"p{i}")
+        (F.slice("__pieces", F.lit(i + 1), F.size("__pieces")) if i else F.col("__pieces")).alias(f"p{i}")
         for i in range(longest)
     ]
     rows = listed.select("protein_id", F.explode(F.arrays_zip(*shifts)).alias("at"))
@@ -85,27 +85,18 @@ def protein_groups(memberships: DataFrame) -> DataFrame:
     )
 
 
-def protein_lists(memberships: DataFrame, max_members: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Sorted protein lists, and the groups too large to be a list.
+def protein_lists(memberships: DataFrame) -> DataFrame:
+    """``(peptide, n_proteins, proteins)`` with the sorted protein list of every distinct peptide.
 
-    Returns ``(peptide, n_proteins, proteins)`` for groups of at most ``max_members`` and the
-    remaining groups as ``(peptide, protein_id)`` rows, so nothing is lost and no row grows
-    without bound. Sizes are counted before any list is built.
+    A library file writes this list into one field of each line, so a group has to fit into a row; it is
+    never cut. Repeated memberships are removed before the shuffle that collects them.
     """
     distinct = memberships.select("peptide", "protein_id").distinct()
-    large = (
+    return (
         distinct.groupBy("peptide")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_members)
-        .select("peptide")
-    )
-    lists = (
-        distinct.join(large, "peptide", "left_anti")
-        .groupBy("peptide")
         .agg(F.array_sort(F.collect_list("protein_id")).alias("proteins"))
         .select("peptide", F.size("proteins").alias("n_proteins"), "proteins")
     )
-    return lists, distinct.join(large, "peptide", "left_semi")
 
 
 def windows(proteins: DataFrame, min_length: int, max_length: int) -> DataFrame:

@@ -108,17 +108,14 @@ def settings_difference(library: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def overlapping_rules(fixed: DataFrame, variable: DataFrame) -> DataFrame:
-    """Fixed and variable rules that share a target, as an equi-join on the exploded targets.
+    """Variable rules that share a target with any fixed rule: ``(rule, shared)``, one row each.
 
-    Both sides have ``rule`` and ``targets`` (array of residues, ``n`` or ``c``).
+    Both sides have ``rule`` and ``targets`` (array of residues, ``n`` or ``c``). The fixed targets together
+    are at most 28 letters, so they reach the driver as one list.
     """
-    left = fixed.select(F.col("rule").alias("fixed_rule"), F.explode("targets").alias("target"))
-    right = variable.select(
-        F.col("rule").alias("variable_rule"), F.explode("targets").alias("target")
-    )
-    return left.join(right, "target").groupBy("fixed_rule", "variable_rule").agg(
-        F.count(F.lit(1)).alias("shared_targets")
-    )
+    taken = sorted(r[0] for r in fixed.select(F.explode("targets")).distinct().collect())
+    shared = F.array_sort(F.array_intersect("targets", F.array(*[F.lit(t) for t in taken]).cast("array<string>")))
+    return variable.select("rule", shared.alias("shared")).where(F.size("shared") > 0)
 
 
 def scored_pairs(predicted: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

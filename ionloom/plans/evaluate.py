@@ -13,6 +13,7 @@ from ionloom.functions.sequence import SITE_TYPE
 from ionloom.operators.evaluate import angle_histogram, facet_levels, facet_report
 from ionloom.operators.joins import resolve_shifts
 from ionloom.operators.labeler import smooth_labels
+from ionloom.operators.ordering import exact_quantiles
 from ionloom.operators.library import library_precursors, require_no_unmapped, scatter_library
 from ionloom.plans.library import DEFAULT_DELTAS
 from ionloom.session import materialise
@@ -82,8 +83,8 @@ def score_library(
     )
 
 
-def library_facets(scored: DataFrame, titles: dict[str, str] = TITLES) -> DataFrame:
-    """Count, mean and median angle per modification set, length, charge and mass class."""
+def faceted(scored: DataFrame, titles: dict[str, str] = TITLES) -> DataFrame:
+    """Scored rows repeated per modification set, length, charge and mass class."""
     names = F.array_sort(
         F.array_distinct(
             F.array_compact(
@@ -91,7 +92,22 @@ def library_facets(scored: DataFrame, titles: dict[str, str] = TITLES) -> DataFr
             )
         )
     )
-    return facet_report(facet_levels(scored, names))
+    return facet_levels(scored, names)
+
+
+def library_facets(scored: DataFrame, titles: dict[str, str] = TITLES) -> DataFrame:
+    """Count, mean and median angle per facet level."""
+    return facet_report(faceted(scored, titles))
+
+
+def library_facet_histograms(scored: DataFrame, titles: dict[str, str] = TITLES) -> DataFrame:
+    """Angle counts on the shared grid per facet level."""
+    return angle_histogram(faceted(scored, titles), ["facet", "level"])
+
+
+def library_distance(scored: DataFrame) -> DataFrame:
+    """Count and exact median of the distance over the whole library, as one row."""
+    return exact_quantiles(scored.withColumn("scope", F.lit("overall")), ["scope"], "distance", {"median": 0.5})
 
 
 def library_histogram(scored: DataFrame) -> DataFrame:

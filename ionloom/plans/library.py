@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ionloom.constants import MODIFICATIONS
 from ionloom.functions import chemistry
 from ionloom.functions.sequence import ModRule, move_sites_reversed, parse_rule, render_proforma, reverse_interior
-from ionloom.operators.decoys import DECOY_PREFIX
-from ionloom.operators.digest import DigestRules, digest, protein_groups
+from ionloom.operators.decoys import DECOY_PREFIX, number_decoy_groups, search_decoys
+from ionloom.operators.digest import DigestRules, digest, protein_groups, protein_lists
 from ionloom.operators.labeler import library_batches, smooth_arrays
 from ionloom.operators.modforms import expand_charges, modified_forms
 from ionloom.session import materialise
@@ -45,9 +45,11 @@ class LibraryOptions:
         return [parse_rule(r) for r in self.fixed], [parse_rule(r) for r in self.variable]
 
 
-def peptidoform_frame(peptides: DataFrame, options: LibraryOptions) -> DataFrame:
+def peptidoform_frame(peptides: DataFrame, options: LibraryOptions, target_form: bool = False) -> DataFrame:
     """Target and decoy peptidoforms, one row each, with ``sites``, ``proforma`` and ``decoy``.
 
+    ``target_form`` also names the target's peptidoform on both, which is what their competition groups share.
+
     ``peptides`` has distinct ``peptide`` and carried columns. Collisions are decided on stripped
     sequences, before forms multiply them, and once for all forms of a peptide.
     """
@@ -55,6 +57,8 @@ def peptidoform_frame(peptides: DataFrame, options: LibraryOptions) -> DataFrame
     rows = flag_decoys(peptides) if options.decoys else peptides.withColumn("emits_decoy", F.lit(False))
     forms = modified_forms(rows, fixed, variable, options.max_variable).drop("n_variable")
     both = F.when(F.col("emits_decoy"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    if target_form:
+        forms = forms.withColumn("target_form", render_proforma(F.col("peptide"), F.col("sites")))
     read = forms.withColumn("source", F.col("peptide")).withColumn("decoy", F.explode(both)).drop("emits_decoy")
     turned = F.when(
         F.col("decoy"), move_sites_reversed(F.col("sites"), F.length("peptide"))
@@ -95,13 +99,13 @@ def build_library(proteins: DataFrame, options: LibraryOptions = LibraryOptions(
 
 
 def library_from_peptides(
-    peptides: DataFrame, options: LibraryOptions, factory=smooth_arrays
+    peptides: DataFrame, options: LibraryOptions, factory=smooth_arrays, target_form: bool = False
 ) -> DataFrame:
     """Spectrum rows of given peptides; ``factory`` makes the predictor in each task.
 
     A modification without a known mass stops the job instead of counting as zero.
     """
-    forms = peptidoform_frame(peptides, options)
+    forms = peptidoform_frame(peptides, options, target_form)
     delta = lambda s: chemistry.spec_mass(s["spec"], options.deltas)
     known = F.forall("sites", lambda s: delta(s).isNotNull())
     inputs = forms.where(
@@ -119,11 +123,66 @@ def library_from_peptides(
     return rows.withColumn("irt", F.lit(None).cast("double"))
 
 
+def numbered_groups(peptides: DataFrame, options: LibraryOptions) -> DataFrame:
+    """``(target_form, charge, decoy_group)``: a block of numbers per target peptidoform, one per charge.
+
+    A form keeps its block when its decoy is skipped. Narrow rows are sorted, not spectra.
+    """
+    fixed, variable = options.parsed()
+    forms = modified_forms(peptides.select("peptide"), fixed, variable, options.max_variable)
+    named = forms.select(render_proforma(F.col("peptide"), F.col("sites")).alias("target_form"))
+    return number_decoy_groups(named, [F.col("target_form").asc()], options.rules.min_charge, options.rules.max_charge)
+
+
+def complete_library(proteins: DataFrame, options: LibraryOptions = LibraryOptions(), factory=smooth_arrays) -> DataFrame:
+    """Library rows that the writers take: peaks, protein names and competition groups of a whole proteome."""
+    memberships = digest(proteins, options.rules).select("peptide", "protein_id")
+    lists = materialise(protein_lists(memberships))
+    peptides = lists.select("peptide")
+    rows = library_from_peptides(peptides, options, factory, target_form=True)
+    grouped = rows.join(numbered_groups(peptides, options), ["target_form", "charge"])
+    return with_protein_names(grouped, lists).drop("target_form", "n_proteins")
+
+
+def listed_library(
+    rows: DataFrame, options: LibraryOptions = LibraryOptions(), method: str = "reverse", seed: int = 0, factory=smooth_arrays
+) -> tuple[DataFrame, DataFrame]:
+    """A library of given peptidoforms at given charges, and ``(targets, decoys, unpaired)`` as one row.
+
+    ``rows`` has ``ordinal, peptide, sites, charge, decoy, decoy_group, proteins``. Groups that come with a decoy
+    keep it, for the others one is searched; a target without a free decoy stays and is counted as unpaired.
+    """
+    found = materialise(search_decoys(rows, method, seed))
+    made = found.where("paired").select(
+        "ordinal", F.col("decoy_peptide").alias("peptide"), F.col("decoy_sites").alias("sites"), "charge",
+        F.lit(True).alias("decoy"), "decoy_group", "proteins",
+    )
+    prefixed = F.transform("proteins", lambda p: F.concat(F.lit(DECOY_PREFIX), p))
+    every = rows.select(*made.columns).unionByName(made.withColumn("proteins", prefixed))
+    delta = lambda s: chemistry.spec_mass(s["spec"], options.deltas)
+    inputs = every.select(
+        "ordinal", "peptide", "decoy", "decoy_group", "proteins", F.col("charge").cast("int").alias("own_charge"),
+        render_proforma(F.col("peptide"), F.col("sites")).alias("proforma"),
+        F.transform("sites", lambda s: s["pos"]).alias("mod_pos"),
+        F.transform("sites", delta).alias("mod_delta"),
+    )
+    keys = [c for c in inputs.columns if c not in ("mod_pos", "mod_delta")]
+    charges = sorted(r[0] for r in rows.select(F.col("charge").cast("int")).distinct().collect())  # a handful
+    labelled = library_batches(inputs, factory, keys, charges, options.min_intensity, options.max_fragments)
+    out = labelled.where("charge = own_charge").drop("own_charge").withColumn("irt", F.lit(None).cast("double"))
+    counts = every.agg(F.count_if(~F.col("decoy")).alias("targets"), F.count_if("decoy").alias("decoys"), F.lit(0).alias("__one"))
+    unpaired = found.agg(F.count_if(~F.col("paired")).alias("unpaired"), F.lit(0).alias("__one"))
+    return out, counts.join(unpaired, "__one").drop("__one")
+
+
 def with_protein_names(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Rows with their protein list by source peptide; generated decoys carry the decoy prefix."""
+    """Rows with their protein list by source peptide; generated decoys carry the decoy prefix.
+
+    A source peptide without a list stops the job: no row is left out.
+    """
     names = F.when(
         F.col("decoy"), F.transform("proteins", lambda p: F.concat(F.lit(DECOY_PREFIX), p))
     ).otherwise(F.col("proteins"))
-    return rows.join(
-        lists.select(F.col("peptide").alias("source"), "proteins"), "source"
-    ).withColumn("proteins", names)
+    missing = F.raise_error(F.concat(F.lit("no protein list for "), F.col("source"))).cast("array<string>")
+    joined = rows.join(lists.select(F.col("peptide").alias("source"), "proteins"), "source", "left")
+    return joined.withColumn("proteins", F.coalesce(names, missing))

@@ -9,6 +9,7 @@ from ionloom.functions import spectra
 from ionloom.operators.curation import with_intensity
 from ionloom.queries import views
 from ionloom.queries.base import Book
+from ionloom.queries.q_projections import sql_shuffled
 from ionloom.sources import tables
 
 BOOK = Book()
@@ -117,24 +118,34 @@ def checked_join(spark, sf):
 _REVERSED = "substr(peptide, 1, 1) || reverse(substr(peptide, 2, length(peptide) - 2)) || substr(peptide, length(peptide))"
 
 
+#: A sum over rows of 32 bits of each row's hash: equal row sets have equal digests.
+_DIGEST_SQL = "sum(('0x' || substr(md5({}), 1, 8))::BIGINT)::BIGINT"
+
+
+def _digest(text):
+    return F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"))
+
+
 @add(
     "decoy_collisions",
     "J7",
     needs=("memberships",),
-    sql=f"""WITH targets AS (SELECT DISTINCT peptide FROM memberships)
-SELECT peptide, decoy_peptide FROM (SELECT peptide, {_REVERSED} AS decoy_peptide FROM targets)
-WHERE decoy_peptide NOT IN (SELECT peptide FROM targets)""",
+    sql=f"""WITH targets AS (SELECT DISTINCT peptide FROM memberships),
+free AS (SELECT peptide, {_REVERSED} AS decoy_peptide FROM targets)
+SELECT substr(peptide, 1, 1) AS first_residue, length(peptide)::BIGINT AS length, count(*) AS decoys,
+  {_DIGEST_SQL.format("peptide || '>' || decoy_peptide")} AS digest
+FROM free LEFT JOIN (SELECT peptide AS taken FROM targets) ON taken = decoy_peptide WHERE taken IS NULL GROUP BY 1, 2""",
 )
 def decoy_collisions(spark, sf):
+    """Free reversals of the whole proteome, every row summed into a digest per first residue and length."""
     targets = views.memberships(spark, sf).select("peptide").distinct()
-    return decoys.without_collisions(decoys.pseudo_reversed(targets), targets)
+    free = decoys.without_collisions(decoys.pseudo_reversed(targets), targets)
+    return free.groupBy(F.substring("peptide", 1, 1).alias("first_residue"), F.length("peptide").alias("length")).agg(
+        F.count(F.lit(1)).alias("decoys"), _digest(F.concat_ws(">", "peptide", "decoy_peptide")).alias("digest")
+    )
 
 
-@add(
-    "decoy_search",
-    "J8",
-    needs=("cleaved",),
-    sql="""WITH RECURSIVE targets AS (SELECT peptide, row_number() OVER (ORDER BY peptide) AS ordinal FROM cleaved),
+DECOY_SEARCH_SQL = """WITH RECURSIVE targets AS (SELECT peptide, row_number() OVER (ORDER BY peptide) AS ordinal FROM cleaved),
 tries AS (SELECT ordinal, peptide, unnest(range(1, (length(peptide) - 2) // 2 + 1)) AS attempt FROM targets),
 candidates AS (SELECT ordinal, attempt, substr(peptide, 1, attempt) || reverse(substr(peptide, attempt + 1, length(peptide) - 2 * attempt))
   || substr(peptide, length(peptide) - attempt + 1) AS identity FROM tries),
@@ -149,7 +160,14 @@ rounds AS (
     FROM rounds s LEFT JOIN ranked r ON r.ordinal = s.ordinal AND r.choice = s.choice WHERE s.moved)),
 settled AS (SELECT ordinal, choice FROM rounds WHERE round = (SELECT max(round) FROM rounds))
 SELECT t.peptide, coalesce(r.identity, '') AS decoy, coalesce(r.attempt - 1, -1)::BIGINT AS attempt, r.identity IS NOT NULL AS paired
-FROM targets t LEFT JOIN settled s ON s.ordinal = t.ordinal LEFT JOIN ranked r ON r.ordinal = s.ordinal AND r.choice = s.choice""",
+FROM targets t LEFT JOIN settled s ON s.ordinal = t.ordinal LEFT JOIN ranked r ON r.ordinal = s.ordinal AND r.choice = s.choice"""
+
+
+@add(
+    "decoy_search",
+    "J8",
+    needs=("cleaved",),
+    sql=DECOY_SEARCH_SQL,
 )
 def decoy_search(spark, sf):
     """First free interior reversal of every cleaved peptide, served in peptide order."""
@@ -165,7 +183,21 @@ def decoy_search(spark, sf):
     )
 
 
-@add("shuffled_decoy_search", "J8")
+@add(
+    "shuffled_decoy_search",
+    "J8",
+    needs=("cleaved",),
+    sql=f"""WITH RECURSIVE targets AS (SELECT peptide, row_number() OVER (ORDER BY peptide) AS ordinal FROM cleaved),
+rounds AS (
+  SELECT 0 AS round, ordinal, peptide, 0 AS attempt, {sql_shuffled(11, '0')} AS identity, true AS moved FROM targets
+  UNION ALL
+  SELECT round + 1, ordinal, peptide, attempt + lost, CASE WHEN lost = 0 THEN identity WHEN attempt + 1 < 32 THEN {sql_shuffled(11, '(attempt + 1)')} END,
+    bool_or(lost = 1) OVER () FROM (
+    SELECT *, CASE WHEN identity IS NOT NULL AND (identity IN (SELECT peptide FROM targets)
+      OR min(ordinal) OVER (PARTITION BY identity) < ordinal) THEN 1 ELSE 0 END AS lost FROM rounds WHERE moved))
+SELECT peptide, identity, CASE WHEN identity IS NOT NULL THEN attempt END::BIGINT AS attempt, identity IS NOT NULL AS paired
+FROM rounds WHERE round = (SELECT max(round) FROM rounds)""",
+)
 def shuffled_decoy_search(spark, sf):
     """The same search with seeded shuffles; checked against a serial search in the tests."""
     from ionloom.operators.ordering import with_position
@@ -265,8 +297,7 @@ def settings_verdict(spark, sf):
     "J12",
     sql="""WITH fixed AS (SELECT p_brand AS rule, unnest(string_split(upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')), '')) AS t FROM part),
 variable AS (SELECT p_name AS rule, unnest(string_split(upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), '')) AS t FROM part)
-SELECT f.rule AS fixed_rule, v.rule AS variable_rule, count(*) AS shared_targets FROM (SELECT DISTINCT rule, t FROM fixed) f
-JOIN (SELECT DISTINCT rule, t FROM variable) v ON f.t = v.t GROUP BY 1, 2""",
+SELECT rule, string_agg(t, '' ORDER BY t) AS shared FROM (SELECT DISTINCT rule, t FROM variable WHERE t IN (SELECT t FROM fixed)) GROUP BY 1""",
 )
 def rule_overlap(spark, sf):
     part = views.table(spark, sf, "part")
@@ -276,7 +307,8 @@ def rule_overlap(spark, sf):
         exploded = part.select(F.col(name).alias("rule"), F.explode(F.split(text, "")).alias("t")).distinct()
         return exploded.groupBy("rule").agg(F.collect_set("t").alias("targets"))  # at most 26 letters
 
-    return joins.overlapping_rules(rules("p_brand", "p_type"), rules("p_name", "p_name"))
+    found = joins.overlapping_rules(rules("p_brand", "p_type"), rules("p_name", "p_name"))
+    return found.select("rule", F.array_join("shared", "").alias("shared"))
 
 
 @add(
@@ -305,19 +337,27 @@ def reference_distribution_merge(spark, sf):
     "J14",
     needs=("memberships",),
     sql=f"""WITH targets AS (SELECT peptide, row_number() OVER (ORDER BY peptide) - 1 AS form FROM (SELECT DISTINCT peptide FROM memberships)),
-decoys AS (SELECT form, {_REVERSED} AS decoy FROM targets)
-SELECT form * 2 + 1 + z - 2 AS decoy_group, z::BIGINT AS charge, peptide AS target, decoy FROM targets JOIN decoys USING (form) CROSS JOIN range(2, 4) r(z)
-WHERE decoy NOT IN (SELECT peptide FROM targets)""",
+decoys AS (SELECT form, {_REVERSED} AS decoy FROM targets),
+free AS (SELECT decoys.* FROM decoys LEFT JOIN (SELECT peptide AS taken FROM targets) ON taken = decoy WHERE taken IS NULL),
+pairs AS (SELECT form * 2 + 1 + z - 2 AS decoy_group, z::BIGINT AS charge, peptide AS target, decoy FROM targets JOIN free USING (form) CROSS JOIN range(2, 4) r(z))
+SELECT charge, substr(target, 1, 1) AS first_residue, count(*) AS pairs, min(decoy_group) AS first_group, max(decoy_group) AS last_group,
+  {_DIGEST_SQL.format("decoy_group || '|' || target || '|' || decoy")} AS digest FROM pairs GROUP BY 1, 2""",
 )
 def target_decoy_pairs(spark, sf):
     """Each charged target with its decoy by competition group; collisions stay unpaired."""
     forms = views.memberships(spark, sf).select("peptide").distinct()
     numbered = decoys.number_decoy_groups(forms, [F.col("peptide").asc()], 2, 3)
     reversed_ = decoys.without_collisions(decoys.pseudo_reversed(numbered), forms)
-    return decoys.pair_targets(
+    pairs = decoys.pair_targets(
         numbered.select("decoy_group", "charge", F.col("peptide").alias("target")),
         reversed_.select("decoy_group", "charge", F.col("decoy_peptide").alias("decoy")),
-    ).select("decoy_group", "charge", "target", "decoy")
+    )
+    return pairs.groupBy("charge", F.substring("target", 1, 1).alias("first_residue")).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.min("decoy_group").alias("first_group"),
+        F.max("decoy_group").alias("last_group"),
+        _digest(F.concat_ws("|", F.col("decoy_group").cast("string"), "target", "decoy")).alias("digest"),
+    )
 
 
 @add(
@@ -424,18 +464,12 @@ def protein_group_membership(spark, sf):
     "protein_lists",
     "A3",
     needs=("memberships",),
-    sql="""SELECT peptide, count(*) AS n_proteins, string_agg(protein_id, ';' ORDER BY protein_id) AS proteins, 'list' AS form
-  FROM (SELECT DISTINCT peptide, protein_id FROM memberships) GROUP BY 1 HAVING count(*) <= 20
-UNION ALL SELECT peptide, 1, protein_id, 'row' FROM (SELECT DISTINCT peptide, protein_id FROM memberships)
-  WHERE peptide IN (SELECT peptide FROM memberships GROUP BY 1 HAVING count(DISTINCT protein_id) > 20)""",
+    sql="""SELECT peptide, count(*) AS n_proteins, string_agg(protein_id, ';' ORDER BY protein_id) AS proteins
+  FROM (SELECT DISTINCT peptide, protein_id FROM memberships) GROUP BY 1""",
 )
 def protein_lists(spark, sf):
-    """Sorted protein lists; groups above the list size stay rows, so all members are there."""
-    lists, large = digest.protein_lists(views.memberships(spark, sf), max_members=20)
-    return lists.select(
-        "peptide", "n_proteins", F.array_join("proteins", ";").alias("proteins"), F.lit("list").alias("form")
-    ).unionByName(
-        large.select("peptide", F.lit(1).alias("n_proteins"), F.col("protein_id").alias("proteins"), F.lit("row").alias("form"))
-    )
+    """Sorted protein lists of every group, whatever its size."""
+    lists = digest.protein_lists(views.memberships(spark, sf))
+    return lists.select("peptide", "n_proteins", F.array_join("proteins", ";").alias("proteins"))
 
 

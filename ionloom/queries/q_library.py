@@ -11,7 +11,10 @@ from ionloom.operators.digest import DigestRules
 from ionloom.plans import evaluate as evaluation
 from ionloom.plans import library as plan
 from ionloom.queries import views
-from ionloom.queries.base import Book
+from ionloom.operators.decoys import no_sites
+from ionloom.operators.ordering import with_position
+from ionloom.queries.base import Book, run_folder
+from ionloom.queries.q_joins import DECOY_SEARCH_SQL
 from ionloom.queries.q_projections import _GRID_SQL, SQL_PROTON
 from ionloom.queries.views import SQL_WATER, sql_mass
 from ionloom.session import materialise
@@ -22,11 +25,11 @@ BOOK = Book()
 add = BOOK.add
 
 
-def spectrum_rows(spark, sf, limit: int = 6):
-    """Validated rows with the strongest peaks, as the writers take them."""
+def spectrum_rows(spark, sf):
+    """Validated rows with all their peaks, as the writers take them."""
     sid = F.col("spectrum_id")
     rows = library.spectrum_rows(
-        views.precursors(spark, sf).withColumn("masses", chemistry.residue_masses(F.col("peptide"))), 0.0, limit
+        views.precursors(spark, sf).withColumn("masses", chemistry.residue_masses(F.col("peptide"))), 0.0, None
     )
     return library.require_valid_rows(rows).select(
         "*",
@@ -39,7 +42,7 @@ def spectrum_rows(spark, sf, limit: int = 6):
 
 
 _ROWS_SQL = f"""{_GRID_SQL},
-kept AS (SELECT * FROM peaks QUALIFY row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, cell) <= 6),
+kept AS (SELECT * FROM peaks),
 heads AS (SELECT *, {sql_mass('peptide')} + {SQL_WATER} AS neutral, ({sql_mass('peptide')} + {SQL_WATER} + charge * {SQL_PROTON}) / charge AS pmz FROM precursors),
 rows AS (SELECT *, ccs * sqrt(pmz * charge * 28.0 / (pmz * charge + 28.0)) / charge / 1059.62245 AS mobility,
   CASE WHEN spectrum_id % 5 = 0 THEN 'P1;P2' ELSE 'P1' END AS proteins FROM heads)"""
@@ -86,9 +89,9 @@ def speclib_entries(spark, sf):
 @add(
     "library_counts",
     "A16",
-    needs=("precursors",),
-    sql="""SELECT count(*) AS precursors, count(*) FILTER (spectrum_id % 4 = 0) AS decoys, count(DISTINCT peptide) FILTER (spectrum_id % 4 <> 0) AS peptides,
-  (count(*) * 6)::BIGINT AS fragments FROM precursors""",
+    needs=("precursors", "spectra"),
+    sql=f"""WITH {_GRID_SQL} SELECT count(*) AS precursors, count(*) FILTER (spectrum_id % 4 = 0) AS decoys, count(DISTINCT peptide) FILTER (spectrum_id % 4 <> 0) AS peptides,
+  (SELECT count(*) FROM peaks) AS fragments FROM precursors""",
 )
 def library_counts(spark, sf):
     return library.library_counts(spectrum_rows(spark, sf))
@@ -254,18 +257,34 @@ tops AS (SELECT *, max(v) OVER (PARTITION BY peptide, decoy, z) AS top FROM cell
     "F1",
     "T4",
     needs=("memberships",),
-    sql=f"""WITH {_LIBRARY_SQL}, n AS (SELECT peptide, decoy, z, least(count(*) FILTER (v / top >= 0.01), 15) AS kept FROM tops GROUP BY 1, 2, 3)
+    sql=f"""WITH {_LIBRARY_SQL}, n AS (SELECT peptide, decoy, z, count(*) FILTER (v / top >= 0.01) AS kept FROM tops GROUP BY 1, 2, 3)
 SELECT z::BIGINT AS charge, decoy, count(*) AS precursors, sum(kept)::BIGINT AS fragments FROM n GROUP BY 1, 2""",
 )
 def library_build(spark, sf):
-    """A whole library: digest, groups, forms, decoys, labels, validation, fifteen peaks each."""
-    options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3), max_fragments=15)
+    """A whole library: digest, groups, forms, decoys, labels, validation, every peak above the floor."""
+    return _library_totals(spark, sf, None)
+
+
+def _library_totals(spark, sf, max_fragments):
+    options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3), max_fragments=max_fragments)
     rows = plan.build_library(views.proteome(spark, sf), options)
     return rows.groupBy("charge", "decoy").agg(
         F.count(F.lit(1)).alias("precursors"), F.sum(F.size("peaks")).alias("fragments")
     )
 
 
+@add(
+    "library_build_capped",
+    "W8",
+    needs=("memberships",),
+    sql=f"""WITH {_LIBRARY_SQL}, n AS (SELECT peptide, decoy, z, least(count(*) FILTER (v / top >= 0.01), 15) AS kept FROM tops GROUP BY 1, 2, 3)
+SELECT z::BIGINT AS charge, decoy, count(*) AS precursors, sum(kept)::BIGINT AS fragments FROM n GROUP BY 1, 2""",
+)
+def library_build_capped(spark, sf):
+    """The same library with at most fifteen peaks a spectrum, the strongest."""
+    return _library_totals(spark, sf, 15)
+
+
 _SCORED_SQL = f"""cells AS (SELECT residues, charge, CASE ion WHEN 'b' THEN ordinal - 1 ELSE 8 - ordinal END AS site,
   CASE ion WHEN 'b' THEN 0 ELSE 1 END + 2 * (fragment_charge - 1) AS col, max(intensity::FLOAT::DOUBLE) AS v FROM library_lines
   WHERE NOT decoy AND lossless AND fragment_charge <= 2 AND ordinal BETWEEN 1 AND 8 GROUP BY 1, 2, 3, 4),
@@ -282,6 +301,101 @@ scored AS (SELECT w.residues, w.charge, 1 - 2 * acos(greatest(least(sum(p * coal
   FROM waves w LEFT JOIN cells c ON c.residues = w.residues AND c.charge = w.charge AND c.site = w.site AND c.col = w.col GROUP BY 1, 2)"""
 
 
+_FILE_RULES = DigestRules(missed_cleavages=0, min_length=7, max_length=8, min_charge=2, max_charge=3)
+
+_FILE_SQL = f"""names AS (SELECT piece AS peptide, string_agg(DISTINCT protein_id, ';' ORDER BY protein_id) AS proteins,
+  string_agg(DISTINCT 'DECOY_' || protein_id, ';' ORDER BY 'DECOY_' || protein_id) AS decoy_proteins FROM numbered WHERE length(piece) BETWEEN 7 AND 8 GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY replace(peptide, 'C', 'C[UNIMOD:4]')) - 1 AS place FROM names),
+forms AS (SELECT peptide AS source, peptide, false AS decoy, proteins, place FROM placed
+  UNION ALL SELECT peptide, d, true, decoy_proteins, place FROM (SELECT *, {_REVERSED} AS d FROM placed) LEFT JOIN (SELECT peptide AS taken FROM names) ON taken = d WHERE taken IS NULL),
+sites AS (SELECT source, peptide, decoy, unnest(range(0, length(peptide) - 1)) AS site FROM forms),
+masses AS (SELECT source, peptide, decoy, site, {sql_mass("replace(substr(peptide, 1, site + 1), 'C', 'CG')")} AS b, {sql_mass("replace(substr(peptide, site + 2), 'C', 'CG')")} AS y FROM sites),
+cells AS (SELECT source, decoy, z, site, unnest([0, 1, 2, 3]) AS col, unnest([0.5 * (1 + sin(b / 37.0 + z)), 0.5 * (1 + sin(y / 37.0 + z)), 0.5 * (1 + sin(b / 74.0 + z)), 0.5 * (1 + sin(y / 74.0 + z))])::FLOAT AS v
+  FROM masses CROSS JOIN range(2, 4) r(z)),
+tops AS (SELECT *, max(v) OVER (PARTITION BY source, decoy, z) AS top FROM cells),
+kept AS (SELECT source, decoy, z, count(*) AS peaks FROM tops WHERE v / top >= 0.01 GROUP BY 1, 2, 3),
+written AS (SELECT f.peptide, f.decoy, f.proteins, k.z, k.peaks, place * 2 + 1 + k.z - 2 AS grp FROM forms f JOIN kept k ON k.source = f.source AND k.decoy = f.decoy)"""
+
+
+def _file_rows(spark, sf):
+    return plan.complete_library(views.proteome(spark, sf), plan.LibraryOptions(rules=_FILE_RULES))
+
+
+@add(
+    "library_file",
+    "K3",
+    "A3",
+    "W9",
+    "J7",
+    needs=("numbered",),
+    sql=f"""WITH {_FILE_SQL} SELECT replace(peptide, 'C', 'C(UniMod:4)') AS peptide, z::VARCHAR AS charge, CASE WHEN decoy THEN '1' ELSE '0' END AS decoy, proteins, peaks AS lines FROM written""",
+)
+def library_file(spark, sf):
+    """Proteome to tab-separated library files, and what is read back from them: lines per precursor."""
+    folder = f"{run_folder(spark)}/library"
+    sink.write_diann(_file_rows(spark, sf), folder)
+    lines = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(folder)
+    return lines.groupBy(
+        F.col("ModifiedPeptide").alias("peptide"), F.col("PrecursorCharge").alias("charge"), F.col("Decoy").alias("decoy"), F.col("ProteinID").alias("proteins")
+    ).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@add(
+    "library_text",
+    "K4",
+    "W9",
+    needs=("numbered",),
+    sql=f"""WITH {_FILE_SQL} SELECT replace(peptide, 'C', 'C[UNIMOD:4]') || '/' || z AS ion, CASE WHEN decoy THEN 1 ELSE 0 END::BIGINT AS decoys, grp AS decoy_group, proteins, peaks FROM written""",
+)
+def library_text(spark, sf):
+    """Proteome to library text, header beside it, and what is read back from its entries."""
+    folder = f"{run_folder(spark)}/text"
+    header = sink.speclib_header("stand-in", "0.1", [("digest.min_length", "7")])
+    order = [F.col("decoy_group").asc(), F.col("decoy").asc()]
+    sink.write_speclib(_file_rows(spark, sf), order, folder, header)
+    entry = F.col("value")
+    entries = spark.read.option("lineSep", "<Spectrum=").text(f"{folder}/spectra").where(F.length(F.trim(entry)) > 0)
+    one = lambda term: F.regexp_extract(entry, term + r"([^\n]*)", 1)
+    accessions = F.regexp_extract_all(entry, F.lit(r"MS:1000885\|protein accession=([^\n]*)"), F.lit(1))
+    return entries.select(
+        one(r"MS:1003270\|proforma peptidoform ion notation=").alias("ion"),
+        F.size(F.regexp_extract_all(entry, F.lit("attribute set name=Decoy"), F.lit(0))).alias("decoys"),
+        F.regexp_extract(entry, r"ionloom:decoy_group\n\[3\][^=]*=(\d+)", 1).cast("bigint").alias("decoy_group"),
+        F.array_join(accessions, ";").alias("proteins"),
+        one(r"MS:1003059\|number of peaks=").cast("bigint").alias("peaks"),
+    )
+
+
+@add(
+    "peptide_list_library",
+    "S5",
+    "J8",
+    "W10",
+    "A21",
+    needs=("cleaved",),
+    sql=f"""SELECT (count(*) * 2)::BIGINT AS targets, (count(*) * 2)::BIGINT AS listed, (count(*) FILTER (NOT paired) * 2)::BIGINT AS unpaired FROM ({DECOY_SEARCH_SQL})""",
+)
+def peptide_list_library(spark, sf):
+    """Given peptides at given charges with searched decoys: every target is in the library, unpaired ones are counted."""
+    placed = with_position(views.cleaved(spark, sf), [F.col("peptide").asc()], "place")
+    rows = placed.withColumn("charge", F.explode(F.array(F.lit(2), F.lit(3)))).select(
+        (F.col("place") * 2 + F.col("charge")).alias("ordinal"), "peptide", no_sites().alias("sites"), "charge",
+        F.lit(False).alias("decoy"), (F.col("place") * 2 + F.col("charge")).alias("decoy_group"), F.array(F.lit("P")).alias("proteins"),
+    )
+    library_rows, counts = plan.listed_library(rows, plan.LibraryOptions(decoys=True))
+    one = F.lit(0).alias("__one")
+    listed = library_rows.agg(F.count_if(~F.col("decoy")).alias("listed"), one)
+    return counts.select("*", one).join(listed, "__one").select("targets", "listed", "unpaired")
+
+
+_FACETS_SQL = f"""f AS (SELECT 'charge' AS facet, 'z' || charge AS level, angle FROM scored UNION ALL SELECT 'length', '5-9', angle FROM scored
+  UNION ALL SELECT 'mass', (floor(mass / 500)::BIGINT * 500) || '-' || (floor(mass / 500)::BIGINT * 500 + 499), angle FROM (
+    SELECT angle, {sql_mass('residues')} + {SQL_WATER} + (length(residues) - length(replace(residues, 'M', ''))) * 15.994914622::DOUBLE
+      + (length(residues) - length(replace(residues, 'C', ''))) * 57.021463723::DOUBLE AS mass FROM scored)
+  UNION ALL SELECT 'modification', CASE WHEN residues LIKE '%C%' AND residues LIKE '%M%' THEN 'Carbamidomethyl+Oxidation' WHEN residues LIKE '%C%' THEN 'Carbamidomethyl'
+    WHEN residues LIKE '%M%' THEN 'Oxidation' ELSE 'unmodified' END, angle FROM scored)"""
+
+
 def scored_library(spark, sf):
     """A library export scored against the built-in labels, its shifts named by declared aliases."""
     rows = libraries.library_rows(views.library_lines(spark, sf), line=F.col("RelativeIntensity"))
@@ -311,13 +425,40 @@ def library_scores(spark, sf):
     "A24",
     "P25",
     needs=("library_lines",),
-    sql=f"""WITH {_SCORED_SQL}, f AS (SELECT 'charge' AS facet, 'z' || charge AS level, angle FROM scored UNION ALL SELECT 'length', '5-9', angle FROM scored
-  UNION ALL SELECT 'modification', CASE WHEN residues LIKE '%C%' AND residues LIKE '%M%' THEN 'Carbamidomethyl+Oxidation' WHEN residues LIKE '%C%' THEN 'Carbamidomethyl'
-    WHEN residues LIKE '%M%' THEN 'Oxidation' ELSE 'unmodified' END, angle FROM scored)
+    sql=f"""WITH {_SCORED_SQL}, {_FACETS_SQL}
 SELECT facet, level, count(*) AS n, round(avg(angle), 6) AS mean, round(median(angle), 6) AS median FROM f GROUP BY 1, 2""",
 )
 def library_evaluation(spark, sf):
-    return evaluation.library_facets(scored_library(spark, sf)).where("facet <> 'mass'")
+    return evaluation.library_facets(scored_library(spark, sf))
+
+
+@add(
+    "library_facet_histograms",
+    "A24",
+    "A8",
+    needs=("library_lines",),
+    sql=f"""WITH {_SCORED_SQL}, {_FACETS_SQL},
+b AS (SELECT facet, level, CASE WHEN angle BETWEEN 0 AND 1 THEN least(floor(angle * 50), 49) END AS bin FROM f),
+levels AS (SELECT facet, level, count(bin) AS counted, count(*) AS total FROM b GROUP BY 1, 2)
+SELECT l.facet, l.level, s.bin, count(b.bin) AS count, any_value(l.counted) AS counted, any_value(l.total) AS total
+FROM levels l CROSS JOIN range(0, 50) s(bin) LEFT JOIN b ON b.facet = l.facet AND b.level = l.level AND b.bin = s.bin GROUP BY 1, 2, 3""",
+)
+def library_facet_histograms(spark, sf):
+    """Angle counts of every facet level on the shared grid."""
+    return evaluation.library_facet_histograms(scored_library(spark, sf))
+
+
+@add(
+    "library_distance_median",
+    "A24",
+    needs=("library_lines",),
+    sql=f"""WITH {_SCORED_SQL.replace("AS angle", "AS angle, sqrt(sum(pow(p / sp - coalesce(v, 0) / sv, 2))) AS distance")
+    .replace("FROM waves w LEFT JOIN cells c", "FROM (SELECT *, sum(p) OVER (PARTITION BY residues, charge) AS sp FROM waves) w JOIN (SELECT residues AS r2, charge AS z2, sum(v) AS sv FROM cells GROUP BY 1, 2) t ON r2 = w.residues AND z2 = w.charge LEFT JOIN cells c")}
+SELECT count(distance) AS n, round(median(distance), 6) AS median FROM scored""",
+)
+def library_distance_median(spark, sf):
+    """Median distance of sum-normalised spectra over the whole library."""
+    return evaluation.library_distance(scored_library(spark, sf)).select("n", "median")
 
 
 @add(

@@ -110,7 +110,7 @@ def test_library_files(spark, peptides, tmp_path):
         [(w, p) for w in ("PEPTIDEK", "MACDEFGHIK", "KACMMR", "KMMCAR", "LLGGNEQVTR") for p in ("P2", "P1")],
         "peptide string, protein_id string",
     )
-    rows = plan.with_protein_names(plan.library_from_peptides(peptides, OPTIONS), protein_lists(members)[0])
+    rows = plan.with_protein_names(plan.library_from_peptides(peptides, OPTIONS), protein_lists(members))
     sink.write_diann(rows, str(tmp_path / "lib"), compression=None)
     texts = [p.read_text().splitlines() for p in (tmp_path / "lib").glob("part-*")]
     header = texts[0][0].split("\t")
@@ -277,3 +277,26 @@ def test_sidecar_holds_the_counts(spark):
     assert json.loads(provenance_sidecar(doc, counts).first()["value"]) == {
         "settings": {"digest": {"min": 7}}, "output": {"counts": {"precursors": 3, "fragments": 5}},
     }
+
+
+def test_a_source_without_proteins_stops_the_job(spark, peptides):
+    members = spark.createDataFrame([("PEPTIDEK", "P1")], "peptide string, protein_id string")
+    rows = plan.with_protein_names(plan.library_from_peptides(peptides, OPTIONS), protein_lists(members))
+    with pytest.raises(Exception, match="no protein list"):
+        rows.collect()
+
+
+def test_complete_library_groups_targets_with_their_decoys(spark):
+    proteins = spark.createDataFrame([("P1", "PEPTIDEKMACDEFGHIK"), ("P2", "PEPTIDEKLLGGNEQVTR")], "protein_id string, residues string")
+    options = plan.LibraryOptions(rules=DigestRules(missed_cleavages=0, min_charge=2, max_charge=3))
+    rows = plan.complete_library(proteins, options).collect()
+    by_group = {}
+    for r in rows:
+        by_group.setdefault(r["decoy_group"], []).append(r)
+    assert sorted(by_group) == [1, 2, 3, 4, 5, 6]
+    for group in by_group.values():
+        assert len({r["charge"] for r in group}) == 1 and sorted(r["decoy"] for r in group) == [False, True]
+        assert len({r["source"] for r in group}) == 1
+    shared = next(r for r in rows if r["peptide"] == "PEPTIDEK")
+    assert shared["proteins"] == ["P1", "P2"]
+    assert next(r for r in rows if r["decoy"] and r["source"] == "PEPTIDEK")["proteins"] == ["DECOY_P1", "DECOY_P2"]
