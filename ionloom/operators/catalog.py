@@ -12,6 +12,7 @@ from ionloom.functions.sequence import dataset_name, metadata_name
 from ionloom.functions.spectra import finite
 from ionloom.operators.joins import require_empty, require_unique, settings_difference
 from ionloom.operators.ordering import with_position
+from ionloom.session import materialise
 
 
 def glob_pattern(pattern: str) -> str:
@@ -187,7 +188,8 @@ def flatten_document(df: DataFrame, key: list[str], json_column: str) -> DataFra
         is_object = F.regexp_like(F.col("value"), F.lit(r"^\s*\{"))
         leaves = pairs.where(~is_object)
         done = leaves if done is None else done.unionByName(leaves)
-        objects = pairs.where(is_object)
+        # Cut here, so a level reads what the one above made instead of parsing all of them again.
+        objects = materialise(pairs.where(is_object))
         if objects.isEmpty():
             return done
         fields = F.explode(F.from_json("value", "map<string,string>"))

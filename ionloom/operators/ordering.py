@@ -67,19 +67,25 @@ def with_group_position(
 
 
 def with_running_total(
-    df: DataFrame, order: list[Column], weight: Column, name: str = "running"
+    df: DataFrame, order: list[Column], weight: Column, name: str = "running", position: str | None = None
 ) -> DataFrame:
-    """Sum of ``weight`` over the rows up to and including each row of the global order."""
+    """Sum of ``weight`` over the rows up to and including each row of the global order.
+
+    ``position`` names a column for the zero-based place, from the same sorted pass.
+    """
     chunks = _sorted_chunks(df.withColumn("__sort_weight", weight), order)
     carries = _carries(chunks, F.sum("__sort_weight"))
     inside = Window.partitionBy("__sort_chunk").orderBy("__sort_place").rowsBetween(
         Window.unboundedPreceding, 0
     )
+    if position is not None:
+        rows_before = _carries(chunks, F.count(F.lit(1))).withColumnRenamed("__sort_carry", "__sort_rows")
+        chunks = chunks.join(F.broadcast(rows_before), "__sort_chunk").withColumn(position, F.col("__sort_rows") + F.col("__sort_place"))
     return (
         chunks.withColumn("__sort_inside", F.sum("__sort_weight").over(inside))
         .join(F.broadcast(carries), "__sort_chunk")
         .withColumn(name, F.col("__sort_carry") + F.col("__sort_inside"))
-        .drop("__sort_mid", "__sort_chunk", "__sort_place", "__sort_carry", "__sort_weight", "__sort_inside")
+        .drop("__sort_mid", "__sort_chunk", "__sort_place", "__sort_carry", "__sort_weight", "__sort_inside", "__sort_rows")
     )
 
 
@@ -179,12 +185,7 @@ def balanced_ranges(
     a tie, moved just enough that every part holds a row. The places near the targets are found in
     parallel; only ``partitions`` of them reach the driver.
     """
-    placed = with_running_total(
-        with_position(df, order, "__position"),
-        [F.col("__position").asc()],
-        F.greatest(F.col(weight), F.lit(1)),
-        "__sum",
-    )
+    placed = with_running_total(df, order, F.greatest(F.col(weight), F.lit(1)), "__sum", position="__position")
     size, total = placed.agg(F.count(F.lit(1)), F.max("__sum")).first()
     if not 0 < partitions <= size:
         raise ValueError(f"partitions must be between 1 and {size}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions.binding import let
@@ -51,19 +51,14 @@ def best_per_key(df: DataFrame, keys: list[str], quality: Column, first: list[st
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows per group, numbered from one.
+    """The first ``limit`` rows per group, numbered from one: places from one distributed sort.
 
-    Ranking under a small limit is cut to ``limit`` rows per group in every map task first
-    (window group limit), so a group holding most of the table sends few rows to its task.
-    Spark does that up to 1000; above it the places come from one distributed sort.
+    A group of any size is spread over the sort's partitions, whatever the limit is.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    if limit > 1000:
-        placed = with_group_position(df, keys, order, "rank")
-        return placed.withColumn("rank", F.col("rank") + 1).where(F.col("rank") <= limit)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= limit)
+    placed = with_group_position(df, keys, order, "rank")
+    return placed.withColumn("rank", F.col("rank") + 1).where(F.col("rank") <= limit)
 
 
 def backbone_coverage(ms2: Column, min_intensity: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions import hashing
-from ionloom.functions.sequence import repair_nterm, stripped_length, stripped_sequence
+from ionloom.functions.sequence import is_valid_sequence, repair_nterm, stripped_length, stripped_sequence
 from ionloom.functions.spectra import finite
 from ionloom.operators.curation import Curation, CurationPolicy, curate
 from ionloom.operators.resolve import (
@@ -18,15 +18,27 @@ from ionloom.operators.resolve import (
     resolve_scans,
     resolved_metadata,
 )
+from ionloom.schemas import REQUIRED_METADATA
 from ionloom.sinks.corpus import contract
 
 
+def require_no_missing(metadata: DataFrame) -> None:
+    """Refuse a source with a null in a required column or a peptidoform that cannot be read."""
+    required = [c for c in REQUIRED_METADATA if c in metadata.columns]
+    unread = ~is_valid_sequence(stripped_sequence(repair_nterm(F.col("modified_sequence"))))
+    faults = metadata.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required], F.count_if(unread).alias("unreadable peptidoform")).first()
+    found = {c: n for c, n in faults.asDict().items() if n}
+    if found:
+        raise ValueError(f"unusable metadata rows: {found}")
+
+
 def prepare_spectra(metadata: DataFrame, fragments: DataFrame, dataset: str, instrument: str) -> DataFrame:
     """Prepared spectra with precursor intensity and signed-bit identifiers.
 
     One job over all shards: two aggregates resolve the candidates, one join brings the lengths
     to the fragments, two aggregates make the grids, one join brings the metadata back.
     """
+    require_no_missing(metadata)
     has_score = "andromeda_score" in metadata.columns
     verdicts = localization_verdicts(
         metadata,
@@ -42,7 +54,10 @@ def prepare_spectra(metadata: DataFrame, fragments: DataFrame, dataset: str, ins
         "length", stripped_length(F.col("proforma"))
     )
     grids = dense_spectra(fragment_cells(keep_backbone_fragments(fragments), meta)).drop("length")
-    unit = hashing.blake_unit()(stripped_sequence(F.col("proforma")))
+    # Replicates share their stripped sequence: hash each distinct one once and join the label back.
+    meta = meta.withColumn("__stripped", stripped_sequence(F.col("proforma")))
+    splits = meta.select("__stripped").distinct().withColumn("split", hashing.split_label(hashing.blake_unit()(F.col("__stripped"))))
+    meta = meta.join(splits, "__stripped").drop("__stripped")
     raw_rt = F.col("retention_time") if "retention_time" in metadata.columns else F.col(rt_name)
     return grids.join(meta, ["raw_file", "scan_number"]).select(
         hashing.spectrum_id()(F.lit(dataset), "raw_file", "scan_number").alias("spectrum_id"),
@@ -51,7 +66,7 @@ def prepare_spectra(metadata: DataFrame, fragments: DataFrame, dataset: str, ins
         "scan_number",
         "proforma",
         F.col("precursor_charge").cast("bigint").alias("charge"),
-        hashing.split_label(unit).alias("split"),
+        "split",
         F.col(rt_name).alias("irt"),
         raw_rt.alias("raw_rt"),
         F.lit(instrument).alias("instrument"),

@@ -443,6 +443,21 @@ def facet_report(spark, sf):
     return evaluate.facet_report(evaluate.facet_levels(rows, F.array().cast("array<string>")))
 
 
+@add(
+    "pca_lengths",
+    "A25",
+    sql="""WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(x) AS mean FROM c GROUP BY 1)
+SELECT vec_id, round(sum((x - mean) * (x - mean)), 6) AS squared_length FROM c JOIN m USING (i) GROUP BY 1""",
+)
+def pca_lengths(spark, sf):
+    """With all components kept the scores are a rotation: their squares add up to the squared centred length."""
+    rows = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    placed, _, _ = evaluate.pca_basis(rows, "vec_id", "embedding", 64)
+    square = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + x * x)
+    return placed.select("vec_id", square.alias("squared_length"))
+
+
 @add("pca_scores", "A25")
 def pca_scores(spark, sf):
     """Coordinates of every embedding on the two leading components, sign removed."""

@@ -338,13 +338,13 @@ def task_catalog(spark, sf):
     "reference_panel_scan",
     "S12",
     needs=("precursors", "cells"),
-    sql="""SELECT spectrum_id, length(peptide)::BIGINT AS length, cell AS peak, CASE WHEN cell < 16 THEN cell ELSE 16 - (cell - 15) END::BIGINT AS site,
-  CASE WHEN cell < 16 THEN 0 ELSE 3 END::BIGINT AS col, round(signed, 6) AS intensity FROM precursors JOIN (SELECT spectrum_id AS sid, cell, signed FROM cells WHERE cell < 32) ON sid = spectrum_id""",
+    sql="""SELECT spectrum_id, length(peptide)::BIGINT AS length, cell AS peak, CASE WHEN cell // 16 % 2 = 0 THEN cell % 16 ELSE 15 - cell % 16 END::BIGINT AS site,
+  (cell // 16)::BIGINT AS col, round(signed, 6) AS intensity FROM precursors JOIN (SELECT spectrum_id AS sid, cell, signed FROM cells) ON sid = spectrum_id""",
 )
 def reference_panel_scan(spark, sf):
-    """A panel of semicolon lists: sixteen b and sixteen doubly charged y annotations each."""
-    names = ";".join([f"b{i}" for i in range(1, 17)] + [f"y{i}^2" for i in range(1, 17)])
-    values = F.array_join(F.transform(F.slice("embedding", 1, 32), lambda x: sink.fixed(x, 12)), ";")
+    """A panel of semicolon lists: sixteen b and y annotations at either charge, the whole vector."""
+    names = ";".join(f"{ion}{i}{charge}" for charge in ("", "^2") for ion in "by" for i in range(1, 17))
+    values = F.array_join(F.transform("embedding", lambda x: sink.fixed(x, 12)), ";")
     raw = views.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("spectrum_id"),
         views.hashed_peptide(F.col("vec_id")).alias("proforma"),

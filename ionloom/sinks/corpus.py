@@ -12,17 +12,14 @@ from ionloom.schemas import PREPARED, WINNERS, enforce_schema
 ROW_GROUP_ROWS = 65_536
 
 
-def write_prepared(
-    prepared: DataFrame, path: str, partition_by: tuple[str, ...] = (), files_per_directory: int = 16
-) -> None:
+def write_prepared(prepared: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Zstandard Parquet with bounded row groups; optional extra columns become directories.
 
-    With directories, rows are spread by a hash of their identifier over a stated number of files
-    each: a large source is written by several tasks, and no task writes to every directory.
+    With directories, rows are rebalanced on those columns: a source has as many files as its size asks for,
+    a large one is written by several tasks, and no task writes to every directory.
     """
     if partition_by:
-        bucket = F.pmod(F.xxhash64("spectrum_id"), F.lit(files_per_directory))
-        prepared = prepared.repartition(*partition_by, bucket)
+        prepared = prepared.hint("rebalance", *partition_by)
     writer = (
         prepared.write.mode("error")
         .option("compression", "zstd")

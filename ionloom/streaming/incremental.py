@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ionloom.functions.spectra import angle_bin
+from ionloom.session import materialise
 
 
 def process_new_files(
@@ -79,14 +80,15 @@ def latest_version(spark: SparkSession, output: str) -> DataFrame:
     return versions.join(F.broadcast(newest), "version").drop("version")  # one row
 
 
-def push_rows(rows: DataFrame, open_sink: Callable[[], Callable[[Iterable], None]]) -> None:
-    """Hand every row to a caller's sink, once per partition, in one pass.
+def push_rows(rows: DataFrame, open_sink: Callable[[], Callable[[Iterable], object]], receipt: str) -> DataFrame:
+    """Hand every partition to a caller's sink as Arrow batches, and return the sink's receipts.
 
-    ``open_sink`` runs in the task and returns a function that consumes the partition's rows. A
-    retried task calls it again, so a sink has to tolerate a repeated partition.
+    ``open_sink`` runs in the task and returns a generator function over the partition's batches that yields
+    receipt batches under the schema ``receipt``. A retried task calls it again, so a sink has to tolerate a
+    repeated partition; the receipts of the task that succeeded are the ones returned.
     """
 
-    def run(partition: Iterable) -> None:
-        open_sink()(partition)
+    def run(batches: Iterable):
+        yield from open_sink()(batches)
 
-    rows.foreachPartition(run)
+    return materialise(rows.mapInArrow(run, receipt))
