@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ionloom.functions.hashing import unsigned
 from ionloom.functions.spectra import finite
 from ionloom.operators import curation as cur
+from ionloom.operators.catalog import corpus_manifest
 from ionloom.operators.ordering import with_group_position
+from ionloom.plans.prepare import curate_prepared, prepare_spectra
 from ionloom.queries import views
-from ionloom.queries.base import Book
+from ionloom.queries.base import Book, run_folder
 from ionloom.session import materialise
+from ionloom.sinks.corpus import write_prepared
 
 BOOK = Book()
 add = BOOK.add
@@ -277,3 +281,93 @@ def replicate_numbers(spark, sf):
         views.psms(spark, sf), cur.PEPTIDOFORM, [F.col("raw_rt").asc(), F.col("spectrum_id").asc()], "replicate"
     )
     return placed.select("spectrum_id", "replicate")
+
+
+_PREPARED_SQL = f"""source AS (SELECT * FROM ({views.SQL['psms']})),
+psms AS (SELECT spectrum_id, raw_file, CASE WHEN spectrum_id % 7 = 0 THEN '[UNIMOD:1]-' ELSE '' END || {views.sql_coded('(spectrum_id % 5)', 8)} AS proforma, charge,
+  coalesce(detector, '') AS detector, coalesce(fragmentation, '') AS fragmentation, energy, raw_rt, precursor_intensity::DOUBLE AS precursor_intensity, andromeda_score
+  FROM source WHERE spectrum_id % 3 < 2 AND spectrum_id % 11 <> 0 AND precursor_intensity > 0)"""
+
+
+def prepared_source(spark, sf):
+    """Events as a source: metadata with missing labels and energies, and one fragment of each scan."""
+    psms = views.psms(spark, sf)
+    eid = F.col("spectrum_id")
+    metadata = psms.select(
+        "raw_file",
+        "scan_number",
+        F.concat(F.when(eid % 7 == 0, "[UNIMOD:1]").otherwise(""), views.coded_peptide(eid % 5, 8)).alias("modified_sequence"),
+        F.col("charge").alias("precursor_charge"),
+        F.col("raw_rt").alias("retention_time"),
+        F.col("energy").alias("aligned_collision_energy"),
+        F.col("detector").alias("mass_analyzer"),
+        "fragmentation",
+        "andromeda_score",
+        "precursor_intensity",
+    )
+    fragments = psms.select(
+        "raw_file",
+        "scan_number",
+        F.when(eid % 2 == 0, "b").otherwise("y").alias("ion_type"),
+        (1 + eid % 5).alias("no"),
+        (1 + eid % 3).alias("charge"),
+        F.col("precursor_intensity").alias("intensity"),
+        F.when(eid % 11 == 0, "H2O").alias("neutral_loss"),
+    )
+    return metadata, fragments
+
+
+def prepared_and_curated(spark, sf):
+    metadata, fragments = prepared_source(spark, sf)
+    spectra = materialise(prepare_spectra(metadata, fragments, "stand-in", "Lumos"))
+    return spectra, *curate_prepared(spectra, POLICY)
+
+
+@add(
+    "prepare_pipeline",
+    "S2",
+    "S3",
+    "W5",
+    "A2",
+    sql=f"""WITH {_PREPARED_SQL}, {_CURATION_SQL} SELECT raw_file, detector, charge, count(*) AS prepared, count(*) FILTER (selected) AS kept,
+  round(sum(precursor_intensity) FILTER (selected), 2) AS kept_intensity FROM verdicts GROUP BY 1, 2, 3""",
+)
+def prepare_pipeline(spark, sf):
+    """Candidates and fragments to grids, then curation: prepared and kept spectra per run, detector and charge."""
+    spectra, kept, _ = prepared_and_curated(spark, sf)
+    chosen = kept.select(F.col("spectrum_id").alias("chosen"))
+    marked = spectra.withColumn("unsigned", unsigned(F.col("spectrum_id"))).join(chosen, F.col("unsigned") == F.col("chosen"), "left")
+    is_kept = F.col("chosen").isNotNull()
+    return marked.groupBy("raw_file", "detector", "charge").agg(
+        F.count(F.lit(1)).alias("prepared"),
+        F.count_if(is_kept).alias("kept"),
+        F.round(F.sum(F.when(is_kept, F.col("precursor_intensity"))), 2).alias("kept_intensity"),
+    )
+
+
+@add(
+    "finalize_manifest",
+    "K2",
+    "K1",
+    "W6",
+    sql=f"""WITH {_PREPARED_SQL}, {_CURATION_SQL} SELECT 1::BIGINT AS version, count(DISTINCT raw_file) AS chunks, count(*) AS chunk_rows, count(*) AS split_rows,
+  'stand-in' AS datasets FROM verdicts WHERE selected""",
+)
+def finalize_manifest(spark, sf):
+    """The same source written as a partitioned corpus, read back, and summed up by its manifest."""
+    folder = run_folder(spark)
+    _, kept, _ = prepared_and_curated(spark, sf)
+    write_prepared(kept.withColumn("source_shard", F.col("raw_file")), f"{folder}/prepared", partition_by=("source_shard",))
+    corpus = spark.read.parquet(f"{folder}/prepared")
+    chunks = corpus.groupBy("source_shard", "dataset").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.concat(F.lit("prepared/source_shard="), "source_shard").alias("uri"), "dataset", "rows", F.col("source_shard").cast("string").alias("source_shard")
+    )
+    manifest = corpus_manifest(corpus, chunks, "winners", {"config_fingerprint": "f", "policy_version": 2})
+    total = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return manifest.select(
+        "version",
+        F.size("chunks").alias("chunks"),
+        total(F.transform("chunks", lambda c: c["rows"].cast("bigint"))).alias("chunk_rows"),
+        total(F.transform(F.map_values("split_rows"), lambda n: n.cast("bigint"))).alias("split_rows"),
+        F.array_join(F.map_keys("datasets"), ";").alias("datasets"),
+    )
