@@ -9,12 +9,16 @@ shingle): such a segment covers two differences, as a segment that differs in on
 1. One pass over the texts makes the signatures: for a set's own band, and as the larger partner for the
    band below. They move as packed numbers, split by signature, and only signatures that two
    different sets share come back as rows.
-2. Allocation. A signature nobody shares covers its difference for nothing. What is missing to
-   H(a) + 1 is taken from the cheapest shared segments, the cost being the length of their lists. A set that
-   is covered without any has no partner: a common passage alone brings no candidate.
-3. Candidates come from the lists taken. Every set is first compared with the leader it shares most lists
-   with; then pairs from the lists whose sets are not yet in one component. Every pair is verified
-   on whole shingle sets. So no link between components is lost, and copies are not expanded into pairs.
+2. Allocation, for either band. A signature nobody shares covers its difference for nothing. What is
+   missing to H + 1 is taken from the cheapest shared segments, the cost being the length of their lists. A set that
+   is covered without any has no partner there: it leaves all lists, and the lists are counted again. So a common
+   passage alone brings no candidate.
+3. Candidates come from the lists taken. Every set is first compared with the leader it shares most lists with, the
+   leader of a list being its set with most shared segments. Then only lists count whose sets are in
+   different components; of two such sets the one in the smaller component looks for the other (the
+   pigeonhole holds from either side). Lists travel as arrays, candidates are met in blocks, a parity sketch
+   (one bit flips per shingle, so differing bits bound the difference from below) settles most of them, and the rest
+   is verified on whole shingle sets. So no link between components is lost, and no pair of a group becomes a row.
 
 Equal sets are one class from the start. A signature that is frequent already within one task's chunk is spread
 over all partitions by set, so its list is not gathered in one task.
@@ -43,6 +47,7 @@ from pyspark.sql import functions as F
 
 from ionloom.llm.graph import components
 from ionloom.llm.words import mix, row_slices, shingles, words
+from ionloom.operators.joins import null_safe
 from ionloom.session import materialise
 
 #: Sets of up to this many shingles form the lowest band; there every shingle is a segment.
@@ -54,6 +59,9 @@ CHUNK_SETS, CHUNK_SIGNATURES, FREQUENT = 8192, 5_000_000, 512
 #: Identifiers that are broadcast at most (8 bytes each) to fetch the texts of candidates; beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
 
+#: Sets of a list that travel in one row.
+LIST_BLOCK = 4096
+
 OWN, DELETION, SPREAD, MARK = 1, 2, 4, 8
 _MASK48 = np.uint64((1 << 48) - 1)
 
@@ -73,6 +81,10 @@ class Bands:
         """The most shingles in which a linked pair differs whose smaller set has ``a``."""
         return (a + self.partner(a)) * (self.den - self.num) // (self.den + self.num)
 
+    def differences_below(self, b, low):
+        """The same for a set of size ``b`` and a smaller partner of less than ``low``."""
+        return (np.minimum(b, low - 1) + b) * (self.den - self.num) // (self.den + self.num)
+
     def low(self, most: int) -> list[int]:
         out = [1, TINY + 1]
         while out[-1] <= most:
@@ -136,9 +148,12 @@ def set_id(g: np.ndarray) -> int:
         return int(mix(np.array([np.add.reduce(mix(g ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) + np.uint64(len(g))], np.uint64))[0])
 
 
-_PACKED = "bucket int, sets binary, counts binary, low binary, high binary, tags binary, items binary, doc_ids binary, doc_null binary, doc_sets binary, doc_n binary, doc_cover binary"
+_PACKED = (
+    "bucket int, sets binary, counts binary, low binary, high binary, tags binary, items binary, "
+    "doc_ids binary, doc_null binary, doc_sets binary, doc_n binary, doc_cover binary, doc_cover_below binary"
+)
 _PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
-_SHARED = "kind byte, doc_id long, cid long, n int, cover int, sig long, own boolean, item long, cost int"
+_SHARED = "kind byte, doc_id long, cid long, n int, cover int, cover_below int, sig long, own boolean, item long, cost int"
 
 
 class _Chunk:
@@ -152,28 +167,28 @@ class _Chunk:
     def add(self, doc_id: int | None, g: np.ndarray, signer: _Signer) -> None:
         n = len(g)
         if not n:
-            self.docs.append((doc_id, 0, 0, 0))
+            self.docs.append((doc_id, 0, 0, 0, 0))
             return
         cid = set_id(g)
         band = signer.band(n)
         if cid in self.known:
-            self.docs.append((doc_id, cid, n, self.known[cid][1]))
+            self.docs.append((doc_id, cid, n, *self.known[cid]))
             return
         place = len(self.known)
-        cover = 0
+        cover = [0, 0]
         for b in (band, band - 1) if band else (band,):
             exact, gone, items, weight = signer.sign(g, b)
             tag = OWN if b == band else 0
-            cover = weight if b == band else cover
+            cover[0 if b == band else 1] = weight
             self.sig += [exact, gone]
             self.ref.append(np.full(len(exact) + len(gone), place, np.uint16))
             self.tag += [np.full(len(exact), tag, np.uint8), np.full(len(gone), tag | DELETION, np.uint8)]
             self.item.append(items)
             self.held += len(exact) + len(gone)
-        if cover <= signer.bands.differences(n):
+        if cover[0] <= signer.bands.differences(n) or band and cover[1] <= signer.bands.differences_below(n, signer.lows[band]):
             raise ValueError("too few segments hold a shingle; raise Bands.segments")
-        self.known[cid] = (place, cover)
-        self.docs.append((doc_id, cid, n, cover))
+        self.known[cid] = tuple(cover)
+        self.docs.append((doc_id, cid, n, *cover))
 
     def batches(self, flush: int) -> Iterator[pa.RecordBatch]:
         rows = {c: [] for c in _PACKED_NAMES}
@@ -182,7 +197,7 @@ class _Chunk:
             for c in _PACKED_NAMES:
                 rows[c].append(bucket if c == "bucket" else bytes(values.get(c, b"")))
 
-        ids, sets, n, cover = zip(*self.docs) if self.docs else ((), (), (), ())
+        ids, sets, n, cover, below = zip(*self.docs) if self.docs else ((), (), (), (), ())
         row(
             flush % self.buckets,
             doc_ids=np.array([i or 0 for i in ids], np.int64).tobytes(),
@@ -190,6 +205,7 @@ class _Chunk:
             doc_sets=np.array(sets, np.uint64).tobytes(),
             doc_n=np.array(n, np.int32).tobytes(),
             doc_cover=np.array(cover, np.int32).tobytes(),
+            doc_cover_below=np.array(below, np.int32).tobytes(),
         )
         if self.held:
             cids = np.array(list(self.known), np.uint64)
@@ -316,6 +332,7 @@ def _shared(rows: pa.Table) -> pa.Table:
             "cid": column(joined("doc_sets", np.uint64).view(np.int64), cid[order].view(np.int64), pa.int64()),
             "n": column(doc_n, None, pa.int32()),
             "cover": column(joined("doc_cover", np.int32), None, pa.int32()),
+            "cover_below": column(joined("doc_cover_below", np.int32), None, pa.int32()),
             "sig": column(None, sig[order].astype(np.int64), pa.int64()),
             "own": column(None, (tag[order] & OWN) > 0, pa.bool_()),
             "item": column(None, item[order], pa.int64()),
@@ -324,22 +341,42 @@ def _shared(rows: pa.Table) -> pa.Table:
     )
 
 
-def _allocate(shared: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The entries ``(sig, cid, n)`` whose lists a set has to look at: the cheapest that complete its cover."""
-    differences = F.floor((F.col("n") + F.floor(F.col("n") * bands.den / bands.num)) * (bands.den - bands.num) / (bands.den + bands.num))
-    own = shared.where("own").select("sig", "cid", "item", F.col("cost").cast("long").alias("cost"))
-    one = own.where("item < 0").withColumn("weight", F.lit(1))
-    in_item = Window.partitionBy("cid", "item")
-    two = own.where("item >= 0").withColumn("weight", F.when(F.row_number().over(in_item.orderBy("sig")) == 1, 2).otherwise(0))
+def _missing(entries: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """``(cid, own, missing)`` of the sets whose shared segments leave their cover short, by band role.
+
+    Sets covered by segments nobody shares have no partner in that role and are left out.
+    """
+    weight = F.count_if(F.col("item") < 0) + 2 * F.count_distinct(F.when(F.col("item") >= 0, F.col("item")))
+    shared = entries.groupBy("cid", "own").agg(weight.alias("weight")).join(sets, "cid")
+    n, den, num = F.col("n"), bands.den, bands.num
+    own = F.floor((n + F.floor(n * den / num)) * (den - num) / (den + num))
+    below = F.floor((F.least(n, F.col("low") - 1) + n) * (den - num) / (den + num))
+    missing = F.when(F.col("own"), own - F.col("cover")).otherwise(below - F.col("cover_below")) + 1 + F.col("weight")
+    return shared.select("cid", "own", "weight", missing.alias("missing")).where("missing > 0")
+
+
+def _peel(shared: DataFrame, sets: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Entries and roles that can still have a partner: roles without one leave, then the lists are counted again."""
+    short = materialise(_missing(shared, sets, bands))
+    left = shared.join(short.select("cid", "own"), ["cid", "own"], "left_semi")
+    size = left.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any_own")).where("size > 1 and any_own")
+    left = materialise(left.drop("cost").join(size.select("sig", F.col("size").alias("cost")), "sig"))
+    short = materialise(_missing(left, sets, bands))
+    return materialise(left.join(short.select("cid", "own"), ["cid", "own"], "left_semi")), short
+
+
+def _allocate(entries: DataFrame, short: DataFrame) -> DataFrame:
+    """The lists ``(sig, cid)`` a set has to look at: in each role the cheapest that complete its cover."""
+    role = ["cid", "own"]
+    entries = entries.withColumn("cost", F.col("cost").cast("double"))
+    one = entries.where("item < 0").withColumn("weight", F.lit(1))
+    in_item = Window.partitionBy(*role, "item")
+    two = entries.where("item >= 0").withColumn("weight", F.when(F.row_number().over(in_item.orderBy("sig")) == 1, 2).otherwise(0))
     two = two.withColumn("cost", F.sum("cost").over(in_item) / 2)
-    entries = one.withColumn("cost", F.col("cost").cast("double")).unionByName(two)
-    of_set = Window.partitionBy("cid")
-    so_far = of_set.orderBy("cost", "item", F.desc("weight"), "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    entries = entries.withColumn("shared_weight", F.sum("weight").over(of_set)).withColumn("running", F.sum("weight").over(so_far))
-    known = entries.join(sets.select("cid", "n", "cover"), "cid")
-    missing = differences + 1 - (F.col("cover") - F.col("shared_weight"))
+    so_far = Window.partitionBy(*role).orderBy("cost", "item", F.desc("weight"), "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = one.unionByName(two).withColumn("running", F.sum("weight").over(so_far)).join(short, role)
     before = F.col("running") - F.when(F.col("item") < 0, 1).otherwise(2)
-    return known.where(before < missing).select("sig", "cid", "n")
+    return known.where(before < F.col("missing")).select("sig", "cid").distinct()
 
 
 def _set_rows(width: int):
@@ -363,42 +400,108 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, sets: DataFrame, width: int)
     return materialise(made.join(wanted, "cid", "left_semi"))
 
 
-def _verified(bands: Bands):
+def _sketches(members: list[np.ndarray], words_: int) -> np.ndarray:
+    """Parity sketches: each shingle flips one bit of its set's row."""
+    out = np.zeros((len(members), words_), np.uint64)
+    bits = np.uint64(64 * words_)
+    for row, g in zip(out, members):
+        at = (mix(g) >> np.uint64(16)) % bits
+        odd = np.flatnonzero(np.bincount(at.astype(np.int64), minlength=64 * words_) & 1)
+        np.bitwise_or.at(row, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
+    return out
+
+
+def _links(bands: Bands):
+    """Of one block: rows of seekers (with their candidates) and of candidates to links, one per seeker and component."""
+
     def run(rows: pa.Table) -> pa.Table:
         members = [np.frombuffer(b, np.uint64) for b in rows.column("members").to_pylist()]
-        left, ids = rows.column("left").to_pylist(), rows.column("id").to_pylist()
-        a = members[left.index(True)] if True in left else np.zeros(0, np.uint64)
-        out = []
-        for is_left, i, b in zip(left, ids, members):
-            if is_left or not len(a):
+        seeks = rows.column("seeks").to_pylist()
+        ids, labels = rows.column("cid").to_pylist(), rows.column("label").to_pylist()
+        theirs = {c: i for i, (c, s) in enumerate(zip(ids, seeks)) if s is None}
+        size = np.array([len(m) for m in members], np.int64)
+        most = int(bands.differences(int(size.max()))) if len(size) else 0
+        sketch = _sketches(members, max(1, -(-6 * most // 64)))
+        out: list[tuple[int, int]] = []
+        for x, candidates in enumerate(seeks):
+            if candidates is None:
+                continue
+            y = np.array([theirs[c] for c in candidates if c in theirs], np.int64)
+            y = y[(bands.den * np.minimum(size[y], size[x]) >= bands.num * np.maximum(size[y], size[x]))]
+            if not len(y):
                 continue
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            if bands.den * both >= bands.num * (len(a) + len(b) - both):
-                out.append(i)
-        a_id = rows.column("a").to_pylist()[0] if rows.num_rows else 0
-        return pa.table({"a": pa.array([a_id] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            y = y[apart <= (size[y] + size[x]) * (bands.den - bands.num) // (bands.den + bands.num)]
+            done = set()
+            for k in y.tolist():
+                if labels[k] in done:
+                    continue
+                small, large = (members[x], members[k]) if size[x] <= size[k] else (members[k], members[x])
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                if bands.den * both >= bands.num * (int(size[x] + size[k]) - both):
+                    done.add(labels[k])
+                    out.append((labels[x], labels[k]))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _verify(pairs: DataFrame, members: DataFrame, bands: Bands, block: int = 256) -> DataFrame:
-    """The pairs ``(a, b)`` that link. A set meets its partners in blocks, so a hub is not one group."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / block)).alias("block"))
-    dealt = materialise(dealt)
-    right = dealt.join(members.withColumnRenamed("cid", "b"), "b").select("a", "block", F.lit(False).alias("left"), F.col("b").alias("id"), "members")
-    heads = dealt.select("a", "block").distinct()
-    left = heads.join(members.withColumnRenamed("cid", "a"), "a").select("a", "block", F.lit(True).alias("left"), F.col("a").alias("id"), "members")
-    return left.unionByName(right).groupBy("a", "block").applyInArrow(_verified(bands), "a long, b long")
+def _meet(seekers: DataFrame, members: DataFrame, bands: Bands) -> DataFrame:
+    """Links ``(a, b)`` between labels, from rows ``(block, cid, label, seeks)``; ``seeks`` is null for candidates."""
+    rows = seekers.join(members, "cid")
+    return rows.groupBy("block").applyInArrow(_links(bands), "a long, b long").distinct()
+
+
+_SEEKS = "block long, cid long, label long, seeks array<long>"
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """Of one block: its lists, each once, and its seekers' rows to one row per seeker and one per candidate."""
+    held: dict[int, tuple[np.ndarray, ...]] = {}
+    asked: dict[int, list[int]] = {}
+    own: dict[int, tuple[int, int]] = {}
+    for sig, x, label, size, cids, labels, sizes in zip(*[rows.column(c) for c in ("sig", "cid", "label", "size", "cids", "labels", "sizes")]):
+        if cids.is_valid:
+            held[sig.as_py()] = tuple(v.values.to_numpy(zero_copy_only=False) for v in (cids, labels, sizes))
+        else:
+            asked.setdefault(x.as_py(), []).append(sig.as_py())
+            own[x.as_py()] = (label.as_py(), size.as_py())
+    seeks: list[tuple] = []
+    candidates: dict[int, int] = {}
+    for x, sigs in asked.items():
+        label, size = own[x]
+        parts = []
+        for sig in sigs:
+            y, yl, ys = held[sig]
+            larger = (ys > size) | (ys == size) & (yl > label)  # of two components the smaller one seeks
+            parts.append(y[larger])
+            candidates.update(zip(y[larger].tolist(), yl[larger].tolist()))
+        seeks.append((x, label, np.unique(np.concatenate(parts))))
+    every = [s for s in seeks if len(s[2])] + [(y, yl, None) for y, yl in candidates.items()]
+    columns = list(zip(*every)) if every else ((), (), ())
+    block = rows.column("block")[0].as_py() if rows.num_rows else 0
+    return pa.table(
+        {
+            "block": pa.array([block] * len(every), pa.int64()),
+            "cid": pa.array(columns[0], pa.int64()),
+            "label": pa.array(columns[1], pa.int64()),
+            "seeks": pa.array(columns[2], pa.list_(pa.int64())),
+        }
+    )
+
+
+def _at_or_below(n: Column, lows: list[int]) -> Column:
+    """The greatest of ``lows`` that is not above ``n``."""
+    return F.array_max(F.filter(F.array(*[F.lit(x) for x in lows]), lambda x: x <= n))
 
 
 def _label(cid: Column, label: str) -> Column:
     return F.coalesce(F.col(label), cid)
 
 
-def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, buckets: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, buckets: int | None = None, block: int = 256) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
@@ -408,35 +511,55 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     packed = source.mapInArrow(_signatures(bands, width, buckets), _PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(_shared, _SHARED))
-    rows = found.where("kind = 0").select("doc_id", "cid", "n", "cover")
+    rows = found.where("kind = 0").select("doc_id", "cid", "n", "cover", "cover_below")
     shared = found.where("kind = 1").select("sig", "cid", "own", "item", "cost")
-    sets = materialise(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("cover").alias("cover")))
-
-    taken = materialise(_allocate(shared, sets, bands))
-    lists = materialise(shared.select("sig", "cid").join(taken.select("sig").distinct(), "sig", "left_semi").join(sets.select("cid", "n"), "cid"))
+    sets = rows.where("n > 0").groupBy("cid").agg(*[f("doc_id" if c == "rep" else c).alias(c) for f, c in ((F.min, "rep"), (F.max, "n"), (F.max, "cover"), (F.max, "cover_below"))])
+    most = found.where("kind = 0").agg(F.max("n")).first()[0] or 1
+    lows = bands.low(int(most))
+    sets = materialise(sets.withColumn("low", _at_or_below(F.col("n"), lows)))
+
+    lists, short = _peel(shared, sets, bands)
+    taken = materialise(_allocate(lists, short))
+    # Lists that nobody takes cannot bring a candidate.
+    lists = materialise(lists.join(taken.select("sig").distinct(), "sig", "left_semi").select("sig", "cid").distinct())
     members = _fetch_sets(source, lists.select("cid").distinct(), sets, width)
 
-    # Every set against the leader it shares most lists with.
-    leaders = lists.groupBy("sig").agg(F.min("cid").alias("lead"))
+    # Every set against the leader it shares most lists with; a list's leader has the most shared segments.
+    weight = short.groupBy("cid").agg(F.max("weight").alias("weight"))
+    leaders = lists.join(weight, "cid").groupBy("sig").agg(F.max_by("cid", F.struct("weight", "cid")).alias("lead"))
     votes = lists.join(leaders, "sig").where("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("cid").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead"))
-    links = _verify(first.select(F.col("lead").alias("a"), F.col("cid").alias("b")), members, bands)
-    label = components(links, "a", "b")
-
-    # Pairs of the lists whose sets are still apart.
-    label = materialise(label)
-    r = taken.join(label.withColumnsRenamed({"node": "cid", "component": "r_label"}), "cid", "left")
-    r = r.select("sig", F.col("cid").alias("r"), F.col("n").alias("r_n"), _label(F.col("cid"), "r_label").alias("r_label"))
-    s = lists.join(label.withColumnsRenamed({"node": "cid", "component": "s_label"}), "cid", "left")
-    s = s.select("sig", F.col("cid").alias("s"), F.col("n").alias("s_n"), _label(F.col("cid"), "s_label").alias("s_label"))
-    fits = (F.col("s_n") >= F.col("r_n")) & (F.col("s_n") * bands.num <= F.col("r_n") * bands.den)
-    apart = r.join(s, "sig").where((F.col("r") != F.col("s")) & fits & (F.col("r_label") != F.col("s_label")))
-    apart = materialise(apart.groupBy("r", "s").agg(F.first("r_label").alias("r_label"), F.first("s_label").alias("s_label")))
-    more = _verify(apart.select(F.col("r").alias("a"), F.col("s").alias("b")), members, bands)
-    bridges = more.join(apart.withColumnsRenamed({"r": "a", "s": "b"}), ["a", "b"]).select("r_label", "s_label")
-    joined = components(bridges, "r_label", "s_label").withColumnsRenamed({"node": "label", "component": "whole"})
-
-    of_set = sets.select("cid", "rep").join(label.withColumnsRenamed({"node": "cid", "component": "label"}), "cid", "left")
+    first = materialise(votes.groupBy("cid").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")))
+    many = first.groupBy("lead").agg(F.count(F.lit(1)).alias("many"))
+    dealt = first.join(many, "lead").withColumn("block", F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / block))))
+    seek = dealt.select("block", "cid", F.col("cid").alias("label"), F.array("lead").alias("seeks"))
+    heads = dealt.select("block", F.col("lead").alias("cid"), F.col("lead").alias("label"), F.lit(None).cast("array<long>").alias("seeks")).distinct()
+    label = materialise(components(_meet(seek.unionByName(heads), members, bands), "a", "b"))
+
+    # Lists whose sets are still apart: the set of the smaller component seeks, block by block.
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    labelled = lists.join(label.join(sizes, "component").withColumnRenamed("node", "cid"), "cid", "left")
+    labelled = labelled.select("sig", "cid", _label(F.col("cid"), "component").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("long"))
+    mixed = materialise(mixed.where("a <> z").select("sig", "top", "long"))
+    open_ = materialise(labelled.join(mixed, "sig"))
+    longest = open_.agg(F.max("long")).first()[0] or 1
+    split = F.pmod(F.xxhash64("cid"), F.lit(-(-int(longest) // LIST_BLOCK)))
+    arrays = open_.groupBy("sig", split.alias("part")).agg(*[F.collect_list(c).alias(f"{c}s") for c in ("cid", "label", "size")])
+    seekers = open_.where((F.col("size") < F.col("top.size")) | (F.col("size") == F.col("top.size")) & (F.col("label") < F.col("top.label")))
+    seekers = seekers.join(taken, ["sig", "cid"], "left_semi").select("sig", "cid", "label", "size").join(first, "cid", "left")
+    many = seekers.select("lead", "cid").distinct().groupBy("lead").agg(F.count(F.lit(1)).alias("many"))
+    seekers = null_safe(seekers, many, ["lead"], "inner")
+    arrays = materialise(arrays)
+    asked = seekers.join(arrays.select("sig", "part"), "sig")
+    asked = materialise(asked.withColumn("block", F.xxhash64("lead", "part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / block)))))
+    # A list travels once to each block that asks for it, not once for each seeker.
+    sent = asked.select("block", "sig", "part").distinct().join(arrays, ["sig", "part"]).select("block", "sig", "cids", "labels", "sizes")
+    both = asked.select("block", "sig", "cid", "label", "size").unionByName(sent, allowMissingColumns=True)
+    met = both.groupBy("block").applyInArrow(_gather, _SEEKS)
+    joined = components(_meet(materialise(met), members, bands), "a", "b").withColumnsRenamed({"node": "label", "component": "whole"})
+    label = label.withColumnsRenamed({"node": "cid", "component": "label"})
+
+    of_set = sets.select("cid", "rep").join(label, "cid", "left")
     of_set = of_set.withColumn("label", _label(F.col("cid"), "label")).join(joined, "label", "left").withColumn("label", F.coalesce("whole", "label"))
     of_set = materialise(of_set.select("cid", "rep", "label"))
     smallest = of_set.groupBy("label").agg(F.min("rep").alias("component_id"))
