@@ -341,42 +341,44 @@ def _shared(rows: pa.Table) -> pa.Table:
     )
 
 
-def _missing(entries: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """``(cid, own, missing)`` of the sets whose shared segments leave their cover short, by band role.
+def _short(entries: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Entries of the roles (set, own band or the one below) whose cover is short, with ``weight`` and ``missing``.
 
-    Sets covered by segments nobody shares have no partner in that role and are left out.
+    A role covered by segments nobody shares has no partner there. Join and windows go by the set alone, so the
+    entries are shuffled once; a set has no more entries than segments.
     """
-    weight = F.count_if(F.col("item") < 0) + 2 * F.count_distinct(F.when(F.col("item") >= 0, F.col("item")))
-    shared = entries.groupBy("cid", "own").agg(weight.alias("weight")).join(sets, "cid")
+    known = entries.join(sets.select("cid", "n", "low", "cover", "cover_below"), "cid")
+    role = Window.partitionBy("cid", "own")
+    items = F.size(F.collect_set(F.when(F.col("item") >= 0, F.col("item"))).over(role))
     n, den, num = F.col("n"), bands.den, bands.num
-    own = F.floor((n + F.floor(n * den / num)) * (den - num) / (den + num))
-    below = F.floor((F.least(n, F.col("low") - 1) + n) * (den - num) / (den + num))
-    missing = F.when(F.col("own"), own - F.col("cover")).otherwise(below - F.col("cover_below")) + 1 + F.col("weight")
-    return shared.select("cid", "own", "weight", missing.alias("missing")).where("missing > 0")
-
-
-def _peel(shared: DataFrame, sets: DataFrame, bands: Bands) -> tuple[DataFrame, DataFrame]:
-    """Entries and roles that can still have a partner: roles without one leave, then the lists are counted again."""
-    short = materialise(_missing(shared, sets, bands))
-    left = shared.join(short.select("cid", "own"), ["cid", "own"], "left_semi")
-    size = left.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any_own")).where("size > 1 and any_own")
-    left = materialise(left.drop("cost").join(size.select("sig", F.col("size").alias("cost")), "sig"))
-    short = materialise(_missing(left, sets, bands))
-    return materialise(left.join(short.select("cid", "own"), ["cid", "own"], "left_semi")), short
-
-
-def _allocate(entries: DataFrame, short: DataFrame) -> DataFrame:
-    """The lists ``(sig, cid)`` a set has to look at: in each role the cheapest that complete its cover."""
-    role = ["cid", "own"]
-    entries = entries.withColumn("cost", F.col("cost").cast("double"))
-    one = entries.where("item < 0").withColumn("weight", F.lit(1))
-    in_item = Window.partitionBy(*role, "item")
-    two = entries.where("item >= 0").withColumn("weight", F.when(F.row_number().over(in_item.orderBy("sig")) == 1, 2).otherwise(0))
-    two = two.withColumn("cost", F.sum("cost").over(in_item) / 2)
-    so_far = Window.partitionBy(*role).orderBy("cost", "item", F.desc("weight"), "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = one.unionByName(two).withColumn("running", F.sum("weight").over(so_far)).join(short, role)
-    before = F.col("running") - F.when(F.col("item") < 0, 1).otherwise(2)
-    return known.where(before < F.col("missing")).select("sig", "cid").distinct()
+    own = F.floor((n + F.floor(n * den / num)) * (den - num) / (den + num)) - F.col("cover")
+    below = F.floor((F.least(n, F.col("low") - 1) + n) * (den - num) / (den + num)) - F.col("cover_below")
+    weighed = known.withColumn("weight", F.sum(F.when(F.col("item") < 0, 1).otherwise(0)).over(role) + 2 * items)
+    missing = F.when(F.col("own"), own).otherwise(below) + 1 + F.col("weight")
+    return weighed.withColumn("missing", missing).where("missing > 0").drop("n", "low", "cover", "cover_below")
+
+
+def _allocate(entries: DataFrame) -> DataFrame:
+    """Mark the entries whose lists a set has to look at: in each role the cheapest that complete its cover.
+
+    The segments of an item (one with its deletions) are taken together and cover two differences.
+    """
+    in_item = Window.partitionBy("cid", "own", "item")
+    pair = F.col("item") >= 0
+    first = F.row_number().over(in_item.orderBy("sig")) == 1
+    entries = entries.withColumn("gain", F.when(~pair, 1).when(first, 2).otherwise(0))
+    entries = entries.withColumn("price", F.when(pair, F.sum("cost").over(in_item) / 2).otherwise(F.col("cost").cast("double")))
+    so_far = Window.partitionBy("cid", "own").orderBy("price", "item", F.desc("gain"), "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("gain").over(so_far) - F.when(pair, 2).otherwise(1)
+    return entries.withColumn("taken", before < F.col("missing"))
+
+
+def _lists(shared: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """``(sig, cid, weight, taken)`` of the roles that can have a partner: covered ones leave, then the lists are counted again."""
+    left = materialise(_short(shared, sets, bands).select("sig", "cid", "own", "item"))
+    size = left.groupBy("sig").agg(F.count(F.lit(1)).alias("cost"), F.max("own").alias("any_own")).where("cost > 1 and any_own")
+    again = _short(left.join(size.select("sig", "cost"), "sig"), sets, bands)
+    return materialise(_allocate(again).select("sig", "cid", "weight", "taken"))
 
 
 def _set_rows(width: int):
@@ -512,21 +514,20 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     packed = source.mapInArrow(_signatures(bands, width, buckets), _PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(_shared, _SHARED))
     rows = found.where("kind = 0").select("doc_id", "cid", "n", "cover", "cover_below")
-    shared = found.where("kind = 1").select("sig", "cid", "own", "item", "cost")
+    shared = found.where("kind = 1").select("sig", "cid", "own", "item")
     sets = rows.where("n > 0").groupBy("cid").agg(*[f("doc_id" if c == "rep" else c).alias(c) for f, c in ((F.min, "rep"), (F.max, "n"), (F.max, "cover"), (F.max, "cover_below"))])
     most = found.where("kind = 0").agg(F.max("n")).first()[0] or 1
     lows = bands.low(int(most))
     sets = materialise(sets.withColumn("low", _at_or_below(F.col("n"), lows)))
 
-    lists, short = _peel(shared, sets, bands)
-    taken = materialise(_allocate(lists, short))
+    marked = _lists(shared, sets, bands)
+    taken = marked.where("taken").select("sig", "cid")
     # Lists that nobody takes cannot bring a candidate.
-    lists = materialise(lists.join(taken.select("sig").distinct(), "sig", "left_semi").select("sig", "cid").distinct())
+    lists = materialise(marked.join(taken.select("sig").distinct(), "sig", "left_semi").groupBy("sig", "cid").agg(F.max("weight").alias("weight")))
     members = _fetch_sets(source, lists.select("cid").distinct(), sets, width)
 
     # Every set against the leader it shares most lists with; a list's leader has the most shared segments.
-    weight = short.groupBy("cid").agg(F.max("weight").alias("weight"))
-    leaders = lists.join(weight, "cid").groupBy("sig").agg(F.max_by("cid", F.struct("weight", "cid")).alias("lead"))
+    leaders = lists.groupBy("sig").agg(F.max_by("cid", F.struct("weight", "cid")).alias("lead"))
     votes = lists.join(leaders, "sig").where("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("votes"))
     first = materialise(votes.groupBy("cid").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")))
     many = first.groupBy("lead").agg(F.count(F.lit(1)).alias("many"))
