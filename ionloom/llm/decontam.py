@@ -1,17 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names become typed placeholders, so a question asked again with other figures or persons has
-the same template. Windows of template words of all documents are hash-joined with those of the benchmark;
-what stands in the slots of aligned windows must then map one to one, so windows that only look alike do not count.
-A second stream keeps names and units as words and ignores case, for texts in capitals.
+the same template. Windows of template words of all documents are hash-joined with those of the benchmark.
+A second
+stream keeps names and units as words and ignores case, for texts in capitals.
 
-A document is contaminated by an item if windows that are aligned and consistent cover a stated share of the
-item's windows. Documents keep their windows only where a bitmap of the benchmark's windows has a bit; the bitmap has a
-fixed size, whatever the size of the benchmark, and the join decides.
+Slots are judged one by one within a run of aligned windows: a window is dropped if one of its slots contradicts
+what the run mostly says of that value. A number may become several, or the same as another; a name or unit needs one
+most frequent counterpart of its own; windows with equal values always count.
+
+A document is contaminated by an item if the windows left cover a stated share of the item's windows. Documents keep their windows only where a bitmap of the
+benchmark's windows has a bit; the bitmap has a fixed size, whatever the size of the benchmark, and the join decides.
 
 Defined results
 * null or empty text, on either side: no window, no hit;
-* an item of fewer words than a window: one window of its own length; under ``LEAST`` words: too short to tell, no hit;
+* an item of fewer words than a window: one window of its own length, so a changed word (other than in a slot) is no
+  hit below 8 words; under ``LEAST`` words: too short to tell, no hit;
 * repeated rows: the same hits once; items with equal texts are hits of their own;
 * null identifiers are carried; an empty table on either side gives no hit;
 * whole texts are read, very long ones as well; extra columns are ignored.
@@ -19,7 +23,9 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,59 +43,108 @@ UNITS = "mm cm m km mg g kg ml l s sec min h hr hours minutes seconds days weeks
 
 _NUMBER, _UNIT, _NAME = (mix(np.array([x], np.uint64))[0] for x in (11, 12, 13))
 _UNIT_HASHES = np.sort(words(pa.array([" ".join(UNITS)])).hash)
-_ROWS = "id long, variant byte, hash long, at long, slots array<long>"
+_ROWS = "id long, variant byte, width byte, hash long, at long, exact long, slots array<long>, offsets array<byte>"
 TEMPLATE, PLAIN = 0, 1
-
-
-def _symbols(part: pa.Array) -> tuple:
-    """Per word: its template symbol, its plain symbol, its value, and whether it fills a slot in either."""
+#: Added to a variant whose windows are shorter, for short items.
+SHORT = 4
+_STEPS = np.array([int(x) | 1 for x in mix(np.arange(301, 301 + 64, dtype=np.uint64))], np.uint64)
+
+
+@dataclass
+class _Stream:
+    """The symbols of one variant: row, symbol, slot or not, full value, and the value that slots map by."""
+
+    variant: int
+    row: np.ndarray
+    symbol: np.ndarray
+    slot: np.ndarray
+    full: np.ndarray
+    value: np.ndarray
+
+
+def _merged(w, variant: int, symbol: np.ndarray, slot: np.ndarray, joined: np.ndarray, number: np.ndarray) -> _Stream:
+    """Words that continue the slot before them become one symbol with it."""
+    head = np.flatnonzero(~joined)
+    if not len(head):
+        none = np.zeros(0, np.uint64)
+        return _Stream(variant, np.zeros(0, np.int64), none, np.zeros(0, bool), none, none)
+    place = np.arange(len(joined)) - np.repeat(head, np.diff(np.r_[head, len(joined)]))
+    full = mix(np.add.reduceat(w.hash * _STEPS[place % 64], head))
+    last = w.hash[np.r_[head[1:], len(joined)] - 1]  # of a name of several words the last one counts
+    odd = number[head]
+    value = np.where(odd, full | np.uint64(1), last & ~np.uint64(1))
+    return _Stream(variant, w.row[head], symbol[head], slot[head], full, value)
+
+
+def _streams(part: pa.Array) -> tuple:
+    """The words, and the two variants of their symbols."""
     w = words(part, PUNCTUATION, fold=True)
+    if not len(w.hash):
+        return w, ()
     digit = np.r_[0, np.cumsum((w.data >= 0x30) & (w.data <= 0x39))]
     number = digit[w.end] > digit[w.start]
     first = w.data[w.start]
-    second = w.data[np.minimum(w.start + 1, max(len(w.data) - 1, 0))]
+    second = w.data[np.minimum(w.start + 1, len(w.data) - 1)]
     capital = (first >= 0x41) & (first <= 0x5A) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
     unit = np.isin(w.hash, _UNIT_HASHES)
     plain = np.where(number, _NUMBER, w.hash)
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(capital, _NAME, w.hash)))
-    return w, ((TEMPLATE, template, number | unit | capital), (PLAIN, plain, number))
+    no = np.zeros(len(w.hash), bool)
+    return w, (
+        _merged(w, TEMPLATE, template, number | unit | capital, no, number),
+        _merged(w, PLAIN, plain, number, no, number),
+    )
 
 
-def _window_rows(widths: tuple[int, ...], bitmap):
-    """Rows of windows; with a bitmap only those whose bit is set, without one every window of the text's own width."""
+def _own_widths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items of n symbols: the width of their windows, and a shorter one at which one change leaves half (0: none)."""
+    return np.minimum(n, WIDTH), np.zeros_like(n)
+
+
+def _window_rows(pairs: tuple[tuple[int, int], ...] | None, bitmap):
+    """Rows of windows of the given (variant, width), only those whose bit is set; without a bitmap those of items, by their own widths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
             for part in row_slices(batch, "text"):
                 ids = part.column("id").to_pylist()
-                w, streams = _symbols(part.column("text"))
-                bounds = w.bounds()
-                length = np.diff(bounds)
+                w, streams = _streams(part.column("text"))
+                weight = np.diff(w.bounds())
                 out: list[tuple] = []
-                for variant, symbol, slot in streams:
-                    filled = np.r_[0, np.cumsum(slot)]
-                    for width in widths:
-                        h = windows(symbol, width)
+                for s in streams:
+                    filled = np.r_[0, np.cumsum(s.slot)]
+                    bounds = np.searchsorted(s.row, np.arange(w.n_rows + 1))
+                    length = np.diff(bounds)
+                    wide, short = _own_widths(length)
+                    mine = pairs if pairs is not None else [(s.variant + SHORT * k, n) for k, own in enumerate((wide, short)) for n in np.unique(own[own > 0]).tolist()]
+                    for variant, width in mine:
+                        if variant % SHORT != s.variant:
+                            continue
+                        h = windows(s.symbol, width)
                         if not len(h):
                             continue
-                        inside = w.row[: len(h)] == w.row[width - 1 :]
-                        literal = width - (filled[width:] - filled[: len(h)])
-                        fine = inside & (2 * literal >= width)
+                        fine = s.row[: len(h)] == s.row[width - 1 :]
+                        fine &= width - (filled[width:] - filled[: len(h)]) >= max((width + 1) // 2, 2)
                         if bits is None:  # the benchmark: each item by its own width
-                            fine &= np.minimum(length[w.row[: len(h)]], WIDTH) == width
+                            row = s.row[: len(h)]
+                            fine &= ((short if variant >= SHORT else wide)[row] == width) & (weight[row] >= LEAST)
                         else:
                             at = h >> np.uint64(64 - BITMAP_BITS)
                             fine &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                        if not fine.any():
+                            continue
+                        exact = windows(s.full, width).view(np.int64)
                         for j in np.flatnonzero(fine).tolist():
-                            row = int(w.row[j])
-                            span = slice(j, j + width)
-                            values = w.hash[span][slot[span]].view(np.int64).tolist()
+                            row = int(s.row[j])
+                            offsets = np.flatnonzero(s.slot[j : j + width])
+                            values = s.value[j + offsets].view(np.int64).tolist()
                             key = int((h[j] ^ np.uint64(variant * 64 + width)).view(np.int64))
-                            out.append((ids[row], variant, key, j - int(bounds[row]), values))
-                columns = list(zip(*out)) if out else [[]] * 5
-                kinds = (pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "variant", "hash", "at", "slots"])
+                            out.append((ids[row], variant, width, key, j - int(bounds[row]), int(exact[j]), values, offsets.tolist()))
+                columns = list(zip(*out)) if out else [[]] * 8
+                kinds = (pa.int64(), pa.int8(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()))
+                names = ["id", "variant", "width", "hash", "at", "exact", "slots", "offsets"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -106,32 +161,67 @@ def _bitmap(windows_: DataFrame) -> np.ndarray:
     return out
 
 
+def _agreeing(slots: set[tuple[int, int, int]]) -> set[tuple[int, int]]:
+    """The (item value, document value) that do not contradict what the slots (place, item value, document value) mostly say.
+
+    A number may become several or the same as another: only values rarer than its most frequent ones contradict.
+    Names and units need one most frequent value, and no other as frequent that becomes the same.
+    """
+    votes = Counter((b, d) for _, b, d in slots)
+    to, back = defaultdict(list), defaultdict(list)
+    for (b, d), n in votes.items():
+        to[b].append(n)
+        back[d].append(n)
+
+    def leads(counts: list[int], n: int) -> bool:
+        return n == max(counts) and counts.count(n) == 1
+
+    return {(b, d) for (b, d), n in votes.items() if b == d or (n == max(to[b]) if b & 1 else leads(to[b], n) and leads(back[d], n))}
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run of aligned windows the places whose slots agree, and those whose words are equal."""
+    for batch in batches:
+        good, same = [], []
+        for found in batch.column("found").to_pylist():
+            equal = {f["at"] for f in found if f["equal"]}
+            agreeing = set(equal)
+            if any(not f["equal"] for f in found):
+                triples = [(f, [(f["at"] + o, b, d) for o, b, d in zip(f["offsets"], f["item_slots"], f["slots"])]) for f in found]
+                fine = _agreeing({t for _, ts in triples for t in ts})
+                agreeing |= {f["at"] for f, ts in triples if all((b, d) in fine for _, b, d in ts)}
+            good.append(sorted(agreeing))
+            same.append(sorted(equal))
+        kept = [batch.column(c) for c in ("doc", "item", "variant", "distance")]
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (good, same)]
+        yield pa.RecordBatch.from_arrays([*kept, *lists], names=["doc", "item", "variant", "distance", "good", "same"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least_share: float = 0.5) -> DataFrame:
     """``(doc, item, share, matched_windows, item_windows, verbatim)`` of every contaminated pair."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"))
-    every = tuple(range(LEAST, WIDTH + 1))
-    known = materialise(items.mapInArrow(_window_rows(every, None), _ROWS))
+    known = materialise(items.mapInArrow(_window_rows(None, None), _ROWS))
     # The key is the window hash with its variant and width mixed into the low bits; the bitmap goes by the high bits.
     bits = spark.sparkContext.broadcast(_bitmap(known))
-    lengths = items.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).alias("n")).where(f"n between {LEAST} and {WIDTH - 1}")
-    widths = tuple(sorted({WIDTH, *(r["n"] for r in lengths.distinct().collect())}))
+    pairs = tuple(sorted((r["variant"], r["width"]) for r in known.select("variant", "width").distinct().collect()))
 
     source = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    hits = source.mapInArrow(_window_rows(widths, bits), _ROWS).withColumnsRenamed({"id": "doc", "at": "doc_at", "slots": "doc_slots"})
-    totals = known.groupBy("id", "variant").agg(F.count_distinct("at").alias("windows"))
-    bench = known.withColumnsRenamed({"id": "item", "at": "item_at", "slots": "item_slots"})
+    hits = source.mapInArrow(_window_rows(pairs, bits), _ROWS).select(F.col("id").alias("doc"), "variant", "hash", F.col("at").alias("doc_at"), F.col("exact").alias("doc_exact"), "slots")
+    totals = known.groupBy(F.col("id").alias("item"), "variant").agg(F.count_distinct("at").alias("windows"), F.max(F.col("at") + F.col("width")).alias("size"))
+    bench = known.select(F.col("id").alias("item"), "variant", "hash", "at", "exact", F.col("slots").alias("item_slots"), "offsets")
     met = hits.join(bench, ["hash", "variant"])
-    # Aligned windows share the distance between the two places; slots of one alignment must map one to one.
-    pairs = F.arrays_zip(F.col("item_slots").alias("b"), F.col("doc_slots").alias("d"))
-    runs = met.groupBy("doc", "item", "variant", (F.col("doc_at") - F.col("item_at")).alias("distance")).agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    n = F.size("pairs")
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.b"))) == n) & (F.size(F.array_distinct(F.col("pairs.d"))) == n)
-    fine = runs.where(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["b"] == p["d"]))
-    whole = fine.groupBy("doc", "item", "variant").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max("same").alias("same"))
-    shares = whole.join(totals.withColumnRenamed("id", "item"), ["item", "variant"]).withColumn("share", F.col("matched") / F.col("windows"))
+    # Aligned windows share the distance between the two places.
+    window = F.struct("at", (F.col("exact") == F.col("doc_exact")).alias("equal"), "offsets", "item_slots", "slots")
+    runs = met.groupBy("doc", "item", "variant", (F.col("doc_at") - F.col("at")).alias("distance")).agg(F.collect_set(window).alias("found"))
+    judged = runs.mapInArrow(_judged, "doc long, item long, variant byte, distance long, good array<long>, same array<long>")
+    # Short windows count together only within one stretch of the document; stretches overlap by half.
+    placed = judged.where(F.size("good") > 0).join(totals, ["item", "variant"])
+    stretch = F.array(F.floor(F.col("distance") / F.col("size")) * 2, F.floor(F.col("distance") / F.col("size") + 0.5) * 2 + 1)
+    near = placed.withColumn("stretch", F.explode(F.when(F.col("variant") < SHORT, F.array(F.lit(0).cast("long"))).otherwise(stretch)))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = near.groupBy("doc", "item", "variant", "stretch").agg(distinct("good").alias("matched"), distinct("same").alias("equal"), F.first("windows").alias("windows"))
+    shares = whole.withColumn("share", F.col("matched") / F.col("windows")).withColumn("same", F.col("equal") == F.col("matched"))
     best = shares.groupBy("doc", "item").agg(F.max(F.struct("share", "matched", "windows", "same")).alias("best"))
     return best.where(F.col("best.share") >= least_share).select(
         F.col("doc").alias(doc),

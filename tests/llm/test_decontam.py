@@ -41,3 +41,14 @@ def test_short_items_punctuation_and_odd_rows(spark, odd_docs, no_docs):
     assert hits == {(1, 1), (1, 2), (None, 1), (None, 2)}
     assert contamination(no_docs, bench).count() == 0
     assert contamination(odd_docs, bench.where("item_id < 0")).count() == 0
+
+
+def test_a_contradicting_slot_costs_its_windows_only(spark):
+    merged = OTHER_VALUES.replace("40 apples", "8 apples")  # 12 and 5 become equal
+    item = "The first shelf holds 5 red books while the second shelf in the long hall holds 5 green books and some old maps"
+    parted = item.replace("5 red", "3 red").replace("5 green", "7 green")
+    long_item = " ".join(f"{filler(20 + i, 12)} 5 {filler(40 + i, 3)}" for i in range(8))
+    one_changed = long_item[::-1].replace("5", "9", 1)[::-1]
+    out = found(spark, [merged, parted, one_changed], [QUESTION, item, long_item])
+    assert set(out) == {(0, 0), (1, 1), (2, 2)}
+    assert 0.8 < out[2, 2]["share"] <= 1.0
