@@ -2,14 +2,16 @@
 
 Numbers, units and names become typed placeholders, so a question asked again with other figures or persons has
 the same template. Windows of template words of all documents are hash-joined with those of the benchmark.
-A second
+Parts of one number (``3.5``, ``1,200``, ``12/5``) and adjacent words of a name make one placeholder. A second
 stream keeps names and units as words and ignores case, for texts in capitals.
 
 Slots are judged one by one within a run of aligned windows: a window is dropped if one of its slots contradicts
 what the run mostly says of that value. A number may become several, or the same as another; a name or unit needs one
 most frequent counterpart of its own; windows with equal values always count.
 
-A document is contaminated by an item if the windows left cover a stated share of the item's windows. Documents keep their windows only where a bitmap of the
+A document is contaminated by an item if the windows left cover a stated share of the item's windows. Items of
+8 to 22 words have a second set of shorter windows, at which one change within the item leaves half; these
+count together only within a stretch of about twice the item. Documents keep their windows only where a bitmap of the
 benchmark's windows has a bit; the bitmap has a fixed size, whatever the size of the benchmark, and the join decides.
 
 Defined results
@@ -89,16 +91,21 @@ def _streams(part: pa.Array) -> tuple:
     unit = np.isin(w.hash, _UNIT_HASHES)
     plain = np.where(number, _NUMBER, w.hash)
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(capital, _NAME, w.hash)))
-    no = np.zeros(len(w.hash), bool)
+    near = np.zeros(len(w.hash), bool)  # one byte away from the word before
+    near[1:] = (w.start[1:] - w.end[:-1] == 1) & (w.row[1:] == w.row[:-1])
+    numbers, names = near.copy(), near.copy()
+    numbers[1:] &= number[1:] & number[:-1]
+    names[1:] &= (template[1:] == _NAME) & (template[:-1] == _NAME)
     return w, (
-        _merged(w, TEMPLATE, template, number | unit | capital, no, number),
-        _merged(w, PLAIN, plain, number, no, number),
+        _merged(w, TEMPLATE, template, number | unit | capital, numbers | names, number),
+        _merged(w, PLAIN, plain, number, numbers, number),
     )
 
 
 def _own_widths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of items of n symbols: the width of their windows, and a shorter one at which one change leaves half (0: none)."""
-    return np.minimum(n, WIDTH), np.zeros_like(n)
+    short = np.select([n >= 3 * WIDTH - 1, n >= 17, n >= 11, n >= 8], [0, 6, 4, 3], 0)
+    return np.minimum(n, WIDTH), short
 
 
 def _window_rows(pairs: tuple[tuple[int, int], ...] | None, bitmap):

@@ -52,3 +52,28 @@ def test_a_contradicting_slot_costs_its_windows_only(spark):
     out = found(spark, [merged, parted, one_changed], [QUESTION, item, long_item])
     assert set(out) == {(0, 0), (1, 1), (2, 2)}
     assert 0.8 < out[2, 2]["share"] <= 1.0
+
+
+def test_slots_of_several_words_and_changes_in_short_items(spark):
+    items = [
+        "how much does it cost to buy 3.5 litres of fresh milk at the corner shop",
+        "how many people moved from New York to the coast after the great flood in spring",
+        "a rent of $1,200 is due on the first day of each month for the old house",
+        "where did the tall grey heron build its nest last year",
+        "who ate the last piece of cake",
+    ]
+    texts = [
+        items[0].replace("3.5", "4"),
+        items[1].replace("New York", "Boston"),
+        items[2].replace("$1,200", "$900"),
+        items[3].replace("grey heron", "grey old heron"),
+        items[3].replace("grey", "white"),
+        f"where did the {filler(10, 40)} build its nest {filler(11, 40)} last year",
+        "who ate the last piece of pie",
+    ]
+    assert set(found(spark, [f"{filler(12)} {t} {filler(13)}" for t in texts], items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+
+
+def test_a_capital_word_before_the_item_is_no_conflict(spark):
+    out = found(spark, [f"{filler(14)} Question {OTHER_VALUES}"], [QUESTION])
+    assert out[0, 0]["share"] == 1.0 and not out[0, 0]["verbatim"]
