@@ -2,8 +2,9 @@
 
 Numbers, units and names become typed placeholders, so a question asked again with other figures or persons has
 the same template. Windows of template words of all documents are hash-joined with those of the benchmark.
-Parts of one number (``3.5``, ``1,200``, ``12/5``) and adjacent words of a name make one placeholder. A second
-stream keeps names and units as words and ignores case, for texts in capitals.
+Parts of one number (``3.5``, ``1,200``, ``12/5``) and adjacent words of a name make one placeholder. Two more
+streams: one keeps names and units as words, for texts in capitals; one keeps numbers as well and asks for no
+share of other words, for copies of tables and figures.
 
 Slots are judged one by one within a run of aligned windows: a window is dropped if one of its slots contradicts
 what the run mostly says of that value. A number may become several, or the same as another; a name or unit needs one
@@ -18,6 +19,7 @@ Defined results
 * null or empty text, on either side: no window, no hit;
 * an item of fewer words than a window: one window of its own length, so a changed word (other than in a slot) is no
   hit below 8 words; under ``LEAST`` words: too short to tell, no hit;
+* scripts without spaces: each character is a word, and half a word where ``LEAST`` counts;
 * repeated rows: the same hits once; items with equal texts are hits of their own;
 * null identifiers are carried; an empty table on either side gives no hit;
 * whole texts are read, very long ones as well; extra columns are ignored.
@@ -31,10 +33,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm.words import PUNCTUATION, mix, row_slices, windows, words
+from ionloom.llm.words import PUNCTUATION, mix, row_slices, text_bytes, windows, words
 from ionloom.session import materialise
 
 WIDTH, LEAST = 8, 4
@@ -46,12 +49,24 @@ UNITS = "mm cm m km mg g kg ml l s sec min h hr hours minutes seconds days weeks
 _NUMBER, _UNIT, _NAME = (mix(np.array([x], np.uint64))[0] for x in (11, 12, 13))
 _UNIT_HASHES = np.sort(words(pa.array([" ".join(UNITS)])).hash)
 _ROWS = "id long, variant byte, width byte, hash long, at long, exact long, slots array<long>, offsets array<byte>"
-TEMPLATE, PLAIN = 0, 1
+TEMPLATE, PLAIN, VERBATIM = 0, 1, 2
 #: Added to a variant whose windows are shorter, for short items.
 SHORT = 4
+#: Scripts written without spaces: each character is a word. Their punctuation separates words.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_WIDE_MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF61}-\x{FF65}]+"
 _STEPS = np.array([int(x) | 1 for x in mix(np.arange(301, 301 + 64, dtype=np.uint64))], np.uint64)
 
 
+def _spaced(text: pa.Array) -> pa.Array:
+    """The texts with every character of an unspaced script as a word of its own."""
+    raw, _ = text_bytes(text)
+    # First bytes of U+0E00 to U+1FFF, U+3000 to U+9FFF, U+F000 to U+FFFF and what lies above U+FFFF.
+    if not ((raw == 0xE0) | (raw == 0xE1) | (raw >= 0xE3)).any():
+        return text
+    return pc.replace_substring_regex(pc.replace_substring_regex(text, _WIDE_MARKS, " "), _UNSPACED, r" \1 ")
+
+
 @dataclass
 class _Stream:
     """The symbols of one variant: row, symbol, slot or not, full value, and the value that slots map by."""
@@ -79,8 +94,8 @@ def _merged(w, variant: int, symbol: np.ndarray, slot: np.ndarray, joined: np.nd
 
 
 def _streams(part: pa.Array) -> tuple:
-    """The words, and the two variants of their symbols."""
-    w = words(part, PUNCTUATION, fold=True)
+    """The words, and the three variants of their symbols."""
+    w = words(_spaced(part), PUNCTUATION, fold=True)
     if not len(w.hash):
         return w, ()
     digit = np.r_[0, np.cumsum((w.data >= 0x30) & (w.data <= 0x39))]
@@ -96,15 +111,26 @@ def _streams(part: pa.Array) -> tuple:
     numbers, names = near.copy(), near.copy()
     numbers[1:] &= number[1:] & number[:-1]
     names[1:] &= (template[1:] == _NAME) & (template[:-1] == _NAME)
+    no = np.zeros(len(w.hash), bool)
     return w, (
         _merged(w, TEMPLATE, template, number | unit | capital, numbers | names, number),
         _merged(w, PLAIN, plain, number, numbers, number),
+        _Stream(VERBATIM, w.row, w.hash, no, w.hash, w.hash),
     )
 
 
-def _own_widths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(w) -> np.ndarray:
+    """Words of each row, characters of unspaced scripts as half a word: the measure of ``LEAST``."""
+    if not len(w.hash):
+        return np.zeros(w.n_rows, np.int64)
+    lone = (w.end - w.start == 3) & (w.data[w.start] >= 0xE0)
+    halves = np.bincount(w.row, np.where(lone, 1, 2), w.n_rows)
+    return halves.astype(np.int64) // 2
+
+
+def _own_widths(n: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of items of n symbols: the width of their windows, and a shorter one at which one change leaves half (0: none)."""
-    short = np.select([n >= 3 * WIDTH - 1, n >= 17, n >= 11, n >= 8], [0, 6, 4, 3], 0)
+    short = np.select([n >= 3 * WIDTH - 1, n >= 17, n >= 11, (n >= 8) & ~dense], [0, 6, 4, 3], 0)
     return np.minimum(n, WIDTH), short
 
 
@@ -117,13 +143,13 @@ def _window_rows(pairs: tuple[tuple[int, int], ...] | None, bitmap):
             for part in row_slices(batch, "text"):
                 ids = part.column("id").to_pylist()
                 w, streams = _streams(part.column("text"))
-                weight = np.diff(w.bounds())
+                weight = _weights(w)
                 out: list[tuple] = []
                 for s in streams:
                     filled = np.r_[0, np.cumsum(s.slot)]
                     bounds = np.searchsorted(s.row, np.arange(w.n_rows + 1))
                     length = np.diff(bounds)
-                    wide, short = _own_widths(length)
+                    wide, short = _own_widths(length, weight < np.diff(w.bounds()))
                     mine = pairs if pairs is not None else [(s.variant + SHORT * k, n) for k, own in enumerate((wide, short)) for n in np.unique(own[own > 0]).tolist()]
                     for variant, width in mine:
                         if variant % SHORT != s.variant:
@@ -132,7 +158,8 @@ def _window_rows(pairs: tuple[tuple[int, int], ...] | None, bitmap):
                         if not len(h):
                             continue
                         fine = s.row[: len(h)] == s.row[width - 1 :]
-                        fine &= width - (filled[width:] - filled[: len(h)]) >= max((width + 1) // 2, 2)
+                        if s.variant != VERBATIM:
+                            fine &= width - (filled[width:] - filled[: len(h)]) >= max((width + 1) // 2, 2)
                         if bits is None:  # the benchmark: each item by its own width
                             row = s.row[: len(h)]
                             fine &= ((short if variant >= SHORT else wide)[row] == width) & (weight[row] >= LEAST)

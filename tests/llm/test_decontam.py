@@ -77,3 +77,14 @@ def test_slots_of_several_words_and_changes_in_short_items(spark):
 def test_a_capital_word_before_the_item_is_no_conflict(spark):
     out = found(spark, [f"{filler(14)} Question {OTHER_VALUES}"], [QUESTION])
     assert out[0, 0]["share"] == 1.0 and not out[0, 0]["verbatim"]
+
+
+def test_items_of_numbers_and_of_scripts_without_spaces(spark):
+    series = "3 8 15 24 35 48 63 80 99 120 next"
+    dates = "1914-07-28, 1939-09-01 and 1945-05-08"
+    chinese = "小明有十二个苹果，他给了小红五个苹果，请问还剩几个？"
+    thai = "แมวของฉันชอบนอนบนเก้าอี้ตัวเก่า"
+    texts = [f"{filler(15)} {series} {filler(16)}", f"{filler(17)} {dates}", f"今天的作业：{chinese}谢谢", f"ก{thai}ข", "小红喜欢在公园里跑步。", "3 9 15 25 35 49 63 81 99 121 next"]
+    out = found(spark, texts, [series, dates, chinese, thai, "中国"])
+    assert set(out) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert all(r["verbatim"] and r["share"] == 1.0 for r in out.values())
