@@ -8,7 +8,9 @@ Kinds and their rules (fixed values of the contract; matches are leftmost and do
 * ``assign``: a keyword, ``=`` or ``:``, then a value of 8 or more characters;
 * ``access``: ``AKIA`` and capitals or digits, 16 or more characters in all;
 * ``hex``: 32 or more lowercase hex digits.
-Added kinds: ``pem`` (a private key's first line) and ``forge`` (prefixed access tokens of code hosts).
+Added kinds: ``pem`` (a private key from its first line through its last; without a last line, as far as its
+base64 goes; its value is the base64 alone, the whole block is blotted; a first line without a key is ``weak``) and
+``forge`` (prefixed access tokens of code hosts).
 
 Defined results
 * null or empty text: no span; very long texts are scanned whole;
@@ -30,13 +32,24 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
+#: What may stand between the lines of a key: space, quotes, escaped line ends, comment and quotation marks.
+_BETWEEN = r"""(?:\\[nrt]|[\s"'+,;>#*|\\])*+"""
+_TO_END = r"(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+_BODY = rf"(?:{_BETWEEN}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_BETWEEN}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BETWEEN}[A-Za-z0-9+/]++(?:={{1,2}}+|\z))?+"
 ADDED = {
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "pem": (rf"-----BEGIN [A-Z ]*PRIVATE KEY-----({_TO_END}|{_BODY})?+", 1, 1),
     "forge": (r"(?:gh[pousr]_|glpat-)[A-Za-z0-9_-]{20,}", 0, 24),
 }
 KINDS = {**BASE, **ADDED}
 
 
+def _key_body(block: Column, rest: Column) -> Column:
+    """The base64 of a private key, however its lines are parted; the first line if there is none."""
+    body = F.regexp_replace(rest, r"-----END [A-Z ]*PRIVATE KEY-----$|(?:Proc-Type|DEK-Info):[^\r\n\\]*|\\[nrt]", "")
+    bare = F.regexp_replace(body, "[^A-Za-z0-9+/=]", "")
+    return F.when(bare != "", bare).otherwise(F.regexp_extract(block, "^-----BEGIN [A-Z ]*PRIVATE KEY-----", 0))
+
+
 def _matches(text: Column, kind: str) -> Column:
     """The spans of one kind as an array of (start, end, rank, kind, value_start, value).
 
@@ -47,6 +60,8 @@ def _matches(text: Column, kind: str) -> Column:
     rank = list(KINDS).index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    if kind == "pem":
+        values = F.zip_with(found, values, _key_body)
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("value"))
     empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value_start:int,value:string>>")
     first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
@@ -59,7 +74,7 @@ def _matches(text: Column, kind: str) -> Column:
             end.alias("end"),
             F.lit(rank).alias("rank"),
             F.lit(kind).alias("kind"),
-            (end - F.length(part["value"])).alias("value_start"),
+            (start if kind == "pem" else end - F.length(part["value"])).alias("value_start"),
             part["value"].alias("value"),
         )
         kept = F.when(F.length(part["value"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
@@ -109,7 +124,8 @@ def verdicts(found: DataFrame, row_id: str, source: str, spans: str = "spans", w
     each = found.select(row_id, F.col(source).alias("repository"), F.explode(spans).alias("span"))
     each = each.select(row_id, "repository", "span", secret_hash(F.col("span.value")).alias("hash"))
     counted = each.join(ownership(each), "hash")
-    live = F.when(looks_random(F.col("span.value")) | F.col("span.kind").isin("pem"), F.lit("live")).otherwise(F.lit("weak"))
+    key = (F.col("span.kind") == "pem") & ~F.col("span.value").startswith("-----BEGIN")
+    live = F.when(looks_random(F.col("span.value")) | key, F.lit("live")).otherwise(F.lit("weak"))
     return counted.withColumn("verdict", F.when(F.col("owners") >= widely, F.lit("example")).otherwise(live))
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -56,3 +58,34 @@ def test_odd_rows(odd_docs, no_docs):
     (span,) = next(v for (i, _), v in out.items() if i == 7)
     assert (span["kind"], span["start"], span["end"], span["value"]) == ("assign", 0, 25, "abcdefgh12345678")
     assert scan(no_docs).count() == 0 and scan_rows(odd_docs).count() == odd_docs.count()
+
+
+def _key(seed, lines=12):
+    rng = random.Random(seed)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    return ["".join(rng.choices(alphabet, k=64)) for _ in range(lines)] + ["Qz9=="]
+
+
+def test_private_keys_are_whole_blocks(spark):
+    first, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    keys = [_key(i) for i in range(5)]
+    block = "\n".join([first, *keys[0], last])
+    texts = [
+        f"before {block} after",
+        f"before {first}\\n" + "\\n".join(keys[0]) + f"\\n{last} after",  # the same key on one line
+        "before " + "\r\n".join([first, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *keys[1], last]) + " after",
+        "before " + "\n".join([first, *keys[2][:-1]]) + "\nand some words after",  # cut off
+        "before " + "\n".join([first, *keys[3]]),
+        f"such files start with {first} as a rule",
+        "before " + "\n".join([first, *keys[4] * 4000, last]) + " after",
+    ]
+    rows = [(i, t, f"owner{i}/repo") for i, t in enumerate(texts)]
+    found = scan_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("doc_id",))
+    out = [r for r in verdicts(found, "doc_id", "source").collect() if r["span"]["kind"] == "pem"]
+    by_doc = {r["doc_id"]: r for r in out}
+    assert len(out) == len(texts) and {i: r["verdict"] for i, r in by_doc.items()} == {i: "weak" if i == 5 else "live" for i in range(7)}
+    assert by_doc[0]["hash"] == by_doc[1]["hash"] and by_doc[0]["owners"] == 2
+    assert len({r["hash"] for r in out}) == 6
+    docs = spark.createDataFrame([(texts[i], [(r["span"]["value_start"], r["span"]["end"])]) for i, r in sorted(by_doc.items())], "text string, r array<struct<start:int,end:int>>")
+    clean = [r[0] for r in docs.select(redact(F.col("text"), F.col("r"), "#")).collect()]
+    assert clean[:5] == ["before # after"] * 3 + ["before #\nand some words after", "before #"] and clean[6] == "before # after"
