@@ -317,8 +317,21 @@ kept AS (SELECT source, decoy, z, count(*) AS peaks FROM tops WHERE v / top >= 0
 written AS (SELECT f.peptide, f.decoy, f.proteins, k.z, k.peaks, place * 2 + 1 + k.z - 2 AS grp FROM forms f JOIN kept k ON k.source = f.source AND k.decoy = f.decoy)"""
 
 
-def _file_rows(spark, sf):
-    return plan.complete_library(views.proteome(spark, sf), plan.LibraryOptions(rules=_FILE_RULES))
+#: The operator's own digest; fewer charges only.
+_WHOLE_RULES = DigestRules(min_charge=2, max_charge=3)
+
+
+def _file_rows(spark, sf, rules=_FILE_RULES):
+    return plan.complete_library(views.proteome(spark, sf), plan.LibraryOptions(rules=rules))
+
+
+def _file_lines(spark, rows):
+    folder = f"{run_folder(spark)}/library"
+    sink.write_diann(rows, folder)
+    lines = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(folder)
+    return lines.groupBy(
+        F.col("ModifiedPeptide").alias("peptide"), F.col("PrecursorCharge").alias("charge"), F.col("Decoy").alias("decoy"), F.col("ProteinID").alias("proteins")
+    ).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @add(
@@ -331,13 +344,14 @@ def _file_rows(spark, sf):
     sql=f"""WITH {_FILE_SQL} SELECT replace(peptide, 'C', 'C(UniMod:4)') AS peptide, z::VARCHAR AS charge, CASE WHEN decoy THEN '1' ELSE '0' END AS decoy, proteins, peaks AS lines FROM written""",
 )
 def library_file(spark, sf):
-    """Proteome to tab-separated library files, and what is read back from them: lines per precursor."""
-    folder = f"{run_folder(spark)}/library"
-    sink.write_diann(_file_rows(spark, sf), folder)
-    lines = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(folder)
-    return lines.groupBy(
-        F.col("ModifiedPeptide").alias("peptide"), F.col("PrecursorCharge").alias("charge"), F.col("Decoy").alias("decoy"), F.col("ProteinID").alias("proteins")
-    ).agg(F.count(F.lit(1)).alias("lines"))
+    """Fully cleaved peptides of 7 and 8 residues to tab-separated library files, and lines per precursor read back: the slice SQL states."""
+    return _file_lines(spark, _file_rows(spark, sf))
+
+
+@add("library_file_whole", "K3", "A3", "W9", "J7")
+def library_file_whole(spark, sf):
+    """The same for the whole proteome: up to two missed cleavages, 7 to 30 residues."""
+    return _file_lines(spark, _file_rows(spark, sf, _WHOLE_RULES))
 
 
 @add(
@@ -348,11 +362,21 @@ def library_file(spark, sf):
     sql=f"""WITH {_FILE_SQL} SELECT replace(peptide, 'C', 'C[UNIMOD:4]') || '/' || z AS ion, CASE WHEN decoy THEN 1 ELSE 0 END::BIGINT AS decoys, grp AS decoy_group, proteins, peaks FROM written""",
 )
 def library_text(spark, sf):
-    """Proteome to library text, header beside it, and what is read back from its entries."""
+    """Fully cleaved peptides of 7 and 8 residues to library text, header beside it, and what is read back from its entries."""
+    return _text_entries(spark, _file_rows(spark, sf))
+
+
+@add("library_text_whole", "K4", "W9")
+def library_text_whole(spark, sf):
+    """The same for the whole proteome: up to two missed cleavages, 7 to 30 residues."""
+    return _text_entries(spark, _file_rows(spark, sf, _WHOLE_RULES))
+
+
+def _text_entries(spark, rows):
     folder = f"{run_folder(spark)}/text"
     header = sink.speclib_header("stand-in", "0.1", [("digest.min_length", "7")])
     order = [F.col("decoy_group").asc(), F.col("decoy").asc()]
-    sink.write_speclib(_file_rows(spark, sf), order, folder, header)
+    sink.write_speclib(rows, order, folder, header)
     entry = F.col("value")
     entries = spark.read.option("lineSep", "<Spectrum=").text(f"{folder}/spectra").where(F.length(F.trim(entry)) > 0)
     one = lambda term: F.regexp_extract(entry, term + r"([^\n]*)", 1)

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -132,6 +133,37 @@ def test_library_files(spark, peptides, tmp_path):
         assert [float(p.split("\t")[0]) for p in peaks] == sorted(float(p.split("\t")[0]) for p in peaks)
 
 
+def test_whole_proteome_files_hold_every_peptide(spark, tmp_path):
+    from ionloom.queries import QUERIES
+
+    proteins = {1: "AGDEFGHKLLCNEVTRSSYWAAGDDKTTR", 2: "LLCNEVTRGGAAVVDDEEFFRSTAAANNQQGGHHIIK", 3: "VTADSLLKSSYWAAGDDKAA"}
+    spark.createDataFrame(list(proteins.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = {}
+    for i, text in proteins.items():
+        pieces = re.findall(r"[^KR]*[KR]|[^KR]+$", text)
+        for j in range(len(pieces)):
+            for k in range(j + 1, min(j + 3, len(pieces)) + 1):
+                peptide = "".join(pieces[j:k])
+                if 7 <= len(peptide) <= 30:
+                    names.setdefault(peptide, set()).add(f"D{i}")
+    carbamide = lambda p, mark: p.replace("C", f"C{mark}")
+    want = set()
+    for place, p in enumerate(sorted(names, key=lambda p: carbamide(p, "[UNIMOD:4]"))):
+        decoy = p[0] + p[1:-1][::-1] + p[-1]
+        for z in (2, 3):
+            want.add((p, z, 0, ";".join(sorted(names[p])), place * 2 + z - 1))
+            if decoy not in names:
+                want.add((decoy, z, 1, ";".join(sorted("DECOY_" + n for n in names[p])), place * 2 + z - 1))
+    lengths = {len(w[0]) for w in want}
+    assert max(lengths) > 20 and any(sum(map(w[0].count, "KR")) == 3 for w in want)
+    lines = QUERIES["library_file_whole"].build(spark, str(tmp_path)).collect()
+    assert len(lines) == len(want)
+    assert {(r["peptide"], int(r["charge"]), int(r["decoy"]), r["proteins"]) for r in lines} == {(carbamide(p, "(UniMod:4)"), z, d, n) for p, z, d, n, _ in want}
+    entries = QUERIES["library_text_whole"].build(spark, str(tmp_path)).collect()
+    assert len(entries) == len(want)
+    assert {(r["ion"], r["decoys"], r["proteins"], r["decoy_group"]) for r in entries} == {(f"{carbamide(p, '[UNIMOD:4]')}/{z}", d, n, g) for p, z, d, n, g in want}
+
+
 def test_reference_shortlist_needs_enough_datasets(spark):
     df = spark.createDataFrame(
         [(1, "a", "val", "FTMS", 5.0, [1.0] * 4 + [0.0] * 4), (2, "a", "val", "FTMS", 4.0, [1.0] * 8), (3, "b", "val", "ITMS", 9.0, [1.0] * 8)],
