@@ -28,23 +28,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~rejected(F.col("__lang"), F.col("__score"))).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``__key``, which tells rows apart by identifier, null or not, and text; equal rows share it."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest identifier.
+    """One document of each near-duplicate group: the one with the smallest identifier, null last.
 
-    Of rows with that identifier one stays as well. Documents without a word are in no group and stay.
+    Rows are told apart by identifier and text, so a row never goes for its namesake; of equal rows one stays.
+    Documents without a word are in no group and stay; of such rows with equal identifiers and texts one stays, but
+    all without an identifier do.
     """
-    found = jaccard_join(docs)
-    gone = found.where(F.col("n_shingles") > 0).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    keyed = _keyed(docs)
+    found = materialise(jaccard_join(keyed.select("__key", "text"), doc="__key").where("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id").distinct())
+    named = found.join(keyed.select("__key", "doc_id").distinct(), "__key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__key")).alias("first")
+    keepers = named.groupBy("component_id").agg(first).select("first.__key")
+    gone = materialise(found.select("__key").join(keepers, "__key", "left_anti"))
+    kept = keyed.join(gone, "__key", "left_anti")
+    told = kept.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    twice = materialise(told.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"))
+    single = kept.join(twice, "__key", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, "__key", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark item; rows are told apart by identifier and text."""
+    keyed = _keyed(docs)
+    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="__key")
+    return keyed.join(found.select("__key").distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,22 @@ def test_odd_and_empty_documents_pass_every_stage(spark, odd_docs, no_docs, tmp_
             stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{k}-{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
         assert docs.count() >= 0
+
+
+def test_rows_go_for_their_own_text_only(spark, tmp_path):
+    one = "the quick brown fox jumps over the lazy dog while seven old wizards box in the dark cold garden"
+    other = "a clean text about rivers and boats that nobody copied and that shares no passage with any other"
+    item = "which of the three old bridges over the wide river was the first to be built from grey stone"
+    rows = [(2, one), (1, one), (2, other), (None, one), (None, item), (4, item), (4, other + " at all")]
+    rows += [(7, "same id " + other[::-1]), (7, "same id " + other[::-1]), (None, one[::-1]), (None, one[::-1]), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a/x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert left(clean) == sorted((r for r in rows if r[1] != item), key=str)
+    single = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    # The fourth identifier's two texts differ, so both stay; the copy of the item without an identifier goes.
+    want = [(1, one), (4, item), (7, "same id " + other[::-1]), (None, one[::-1]), (None, ""), (None, "")]
+    got = left(single)
+    assert [r for r in got if not str(r[1]).startswith("a clean")] == sorted(want, key=str)
+    assert [r for r in got if str(r[1]).startswith("a clean")] == [(2, other)]
