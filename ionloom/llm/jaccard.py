@@ -11,8 +11,7 @@ shingle): such a segment covers two differences, as a segment that differs in on
    different sets share come back as rows.
 2. Allocation, for either band. A signature nobody shares covers its difference for nothing. What is
    missing to H + 1 is taken from the cheapest shared segments, the cost being the length of their lists. A set that
-   is covered without any has no partner there: it leaves all lists, and the lists are counted again. So a common
-   passage alone brings no candidate.
+   is covered without any has no partner there and leaves all lists. So a common passage alone brings no candidate.
 3. Candidates come from the lists taken. Every set is first compared with the leader it shares most lists with, the
    leader of a list being its set with most shared segments. Then only lists count whose sets are in
    different components; of two such sets the one in the smaller component looks for the other (the
@@ -374,11 +373,12 @@ def _allocate(entries: DataFrame) -> DataFrame:
 
 
 def _lists(shared: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """``(sig, cid, weight, taken)`` of the roles that can have a partner: covered ones leave, then the lists are counted again."""
-    left = materialise(_short(shared, sets, bands).select("sig", "cid", "own", "item"))
-    size = left.groupBy("sig").agg(F.count(F.lit(1)).alias("cost"), F.max("own").alias("any_own")).where("cost > 1 and any_own")
-    again = _short(left.join(size.select("sig", "cost"), "sig"), sets, bands)
-    return materialise(_allocate(again).select("sig", "cid", "weight", "taken"))
+    """``(sig, cid, weight, taken)`` of the roles that can have a partner: covered ones leave all lists.
+
+    Prices are the lengths that lists had before. One pass by set does for cover and allocation: a list that has become
+    shorter, or that nobody else is in any more, is at worst one that brings no candidate.
+    """
+    return materialise(_allocate(_short(shared, sets, bands)).select("sig", "cid", "weight", "taken"))
 
 
 def _set_rows(width: int):
@@ -514,7 +514,7 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     packed = source.mapInArrow(_signatures(bands, width, buckets), _PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(_shared, _SHARED))
     rows = found.where("kind = 0").select("doc_id", "cid", "n", "cover", "cover_below")
-    shared = found.where("kind = 1").select("sig", "cid", "own", "item")
+    shared = found.where("kind = 1").select("sig", "cid", "own", "item", "cost")
     sets = rows.where("n > 0").groupBy("cid").agg(*[f("doc_id" if c == "rep" else c).alias(c) for f, c in ((F.min, "rep"), (F.max, "n"), (F.max, "cover"), (F.max, "cover_below"))])
     most = found.where("kind = 0").agg(F.max("n")).first()[0] or 1
     lows = bands.low(int(most))
