@@ -54,7 +54,9 @@ TINY = 64
 #: One segment in this many gets a one-deletion neighbourhood.
 DELETIONS = 8
 #: Sets of a chunk, and signatures of one; a signature this frequent in a chunk is spread.
-CHUNK_SETS, CHUNK_SIGNATURES, FREQUENT = 8192, 5_000_000, 512
+CHUNK_SETS, CHUNK_SIGNATURES, FREQUENT = 8192, 1 << 20, 128
+#: Bytes of input for each bucket of signatures, and the most buckets a chunk is split into.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
 #: Identifiers that are broadcast at most (8 bytes each) to fetch the texts of candidates; beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
 
@@ -190,12 +192,19 @@ class _Chunk:
         self.docs.append((doc_id, cid, n, *cover))
 
     def batches(self, flush: int) -> Iterator[pa.RecordBatch]:
+        """The rows of the chunk, some at a time."""
         rows = {c: [] for c in _PACKED_NAMES}
 
         def row(bucket: int, **values) -> None:
             for c in _PACKED_NAMES:
                 rows[c].append(bucket if c == "bucket" else bytes(values.get(c, b"")))
 
+        def batch() -> pa.RecordBatch:
+            arrays = [pa.array(rows[c], pa.int32() if c == "bucket" else pa.binary()) for c in _PACKED_NAMES]
+            for c in _PACKED_NAMES:
+                rows[c].clear()
+            return pa.RecordBatch.from_arrays(arrays, names=_PACKED_NAMES)
+
         ids, sets, n, cover, below = zip(*self.docs) if self.docs else ((), (), (), (), ())
         row(
             flush % self.buckets,
@@ -245,10 +254,10 @@ class _Chunk:
                     tags=t.tobytes(),
                     items=i[(t & DELETION) > 0].tobytes(),
                 )
-        arrays = [pa.array(rows[c], pa.int32() if c == "bucket" else pa.binary()) for c in _PACKED_NAMES]
-        whole = pa.RecordBatch.from_arrays(arrays, names=_PACKED_NAMES)
-        for at in range(0, whole.num_rows, 64):
-            yield whole.slice(at, 64)
+                if len(rows["bucket"]) >= 64:
+                    yield batch()
+        if rows["bucket"]:
+            yield batch()
 
 
 def _frequent(sig: np.ndarray) -> np.ndarray:
@@ -509,7 +518,9 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
         raise ValueError("percent must be from 50 to 100")
     bands = Bands(percent, 100)
     spark = docs.sparkSession
-    buckets = buckets or min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if buckets is None:  # a bucket is held by one Python process, so their number follows the input
+        bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        buckets = min(MOST_BUCKETS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_in // BUCKET_BYTES))
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     packed = source.mapInArrow(_signatures(bands, width, buckets), _PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(_shared, _SHARED))

@@ -43,8 +43,8 @@ LENGTH = 2048
 END_ID = 1
 #: Ids a chunk holds before it is packed (16 MB).
 CHUNK_IDS = 4 << 20
-#: Entries of the cache of encoded chunks of a text; it starts again when full.
-CACHE = 800_000
+#: Entries of the cache of encoded chunks of a text (some 200 bytes each); it starts again when full, and with each task.
+CACHE = 300_000
 #: Cost of a piece of n tokens: n + QUADRATIC * n^2, with the quadratic share equal at this length.
 QUADRATIC = 1.0 / 4096
 #: Part-filled sequences that are packed together again.
@@ -100,6 +100,9 @@ class Encoder:
         self._cache[chunk] = got
         return got
 
+    def forget(self) -> None:
+        self._cache.clear()
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
@@ -113,7 +116,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, kept by the Python worker from task to task.
+    """The encoder of a file, kept by the Python worker from task to task; what a task cached goes with it.
 
     Functions travel with their task, so a module variable would start empty each time; a module of the
     worker's own holds the encoders instead.
@@ -252,16 +255,19 @@ def _first_pass(path: str, with_ids: bool, chunk_ids: int) -> Callable[[Iterator
         encode = encoder(path)
         number = TaskContext.get().partitionId() << 33
         chunk = _Chunk(with_ids)
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = memoryview(encode(text.as_py() or "") + end)
-                chunk.add(doc.as_py(), ids, 0, len(ids) // 4)
-                if chunk.held >= chunk_ids:
-                    out, n = chunk.pack(number, False)
-                    number += n
-                    yield out
-        if chunk.items:
-            yield chunk.pack(number, False)[0]
+        try:
+            for batch in batches:
+                for doc, text in zip(batch.column(0), batch.column(1)):
+                    ids = memoryview(encode(text.as_py() or "") + end)
+                    chunk.add(doc.as_py(), ids, 0, len(ids) // 4)
+                    if chunk.held >= chunk_ids:
+                        out, n = chunk.pack(number, False)
+                        number += n
+                        yield out
+            if chunk.items:
+                yield chunk.pack(number, False)[0]
+        finally:
+            encode.forget()
 
     return run
 

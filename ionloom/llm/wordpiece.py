@@ -87,7 +87,7 @@ class Automaton:
 
 
 def automaton(path: str) -> tuple[Automaton, dict[str, int]]:
-    """The automaton of a vocabulary file and its cache of word counts, kept by the Python worker."""
+    """The automaton of a vocabulary file kept by the Python worker, and its cache of word counts, emptied with each task."""
     held = sys.modules.setdefault("ionloom_worker_automata", ModuleType("ionloom_worker_automata")).__dict__
     if path not in held:
         held[path] = (Automaton(load_vocabulary(path)), {})
@@ -106,16 +106,19 @@ def _counts(path: str):
                 known[word] = n
             return n
 
-        for batch in batches:
-            n_words, n_tokens, longest = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = [w for w in _SPACE.split(text) if w] if text else []
-                each = [known.get(w) or missing(w) for w in words]
-                n_words.append(len(words))
-                n_tokens.append(sum(each))
-                longest.append(max(each, default=0))
-            arrays = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_words, n_tokens, longest)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_tokens", "most_tokens_of_a_word"])
+        try:
+            for batch in batches:
+                n_words, n_tokens, longest = [], [], []
+                for text in batch.column("text").to_pylist():
+                    words = [w for w in _SPACE.split(text) if w] if text else []
+                    each = [known.get(w) or missing(w) for w in words]
+                    n_words.append(len(words))
+                    n_tokens.append(sum(each))
+                    longest.append(max(each, default=0))
+                arrays = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_words, n_tokens, longest)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_tokens", "most_tokens_of_a_word"])
+        finally:
+            known.clear()
 
     return run
 
