@@ -512,15 +512,21 @@ def _label(cid: Column, label: str) -> Column:
     return F.coalesce(F.col(label), cid)
 
 
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of signatures: each is held by one Python process, so their number follows the input's bytes."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # rows that were never in a file have no size
+    return min(MOST_BUCKETS, max(2 * partitions, size // BUCKET_BYTES if known else 8 * partitions))
+
+
 def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, buckets: int | None = None, block: int = 256) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bands = Bands(percent, 100)
     spark = docs.sparkSession
-    if buckets is None:  # a bucket is held by one Python process, so their number follows the input
-        bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        buckets = min(MOST_BUCKETS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), bytes_in // BUCKET_BYTES))
+    buckets = buckets or _buckets(docs)
     source = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     packed = source.mapInArrow(_signatures(bands, width, buckets), _PACKED)
     found = materialise(packed.groupBy("bucket").applyInArrow(_shared, _SHARED))
