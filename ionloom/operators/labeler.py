@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ from ionloom.functions.binding import let
 from ionloom.functions.chemistry import hydropathy_sum, prefix_sums
 from ionloom.functions.spectra import base_peak
 
+#: Peptidoforms of one length that go into one call of a predictor.
+CALL_ROWS = 8192
+
 LABEL_SCHEMA = "ms2 array<float>, rt double, ccs double"
 
 
@@ -183,49 +187,84 @@ def library_batches(
     """Predict and assemble library rows in one Arrow pass, one row per peptidoform and charge.
 
     ``peptidoforms`` has ``peptide, mod_pos, mod_delta`` (modification positions and masses) and
-    the ``keys`` to carry. Each Arrow batch is cut by length, so nothing is padded; a batch is
+    the ``keys`` to carry. Rows are gathered by length within a task, so nothing is padded and calls are large; they are
     encoded once and predicted for all charges. Only the kept peaks go back to the JVM. Every peak
     is checked before the cap; a faulty one stops the job.
     """
     carried = [f for f in peptidoforms.schema.fields if f.name in keys]
     schema = T.StructType([*carried, *_ROW_FIELDS])
-    table = np.full(128, np.nan)
-    for residue, mass in RESIDUE_MASS.items():
-        table[ord(residue)] = mass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = factory()
-        for batch in batches:
-            for rows, residues, masses in _by_length(batch, table):
-                for z in charges:
-                    part = LengthBatch(residues, masses, z)
-                    columns = _assemble(part, predict(part), min_intensity, max_fragments)
-                    kept = batch.select(keys).take(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept.columns, *columns], names=[*keys, *[f.name for f in _ROW_FIELDS]]
-                    )
+        return predicted_rows(batches, factory, keys, charges, min_intensity, max_fragments)
 
     return peptidoforms.mapInArrow(run, schema)
 
 
-def _by_length(batch: pa.RecordBatch, table: np.ndarray):
-    """Rows of one Arrow batch cut by peptide length: row numbers, letters, masses."""
-    peptides = batch.column("peptide").to_pylist()
-    lengths = np.fromiter((len(p) for p in peptides), dtype=np.int64, count=len(peptides))
+def predicted_rows(
+    batches: Iterator[pa.RecordBatch],
+    factory: Callable[[], Callable[[LengthBatch], tuple]],
+    keys: list[str],
+    charges: list[int],
+    min_intensity: float = 0.0,
+    max_fragments: int | None = None,
+    call_rows: int = CALL_ROWS,
+) -> Iterator[pa.RecordBatch]:
+    """Library rows of one task's peptidoforms, a predictor call per length and charge.
+
+    Peptidoforms of one length are held across Arrow batches until there are ``call_rows`` of them, so calls are large
+    whatever the mix of lengths; at most ``16 * call_rows`` rows are held in all.
+    """
+    predict = factory()
+    table = np.full(128, np.nan)
+    for residue, mass in RESIDUE_MASS.items():
+        table[ord(residue)] = mass
+
+    def flush(n: int) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held.pop(n)).combine_chunks().to_batches()
+        for batch in whole:
+            residues, masses = _encoded(batch, n, table)
+            carried = batch.select(keys)
+            for z in charges:
+                part = LengthBatch(residues, masses, z)
+                columns = _assemble(part, predict(part), min_intensity, max_fragments)
+                yield pa.RecordBatch.from_arrays([*carried.columns, *columns], names=[*keys, *[f.name for f in _ROW_FIELDS]])
+
+    held: dict[int, list[pa.RecordBatch]] = {}
+    rows: dict[int, int] = {}
+    for batch in batches:
+        for n, part in _by_length(batch):
+            held.setdefault(n, []).append(part)
+            rows[n] = rows.get(n, 0) + part.num_rows
+            if rows[n] >= call_rows:
+                rows.pop(n)
+                yield from flush(n)
+        while sum(rows.values()) > 16 * call_rows:
+            n = max(rows, key=rows.get)
+            rows.pop(n)
+            yield from flush(n)
+    for n in sorted(held):
+        yield from flush(n)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of one Arrow batch by peptide length."""
+    lengths = pc.utf8_length(batch.column("peptide")).to_numpy(zero_copy_only=False)
+    order = np.argsort(lengths, kind="stable")
+    lengths = lengths[order]
+    ordered = batch.take(pa.array(order))
+    cut = np.flatnonzero(np.r_[True, lengths[1:] != lengths[:-1]]) if len(lengths) else lengths
+    for low, high in zip(cut, np.r_[cut[1:], len(lengths)]):
+        yield int(lengths[low]), ordered.slice(low, high - low)
+
+
+def _encoded(batch: pa.RecordBatch, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and residue masses, modifications included, of peptidoforms of length ``n``."""
+    residues = np.frombuffer("".join(batch.column("peptide").to_pylist()).encode(), dtype=np.uint8).reshape(-1, n)
+    masses = table[residues]
     positions, deltas = batch.column("mod_pos"), batch.column("mod_delta")
-    mod_row = np.repeat(np.arange(len(peptides)), np.diff(positions.offsets.to_numpy()))
-    mod_pos = positions.flatten().to_numpy(zero_copy_only=False)
-    mod_delta = deltas.flatten().to_numpy(zero_copy_only=False)
-    for n in np.unique(lengths):
-        rows = np.flatnonzero(lengths == n)
-        text = "".join([peptides[i] for i in rows]).encode()
-        residues = np.frombuffer(text, dtype=np.uint8).reshape(len(rows), n)
-        masses = table[residues]
-        place = np.full(len(peptides), -1)
-        place[rows] = np.arange(len(rows))
-        mine = place[mod_row] >= 0
-        np.add.at(masses, (place[mod_row[mine]], mod_pos[mine]), mod_delta[mine])
-        yield pa.array(rows), residues, masses
+    row = np.repeat(np.arange(batch.num_rows), np.diff(positions.offsets.to_numpy()))
+    np.add.at(masses, (row, positions.flatten().to_numpy(zero_copy_only=False)), deltas.flatten().to_numpy(zero_copy_only=False))
+    return residues, masses
 
 
 def _assemble(batch: LengthBatch, labels: tuple, min_intensity: float, max_fragments: int | None) -> list[pa.Array]:

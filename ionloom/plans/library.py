@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.constants import MODIFICATIONS
 from ionloom.functions import chemistry
-from ionloom.functions.sequence import ModRule, move_sites_reversed, parse_rule, render_proforma, reverse_interior
+from ionloom.functions.sequence import ModRule, diann_spelling, move_sites_reversed, parse_rule, render_proforma, reverse_interior
 from ionloom.operators.decoys import DECOY_PREFIX, number_decoy_groups, search_decoys
 from ionloom.operators.digest import DigestRules, digest, protein_groups, protein_lists
-from ionloom.operators.labeler import library_batches, smooth_arrays
+from ionloom.operators.labeler import library_batches, predicted_rows, smooth_arrays
 from ionloom.operators.modforms import expand_charges, modified_forms
+from ionloom.operators.ordering import with_position
 from ionloom.session import materialise
+from ionloom.sinks.library_writer import save_library
 
 DEFAULT_DELTAS = {accession: delta for accession, _, _, delta in MODIFICATIONS}
 
@@ -98,17 +101,11 @@ def build_library(proteins: DataFrame, options: LibraryOptions = LibraryOptions(
     return library_from_peptides(peptides, options)
 
 
-def library_from_peptides(
-    peptides: DataFrame, options: LibraryOptions, factory=smooth_arrays, target_form: bool = False
-) -> DataFrame:
-    """Spectrum rows of given peptides; ``factory`` makes the predictor in each task.
-
-    A modification without a known mass stops the job instead of counting as zero.
-    """
-    forms = peptidoform_frame(peptides, options, target_form)
+def predictor_inputs(forms: DataFrame, options: LibraryOptions) -> DataFrame:
+    """Peptidoforms with the positions and masses of their modifications in place of the sites."""
     delta = lambda s: chemistry.spec_mass(s["spec"], options.deltas)
     known = F.forall("sites", lambda s: delta(s).isNotNull())
-    inputs = forms.where(
+    return forms.where(
         F.when(known, F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("unknown modification in "), F.col("proforma"))).cast("boolean")
         )
@@ -117,6 +114,16 @@ def library_from_peptides(
         F.transform("sites", lambda s: s["pos"]).alias("mod_pos"),
         F.transform("sites", delta).alias("mod_delta"),
     )
+
+
+def library_from_peptides(
+    peptides: DataFrame, options: LibraryOptions, factory=smooth_arrays, target_form: bool = False
+) -> DataFrame:
+    """Spectrum rows of given peptides; ``factory`` makes the predictor in each task.
+
+    A modification without a known mass stops the job instead of counting as zero.
+    """
+    inputs = predictor_inputs(peptidoform_frame(peptides, options, target_form), options)
     keys = [c for c in inputs.columns if c not in ("mod_pos", "mod_delta")]
     charges = list(range(options.rules.min_charge, options.rules.max_charge + 1))
     rows = library_batches(inputs, factory, keys, charges, options.min_intensity, options.max_fragments)
@@ -144,6 +151,62 @@ def complete_library(proteins: DataFrame, options: LibraryOptions = LibraryOptio
     return with_protein_names(grouped, lists).drop("target_form", "n_proteins")
 
 
+def writer_inputs(proteins: DataFrame, options: LibraryOptions) -> DataFrame:
+    """What a library writer needs of every peptidoform, before any spectrum: narrow rows, joined once.
+
+    ``first_group`` and ``place`` number competition groups and entries: a peptidoform's charges take the numbers from
+    there on. Protein names and groups meet the peptidoforms here, so spectra are never shuffled.
+    """
+    memberships = digest(proteins, options.rules).select("peptide", "protein_id")
+    lists = materialise(protein_lists(memberships))
+    inputs = predictor_inputs(peptidoform_frame(lists.select("peptide"), options, target_form=True), options)
+    # Targets before decoys: a form's number is its place among the targets.
+    placed = with_position(inputs, [F.col("target_form").asc(), F.col("decoy").asc()], "place")
+    targets = numbered_groups(lists.select("peptide"), options).where(F.col("charge") == options.rules.min_charge)
+    grouped = placed.join(targets.select("target_form", F.col("decoy_group").alias("first_group")), "target_form")
+    named = with_protein_names(grouped, lists.select("peptide", "proteins"))
+    return named.withColumn("spelling", diann_spelling(F.col("proforma"))).drop("target_form", "source")
+
+
+def settings_document(options: LibraryOptions) -> dict:
+    """The settings of a build as a nested document; what a library records about itself."""
+    rules = options.rules
+    return {
+        "digest": asdict(rules),
+        "modifications": {"fixed": list(options.fixed), "variable": list(options.variable), "max_variable": options.max_variable},
+        "decoys": {"enabled": options.decoys, "method": "reverse"},
+        "spectrum": {"min_intensity": options.min_intensity, "max_fragments": options.max_fragments},
+    }
+
+
+def write_library(
+    proteins: DataFrame,
+    folder: str,
+    options: LibraryOptions = LibraryOptions(),
+    form: str = "diann",
+    factory=smooth_arrays,
+    name: str = "library",
+    compression: str | None = "gzip",
+) -> dict:
+    """A whole proteome to a library on storage: predicted, rendered, compressed and written in one pass.
+
+    ``form`` is ``diann`` (tab-separated peaks) or ``text`` (entries). The settings go into the header of the text form
+    and, with the counts of the build, into a sidecar for both. Returns the counts.
+    """
+    inputs = writer_inputs(proteins, options)
+    charges = list(range(options.rules.min_charge, options.rules.max_charge + 1))
+    keys = [c for c in inputs.columns if c not in ("mod_pos", "mod_delta")]
+    least, most = options.min_intensity, options.max_fragments
+
+    def rows(batches):
+        for batch in predicted_rows(batches, factory, keys, charges, least, most):
+            step = pc.subtract(batch.column("charge").cast("int64"), charges[0])
+            index = pc.add(pc.add(pc.multiply(batch.column("place"), len(charges)), step), 1)
+            yield batch.append_column("decoy_group", pc.add(batch.column("first_group"), step)).append_column("index", index)
+
+    return save_library(inputs, folder, form, settings_document(options), name, compression, rows)
+
+
 def listed_library(
     rows: DataFrame, options: LibraryOptions = LibraryOptions(), method: str = "reverse", seed: int = 0, factory=smooth_arrays
 ) -> tuple[DataFrame, DataFrame]:
