@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ionloom.constants import HYDROPATHY
 from ionloom.functions import chemistry, sequence, spectra
 from ionloom.operators import labeler, library, modforms
+from ionloom.operators.catalog import check_settings
 from ionloom.operators.digest import DigestRules
 from ionloom.plans import evaluate as evaluation
 from ionloom.plans import library as plan
@@ -19,6 +23,7 @@ from ionloom.queries.q_projections import _GRID_SQL, SQL_PROTON
 from ionloom.queries.views import SQL_WATER, sql_mass
 from ionloom.session import materialise
 from ionloom.sinks import libraries as sink
+from ionloom.sinks import library_writer as writer
 from ionloom.sources import libraries
 
 BOOK = Book()
@@ -348,10 +353,50 @@ def library_file(spark, sf):
     return _file_lines(spark, _file_rows(spark, sf))
 
 
-@add("library_file_whole", "K3", "A3", "W9", "J7")
+#: Every precursor of the whole proteome as the files hold it: group, names, peaks.
+_WHOLE_SQL = f"""names AS (SELECT peptide, string_agg(protein_id, ';' ORDER BY protein_id) AS proteins, string_agg('DECOY_' || protein_id, ';' ORDER BY protein_id) AS decoy_proteins
+  FROM (SELECT DISTINCT peptide, protein_id FROM memberships) GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY replace(peptide, 'C', 'C[UNIMOD:4]')) - 1 AS place FROM names),
+{_LIBRARY_SQL},
+kept AS (SELECT peptide, decoy, z, count(*) FILTER (v / top >= 0.01) AS peaks FROM tops GROUP BY 1, 2, 3),
+sources AS (SELECT peptide AS shown, false AS decoy, proteins, place FROM placed UNION ALL SELECT {_REVERSED}, true, decoy_proteins, place FROM placed),
+written AS (SELECT k.peptide, k.decoy, k.z, k.peaks, s.proteins, s.place * 2 + 1 + k.z - 2 AS grp FROM kept k JOIN sources s ON s.shown = k.peptide AND s.decoy = k.decoy)"""
+
+
+def _digest(*columns):
+    """A number from the columns' text, to be added up."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("bigint")
+
+
+def _write_whole(spark, sf, form):
+    folder = f"{run_folder(spark)}/library"
+    plan.write_library(views.proteome(spark, sf), folder, plan.LibraryOptions(rules=_WHOLE_RULES), form)
+    return folder
+
+
+@add(
+    "library_file_whole",
+    "K3",
+    "A3",
+    "W9",
+    "J7",
+    "F4",
+    needs=("memberships",),
+    sql=f"""WITH {_WHOLE_SQL} SELECT substr(peptide, 1, 1) AS residue, z::BIGINT AS charge, decoy, count(*) AS precursors, sum(peaks)::BIGINT AS lines,
+  sum(('0x' || substr(md5(concat_ws('|', replace(peptide, 'C', 'C(UniMod:4)'), z::VARCHAR, CASE WHEN decoy THEN '1' ELSE '0' END, proteins, peaks::VARCHAR)), 1, 8))::BIGINT)::BIGINT AS digest
+FROM written GROUP BY 1, 2, 3""",
+)
 def library_file_whole(spark, sf):
-    """The same for the whole proteome: up to two missed cleavages, 7 to 30 residues."""
-    return _file_lines(spark, _file_rows(spark, sf, _WHOLE_RULES))
+    """The whole proteome (two missed cleavages, 7 to 30 residues) through the library data source; read back per first residue.
+
+    The digest covers every precursor's spelling, charge, protein list and number of lines.
+    """
+    lines = writer.read_diann_lines(spark, _write_whole(spark, sf, "diann"))
+    names = ("ModifiedPeptide", "PrecursorCharge", "Decoy", "ProteinID")
+    each = lines.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(F.substring(names[0], 1, 1).alias("residue"), F.col(names[1]).cast("bigint").alias("charge"), (F.col("Decoy") == "1").alias("decoy")).agg(
+        F.count(F.lit(1)).alias("precursors"), F.sum("n").alias("lines"), F.sum(_digest(*names, F.col("n").cast("string"))).alias("digest")
+    )
 
 
 @add(
@@ -366,10 +411,74 @@ def library_text(spark, sf):
     return _text_entries(spark, _file_rows(spark, sf))
 
 
-@add("library_text_whole", "K4", "W9")
+@add(
+    "library_text_whole",
+    "K4",
+    "W9",
+    "F4",
+    needs=("memberships",),
+    sql=f"""WITH {_WHOLE_SQL} SELECT substr(peptide, 1, 1) AS residue, z::BIGINT AS charge, decoy, count(*) AS precursors, sum(peaks)::BIGINT AS peaks, sum(grp)::BIGINT AS groups,
+  sum(('0x' || substr(md5(concat_ws('|', replace(peptide, 'C', 'C[UNIMOD:4]') || '/' || z, grp::VARCHAR, proteins, peaks::VARCHAR)), 1, 8))::BIGINT)::BIGINT AS digest
+FROM written GROUP BY 1, 2, 3""",
+)
 def library_text_whole(spark, sf):
-    """The same for the whole proteome: up to two missed cleavages, 7 to 30 residues."""
-    return _text_entries(spark, _file_rows(spark, sf, _WHOLE_RULES))
+    """The whole proteome as library text through the data source: entries read back, with groups, names and peaks."""
+    entries = _entry_facts(writer.read_entries(spark, _write_whole(spark, sf, "text")))
+    charge = F.element_at(F.split("ion", "/"), -1).cast("bigint")
+    return entries.groupBy(F.substring("ion", 1, 1).alias("residue"), charge.alias("charge"), (F.col("decoys") == 1).alias("decoy")).agg(
+        F.count(F.lit(1)).alias("precursors"), F.sum("peaks").alias("peaks"), F.sum("decoy_group").alias("groups"),
+        F.sum(_digest("ion", F.col("decoy_group").cast("string"), "proteins", F.col("peaks").cast("string"))).alias("digest"),
+    )
+
+
+_SETTINGS_RULES = DigestRules(missed_cleavages=0, min_charge=2, max_charge=2)
+
+
+@add(
+    "library_settings_check",
+    "J11",
+    "K10",
+    "K4",
+    needs=("cleaved",),
+    sql="""WITH asked(case_name, verdict, differences) AS (VALUES ('same', 'same', 0), ('more cleavages', 'different', 1), ('other charges and floor', 'different', 2))
+SELECT case_name, verdict, differences::BIGINT AS differences FROM asked WHERE EXISTS (SELECT 1 FROM cleaved)""",
+)
+def library_settings_check(spark, sf):
+    """A library of the proteome is written with its options; its header is read again and held against three settings."""
+    folder = f"{run_folder(spark)}/library"
+    made = plan.LibraryOptions(rules=_SETTINGS_RULES, max_fragments=3)
+    plan.write_library(views.proteome(spark, sf), folder, made, "text")
+    pairs = lambda found: spark.createDataFrame(found, "key string, value string")
+    recorded = pairs(writer.recorded_settings(folder) or [])
+    cases = {
+        "same": made,
+        "more cleavages": replace(made, rules=replace(_SETTINGS_RULES, missed_cleavages=1)),
+        "other charges and floor": replace(made, rules=replace(_SETTINGS_RULES, max_charge=3), min_intensity=0.5),
+    }
+    verdicts = [
+        check_settings(recorded, pairs(writer.flat_settings(plan.settings_document(options)))).select(F.lit(name).alias("case_name"), "verdict", "differences")
+        for name, options in cases.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), verdicts)
+
+
+@add(
+    "library_sidecar_counts",
+    "K10",
+    "A16",
+    needs=("cleaved",),
+    sql=f"""WITH targets AS (SELECT DISTINCT peptide FROM cleaved), n AS (SELECT count(*) AS targets,
+  count(*) FILTER ({_REVERSED} NOT IN (SELECT peptide FROM targets)) AS decoys, sum(least(3, 4 * (length(peptide) - 1))) AS fragments,
+  sum(least(3, 4 * (length(peptide) - 1))) FILTER ({_REVERSED} NOT IN (SELECT peptide FROM targets)) AS decoy_fragments FROM targets)
+SELECT (targets + decoys)::BIGINT AS precursors, decoys::BIGINT AS decoys, (fragments + decoy_fragments)::BIGINT AS fragments FROM n""",
+)
+def library_sidecar_counts(spark, sf):
+    """The counts that a build has put into its sidecar, from what its tasks have written."""
+    folder = f"{run_folder(spark)}/library"
+    plan.write_library(views.proteome(spark, sf), folder, plan.LibraryOptions(rules=_SETTINGS_RULES, max_fragments=3))
+    sidecar = spark.read.option("wholetext", True).text(f"{folder}/{writer.SIDECAR}")
+    count = lambda name: F.get_json_object("value", f"$.output.counts.{name}").cast("bigint").alias(name)
+    return sidecar.select(count("precursors"), count("decoys"), count("fragments"))
 
 
 def _text_entries(spark, rows):
@@ -377,8 +486,12 @@ def _text_entries(spark, rows):
     header = sink.speclib_header("stand-in", "0.1", [("digest.min_length", "7")])
     order = [F.col("decoy_group").asc(), F.col("decoy").asc()]
     sink.write_speclib(rows, order, folder, header)
+    entries = spark.read.option("lineSep", "<Spectrum=").text(f"{folder}/spectra")
+    return _entry_facts(entries.where(F.length(F.trim(F.col("value"))) > 0))
+
+
+def _entry_facts(entries):
     entry = F.col("value")
-    entries = spark.read.option("lineSep", "<Spectrum=").text(f"{folder}/spectra").where(F.length(F.trim(entry)) > 0)
     one = lambda term: F.regexp_extract(entry, term + r"([^\n]*)", 1)
     accessions = F.regexp_extract_all(entry, F.lit(r"MS:1000885\|protein accession=([^\n]*)"), F.lit(1))
     return entries.select(
