@@ -129,11 +129,10 @@ def dataset_ids(chunks: DataFrame) -> DataFrame:
     return placed.select("dataset", (F.col("place") + 1).alias("dataset_id"))
 
 
-def corpus_manifest(prepared: DataFrame, chunks: DataFrame, winners_uri: str, source: dict) -> DataFrame:
-    """The corpus manifest as one nested row.
+def corpus_facts(prepared: DataFrame) -> DataFrame:
+    """What a manifest's header says of the rows: ``(split_rows, split_datasets, irt_stats)``, additive, one row.
 
-    Its lists have one entry per chunk, dataset or split: the manifest's own size, not the
-    corpus's. Winners stay in their own file.
+    Maps have an entry per split or dataset. The chunk list is a table of its own (``sinks.manifest_log``).
     """
     one = F.lit(0).alias("__one")
     train = prepared.where((F.col("split") == "train") & finite(F.col("irt")))
@@ -146,34 +145,9 @@ def corpus_manifest(prepared: DataFrame, chunks: DataFrame, winners_uri: str, so
         one,
     )
     as_map = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
-    parts = [
-        dataset_ids(chunks).agg(as_map("dataset", "dataset_id").alias("datasets"), one),
-        chunks.agg(
-            F.array_sort(F.collect_list(F.struct("uri", "dataset", "rows", "source_shard"))).alias("chunks"),
-            F.count(F.lit(1)).alias("__shards"),
-            one,
-        ),
-        split_rows(prepared).agg(as_map("split", "rows").alias("split_rows"), one),
-        split_datasets(prepared).agg(as_map("dataset", "splits").alias("split_datasets"), one),
-    ]
-    row = stats
-    for part in parts:
-        row = row.join(part, "__one")
-    return row.select(
-        F.lit(1).cast("bigint").alias("version"),
-        "datasets",
-        "chunks",
-        F.array().cast("array<decimal(20,0)>").alias("val_winners"),
-        F.lit(winners_uri).alias("val_winners_uri"),
-        "irt_stats",
-        "split_rows",
-        "split_datasets",
-        F.struct(
-            F.lit(source["config_fingerprint"]).alias("config_fingerprint"),
-            F.lit(int(source["policy_version"])).cast("bigint").alias("policy_version"),
-            F.col("__shards").alias("shards"),
-        ).alias("source"),
-    )
+    rows = split_rows(prepared).agg(as_map("split", "rows").alias("split_rows"), one)
+    datasets = split_datasets(prepared).agg(as_map("dataset", "splits").alias("split_datasets"), one)
+    return rows.join(datasets, "__one").join(stats, "__one").drop("__one")
 
 
 def flatten_document(df: DataFrame, key: list[str], json_column: str) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ionloom.functions.hashing import unsigned
 from ionloom.functions.spectra import finite
 from ionloom.operators import curation as cur
-from ionloom.operators.catalog import corpus_manifest
+from ionloom.operators.catalog import corpus_facts
 from ionloom.operators.ordering import with_group_position
 from ionloom.plans.prepare import curate_prepared, prepare_spectra
 from ionloom.queries import views
 from ionloom.queries.base import Book, run_folder
 from ionloom.session import materialise
 from ionloom.sinks.corpus import write_prepared
+from ionloom.sinks.manifest_log import ManifestLog
 
 BOOK = Book()
 add = BOOK.add
@@ -362,12 +363,13 @@ def finalize_manifest(spark, sf):
     chunks = corpus.groupBy("source_shard", "dataset").agg(F.count(F.lit(1)).alias("rows")).select(
         F.concat(F.lit("prepared/source_shard="), "source_shard").alias("uri"), "dataset", "rows", F.col("source_shard").cast("string").alias("source_shard")
     )
-    manifest = corpus_manifest(corpus, chunks, "winners", {"config_fingerprint": "f", "policy_version": 2})
-    total = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return manifest.select(
-        "version",
-        F.size("chunks").alias("chunks"),
-        total(F.transform("chunks", lambda c: c["rows"].cast("bigint"))).alias("chunk_rows"),
-        total(F.transform(F.map_values("split_rows"), lambda n: n.cast("bigint"))).alias("split_rows"),
-        F.array_join(F.map_keys("datasets"), ";").alias("datasets"),
+    log = ManifestLog(spark, f"{folder}/manifest")
+    log.append(chunks, corpus_facts(corpus), "winners", {"config_fingerprint": "f", "policy_version": 2})
+    header = log.newest()
+    return log.chunks().agg(
+        F.lit(header.version).cast("bigint").alias("version"),
+        F.count(F.lit(1)).alias("chunks"),
+        F.sum("rows").alias("chunk_rows"),
+        F.lit(header.total()).cast("bigint").alias("split_rows"),
+        F.lit(";".join(header.datasets)).alias("datasets"),
     )

@@ -12,6 +12,7 @@ from ionloom.queries import views
 from ionloom.queries.base import Book, run_folder
 from ionloom.schemas import PREPARED, enforce_schema
 from ionloom.sinks import corpus, libraries as sink
+from ionloom.sinks.manifest_log import ManifestLog
 from ionloom.sources import fasta, libraries, tables
 
 BOOK = Book()
@@ -247,12 +248,19 @@ def shard_manifest_scan(spark, sf):
     )
 
 
-def corpus_manifest(spark, sf):
+def corpus_log(spark, sf):
+    """The manifest log of a corpus that came in two parts, with a third whose writer died before its header."""
+    log = ManifestLog(spark, f"{run_folder(spark)}/manifest")
     chunks = shard_manifests(spark, sf).select(
         F.col("data_uri").alias("uri"), F.col("task.dataset").alias("dataset"), "rows", "source_shard"
     )
+    prepared = views.prepared(spark, sf)
+    early, first = F.col("rows") % 2 == 1, F.col("scan_number") % 2 == 0
     source = {"config_fingerprint": "now", "policy_version": 2}
-    return catalog.corpus_manifest(views.prepared(spark, sf), chunks, "base/validation/winners", source)
+    for number, (part, rows) in enumerate(((early, first), (~early, ~first))):
+        log.append(chunks.where(part), catalog.corpus_facts(prepared.where(rows)), "base/validation/winners", source, f"part {number}")
+    chunks.limit(1).withColumn("uri", F.lit("torn")).write.json(f"{log.folder}/chunks/00000000000000000003-torn")
+    return log
 
 
 @add(
@@ -261,10 +269,8 @@ def corpus_manifest(spark, sf):
     sql="SELECT 'base/shards/src' || s_suppkey || '/data.parquet' AS uri, 'set' || (s_nationkey % 6) AS dataset, s_suppkey * 3 + 1 AS rows, 'shard' || s_suppkey AS source_shard FROM supplier",
 )
 def corpus_manifest_load(spark, sf):
-    """The corpus manifest written, checked and opened into its chunk list."""
-    folder = run_folder(spark)
-    corpus.write_manifest(corpus_manifest(spark, sf), f"{folder}/manifest.json")
-    return tables.manifest_chunks(tables.read_corpus_manifest(spark, folder))
+    """The newest complete version of a corpus manifest: its chunks, without those of a half-written version."""
+    return corpus_log(spark, sf).chunks()
 
 
 @add(
@@ -278,23 +284,17 @@ UNION ALL SELECT 'irt_stats', 'n', count(irt)::VARCHAR FROM prepared WHERE split
 UNION ALL SELECT 'source', 'shards', count(*)::VARCHAR FROM supplier""",
 )
 def corpus_manifest_table(spark, sf):
-    m = corpus_manifest(spark, sf)
-
-    def entries(name, column):
-        return m.select(F.lit(name).alias("part"), F.explode(column).alias("key", "value"))
-
-    joined = F.transform_values("split_datasets", lambda _, v: F.array_join(v, ","))
-    return (
-        entries("datasets", F.transform_values("datasets", lambda _, v: v.cast("string")))
-        .unionByName(entries("split_rows", F.transform_values("split_rows", lambda _, v: v.cast("string"))))
-        .unionByName(entries("split_datasets", joined))
-        .unionByName(
-            m.select(F.lit("irt_stats").alias("part"), F.lit("n").alias("key"), F.col("irt_stats")[0].cast("bigint").cast("string").alias("value"))
-        )
-        .unionByName(
-            m.select(F.lit("source").alias("part"), F.lit("shards").alias("key"), F.col("source.shards").cast("string").alias("value"))
-        )
-    )
+    """The header of the newest version as a table: what two parts of a corpus add up to."""
+    m = corpus_log(spark, sf).newest()
+    parts = {
+        "datasets": {k: str(v) for k, v in m.datasets.items()},
+        "split_rows": m.split_rows,
+        "split_datasets": {k: ",".join(v) for k, v in m.split_datasets.items() if v},
+        "irt_stats": {"n": int(m.irt_stats[0])},
+        "source": {"shards": m.chunks},
+    }
+    rows = [(part, key, str(value)) for part, entries in parts.items() for key, value in entries.items()]
+    return spark.createDataFrame(rows, "part string, key string, value string")
 
 
 @add(

@@ -112,10 +112,12 @@ SHARD_MANIFEST = struct(
     ),
 )
 
+MANIFEST_CHUNK = struct(uri=TEXT, dataset=TEXT, rows=LONG, source_shard=TEXT)
+
 CORPUS_MANIFEST = struct(
     version=LONG,
     datasets=T.MapType(TEXT, LONG),
-    chunks=T.ArrayType(struct(uri=TEXT, dataset=TEXT, rows=LONG, source_shard=TEXT)),
+    chunks=T.ArrayType(MANIFEST_CHUNK),
     val_winners=T.ArrayType(IDENTIFIER),
     val_winners_uri=TEXT,
     irt_stats=T.ArrayType(DOUBLE),

@@ -50,11 +50,6 @@ def write_curation(curation: Curation, annotations_path: str, report_path: str)
     selection_counts(curation).withColumn("policy", policy).coalesce(1).write.mode("error").json(report_path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    """The one-row manifest; written last, so its presence means the corpus is complete."""
-    manifest.coalesce(1).write.mode("error").json(path)
-
-
 def provenance_sidecar(document: DataFrame, counts: DataFrame) -> DataFrame:
     """A settings document with the result counts of the build added under ``output.counts``.
 

@@ -22,18 +22,23 @@ def process_new_files(
     fingerprint: str,
     pattern: str = "*.parquet",
     max_files: int = 1000,
+    written: Callable[[str, str], None] | None = None,
 ) -> str:
     """Run ``step`` over files not seen before and add its rows to the output.
 
     The stream's checkpoint is the record of what is done; it is committed after the data, and a
     batch that ran halfway is written again under its own number instead of twice. Output and
-    state live under the settings' fingerprint, so changed settings start afresh. Returns the
-    output folder.
+    state live under the settings' fingerprint, so changed settings start afresh. ``written(folder,
+    transaction)`` is called after a batch's rows are there, to record them (a manifest log takes a transaction
+    once, however often a batch is tried). Returns the output folder.
     """
     target = f"{output.rstrip('/')}/{fingerprint}"
 
     def write(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        folder = f"{target}/batch={number}"
+        step(batch).write.mode("overwrite").parquet(folder)
+        if written is not None:
+            written(folder, f"{fingerprint}:{number}")
 
     query = (
         spark.readStream.schema(schema)
