@@ -279,7 +279,8 @@ def curate(psms: DataFrame, policy: CurationPolicy = CurationPolicy()) -> Curati
     members = window_membership(
         supported, apex_windows(peptidoforms, widths), policy.min_in_window_psms
     )
-    return Curation(rank_contexts(members, policy), peptidoforms, widths, policy)
+    # Annotations, selection and report all read the verdicts: narrow rows, written once.
+    return Curation(materialise(rank_contexts(members, policy)), peptidoforms, widths, policy)
 
 
 def peptidoform_groups(verdicts: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ionloom.constants import REFUSAL_REASONS
 from ionloom.functions import chemistry, spectra
-from ionloom.operators import catalog, decoys, evaluate, library, ordering, resolve, winners
-from ionloom.operators.curation import REPORT_QUANTILES
+from ionloom.operators import catalog, decoys, evaluate, library, ordering, reports, resolve, winners
+from ionloom.operators.curation import REPORT_QUANTILES, SUBSETS, leave_one_out_angles
 from ionloom.queries import views
 from ionloom.queries.base import Book, joined
+from ionloom.queries.q_curation import flagged_spectra
 from ionloom.queries.q_joins import RESOLVED_SQL, scans
 from ionloom.sources import libraries
 
@@ -279,6 +280,7 @@ def shard_reports(spark, sf):
     k = F.col("s_suppkey")
     return s.select(
         F.concat(F.lit("set"), (F.col("s_nationkey") % 6).cast("string")).alias("dataset"),
+        k.alias("shard"),
         (k * 10 + 5).alias("rows"),
         F.when(k % 8 == 0, 0).otherwise(k * 2).alias("selected_rows"),
         (k % 5).alias("missing_intensity_rows"),
@@ -298,17 +300,46 @@ _SUMMARY_COLUMNS = """count(*) AS shards, count(*) FILTER (selected_rows = 0) AS
   round(sum(selected_rows) / sum(rows), 6) AS retention, round(sum(missing) / sum(rows), 6) AS missing_intensity_fraction"""
 
 
+_CEILING_SQL = """flagged AS (SELECT *, spectrum_id % 3 <> 0 AS win, spectrum_id % 5 = 1 AS sel, value / sqrt(sum(value * value) OVER (PARTITION BY spectrum_id)) AS u FROM spectra),
+subsets AS (SELECT 'all' AS subset, spectrum_id, context, cell, u FROM flagged UNION ALL SELECT 'within_apex_window', spectrum_id, context, cell, u FROM flagged WHERE win
+  UNION ALL SELECT 'selected', spectrum_id, context, cell, u FROM flagged WHERE sel),
+peers AS (SELECT *, sum(u) OVER (PARTITION BY subset, context, cell) - u AS p, count(*) OVER (PARTITION BY subset, context, cell) AS n FROM subsets),
+angles AS (SELECT subset, spectrum_id, 1 - 2 * acos(greatest(least(sum(u * p) / sqrt(sum(p * p)), 1), -1)) / pi() AS angle FROM peers WHERE n >= 2 GROUP BY 1, 2),
+binned AS (SELECT 'set' || (s_nationkey % 6) AS dataset, subset, CASE WHEN angle BETWEEN 0 AND 1 THEN least(floor(angle * 50), 49) END AS bin FROM angles JOIN supplier ON s_suppkey = spectrum_id % 7 + 1),
+both_grains AS (SELECT * FROM binned UNION ALL SELECT '*', subset, bin FROM binned),
+ceilings AS (SELECT dataset, """ + ", ".join(
+    f"count(bin) FILTER (subset = '{s}') AS ceiling_{s}_replicates, round(avg((bin + 0.5::DOUBLE) / 50) FILTER (subset = '{s}'), 6) AS ceiling_{s}_mean, "
+    f"(sum(bin * bin) FILTER (subset = '{s}'))::BIGINT AS ceiling_{s}_digest"
+    for s in ("all", "within_apex_window", "selected")
+) + " FROM both_grains GROUP BY 1)"
+
+
 @add(
     "corpus_summary",
     "A18",
-    sql=f"""WITH shards AS (SELECT 'set' || (s_nationkey % 6) AS dataset, s_suppkey * 10 + 5 AS rows,
+    needs=("spectra",),
+    sql=f"""WITH {_CEILING_SQL}, shards AS (SELECT 'set' || (s_nationkey % 6) AS dataset, s_suppkey * 10 + 5 AS rows,
   CASE WHEN s_suppkey % 8 = 0 THEN 0 ELSE s_suppkey * 2 END AS selected_rows, s_suppkey % 5 AS missing, s_suppkey + 3 AS peptidoform_groups,
   s_suppkey % 4 AS rejected, 2 AS runs, s_suppkey % 3 AS clamped, CASE WHEN s_suppkey % 10 = 0 THEN 'policy b' ELSE 'policy a' END AS policy,
-  CASE WHEN s_suppkey % 7 <> 0 THEN '2' ELSE 'unrecorded' END AS version FROM supplier)
-SELECT dataset, {_SUMMARY_COLUMNS} FROM shards GROUP BY dataset UNION ALL SELECT '*', {_SUMMARY_COLUMNS} FROM shards""",
+  CASE WHEN s_suppkey % 7 <> 0 THEN '2' ELSE 'unrecorded' END AS version FROM supplier),
+summed AS (SELECT dataset, {_SUMMARY_COLUMNS} FROM shards GROUP BY dataset UNION ALL SELECT '*', {_SUMMARY_COLUMNS} FROM shards)
+SELECT summed.*, """
+    + ", ".join(f"coalesce(ceiling_{s}_replicates, 0) AS ceiling_{s}_replicates, ceiling_{s}_mean, ceiling_{s}_digest" for s in ("all", "within_apex_window", "selected"))
+    + " FROM summed LEFT JOIN ceilings USING (dataset)",
 )
 def corpus_summary(spark, sf):
-    return evaluate.corpus_summary(shard_reports(spark, sf))
+    """Totals per source and for the corpus, with three replicate ceilings added up from the shards' histograms.
+
+    The digest covers a histogram: each bin's number squared, times its count.
+    """
+    flagged = flagged_spectra(spark, sf)
+    angles = leave_one_out_angles(flagged.drop("ms2"), flagged.select("spectrum_id", "ms2"), ["context"])
+    per_shard = reports.ceiling_states(angles.withColumn("shard", F.col("spectrum_id") % 7 + 1), ["shard"])
+    shards = shard_reports(spark, sf).join(per_shard, "shard", "left")
+    out = reports.with_ceilings(evaluate.corpus_summary(shards), shards)
+    digest = lambda bins: F.aggregate(F.transform(bins, lambda n, i: n * i * i), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    plain = [F.col(c) for c in out.columns if not c.endswith("_histogram")]
+    return out.select(*plain, *[F.when(F.col(f"ceiling_{s}_replicates") > 0, digest(F.col(f"ceiling_{s}_histogram"))).alias(f"ceiling_{s}_digest") for s in SUBSETS])
 
 
 def scored_acquisitions(spark, sf):
@@ -340,6 +371,52 @@ def distribution_report(spark, sf):
     return evaluate.distribution_report(scored_acquisitions(spark, sf))
 
 
+_REPORT_ROWS_SQL = """report_rows AS (SELECT 'set' || (context % 4) AS dataset, CASE WHEN spectrum_id % 3 = 0 THEN 'ITMS' ELSE 'FTMS' END || '/' || CASE WHEN spectrum_id % 2 = 0 THEN 'HCD' ELSE 'CID' END AS acq,
+  CASE WHEN spectrum_id % 5 = 0 THEN 'labelled ' ELSE 'label-free ' END AS state, CASE WHEN spectrum_id % 9 <> 4 THEN angle END AS angle,
+  CASE WHEN spectrum_id % 9 = 4 THEN CASE WHEN spectrum_id % 2 = 0 THEN 'mass_only_modification' ELSE 'teacher_returned_none' END END AS reason,
+  CASE WHEN spectrum_id % 8 <> 3 AND spectrum_id % 9 <> 4 THEN context * 3.5::DOUBLE + spectrum_id % 13 END AS observed, (context * 7 + spectrum_id % 11)::DOUBLE AS predicted FROM pair_angles),
+grains AS (SELECT 'dataset' AS level, dataset AS cell, * FROM report_rows UNION ALL SELECT 'acquisition', acq, * FROM report_rows
+  UNION ALL SELECT 'label_acquisition', state || acq, * FROM report_rows UNION ALL SELECT 'overall', 'all', * FROM report_rows),
+fits AS (SELECT dataset, regr_slope(observed, predicted) AS slope, regr_intercept(observed, predicted) AS intercept FROM report_rows GROUP BY 1),
+residuals AS (SELECT 'dataset' AS level, dataset AS cell, avg(abs(observed - slope * predicted - intercept)) AS residual_mae FROM report_rows JOIN fits USING (dataset) GROUP BY 1, 2)"""
+
+
+@add(
+    "multi_grain_report",
+    "A19",
+    "A14",
+    "A27",
+    needs=("pair_angles",),
+    sql=f"""WITH {_REPORT_ROWS_SQL}, lines AS (SELECT level, cell, count(angle) AS scored, count(reason) AS refused, """
+    + ", ".join(f"count(*) FILTER (reason = '{r}') AS refused_{r}" for r in REFUSAL_REASONS)
+    + ", round(avg(angle), 6) AS mean, "
+    + ", ".join(f"round(quantile_cont(angle, {q}), 6) AS {n}" for n, q in evaluate.FIVE_QUANTILES.items())
+    + """, sum(CASE WHEN angle BETWEEN 0 AND 1 THEN pow(least(floor(angle * 50), 49), 2) END)::BIGINT AS histogram_digest,
+  CASE WHEN level = 'dataset' THEN round(pow(corr(observed, predicted), 2), 6) END AS r_squared FROM grains GROUP BY 1, 2)
+SELECT lines.*, round(residual_mae, 6) AS residual_mae FROM lines LEFT JOIN residuals USING (level, cell)""",
+)
+def multi_grain_report(spark, sf):
+    """One report of angles, quantiles, histogram, refusals and retention fit at four grains, from states of the finest.
+
+    The digest covers the histogram: each bin's number squared, times its count.
+    """
+    sid, refused = F.col("spectrum_id"), F.col("spectrum_id") % 9 == 4
+    scores = pair_scores(spark, sf)
+    rows = scores.select(
+        F.concat(F.lit("set"), (F.col("context") % 4).cast("string")).alias("dataset"),
+        F.when(sid % 3 == 0, "ITMS").otherwise("FTMS").alias("detector"),
+        F.when(sid % 2 == 0, "HCD").otherwise("CID").alias("fragmentation"),
+        (sid % 5 == 0).alias("labelled"),
+        F.when(~refused, F.col("angle")).alias("angle"),
+        F.when(refused, F.when(sid % 2 == 0, "mass_only_modification").otherwise("teacher_returned_none")).alias("reason"),
+        F.when(sid % 8 != 3, F.col("context") * 3.5 + sid % 13).otherwise(F.lit(float("nan"))).alias("observed"),
+        (F.col("context") * 7 + sid % 11).cast("double").alias("predicted"),
+    )
+    out = reports.multi_grain_report(rows)
+    digest = F.aggregate(F.transform("histogram", lambda n, i: n * i * i), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.withColumn("histogram_digest", digest).drop("histogram")
+
+
 @add(
     "masked_metrics",
     "A20",

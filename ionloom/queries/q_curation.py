@@ -13,7 +13,7 @@ from ionloom.plans.prepare import curate_prepared, prepare_spectra
 from ionloom.queries import views
 from ionloom.queries.base import Book, run_folder
 from ionloom.session import materialise
-from ionloom.sinks.corpus import write_prepared
+from ionloom.sinks.corpus import write_curation, write_prepared
 from ionloom.sinks.manifest_log import ManifestLog
 
 BOOK = Book()
@@ -197,6 +197,57 @@ def selection_report(spark, sf):
     return cur.selection_counts(cur.curate(views.psms(spark, sf), POLICY))
 
 
+@add(
+    "curation_report_file",
+    "K6",
+    "A7",
+    "A10",
+    needs=("psms", "spectra"),
+    sql=f"""WITH {_CURATION_SQL}, p AS (SELECT raw_file, proforma, count(*) AS a, count(*) FILTER (within) AS b, count(*) FILTER (selected) AS c FROM verdicts GROUP BY 1, 2),
+m AS (SELECT 'psms_per_peptidoform' AS measure, a AS v FROM p UNION ALL SELECT 'window_psms_per_peptidoform', b FROM p UNION ALL SELECT 'selected_psms_per_peptidoform', c FROM p),
+flagged AS (SELECT s.spectrum_id, v.proforma AS context, within AS win, selected AS sel, cell, s.value / sqrt(sum(s.value * s.value) OVER (PARTITION BY s.spectrum_id)) AS u FROM spectra s JOIN verdicts v ON v.spectrum_id = s.spectrum_id),
+subsets AS (SELECT 'all' AS subset, spectrum_id, context, cell, u FROM flagged UNION ALL SELECT 'within_apex_window', spectrum_id, context, cell, u FROM flagged WHERE win
+  UNION ALL SELECT 'selected', spectrum_id, context, cell, u FROM flagged WHERE sel),
+peers AS (SELECT *, sum(u) OVER (PARTITION BY subset, context, cell) - u AS pu, count(*) OVER (PARTITION BY subset, context, cell) AS n FROM subsets),
+angles AS (SELECT subset, spectrum_id, 1 - 2 * acos(greatest(least(sum(u * pu) / sqrt(sum(pu * pu)), 1), -1)) / pi() AS angle FROM peers WHERE n >= 2 GROUP BY 1, 2)
+SELECT 'input.rows' AS key, count(*)::DOUBLE AS value FROM verdicts UNION ALL SELECT 'selection.selected_rows', count(*) FILTER (selected) FROM verdicts
+UNION ALL SELECT 'chromatography.runs', count(*) FROM widths
+"""
+    + " ".join(f"UNION ALL SELECT 'replication.' || measure || '.{n}', round(quantile_cont(v::DOUBLE, {q}), 6) FROM m GROUP BY measure" for n, q in cur.REPORT_QUANTILES.items())
+    + """ UNION ALL SELECT 'ceiling.' || subset || '.mean', round(avg(angle), 6) FROM angles GROUP BY subset
+UNION ALL SELECT 'ceiling.' || subset || '.replicates', count(*) FROM angles GROUP BY subset
+UNION ALL SELECT 'ceiling.' || subset || '.digest', sum(pow(least(floor(angle * 50), 49), 2)) FROM angles WHERE angle BETWEEN 0 AND 1 GROUP BY subset""",
+)
+def curation_report_file(spark, sf):
+    """The curation report as written and read back: counts, replication quantiles, ceilings with their histograms."""
+    folder = run_folder(spark)
+    curation = cur.curate(views.psms(spark, sf), POLICY)
+    spectra_table = views.spectra(spark, sf).select("spectrum_id", "ms2")
+    write_curation(curation, f"{folder}/annotations", f"{folder}/report", spectra_table, ["proforma"])
+    text = spark.read.text(f"{folder}/report")
+    names = list(cur.REPORT_QUANTILES)
+    quantiles = "map<string,struct<" + ",".join(f"{n}:double" for n in names) + ">>"
+    ceilings = "map<string,struct<mean:double,replicates_compared:bigint,histogram:struct<counts:array<bigint>>>>"
+    schema = f"input struct<rows:bigint>, selection struct<selected_rows:bigint>, chromatography struct<runs:bigint>, replication {quantiles}, achievable_ceiling {ceilings}"
+    report = text.select(F.from_json("value", schema).alias("r")).select("r.*")
+    pair = lambda key, value: F.struct(key.alias("key"), value.cast("double").alias("value"))
+    digest = lambda bins: F.aggregate(F.transform(bins, lambda n, i: n * i * i), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    plain = F.array(*[pair(F.lit(k), F.col(k)) for k in ("input.rows", "selection.selected_rows", "chromatography.runs")])
+    replication = F.flatten(F.transform(F.map_entries("replication"), lambda e: F.array(*[pair(F.concat(F.lit("replication."), e["key"], F.lit(f".{n}")), e["value"][n]) for n in names])))
+    name = lambda e, part: F.concat(F.lit("ceiling."), e["key"], F.lit(part))
+    ceiling = F.flatten(
+        F.transform(
+            F.map_entries("achievable_ceiling"),
+            lambda e: F.array(
+                pair(name(e, ".mean"), e["value"]["mean"]),
+                pair(name(e, ".replicates"), e["value"]["replicates_compared"]),
+                pair(name(e, ".digest"), digest(e["value"]["histogram"]["counts"])),
+            ),
+        )
+    )
+    return report.select(F.explode(F.concat(plain, replication, ceiling)).alias("p")).select("p.key", "p.value")
+
+
 @add(
     "replication_quantiles",
     "A7",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions.hashing import unsigned
-from ionloom.operators.curation import Curation, selection_counts
+from ionloom.operators.curation import CONTEXT, Curation, selection_counts
+from ionloom.operators.reports import curation_report
 from ionloom.schemas import PREPARED, WINNERS, enforce_schema
 
 ROW_GROUP_ROWS = 65_536
@@ -43,11 +44,21 @@ def write_winners(winners: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def write_curation(curation: Curation, annotations_path: str, report_path: str) -> None:
-    """Annotations as Parquet, the scalar report and the policy as one JSON row."""
+def write_curation(
+    curation: Curation, annotations_path: str, report_path: str, spectra_table: DataFrame | None = None, keys: list[str] = CONTEXT
+) -> None:
+    """Annotations as Parquet, the report as one JSON row.
+
+    With ``spectra_table`` (``spectrum_id, ms2``) the report has replication quantiles and the three replicate ceilings,
+    without it the counts and the policy.
+    """
     curation.annotations().write.mode("error").option("compression", "zstd").parquet(annotations_path)
-    policy = F.struct(*[F.lit(v).alias(k) for k, v in curation.policy.canonical().items()])
-    selection_counts(curation).withColumn("policy", policy).coalesce(1).write.mode("error").json(report_path)
+    if spectra_table is None:
+        policy = F.struct(*[F.lit(v).alias(k) for k, v in curation.policy.canonical().items()])
+        report = selection_counts(curation).withColumn("policy", policy)
+    else:
+        report = curation_report(curation, spectra_table, keys)
+    report.coalesce(1).write.mode("error").json(report_path)
 
 
 def provenance_sidecar(document: DataFrame, counts: DataFrame) -> DataFrame:
