@@ -402,13 +402,20 @@ def _set_rows(width: int):
 
 
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """``(cid, members)`` of the wanted sets, from the text of one document of each."""
+    """``(cid, members)`` of the wanted sets, from the text of one document of each.
+
+    Documents are chosen by identifier, so that only they are read again; a namesake's set may come along and is met by
+    nobody. Rows without an identifier are chosen by their sets.
+    """
     ids = materialise(sets.join(wanted, "cid").select(F.col("rep").alias("doc_id")))
+
+    def made(rows: DataFrame) -> DataFrame:
+        return rows.select("text").mapInArrow(_set_rows(width), "cid long, members binary")
+
     known = docs.where(F.col("doc_id").isNotNull())
     chosen = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    chosen = chosen.unionByName(docs.where(F.col("doc_id").isNull()))
-    made = chosen.select("text").mapInArrow(_set_rows(width), "cid long, members binary")
-    return materialise(made.join(wanted, "cid", "left_semi"))
+    nameless = docs.where(F.col("doc_id").isNull())
+    return materialise(made(chosen).unionByName(made(nameless).join(wanted, "cid", "left_semi")))
 
 
 def _sketches(members: list[np.ndarray], words_: int) -> np.ndarray:
