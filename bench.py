@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -45,27 +46,34 @@ HEADLINE = (
 
 
 def main() -> None:
-    from pyspark.sql import SparkSession
-
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     names = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n] or HEADLINE
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("ionloom-bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+    from pyspark.sql import SparkSession
+
     from ionloom.queries import QUERIES
 
-    spark.range(1000).selectExpr("sum(id)").collect()  # start the executors before timing
+    shared = tempfile.mkdtemp(prefix="ionloom-bench-")  # a local master: the one machine sees it
+
+    def session() -> SparkSession:
+        made = (
+            SparkSession.builder.master(f"local[{cpus}]")
+            .appName("ionloom-bench")
+            .config("spark.sql.shuffle.partitions", cpus)
+            .config("spark.driver.memory", "16g")
+            .config("spark.ui.enabled", "false")
+            .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.checkpoint.dir", shared)
+            .getOrCreate()
+        )
+        made.sparkContext.setLogLevel("ERROR")
+        made.range(1000).selectExpr("sum(id)").collect()  # start the executors before timing
+        return made
+
     seconds: dict[str, float] = {}
     library: dict[str, float] = {}
-    for name in names:
+    for name in names:  # a session of its own for every query
+        spark = session()
         start = time.perf_counter()
         result = QUERIES[name].build(spark, sf_dir)
         if name == "library_build":  # a few rows of counts, which give the throughput
@@ -78,6 +86,7 @@ def main() -> None:
             result.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{seconds[name]:8.2f}s {name}", file=sys.stderr, flush=True)
+        spark.stop()
     print(
         json.dumps(
             {
