@@ -333,7 +333,10 @@ def _file_rows(spark, sf, rules=_FILE_RULES):
 def _file_lines(spark, rows):
     folder = f"{run_folder(spark)}/library"
     sink.write_diann(rows, folder)
-    lines = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(folder)
+    return _lines_per_precursor(spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(folder))
+
+
+def _lines_per_precursor(lines):
     return lines.groupBy(
         F.col("ModifiedPeptide").alias("peptide"), F.col("PrecursorCharge").alias("charge"), F.col("Decoy").alias("decoy"), F.col("ProteinID").alias("proteins")
     ).agg(F.count(F.lit(1)).alias("lines"))
@@ -363,11 +366,6 @@ sources AS (SELECT peptide AS shown, false AS decoy, proteins, place FROM placed
 written AS (SELECT k.peptide, k.decoy, k.z, k.peaks, s.proteins, s.place * 2 + 1 + k.z - 2 AS grp FROM kept k JOIN sources s ON s.shown = k.peptide AND s.decoy = k.decoy)"""
 
 
-def _digest(*columns):
-    """A number from the columns' text, to be added up."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("bigint")
-
-
 def _write_whole(spark, sf, form):
     folder = f"{run_folder(spark)}/library"
     plan.write_library(views.proteome(spark, sf), folder, plan.LibraryOptions(rules=_WHOLE_RULES), form)
@@ -382,21 +380,11 @@ def _write_whole(spark, sf, form):
     "J7",
     "F4",
     needs=("memberships",),
-    sql=f"""WITH {_WHOLE_SQL} SELECT substr(peptide, 1, 1) AS residue, z::BIGINT AS charge, decoy, count(*) AS precursors, sum(peaks)::BIGINT AS lines,
-  sum(('0x' || substr(md5(concat_ws('|', replace(peptide, 'C', 'C(UniMod:4)'), z::VARCHAR, CASE WHEN decoy THEN '1' ELSE '0' END, proteins, peaks::VARCHAR)), 1, 8))::BIGINT)::BIGINT AS digest
-FROM written GROUP BY 1, 2, 3""",
+    sql=f"""WITH {_WHOLE_SQL} SELECT replace(peptide, 'C', 'C(UniMod:4)') AS peptide, z::VARCHAR AS charge, CASE WHEN decoy THEN '1' ELSE '0' END AS decoy, proteins, peaks AS lines FROM written""",
 )
 def library_file_whole(spark, sf):
-    """The whole proteome (two missed cleavages, 7 to 30 residues) through the library data source; read back per first residue.
-
-    The digest covers every precursor's spelling, charge, protein list and number of lines.
-    """
-    lines = writer.read_diann_lines(spark, _write_whole(spark, sf, "diann"))
-    names = ("ModifiedPeptide", "PrecursorCharge", "Decoy", "ProteinID")
-    each = lines.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy(F.substring(names[0], 1, 1).alias("residue"), F.col(names[1]).cast("bigint").alias("charge"), (F.col("Decoy") == "1").alias("decoy")).agg(
-        F.count(F.lit(1)).alias("precursors"), F.sum("n").alias("lines"), F.sum(_digest(*names, F.col("n").cast("string"))).alias("digest")
-    )
+    """The whole proteome (two missed cleavages, 7 to 30 residues) through the library data source, and lines per precursor read back."""
+    return _lines_per_precursor(writer.read_diann_lines(spark, _write_whole(spark, sf, "diann")))
 
 
 @add(
@@ -417,18 +405,11 @@ def library_text(spark, sf):
     "W9",
     "F4",
     needs=("memberships",),
-    sql=f"""WITH {_WHOLE_SQL} SELECT substr(peptide, 1, 1) AS residue, z::BIGINT AS charge, decoy, count(*) AS precursors, sum(peaks)::BIGINT AS peaks, sum(grp)::BIGINT AS groups,
-  sum(('0x' || substr(md5(concat_ws('|', replace(peptide, 'C', 'C[UNIMOD:4]') || '/' || z, grp::VARCHAR, proteins, peaks::VARCHAR)), 1, 8))::BIGINT)::BIGINT AS digest
-FROM written GROUP BY 1, 2, 3""",
+    sql=f"""WITH {_WHOLE_SQL} SELECT replace(peptide, 'C', 'C[UNIMOD:4]') || '/' || z AS ion, CASE WHEN decoy THEN 1 ELSE 0 END::BIGINT AS decoys, grp AS decoy_group, proteins, peaks FROM written""",
 )
 def library_text_whole(spark, sf):
-    """The whole proteome as library text through the data source: entries read back, with groups, names and peaks."""
-    entries = _entry_facts(writer.read_entries(spark, _write_whole(spark, sf, "text")))
-    charge = F.element_at(F.split("ion", "/"), -1).cast("bigint")
-    return entries.groupBy(F.substring("ion", 1, 1).alias("residue"), charge.alias("charge"), (F.col("decoys") == 1).alias("decoy")).agg(
-        F.count(F.lit(1)).alias("precursors"), F.sum("peaks").alias("peaks"), F.sum("decoy_group").alias("groups"),
-        F.sum(_digest("ion", F.col("decoy_group").cast("string"), "proteins", F.col("peaks").cast("string"))).alias("digest"),
-    )
+    """The whole proteome as library text through the data source, and what is read back from its entries."""
+    return _entry_facts(writer.read_entries(spark, _write_whole(spark, sf, "text")))
 
 
 _SETTINGS_RULES = DigestRules(missed_cleavages=0, min_charge=2, max_charge=2)
