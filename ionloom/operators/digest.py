@@ -37,10 +37,8 @@ class DigestRules:
             )
 
 
-def joined_runs(
-    proteins: DataFrame, pieces: Column, longest: int, name: str, shortest: int = 1
-) -> DataFrame:
-    """Every run of ``shortest..longest`` neighbouring pieces of each protein, as text.
+def joined_runs(proteins: DataFrame, pieces: Column, longest: int, name: str) -> DataFrame:
+    """Every run of up to ``longest`` neighbouring pieces of each protein, as text.
 
     The piece list is zipped with its own shifts, so a run is a concatenation of the columns of
     one row. Work is linear in the protein, and nothing is looked up by position.
@@ -52,7 +50,7 @@ def joined_runs(
     ]
     rows = listed.select("protein_id", F.explode(F.arrays_zip(*shifts)).alias("at"))
     # a shift that ran off the end is null, and so is every run that would need it
-    runs = [F.concat(*[F.col(f"at.p{j}") for j in range(i)]) for i in range(shortest, longest + 1)]
+    runs = [F.concat(*[F.col(f"at.p{j}") for j in range(i)]) for i in range(1, longest + 1)]
     return rows.select("protein_id", F.explode(F.array(*runs)).alias(name)).where(F.col(name).isNotNull())
 
 
@@ -99,8 +97,34 @@ def protein_lists(memberships: DataFrame) -> DataFrame:
     )
 
 
-def windows(proteins: DataFrame, min_length: int, max_length: int) -> DataFrame:
-    """Every substring of ``min_length..max_length`` residues, one row per occurrence."""
-    letters = F.split("residues", "")
-    runs = joined_runs(proteins, letters, max_length, "window", shortest=min_length)
-    return runs.withColumn("width", F.length("window"))
+def overlapping_blocks(proteins: DataFrame, overlap: int, block: int) -> DataFrame:
+    """``(protein_id, block, owned)``: pieces of ``block`` residues, each with the next ``overlap`` residues behind it.
+
+    A place in a protein is owned by the one block whose first ``owned`` residues hold it. The text is cut in one pass, so
+    a row is a block however long its protein is.
+    """
+    pieces = F.regexp_extract_all("residues", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    cut = proteins.select("protein_id", pieces.alias("__pieces"))
+    following = F.slice("__pieces", F.lit(2), F.greatest(F.size("__pieces"), F.lit(1)))
+    pairs = cut.select("protein_id", F.explode(F.arrays_zip(F.col("__pieces").alias("own"), following.alias("next"))).alias("at"))
+    return pairs.select(
+        "protein_id",
+        F.concat("at.own", F.coalesce(F.substring("at.next", 1, overlap), F.lit(""))).alias("block"),
+        F.length("at.own").alias("owned"),
+    )
+
+
+def windows(proteins: DataFrame, min_length: int, max_length: int, block: int = 128) -> DataFrame:
+    """Every substring of ``min_length..max_length`` residues, one row per occurrence.
+
+    A window belongs to the block it starts in. Blocks are short, so that finding a place in one is cheap, and hold the
+    longest window at least; a null or empty protein has no window.
+    """
+    if not 1 <= min_length <= max_length:
+        raise ValueError(f"invalid length range {min_length}..{max_length}")
+    blocks = overlapping_blocks(proteins, max_length - 1, max(block, max_length))
+    starts = blocks.select("protein_id", "block", F.explode(F.sequence(F.lit(1), F.col("owned"))).alias("start"))
+    longest = starts.select("protein_id", F.substring("block", F.col("start"), F.lit(max_length)).alias("longest"))
+    longest = longest.where(F.length("longest") >= min_length)
+    widths = longest.select("protein_id", "longest", F.explode(F.sequence(F.lit(min_length), F.length("longest"))).alias("width"))
+    return widths.select("protein_id", F.substring("longest", F.lit(1), F.col("width")).alias("window"), "width")

@@ -16,58 +16,6 @@ def fixed_sites(residues: Column, rules: list[ModRule]) -> Column:
     return F.concat(*[sequence.rule_sites(residues, rule) for rule in rules])
 
 
-def variable_forms(
-    residues: Column, rules: list[ModRule], max_mods: int, one_per_site: bool = True
-) -> Column:
-    """Every choice of up to ``max_mods`` candidate sites, the empty one first.
-
-    ``one_per_site`` forbids two variable modifications on one site; without it all combinations
-    of (site, modification) candidates count.
-    """
-    if max_mods < 0:
-        raise ValueError("max_mods must not be negative")
-    none = F.array(F.array().cast(SITE_TYPE))
-    if not rules or max_mods == 0:
-        return none
-    # (candidate index, site) so combinations can be grown with increasing indices only
-    indexed = F.transform(
-        fixed_sites(residues, rules),
-        lambda site, i: F.struct(i.alias("i"), site.alias("site")),
-    )
-    return let(indexed, lambda candidates: _grow(candidates, max_mods, one_per_site))
-
-
-def _grow(candidates: Column, max_mods: int, one_per_site: bool) -> Column:
-    def extend(forms: Column) -> Column:
-        def with_next(form: Column) -> Column:
-            allowed = F.filter(
-                candidates,
-                lambda c: (F.size(form) == 0)
-                | (
-                    (c["i"] > F.element_at(form, -1)["i"])
-                    & (
-                        ~F.exists(form, lambda f: _same_site(f["site"], c["site"]))
-                        if one_per_site
-                        else F.lit(True)
-                    )
-                ),
-            )
-            return F.transform(allowed, lambda c: F.concat(form, F.array(c)))
-
-        return F.flatten(F.transform(forms, with_next))
-
-    def levels(done: Column, last: Column, left: int) -> Column:
-        """Forms of all sizes: each level is computed once and passed on."""
-        if left == 0:
-            return done
-        return let(extend(last), lambda more: levels(F.concat(done, more), more, left - 1))
-
-    empty = F.array(F.filter(candidates, lambda c: F.lit(False)))
-    return F.transform(
-        levels(empty, empty, max_mods), lambda form: F.transform(form, lambda c: c["site"])
-    )
-
-
 def _same_site(a: Column, b: Column) -> Column:
     return (a["site_kind"] == b["site_kind"]) & (a["pos"] == b["pos"])
 
@@ -81,17 +29,39 @@ def modified_forms(
 ) -> DataFrame:
     """One row per peptidoform with ``sites``; other columns are carried along.
 
-    Narrow: combinations grow inside a row and explode once. A row holds at most
-    C(sites, 0..max_mods) forms, bounded by the peptide length.
+    Every choice of up to ``max_mods`` candidate sites. ``one_per_site`` forbids two variable modifications on one
+    site; without it all combinations of (site, modification) candidates count. Narrow: a level adds one site or
+    ends the form, and a row holds one partial form with the next candidate open to it, never all forms of a peptide.
     """
+    if max_mods < 0:
+        raise ValueError("max_mods must not be negative")
     residues = F.col("peptide")
+    none = F.array().cast(SITE_TYPE)
+    rows = peptides.withColumn("__form", none)
+    if variable and max_mods:
+        rows = rows.withColumn("__candidates", fixed_sites(residues, variable)).withColumn("__next", F.lit(0))
+        for _ in range(max_mods):
+            rows = _one_more_site(rows, one_per_site)
+        rows = rows.drop("__candidates", "__next")
     return (
-        peptides.withColumn(
-            "__variable", F.explode(variable_forms(residues, variable, max_mods, one_per_site))
-        )
-        .withColumn("sites", F.concat(fixed_sites(residues, fixed), F.col("__variable")))
-        .withColumn("n_variable", F.size("__variable"))
-        .drop("__variable")
+        rows.withColumn("sites", F.concat(fixed_sites(residues, fixed), F.col("__form")))
+        .withColumn("n_variable", F.size("__form"))
+        .drop("__form")
+    )
+
+
+def _one_more_site(rows: DataFrame, one_per_site: bool) -> DataFrame:
+    """Each partial form as it is, closed, and with each candidate from ``__next`` on; a closed form has none left."""
+    count, at = F.size("__candidates"), F.col("__at")
+    site = F.get("__candidates", at)
+    chosen = at < count
+    grown = rows.withColumn("__at", F.explode(F.sequence(F.col("__next"), count)))
+    if one_per_site:
+        grown = grown.where(~chosen | ~F.exists("__form", lambda f: _same_site(f, site)))
+    return (
+        grown.withColumn("__form", F.when(chosen, F.concat("__form", F.array(site))).otherwise(F.col("__form")))
+        .withColumn("__next", F.least(at + 1, count))
+        .drop("__at")
     )
 
 

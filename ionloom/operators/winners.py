@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ionloom.functions.binding import let
 from ionloom.functions.spectra import evidence
+from ionloom.operators.joins import null_safe
 from ionloom.operators.ordering import with_group_position
+from ionloom.session import materialise
 
 
 def validation_winners(
@@ -88,15 +90,19 @@ def reference_shortlist(
     """The best-covered spectrum of each of the best datasets.
 
     Score narrows every dataset to ``candidates`` rows, coverage picks one of them, and the
-    ``count`` best datasets remain. Fewer usable datasets is an error.
+    ``count`` best datasets remain. Fewer usable datasets is an error. The ranking moves dataset, identifier and
+    score; spectra are fetched for the rows that pass it.
     """
     usable = prepared.where((F.col("split") == "val") & (F.col("detector") == detector))
-    shortlist = top_per_group(
-        usable,
+    narrow = top_per_group(
+        usable.select("dataset", "spectrum_id", "andromeda_score"),
         ["dataset"],
         [evidence(F.col("andromeda_score")).desc_nulls_last(), F.col("spectrum_id").asc()],
         candidates,
-    ).withColumn("backbone_coverage", backbone_coverage(F.col("ms2"), min_intensity))
+    )
+    chosen_rows = materialise(narrow.select("dataset", "spectrum_id"))
+    shortlist = null_safe(usable.select("dataset", "spectrum_id", "andromeda_score", "ms2"), chosen_rows, ["dataset", "spectrum_id"], "left_semi")
+    shortlist = shortlist.withColumn("backbone_coverage", backbone_coverage(F.col("ms2"), min_intensity))
     scored = shortlist.where("backbone_coverage is not null")
     best = F.struct(
         (-F.col("backbone_coverage")).alias("coverage"),

@@ -135,12 +135,12 @@ SELECT peptide, (1 + 2 * n + (2 * n) * (2 * n - 1) // 2)::BIGINT AS all_pairs,
 def same_site_forms(spark, sf):
     """Two rules on one residue: every pair, or only pairs on different sites."""
     rules = [parse_rule("M[UNIMOD:35]"), parse_rule("M[UNIMOD:4]")]
-    p = F.col("peptide")
-    return views.cleaved(spark, sf).select(
-        "peptide",
-        F.size(modforms.variable_forms(p, rules, 2, one_per_site=False)).alias("all_pairs"),
-        F.size(modforms.variable_forms(p, rules, 2, one_per_site=True)).alias("one_per_site"),
-    )
+
+    def counted(one_per_site, name):
+        forms = modforms.modified_forms(views.cleaved(spark, sf), [], rules, 2, one_per_site)
+        return forms.groupBy("peptide").agg(F.count(F.lit(1)).alias(name))
+
+    return counted(False, "all_pairs").join(counted(True, "one_per_site"), "peptide")
 
 
 @add(

@@ -138,6 +138,31 @@ def test_windows_list_every_substring(spark):
     assert got == [("a", "ABC"), ("a", "ABCD"), ("a", "BCD"), ("a", "BCDE"), ("a", "CDE")]
 
 
+def test_windows_cross_blocks_once(spark):
+    """Blocks shorter and longer than the protein, against every substring; a text beyond any block passes."""
+    texts = ["ACDEFGHIKLMNPQRSTVWYACDEFGH", "AC", "ACD", "", None, "ÄÖÜ😀" * 5]
+    df = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "protein_id string, residues string")
+    want = sorted((f"p{i}", t[a : a + n], n) for i, t in enumerate(texts) for n in (2, 3, 5) if t for a in range(len(t) - n + 1))
+    for block in (1, 5, 7, 27, 100):
+        got = windows(df, 2, 5, block).where("width <> 4").select("protein_id", "window", "width").collect()
+        assert sorted(tuple(r) for r in got) == want
+    with pytest.raises(ValueError):
+        windows(df, 3, 2)
+    long = spark.range(1).select(F.lit("p").alias("protein_id"), F.repeat(F.lit("ACDEFGHIKL"), 400_000).alias("residues"))
+    assert windows(long, 30, 30).count() == 4_000_000 - 29
+
+
+def test_forms_of_many_sites_are_grown_row_by_row(spark):
+    from math import comb
+
+    df = spark.createDataFrame([("ST" * 15, 7), ("PEPK", 8), (None, 9)], "peptide string, tag int")
+    forms = modforms.modified_forms(df, [], [seq.parse_rule("ST[UNIMOD:21]")], 3)
+    counts = {(r["tag"], r["n_variable"]): r["count"] for r in forms.groupBy("tag", "n_variable").count().collect()}
+    assert counts == {**{(7, n): comb(30, n) for n in range(4)}, (8, 0): 1}
+    with pytest.raises(ValueError):
+        modforms.modified_forms(df, [], [], -1)
+
+
 def test_protein_lists_lose_no_member_of_a_large_group(spark):
     rows = [("HOT", f"P{i:03d}") for i in range(50)] + [("HOT", "P000"), ("COLD", "P2"), ("COLD", "P1")]
     df = spark.createDataFrame(rows, "peptide string, protein_id string")
