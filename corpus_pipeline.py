@@ -21,16 +21,34 @@ from ionloom.llm.secrets import redact, scan, verdicts
 from ionloom.session import materialise, shared_folder, tune
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``docs`` has, in either case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the column ``lang`` keeps what it said."""
+    """Documents whose language is recognised; the column ``lang`` keeps what it said.
+
+    Null and empty texts, and texts without a letter, are not recognised and go. Very long texts are read whole, each of
+    equal rows is judged alike, an empty table stays empty, and other columns are carried whatever their names are.
+    """
+    pred, score = _free(docs, "__lang", "__score")
     model = fit(docs.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text", "lang"))
-    judged = predict(docs, model, pred="__lang", score="__score")
-    return judged.where(~rejected(F.col("__lang"), F.col("__score"))).select(*docs.columns)
+    judged = predict(docs, model, pred=pred, score=score)
+    return judged.where(~rejected(F.col(pred), F.col(score))).select(*docs.columns)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With ``__key``, which tells rows apart by identifier, null or not, and text; equal rows share it."""
-    return docs.withColumn("__key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """With a key, under a free name, that tells rows apart by identifier, null or not, and text; equal rows share it."""
+    (key,) = _free(docs, "__key")
+    return docs.withColumn(key, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,50 +56,62 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by identifier and text, so a row never goes for its namesake; of equal rows one stays.
     Documents without a word are in no group and stay; of such rows with equal identifiers and texts one stays, but
-    all without an identifier do.
+    all without an identifier do. Very long texts are read whole; an empty table stays empty; other columns are carried
+    whatever their names are, and equal rows may differ in them.
     """
-    keyed = _keyed(docs)
-    found = materialise(jaccard_join(keyed.select("__key", "text"), doc="__key").where("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id").distinct())
-    named = found.join(keyed.select("__key", "doc_id").distinct(), "__key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__key")).alias("first")
-    keepers = named.groupBy("component_id").agg(first).select("first.__key")
-    gone = materialise(found.select("__key").join(keepers, "__key", "left_anti"))
-    kept = keyed.join(gone, "__key", "left_anti")
+    keyed, key = _keyed(docs)
+    narrow = keyed.select(F.col(key).alias("key"), "doc_id", "text")
+    found = materialise(jaccard_join(narrow.select("key", "text"), doc="key").where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    named = found.join(narrow.select("key", "doc_id").distinct(), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
+    keepers = named.groupBy("component_id").agg(first).select("first.key")
+    gone = materialise(found.select("key").join(keepers, "key", "left_anti").withColumnRenamed("key", key))
+    kept = keyed.join(gone, key, "left_anti")
     told = kept.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    twice = materialise(told.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"))
-    single = kept.join(twice, "__key", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(twice, "__key", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    twice = materialise(told.select(key).groupBy(key).count().where("count > 1").select(key))
+    single = kept.join(twice, key, "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; rows are told apart by identifier and text."""
-    keyed = _keyed(docs)
-    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="__key")
-    return keyed.join(found.select("__key").distinct(), "__key", "left_anti").select(*docs.columns)
+    """Documents without a benchmark item; rows are told apart by identifier and text.
+
+    Null and empty texts hold no item and stay; very long texts are read whole; equal rows stay or go together; an
+    empty table stays empty; other columns are carried whatever their names are.
+    """
+    keyed, key = _keyed(docs)
+    found = contamination(keyed.select(F.col(key).alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="key")
+    return keyed.join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; credentials that look live are blotted out and ``n_chars`` counted again.
 
     Spans move by row, not texts: rows are told apart by identifier and text checksum, and equal rows share
-    their spans.
+    their spans. Null and empty texts stay as they are; very long texts are scanned whole; an empty table stays empty;
+    other columns are carried whatever their names are.
     """
+    id_, crc, ranges_, new = _free(docs, "__id", "__crc", "__ranges", "__new")
+    row_key = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.xxhash64("text")]
     spans = scan(docs.select("doc_id", "source", "text"), "text")
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__id"), F.xxhash64("text").alias("__crc")]
-    found = materialise(spans.where(F.size("spans") > 0).select(*key, "source", "spans"))
-    live = verdicts(found.select(F.struct("__id", "__crc").alias("row"), "source", "spans"), "row", "source").where(F.col("verdict") == "live")
+    found = materialise(spans.where(F.size("spans") > 0).select(*[k.alias(n) for k, n in zip(row_key, ("id", "crc"))], "source", "spans"))
+    live = verdicts(found.select(F.struct("id", "crc").alias("row"), "source", "spans"), "row", "source").where(F.col("verdict") == "live")
     whole = F.struct(F.col("span.value_start").alias("start"), F.col("span.end").alias("end"))
-    ranges = materialise(live.groupBy("row.__id", "row.__crc").agg(F.collect_set(whole).alias("__ranges")))
-    marked = docs.select("*", *key).join(ranges, ["__id", "__crc"], "left")
-    text = F.when(F.col("__ranges").isNotNull(), redact(F.col("text"), F.col("__ranges"))).otherwise(F.col("text"))
-    out = marked.withColumn("__new", text)
-    chars = F.when(F.col("__ranges").isNotNull(), F.length("__new").cast("long")).otherwise(F.col("n_chars"))
-    changed = {"text": F.col("__new"), "n_chars": chars}
+    ranges = materialise(live.groupBy(F.col("row.id").alias(id_), F.col("row.crc").alias(crc)).agg(F.collect_set(whole).alias(ranges_)))
+    marked = docs.select("*", *[k.alias(n) for k, n in zip(row_key, (id_, crc))]).join(ranges, [id_, crc], "left")
+    text = F.when(F.col(ranges_).isNotNull(), redact(F.col("text"), F.col(ranges_))).otherwise(F.col("text"))
+    out = marked.withColumn(new, text)
+    chars = F.when(F.col(ranges_).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))
+    changed = {"text": F.col(new), "n_chars": chars}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences.
+
+    A null or empty text is its end mark alone; very long texts are cut into pieces; equal rows are packed one by one; an
+    empty table gives no piece; columns other than the identifier and the text are not read.
+    """
     return pack(docs, bpe_path())
 
 
