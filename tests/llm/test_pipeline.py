@@ -2,6 +2,7 @@ import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check_queries import compare, connect
@@ -68,3 +69,20 @@ def test_rows_go_for_their_own_text_only(spark, tmp_path):
     got = left(single)
     assert [r for r in got if not str(r[1]).startswith("a clean")] == sorted(want, key=str)
     assert [r for r in got if str(r[1]).startswith("a clean")] == [(2, other)]
+
+
+def test_columns_with_the_names_of_helpers_pass_unchanged(spark, tmp_path):
+    """Every helper name of the stages, in both cases of letters, as an input column."""
+    helpers = ["__key", "__KEY_", "key", "__lang", "__score", "__id", "id", "__crc", "crc", "__ranges", "__new", "count", "n", "component_id", "spans", "row", "first", "score", "lang_pred"]
+    shutil.copy(f"{TABLES}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    for h in helpers:
+        docs = docs.withColumn(h, F.concat(F.lit(h), F.col("doc_id").cast("string")))
+    plain = spark.read.parquet(f"{TABLES}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        stage(spark, plain, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-plain"))
+        docs, plain = spark.read.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / f"{name}-plain"))
+        assert docs.where(" or ".join(f"`{h}` <> concat('{h}', doc_id)" for h in helpers)).count() == 0
+        rows = lambda df: sorted(map(tuple, df.select(*plain.columns).collect()), key=str)
+        assert rows(docs) == rows(plain)
