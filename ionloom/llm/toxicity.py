@@ -67,6 +67,8 @@ SEED_BIAS = -2.0
 #: Lengths of the starts of a word that may be a stem: part of the feature's definition.
 STEMS = range(3, 10)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_MARKS = ".!?;:\n"
+_MARK = re.compile(f"[{_MARKS}]")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\".!?;:\n]")
 #: Texts up to this length are looked through for a trigger word before their clauses are walked.
 _SHORT = 1 << 20
@@ -226,14 +228,16 @@ class Grammar:
     classes: dict = field(init=False, compare=False, repr=False)
     starts: frozenset = field(init=False, compare=False, repr=False)
     memo: dict = field(init=False, compare=False, repr=False)
+    harmless: set = field(init=False, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         insults = {*INSULTS, *self.learned} - {*self.dropped}
         classes = {w: REPORT for w in REPORTS} | {w: NEGATION for w in NEGATIONS} | {w: TARGET for w in TARGETS}
         classes |= {w: THREAT for w in THREATS} | {w: INSULT for w in insults}
-        object.__setattr__(self, "classes", classes | {'"': QUOTE} | {c: END for c in ".!?;:\n"})
+        object.__setattr__(self, "classes", classes | {'"': QUOTE} | {c: END for c in _MARKS})
         object.__setattr__(self, "starts", frozenset(self.stems))
         object.__setattr__(self, "memo", {})
+        object.__setattr__(self, "harmless", set())
 
     def symbol(self, token: str) -> int:
         """The class of a token in lower case. A plain s may follow an insult or a threat; what follows an apostrophe is an ending."""
@@ -255,13 +259,37 @@ class Grammar:
 def clauses(text: str | None, grammar: Grammar) -> Iterator[tuple[int, int, tuple[str, ...]]]:
     """``(start, end, kinds)`` of every matched clause, as offsets into the text in lower case: one walk, one step a token."""
     lower = (text or "").lower()
-    symbol = grammar.symbol
-    if len(lower) <= _SHORT and not any(symbol(w) in (INSULT, THREAT) for w in set(_WORD.findall(lower))):
-        return
+    for low, high in _candidates(lower, grammar) if len(lower) <= _SHORT else [(0, len(lower))]:
+        yield from _walk(lower, low, high, grammar)
+
+
+def _candidates(lower: str, grammar: Grammar) -> Iterator[tuple[int, int]]:
+    """Clauses that hold the letters of a trigger word of this text; each stretch is searched once a word or mark."""
+    unknown = set(_WORD.findall(lower)).difference(grammar.harmless)
+    triggers = [w for w in unknown if grammar.symbol(w) in (INSULT, THREAT)]
+    if len(grammar.harmless) >= _MEMO:
+        grammar.harmless.clear()
+    grammar.harmless.update(unknown.difference(triggers))
+    places = []
+    for word in triggers:
+        at = lower.find(word)
+        while at >= 0:
+            places.append((at, at + len(word)))
+            at = lower.find(word, at + len(word))
+    done = 0
+    for at, end in sorted(places):
+        if at >= done:
+            start = max(done, *(lower.rfind(c, done, at) + 1 for c in _MARKS))
+            stop = _MARK.search(lower, end)
+            done = stop.start() if stop else len(lower)
+            yield start, done
+
+
+def _walk(lower: str, low: int, high: int, grammar: Grammar) -> Iterator[tuple[int, int, tuple[str, ...]]]:
     steps, ends = machine()
-    state = start = 0
-    for token in _TOKEN.finditer(lower):
-        x = symbol(token[0])
+    state, start = 0, low
+    for token in _TOKEN.finditer(lower, low, high):
+        x = grammar.symbol(token[0])
         if x == END:
             if ends[state]:
                 yield start, token.start(), ends[state]
@@ -269,7 +297,7 @@ def clauses(text: str | None, grammar: Grammar) -> Iterator[tuple[int, int, tupl
         else:
             state = steps[state][x]
     if ends[state]:
-        yield start, len(lower), ends[state]
+        yield start, high, ends[state]
 
 
 def features(text: str | None, grammar: Grammar) -> tuple[int, ...]:
