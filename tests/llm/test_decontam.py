@@ -1,6 +1,7 @@
 import random
+import re
 
-from ionloom.llm.decontam import contamination
+from ionloom.llm.decontam import UNITS, contaminated, contamination, template_classes
 
 QUESTION = "Anna has 12 apples and gives 5 apples to Berta while walking 3 km along the old river road. How many apples does Anna keep?"
 OTHER_VALUES = QUESTION.replace("Anna", "Carla").replace("Berta", "Dora").replace("12", "40").replace("5 apples", "8 apples").replace("3 km", "7 km")
@@ -88,3 +89,59 @@ def test_items_of_numbers_and_of_scripts_without_spaces(spark):
     out = found(spark, texts, [series, dates, chinese, thai, "中国"])
     assert set(out) == {(0, 0), (1, 1), (2, 2), (3, 3)}
     assert all(r["verbatim"] and r["share"] == 1.0 for r in out.values())
+
+
+def test_one_template_many_items_gives_a_row_per_document(spark):
+    words = "adds {} red stones to the heavy box and then carries {} of them over the old bridge before sunset"
+    items = [f"Anna{i} " + words.format(i + 10, 500 + i) for i in range(60)]
+    texts = [f"{filler(100 + i, 20)} Berta " + words.format(2000 + i, 4000 + i) + f" {filler(300 + i, 20)}" for i in range(40)]
+    texts += [filler(7), items[33].upper(), items[41]]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, class long")
+    bench = spark.createDataFrame([(i + 5, t) for i, t in enumerate(items)] + [(5, items[0]), (None, items[1])], "item_id long, text string")
+    out = contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["items"]) for r in out) == [(i, 5, 61) for i in range(43) if i != 40]
+    assert {r["doc_id"] for r in out if r["verbatim"]} == {41, 42}
+    named = {tuple(r) for r in template_classes(bench).collect()}
+    assert named == {(i, 5) for i in [*range(5, 65), None]}
+    assert contamination(docs, bench).count() == 42 * 61
+
+
+def test_words_with_a_digit_inside_are_words(spark):
+    item = "the study of covid19 in the town of a4 readers shows that topic7 is the one most people like"
+    other = item.replace("covid19", "covid20").replace("a4", "b5").replace("topic7", "topic8")
+    assert set(found(spark, [item, other], [item])) == {(0, 0)}
+
+
+def test_poor_items_share_no_class(spark):
+    series = [" ".join(["next", *map(str, range(k, 60 * k, k))]) for k in (3, 7)]
+    bench = spark.createDataFrame(list(enumerate([*series, series[0]])), "item_id long, text string")
+    assert {tuple(r) for r in template_classes(bench).collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
+def test_against_all_pairs(spark):
+    """All documents by all items: whole items are found, and what is found holds half of an item by the loosest template."""
+    folder = "/root/testdata/sf0.001"
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+
+    def tokens(text, loose):
+        kept = re.findall(r"[^\s!-/:-@\[-`{-~]+", text or "")
+        return [("#" if w[0].isdigit() or w[0].isupper() or w.lower() in UNITS else w) if loose else w.lower() for w in kept]
+
+    def grams(ws, n):
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+    def collapsed(ws):
+        return [w for i, w in enumerate(ws) if w != "#" or i == 0 or ws[i - 1] != "#"]
+
+    texts = [(r["doc_id"], " ".join(tokens(r["text"], False)), {k for n in (3, 4, 6, 8) for ws in (collapsed(tokens(r["text"], True)), tokens(r["text"], False)) for k in grams(ws, n)}) for r in docs.collect()]
+    whole, possible = set(), set()
+    for r in bench.collect():
+        plain, loose = tokens(r["text"], False), collapsed(tokens(r["text"], True))
+        needed = [g for ws in (plain, loose) for n in (3, 4, 6, min(8, len(ws))) if (g := grams(ws, n))]
+        for doc, text, held in texts:
+            if len(plain) >= 4 and f" {' '.join(plain)} " in f" {text} ":
+                whole.add((doc, r["item_id"]))
+            if any(2 * len(g & held) >= len(g) for g in needed):
+                possible.add((doc, r["item_id"]))
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, bench).collect()}
+    assert whole and whole <= got <= possible | whole
