@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.llm.base import held_out
-from ionloom.llm.decontam import contamination
+from ionloom.llm.decontam import contaminated
 from ionloom.llm.jaccard import jaccard_join
 from ionloom.llm.langid import fit, predict, rejected
 from ionloom.llm.packing import pack
@@ -80,7 +80,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     empty table stays empty; other columns are carried whatever their names are.
     """
     keyed, key = _keyed(docs)
-    found = contamination(keyed.select(F.col(key).alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="key")
+    found = contaminated(keyed.select(F.col(key).alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="key")
     return keyed.join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
