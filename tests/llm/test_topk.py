@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ionloom.llm import topk
 from ionloom.llm.topk import top_k
 
 
@@ -35,3 +36,22 @@ def test_few_rows_and_none(spark):
     assert sorted(map(tuple, top_k(two, two).collect())) == [(0, 1, 1, 128 * 256), (1, 1, 0, 128 * 256)]
     none = spark.createDataFrame([], schema)
     assert top_k(none, two).count() == 0 and top_k(two, none).count() == 0
+
+
+def test_far_blocks_stay_at_home(spark, monkeypatch):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 4) for _ in range(12)] for _ in range(16)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 16]]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    shipped = []
+    scored = topk._scored
+
+    def counted(visits, *more):
+        shipped.append(visits.count())
+        return scored(visits, *more)
+
+    monkeypatch.setattr(topk, "_scored", counted)
+    got = top_k(df.where(F.col("vec_id") % 3 == 0), df, n_candidates=50, n_queries=40)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    grid = 16 * 32  # halved to at most 40 and 50: 534 queries make 16 blocks, 2 x 800 candidates 32
+    assert sum(shipped) < grid / 2
