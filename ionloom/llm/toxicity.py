@@ -429,19 +429,26 @@ def fit_weights(rows: list[tuple], l2: float = 1.0, rounds: int = 50) -> tuple[n
     return w[:-1], float(w[-1])
 
 
+#: Drawn texts up to which their list of keys and hashes is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def draw(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 30_000) -> DataFrame:
     """``(text, label)`` of about ``sample`` distinct labelled texts, or of all if there are fewer.
 
-    Hashes of texts meet the labels, and only texts that were drawn are fetched, so whole texts are not shuffled
-    for the draw. Several labels of one key or text: toxic if one is.
+    Hashes of texts meet the labels, and only texts that were drawn are fetched: the list of these is broadcast (20 bytes a
+    text) up to a million, so only the texts of the sample are shuffled. Several labels of one key or text: toxic if one is.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
     hashed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     distinct = hashed.select("key", "hash").join(known.withColumnRenamed(key, "key"), "key").groupBy("hash").agg(F.max("label").alias("label"), F.min("key").alias("key"))
     distinct = materialise(distinct)
     wanted = int(2**32 * sample / max(distinct.count(), 1))
-    drawn = materialise(distinct.where(F.pmod("hash", F.lit(2**32)) <= F.lit(wanted)))
-    return hashed.join(drawn, ["key", "hash"]).select("text", "label", "hash").dropDuplicates(["hash"]).drop("hash")
+    among = F.pmod("hash", F.lit(2**32)) <= F.lit(wanted)
+    drawn = materialise(distinct.where(among))
+    if drawn.count() <= BROADCAST_ROWS:
+        drawn = F.broadcast(drawn)
+    return hashed.where(among).join(drawn, ["key", "hash"]).select("text", "label", "hash").dropDuplicates(["hash"]).drop("hash")
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample: int = 30_000) -> Model:
