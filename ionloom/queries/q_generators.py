@@ -84,11 +84,16 @@ windows AS (SELECT 8 AS width, w8 AS word FROM eights UNION ALL SELECT 9, w8 ||
 SELECT width::BIGINT AS width, substr(word, 1, 2) AS head, count(*) AS windows, min(word) AS first, max(word) AS last FROM windows WHERE word IS NOT NULL GROUP BY ALL""",
 )
 def sequence_windows(spark, sf):
-    """All windows of 8 to 11 residues of every protein, counted by width and first two residues."""
-    windows = digest.windows(views.proteome(spark, sf), 8, 11)
-    return windows.groupBy("width", F.substring("window", 1, 2).alias("head")).agg(
-        F.count(F.lit(1)).alias("windows"), F.min("window").alias("first"), F.max("window").alias("last")
+    """All windows of 8 to 11 residues of every protein, counted by width and first two residues.
+
+    The first and last one are found as numbers, which aggregate by hash; text would be sorted first, all windows of it.
+    """
+    windows = digest.windows(views.proteome(spark, sf), 8, 11, numbered=True)
+    counted = windows.groupBy("width", F.substring("window", 1, 2).alias("head")).agg(
+        F.count(F.lit(1)).alias("windows"), F.min("number").alias("first"), F.max("number").alias("last")
     )
+    text = digest.window_text
+    return counted.select("width", "head", "windows", text(F.col("first")).alias("first"), text(F.col("last")).alias("last"))
 
 
 _FIXED = [parse_rule("C[UNIMOD:4]")]
