@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.constants import ABUNDANCE
+from ionloom.functions.binding import let
 from ionloom.functions.hashing import uniform
 from ionloom.operators.joins import interleave_order
 from ionloom.operators.ordering import with_group_position, with_position
 
 
 def weighted_residue(u: Column) -> Column:
-    """Residue at quantile ``u`` of the natural abundances."""
-    total = sum(ABUNDANCE.values())
-    running = 0.0
-    out = None
-    for residue in sorted(ABUNDANCE):
-        running += ABUNDANCE[residue]
-        hit = u < F.lit(running / total)
-        out = F.when(hit, residue) if out is None else out.when(hit, residue)
-    return out.otherwise(max(ABUNDANCE))
+    """Residue at quantile ``u`` of the natural abundances; ``u`` is drawn once, not per comparison."""
+
+    def chosen(drawn: Column) -> Column:
+        total = sum(ABUNDANCE.values())
+        running = 0.0
+        out = None
+        for residue in sorted(ABUNDANCE):
+            running += ABUNDANCE[residue]
+            hit = drawn < F.lit(running / total)
+            out = F.when(hit, residue) if out is None else out.when(hit, residue)
+        return out.otherwise(max(ABUNDANCE))
+
+    return let(u, chosen)
 
 
 def random_peptides(

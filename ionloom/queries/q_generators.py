@@ -10,6 +10,7 @@ from ionloom.operators import digest, modforms, sampling
 from ionloom.queries import views
 from ionloom.queries.base import Book
 from ionloom.queries.views import sql_uniform
+from ionloom.session import spread
 
 BOOK = Book()
 add = BOOK.add
@@ -198,7 +199,7 @@ SELECT d.p_partkey, d.length, body || CASE WHEN {sql_uniform('random-end', 'd.p_
 FROM drawn d JOIN (SELECT p_partkey, string_agg(r, '' ORDER BY i) AS body FROM residues GROUP BY 1) b ON b.p_partkey = d.p_partkey""",
 )
 def random_peptides(spark, sf):
-    seeds = views.table(spark, sf, "part").select("p_partkey")
+    seeds = spread(views.table(spark, sf, "part").select("p_partkey"), "p_partkey")
     return sampling.random_peptides(seeds, "p_partkey")
 
 

@@ -39,3 +39,13 @@ def test_windows_are_aggregated_without_a_sort(spark, tmp_path):
         assert [r["window"] for r in sorted(of, key=lambda r: r["number"])] == sorted(r["window"] for r in of)
     with pytest.raises(ValueError):
         windows(protein, 8, 13, numbered=True)
+
+
+def test_random_peptides_use_every_core_and_draw_once(spark, tmp_path):
+    pq.write_table(pa.table({"p_partkey": pa.array([1, 1, None, *range(2, 200)], pa.int64())}), tmp_path / "part.parquet")
+    df = QUERIES["random_peptides"].build(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df.count() == 201
+    seeds = spark.range(1).select(F.lit(1).alias("k"))
+    # drawn for the length, for a residue and for the end, in each form of the plan
+    assert plan_of(sampling.random_peptides(seeds, "k")).count("random-residue") <= 4
