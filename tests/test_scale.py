@@ -49,3 +49,25 @@ def test_random_peptides_use_every_core_and_draw_once(spark, tmp_path):
     seeds = spark.range(1).select(F.lit(1).alias("k"))
     # drawn for the length, for a residue and for the end, in each form of the plan
     assert plan_of(sampling.random_peptides(seeds, "k")).count("random-residue") <= 4
+
+
+def test_grids_come_from_arrow_and_keep_unknown_masses(spark, tmp_path):
+    rows = [([57.0, 71.0, 99.0], 2), ([57.0, None, 99.0], 2), (None, 2), ([57.0, 71.0], None), ([57.0], 3)]
+    df = spark.createDataFrame(rows, "m array<double>, z int").select(labeler.smooth_labels(F.lit("AGV"), F.col("m"), F.lit(1.0), F.col("z"))["ms2"].alias("ms2"))
+    assert "ArrowEvalPython" in plan_of(df)
+    whole, holes, none, uncharged, short = [r["ms2"] for r in df.collect()]
+    waves = [0.5 * (1 + math.sin(x / w + 2)) for b, y in ((57.0, 170.0), (128.0, 99.0)) for x, w in ((b, 37.0), (y, 37.0), (b, 74.0), (y, 74.0))]
+    assert whole == pytest.approx([w / max(waves) for w in waves])
+    assert [x is None for x in holes] == [False, True, False, True, True, True, True, True]
+    assert none is None and uncharged == [None] * 4 and short == []
+    plan = plan_of(QUERIES["label_roundtrip"].build(spark, documents(tmp_path)))
+    assert "format_string" not in plan
+
+
+def test_joined_numbers_read_as_each_formatted_alone(spark):
+    values = [None, 0.0, -0.0, 0.00005, 0.00015, -0.00005, 1.5e-7, -1e-9, 123456.78905, 1e15, 1e22, float("nan"), float("inf"), -float("inf"), *np.random.default_rng(3).random(200).tolist()]
+    df = spark.createDataFrame([(values,), ([],), (None,)], "v array<double>")
+    for digits in (1, 4, 6):
+        apart = F.array_join(F.transform("v", lambda x: fixed(x, digits)), ";")
+        for r in df.select(joined("v", digits).alias("a"), apart.alias("b")).collect():
+            assert r["a"] == r["b"]
