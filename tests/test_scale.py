@@ -71,3 +71,14 @@ def test_joined_numbers_read_as_each_formatted_alone(spark):
         apart = F.array_join(F.transform("v", lambda x: fixed(x, digits)), ";")
         for r in df.select(joined("v", digits).alias("a"), apart.alias("b")).collect():
             assert r["a"] == r["b"]
+
+
+def test_rendering_does_not_walk_the_residues(spark):
+    sites = [("r", 2, "K", "UNIMOD:4"), ("r", 2, "K", "+1.5"), ("n", 0, "A", "UNIMOD:1"), ("r", 0, "A", "UNIMOD:35"), ("c", 3, "C", "UNIMOD:2"), ("r", 9, "X", "UNIMOD:9")]
+    rows = [("AMKC", sites), ("AMKC", []), ("AMKC", None), (None, sites), ("AMKC", [sites[1], sites[0]])]
+    df = spark.createDataFrame(rows, f"p string, s {seq.SITE_TYPE}").select(seq.render_proforma(F.col("p"), F.col("s")).alias("text"))
+    assert "split(" not in plan_of(df)
+    assert [r["text"] for r in df.collect()] == ["[UNIMOD:1]-A[UNIMOD:35]MK[UNIMOD:4][+1.5]C-[UNIMOD:2]", "AMKC", "", None, "AMK[UNIMOD:4][+1.5]C"]
+    rule = seq.parse_rule("ST[UNIMOD:21]")
+    found = spark.createDataFrame([("ASKT",), ("AAK",), ("",), (None,)], "p string").select(seq.rule_sites(F.col("p"), rule)["pos"].alias("at"))
+    assert [r["at"] for r in found.collect()] == [[1, 3], [], [], None]
