@@ -18,6 +18,9 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Work per row is heavy here; small shuffles still use every core.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # A row here often becomes dozens (forms, sites, charges): a task that was given the default 64 MB of peptides would
+    # sort gigabytes and spill them.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
 }
 
 

@@ -82,3 +82,7 @@ def test_rendering_does_not_walk_the_residues(spark):
     rule = seq.parse_rule("ST[UNIMOD:21]")
     found = spark.createDataFrame([("ASKT",), ("AAK",), ("",), (None,)], "p string").select(seq.rule_sites(F.col("p"), rule)["pos"].alias("at"))
     assert [r["at"] for r in found.collect()] == [[1, 3], [], [], None]
+
+
+def test_tasks_that_make_many_rows_get_little_input(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("8m", "8mb", "8388608")
