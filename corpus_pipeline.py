@@ -81,7 +81,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     keyed, key = _keyed(docs)
     found = contaminated(keyed.select(F.col(key).alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="key")
-    return keyed.join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    # Stored first: whole texts are then neither shuffled nor held while the search runs, and a short list is broadcast.
+    gone = materialise(found.select(F.col("key").alias(key)).distinct())
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
