@@ -55,8 +55,11 @@ TINY = 64
 DELETIONS = 8
 #: Sets of a chunk, and signatures of one; a signature this frequent in a chunk is spread.
 CHUNK_SETS, CHUNK_SIGNATURES, FREQUENT = 8192, 1 << 20, 128
-#: Bytes of input for each bucket of signatures, and the most buckets a chunk is split into.
-BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
+#: Bytes of input for each bucket of signatures, the buckets of small inputs, and the most a chunk is split into. A set is
+#: named once in each bucket that has signatures of it, so more buckets than memory asks for are bytes to move.
+BUCKET_BYTES, FEW_BUCKETS, MOST_BUCKETS = 16 << 20, 32, 1 << 16
+#: Signatures of a bucket that are looked at in one turn.
+TURN_SIGNATURES = 1 << 20
 #: Identifiers that are broadcast at most (8 bytes each) to fetch the texts of candidates; beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
 
@@ -288,18 +291,10 @@ def _signatures(bands: Bands, width: int, buckets: int) -> Callable[[Iterator[pa
     return run
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """Of one bucket: the rows of documents, and the signatures that two sets share."""
-
-    def joined(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b, kind) for b in rows.column(name).to_pylist()] or [np.zeros(0, kind)])
-
-    counts = joined("counts", np.uint32)
-    cid = np.repeat(joined("sets", np.uint64), counts)
-    tag = joined("tags", np.uint8)
-    sig = joined("low", np.uint32).astype(np.uint64) | (joined("high", np.uint16).astype(np.uint64) << np.uint64(32))
-    item = np.full(len(sig), -1, np.int64)
-    item[(tag & DELETION) > 0] = joined("items", np.uint32)
+def _listed(some: np.ndarray, low: np.ndarray, high: np.ndarray, tags: np.ndarray, items: np.ndarray, held: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(sig, cid, own, item, cost)`` of the shared among some signatures of a bucket; all entries of a signature are there."""
+    cid, tag, item = held[place[some]], tags[some], items[some]
+    sig = low[some].astype(np.uint64) | (high[some].astype(np.uint64) << np.uint64(32))
     marked = np.unique(sig[(tag & MARK) > 0])
     passed = ((tag & (SPREAD | MARK)) == SPREAD) | (np.isin(sig, marked) & ((tag & MARK) == 0) if len(marked) else np.zeros(len(sig), bool))
     listed = np.flatnonzero(~passed & ((tag & MARK) == 0))
@@ -325,8 +320,29 @@ def _shared(rows: pa.Table) -> pa.Table:
     frequent = np.flatnonzero(passed)
     if len(frequent):
         order, cost = np.r_[order, frequent], np.r_[cost, np.full(len(frequent), 1 << 20)]
+    return sig[order], cid[order], (tag[order] & OWN) > 0, item[order], cost.astype(np.int32)
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """Of one bucket: the rows of documents, and the signatures that two sets share."""
+
+    def joined(name: str, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b, kind) for b in rows.column(name).to_pylist()] or [np.zeros(0, kind)])
+
+    counts = joined("counts", np.uint32)
+    held = joined("sets", np.uint64)
+    place = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
+    tags = joined("tags", np.uint8)
+    low, high = joined("low", np.uint32), joined("high", np.uint16)
+    items = np.full(len(low), -1, np.int32)
+    items[(tags & DELETION) > 0] = joined("items", np.uint32)
+    # Signatures are taken in turns, so that beside the packed rows only a part of them is spread out at a time.
+    turns = min(max(1, -(-len(low) // TURN_SIGNATURES)), 1 << 15)
+    turn = high % np.uint16(turns)  # the low bits choose the bucket
+    parts = [_listed(np.flatnonzero(turn == k), low, high, tags, items, held, place) for k in range(turns)]
+    sig, cid, own, item, cost = (np.concatenate(c) for c in zip(*parts))
     doc_n = joined("doc_n", np.int32)
-    d, m = len(doc_n), len(order)
+    d, m = len(doc_n), len(sig)
 
     def column(docs: np.ndarray | None, entries: np.ndarray | None, kind: pa.DataType) -> pa.Array:
         parts = [pa.nulls(d, kind) if docs is None else pa.array(docs, kind), pa.nulls(m, kind) if entries is None else pa.array(entries, kind)]
@@ -337,14 +353,14 @@ def _shared(rows: pa.Table) -> pa.Table:
         {
             "kind": column(np.zeros(d, np.int8), np.ones(m, np.int8), pa.int8()),
             "doc_id": pa.concat_arrays([doc_ids, pa.nulls(m, pa.int64())]),
-            "cid": column(joined("doc_sets", np.uint64).view(np.int64), cid[order].view(np.int64), pa.int64()),
+            "cid": column(joined("doc_sets", np.uint64).view(np.int64), cid.view(np.int64), pa.int64()),
             "n": column(doc_n, None, pa.int32()),
             "cover": column(joined("doc_cover", np.int32), None, pa.int32()),
             "cover_below": column(joined("doc_cover_below", np.int32), None, pa.int32()),
-            "sig": column(None, sig[order].astype(np.int64), pa.int64()),
-            "own": column(None, (tag[order] & OWN) > 0, pa.bool_()),
-            "item": column(None, item[order], pa.int64()),
-            "cost": column(None, cost.astype(np.int32), pa.int32()),
+            "sig": column(None, sig.astype(np.int64), pa.int64()),
+            "own": column(None, own, pa.bool_()),
+            "item": column(None, item.astype(np.int64), pa.int64()),
+            "cost": column(None, cost, pa.int32()),
         }
     )
 
@@ -520,11 +536,11 @@ def _label(cid: Column, label: str) -> Column:
 
 
 def _buckets(docs: DataFrame) -> int:
-    """Buckets of signatures: each is held by one Python process, so their number follows the input's bytes."""
+    """Buckets of signatures: each is held, packed, by one Python process, so their number follows the input's bytes."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < 1 << 60  # rows that were never in a file have no size
-    return min(MOST_BUCKETS, max(2 * partitions, size // BUCKET_BYTES if known else 8 * partitions))
+    return min(MOST_BUCKETS, max(min(partitions, FEW_BUCKETS), size // BUCKET_BYTES if known else 8 * partitions))
 
 
 def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, buckets: int | None = None, block: int = 256) -> DataFrame:
