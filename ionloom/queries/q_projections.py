@@ -559,12 +559,12 @@ FROM letters GROUP BY proforma, peptide""",
 )
 def token_features(spark, sf):
     p = F.col("peptide")
-    flags = lambda mask: F.array_join(F.transform(mask, lambda x: x.cast("int").cast("string")), "")
+    flags = lambda mask: F.array_join(mask.cast("array<int>").cast("array<string>"), "")
     rows = views.modified(spark, sf).withColumn("s", sequence.proforma_sites(F.col("proforma")))
     mass = tokens.mod_mass_columns(p, F.col("s"), 30, DEFAULT_DELTAS)
     return rows.select(
         "proforma",
-        F.array_join(F.transform(tokens.token_ids(p, 30), lambda x: x.cast("string")), ";").alias("tokens"),
+        F.array_join(tokens.token_ids(p, 30).cast("array<string>"), ";").alias("tokens"),
         flags(tokens.pad_mask(p, 30)).alias("padding"),
         flags(tokens.site_mask(p, 30)).alias("sites"),
         flags(tokens.mod_present_columns(p, F.col("s"), 30)).alias("modified"),
