@@ -187,9 +187,10 @@ def library_peptide_parse(spark, sf):
     p = F.col("peptide")
     text = F.replace(F.replace(p, F.lit("M"), F.lit("m[+15.9949]")), F.lit("C"), F.lit("C(57.02)"))
     text = F.concat(F.lit("_"), F.when(p.startswith("A"), F.lit("[+42.0106]")).otherwise(""), text, F.lit("_"))
-    parsed = views.cleaved(spark, sf).withColumn("parsed", sequence.library_peptide(text))
-    right = parsed.where(F.col("parsed.valid") & (F.col("parsed.residues") == p))
-    return right.select("peptide", F.explode("parsed.shifts").alias("s")).select("peptide", "s.*")
+    # Generated, so that what is parsed once is not parsed again by the filter.
+    parsed = views.cleaved(spark, sf).select("peptide", F.inline(F.array(sequence.library_peptide(text))))
+    right = parsed.where(F.col("valid") & (F.col("residues") == p))
+    return right.select("peptide", F.explode("shifts").alias("s")).select("peptide", "s.*")
 
 
 @add(
