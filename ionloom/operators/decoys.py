@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.functions.binding import let
 from ionloom.functions.sequence import (
     SITE_TYPE,
     move_sites_reversed,
@@ -48,11 +49,10 @@ def shuffle_order(residues: Column, charge: Column, attempt: Column, seed: int)
     """
     n = F.length(residues)
     key = F.concat_ws("|", F.lit(str(seed)), residues, charge.cast("string"), attempt.cast("string"))
-    drawn = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-        lambda i: F.struct(F.md5(F.concat_ws("|", key, i.cast("string"))).alias("draw"), i.alias("place")),
-    )
-    inner = F.transform(F.array_sort(drawn), lambda d: d["place"])
+    places = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
+    draw = lambda bound, i: F.struct(F.md5(F.concat_ws("|", bound, i.cast("string"))).alias("draw"), i.alias("place"))
+    drawn = let(key, lambda bound: F.transform(places, lambda i: draw(bound, i)))
+    inner = F.sort_array(drawn).getField("place")
     return F.when(n >= 4, F.concat(F.array(F.lit(0)), inner, F.array(n - 1))).otherwise(F.sequence(F.lit(0), n - 1))
 
 

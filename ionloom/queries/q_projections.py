@@ -531,7 +531,7 @@ def shuffled_decoys(spark, sf):
     rows = views.cleaved(spark, sf).select(
         F.xxhash64("peptide").alias("ordinal"), "peptide", no_sites().alias("sites"), F.lit(2).alias("charge")
     )
-    tries = decoy_candidates(rows, "shuffle", seed=7).where("attempt = 0")
+    tries = decoy_candidates(rows, "shuffle", seed=7, last=0)
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     return tries.select(
         "peptide",
