@@ -10,6 +10,7 @@ from ionloom.operators.curation import with_intensity
 from ionloom.queries import views
 from ionloom.queries.base import Book
 from ionloom.queries.q_projections import sql_shuffled
+from ionloom.session import materialise
 from ionloom.sources import tables
 
 BOOK = Book()
@@ -345,7 +346,8 @@ SELECT charge, substr(target, 1, 1) AS first_residue, count(*) AS pairs, min(dec
 )
 def target_decoy_pairs(spark, sf):
     """Each charged target with its decoy by competition group; collisions stay unpaired."""
-    forms = views.memberships(spark, sf).select("peptide").distinct()
+    # Read twice below, as is what is numbered: the digest is not made again.
+    forms = materialise(views.memberships(spark, sf).select("peptide").distinct())
     numbered = decoys.number_decoy_groups(forms, [F.col("peptide").asc()], 2, 3)
     reversed_ = decoys.without_collisions(decoys.pseudo_reversed(numbered), forms)
     pairs = decoys.pair_targets(
