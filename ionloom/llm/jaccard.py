@@ -22,8 +22,8 @@ shingle): such a segment covers two differences, as a segment that differs in on
 Equal sets are one class from the start. A signature that is frequent already within one task's chunk is spread
 over all partitions by set, so its list is not gathered in one task.
 
-Words and shingles are 64-bit hashes, sets are told apart by a 64-bit hash. The 48 bits kept of a signature
-can only add candidates.
+Words and shingles are 64-bit hashes, sets are told apart by a 64-bit hash. Of a signature its bucket and 40 bits are
+kept, which can only add candidates.
 
 Defined results
 * null or empty text: no shingle, linked with nothing, a component of its own;
@@ -40,12 +40,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.llm.graph import components
-from ionloom.llm.words import mix, row_slices, shingles, words
+from ionloom.llm.words import SLICE, mix, row_slices, shingles, words
 from ionloom.operators.joins import null_safe
 from ionloom.session import materialise
 
@@ -59,15 +60,18 @@ CHUNK_SETS, CHUNK_SIGNATURES, FREQUENT = 8192, 1 << 20, 128
 #: named once in each bucket that has signatures of it, so more buckets than memory asks for are bytes to move.
 BUCKET_BYTES, FEW_BUCKETS, MOST_BUCKETS = 16 << 20, 32, 1 << 16
 #: Signatures of a bucket that are looked at in one turn.
-TURN_SIGNATURES = 1 << 20
+TURN_SIGNATURES = 1 << 18
 #: Identifiers that are broadcast at most (8 bytes each) to fetch the texts of candidates; beyond, a shuffle join.
 BROADCAST_IDS = 2_000_000
+#: Places of sets in blocks that are broadcast at most (16 bytes each); beyond, whole sets are shuffled once more.
+BROADCAST_PLACES = 1_000_000
 
 #: Sets of a list that travel in one row.
 LIST_BLOCK = 4096
 
 OWN, DELETION, SPREAD, MARK = 1, 2, 4, 8
-_MASK48 = np.uint64((1 << 48) - 1)
+#: Bits kept of a signature within its bucket.
+KEPT = np.uint64(40)
 
 
 @dataclass(frozen=True)
@@ -141,11 +145,16 @@ class _Signer:
         return (
             exact[~chosen],
             np.r_[exact[own], deletions],
-            np.r_[ids[own], ids[of]].astype(np.int64),
+            (np.r_[ids[own], ids[of]] // np.uint64(DELETIONS)).astype(np.int64),
             int(len(ids) + chosen.sum()),
         )
 
 
+def _let_go() -> None:
+    """Give back what Arrow holds in reserve: a worker stays for other stages, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def set_id(g: np.ndarray) -> int:
     """The 64-bit identity of a shingle set."""
     with np.errstate(over="ignore"):
@@ -153,13 +162,35 @@ def set_id(g: np.ndarray) -> int:
 
 
 _PACKED = (
-    "bucket int, sets binary, counts binary, low binary, high binary, tags binary, items binary, "
+    "bucket int, sets binary, counts binary, low binary, high binary, tags binary, items binary, homes binary, "
     "doc_ids binary, doc_null binary, doc_sets binary, doc_n binary, doc_cover binary, doc_cover_below binary"
 )
 _PACKED_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
 _SHARED = "kind byte, doc_id long, cid long, n int, cover int, cover_below int, sig long, own boolean, item long, cost int"
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """The numbers in as few bytes each as the largest needs; a reader knows how many there are."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8).tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_narrow``."""
+    return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.uint32) if n else np.zeros(0, np.uint32)
+
+
+def _halved(tags: np.ndarray) -> bytes:
+    """Tags, two to a byte."""
+    even = np.r_[tags, np.zeros(len(tags) % 2, np.uint8)]
+    return (even[::2] | even[1::2] << 4).tobytes()
+
+
+def _doubled(packed: bytes, n: int) -> np.ndarray:
+    """The ``n`` tags of ``_halved``."""
+    pairs = np.frombuffer(packed, np.uint8)
+    return np.stack([pairs & 15, pairs >> 4], axis=1).ravel()[:n]
+
+
 class _Chunk:
     """Signatures of some sets, to be split into buckets."""
 
@@ -220,12 +251,14 @@ class _Chunk:
         )
         if self.held:
             cids = np.array(list(self.known), np.uint64)
-            sig = np.concatenate(self.sig) & _MASK48
+            sig = np.concatenate(self.sig)
+            home = (sig >> KEPT) % np.uint64(self.buckets)
+            sig = home << KEPT | sig & np.uint64((1 << int(KEPT)) - 1)
             ref = np.concatenate(self.ref)
             tag = np.concatenate(self.tag)
             item = np.zeros(len(sig), np.uint32)
             item[(tag & DELETION) > 0] = np.concatenate(self.item).astype(np.uint32)
-            bucket = (sig % np.uint64(self.buckets)).astype(np.uint16)
+            bucket = home.astype(np.uint16)
             hot = _frequent(sig)
             if len(hot):
                 spread = np.isin(sig, hot)
@@ -233,7 +266,7 @@ class _Chunk:
                 bucket[spread] = (mix(sig[spread] ^ cids[ref[spread]]) % np.uint64(self.buckets)).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             sig, ref, tag, item, bucket = sig[order], ref[order], tag[order], item[order], bucket[order]
-            marks = hot % np.uint64(self.buckets)
+            marks = hot >> KEPT
             edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
             for b in range(self.buckets):
                 low, high = edges[b], edges[b + 1]
@@ -251,13 +284,14 @@ class _Chunk:
                 row(
                     b,
                     sets=held.tobytes(),
-                    counts=counts.astype(np.uint32).tobytes(),
+                    counts=_narrow(counts),
                     low=(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                    high=(s >> np.uint64(32)).astype(np.uint16).tobytes(),
-                    tags=t.tobytes(),
-                    items=i[(t & DELETION) > 0].tobytes(),
+                    high=(s >> np.uint64(32)).astype(np.uint8).tobytes(),
+                    tags=_halved(t),
+                    items=_narrow(i[(t & DELETION) > 0]),
+                    homes=(s[(t & SPREAD) > 0] >> KEPT).astype(np.uint16).tobytes(),
                 )
-                if len(rows["bucket"]) >= 64:
+                if len(rows["bucket"]) >= 16:
                     yield batch()
         if rows["bucket"]:
             yield batch()
@@ -279,22 +313,24 @@ def _signatures(bands: Bands, width: int, buckets: int) -> Callable[[Iterator[pa
         flush = (TaskContext.get().partitionId() + 1) * 7919
         chunk = _Chunk(buckets)
         for batch in batches:
-            for part in row_slices(batch, "text"):
+            for part in row_slices(batch, "text", SLICE):
                 for doc_id, g in zip(part.column("doc_id").to_pylist(), shingles(words(part.column("text")), width)):
                     chunk.add(doc_id, g, signer)
                     if len(chunk.known) >= CHUNK_SETS or chunk.held >= CHUNK_SIGNATURES or len(chunk.docs) >= 16 * CHUNK_SETS:
                         yield from chunk.batches(flush)
                         flush, chunk = flush + 1, _Chunk(buckets)
+                        _let_go()
         if chunk.docs:
             yield from chunk.batches(flush)
+        _let_go()
 
     return run
 
 
-def _listed(some: np.ndarray, low: np.ndarray, high: np.ndarray, tags: np.ndarray, items: np.ndarray, held: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _listed(some: np.ndarray, low: np.ndarray, high: np.ndarray, tags: np.ndarray, items: np.ndarray, homes: np.ndarray, held: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """``(sig, cid, own, item, cost)`` of the shared among some signatures of a bucket; all entries of a signature are there."""
     cid, tag, item = held[place[some]], tags[some], items[some]
-    sig = low[some].astype(np.uint64) | (high[some].astype(np.uint64) << np.uint64(32))
+    sig = low[some].astype(np.uint64) | high[some].astype(np.uint64) << np.uint64(32) | homes[some].astype(np.uint64) << KEPT
     marked = np.unique(sig[(tag & MARK) > 0])
     passed = ((tag & (SPREAD | MARK)) == SPREAD) | (np.isin(sig, marked) & ((tag & MARK) == 0) if len(marked) else np.zeros(len(sig), bool))
     listed = np.flatnonzero(~passed & ((tag & MARK) == 0))
@@ -325,21 +361,33 @@ def _listed(some: np.ndarray, low: np.ndarray, high: np.ndarray, tags: np.ndarra
 
 def _shared(rows: pa.Table) -> pa.Table:
     """Of one bucket: the rows of documents, and the signatures that two sets share."""
+    _let_go()  # of the bucket before
 
     def joined(name: str, kind) -> np.ndarray:
         return np.concatenate([np.frombuffer(b, kind) for b in rows.column(name).to_pylist()] or [np.zeros(0, kind)])
 
-    counts = joined("counts", np.uint32)
+    def unpacked(name: str, numbers: list[int], unpack=_wide) -> np.ndarray:
+        return np.concatenate([unpack(b, n) for b, n in zip(rows.column(name).to_pylist(), numbers)] or [np.zeros(0, np.uint8)])
+
+    def lengths(name: str) -> np.ndarray:
+        return pc.binary_length(rows.column(name)).to_numpy()
+
+    counts = unpacked("counts", (lengths("sets") // 8).tolist())
     held = joined("sets", np.uint64)
     place = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
-    tags = joined("tags", np.uint8)
-    low, high = joined("low", np.uint32), joined("high", np.uint16)
+    low, high = joined("low", np.uint32), joined("high", np.uint8)
+    sizes = lengths("high")
+    tags = unpacked("tags", sizes.tolist(), _doubled)
+    deleted, spread = (tags & DELETION) > 0, (tags & SPREAD) > 0
+    before = np.r_[0, np.cumsum(deleted)][np.r_[0, np.cumsum(sizes)]]
     items = np.full(len(low), -1, np.int32)
-    items[(tags & DELETION) > 0] = joined("items", np.uint32)
+    items[deleted] = unpacked("items", np.diff(before).tolist())
+    homes = np.full(len(low), rows.column("bucket")[0].as_py() if len(rows) else 0, np.uint16)
+    homes[spread] = joined("homes", np.uint16)
     # Signatures are taken in turns, so that beside the packed rows only a part of them is spread out at a time.
     turns = min(max(1, -(-len(low) // TURN_SIGNATURES)), 1 << 15)
-    turn = high % np.uint16(turns)  # the low bits choose the bucket
-    parts = [_listed(np.flatnonzero(turn == k), low, high, tags, items, held, place) for k in range(turns)]
+    turn = (low % np.uint32(turns)).astype(np.uint16)
+    parts = [_listed(np.flatnonzero(turn == k), low, high, tags, items, homes, held, place) for k in range(turns)]
     sig, cid, own, item, cost = (np.concatenate(c) for c in zip(*parts))
     doc_n = joined("doc_n", np.int32)
     d, m = len(doc_n), len(sig)
@@ -409,10 +457,11 @@ def _lists(shared: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "text"):
+            for part in row_slices(batch, "text", SLICE):
                 made = [(set_id(g), g.tobytes()) for g in shingles(words(part.column("text")), width) if len(g)]
                 cid = np.array([c for c, _ in made], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([b for _, b in made], pa.binary())], names=["cid", "members"])
+        _let_go()
 
     return run
 
@@ -446,21 +495,25 @@ def _sketches(members: list[np.ndarray], words_: int) -> np.ndarray:
 
 
 def _links(bands: Bands):
-    """Of one block: rows of seekers (with their candidates) and of candidates to links, one per seeker and component."""
+    """Of one block: rows of seekers (with their candidates), of candidates, and of whole sets to links, one per seeker and component."""
 
     def run(rows: pa.Table) -> pa.Table:
-        members = [np.frombuffer(b, np.uint64) for b in rows.column("members").to_pylist()]
-        seeks = rows.column("seeks").to_pylist()
-        ids, labels = rows.column("cid").to_pylist(), rows.column("label").to_pylist()
-        theirs = {c: i for i, (c, s) in enumerate(zip(ids, seeks)) if s is None}
+        _let_go()
+        whole = pc.is_valid(rows.column("members"))
+        sets, rows = rows.filter(whole).select(["cid", "members"]), rows.filter(pc.invert(whole))
+        place = {c: i for i, c in enumerate(sets.column("cid").to_pylist())}
+        members = [np.frombuffer(b, np.uint64) for b in sets.column("members").to_pylist()]
+        wanted = list(zip(*(rows.column(c).to_pylist() for c in ("cid", "label", "seeks"))))
+        theirs = {place[c]: label for c, label, seeks in wanted if seeks is None and c in place}
         size = np.array([len(m) for m in members], np.int64)
         most = int(bands.differences(int(size.max()))) if len(size) else 0
         sketch = _sketches(members, max(1, -(-6 * most // 64)))
         out: list[tuple[int, int]] = []
-        for x, candidates in enumerate(seeks):
-            if candidates is None:
+        for c, label, candidates in wanted:
+            if candidates is None or c not in place:
                 continue
-            y = np.array([theirs[c] for c in candidates if c in theirs], np.int64)
+            x = place[c]
+            y = np.array([place[k] for k in candidates if place.get(k) in theirs], np.int64)
             y = y[(bands.den * np.minimum(size[y], size[x]) >= bands.num * np.maximum(size[y], size[x]))]
             if not len(y):
                 continue
@@ -468,14 +521,14 @@ def _links(bands: Bands):
             y = y[apart <= (size[y] + size[x]) * (bands.den - bands.num) // (bands.den + bands.num)]
             done = set()
             for k in y.tolist():
-                if labels[k] in done:
+                if theirs[k] in done:
                     continue
                 small, large = (members[x], members[k]) if size[x] <= size[k] else (members[k], members[x])
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
                 if bands.den * both >= bands.num * (int(size[x] + size[k]) - both):
-                    done.add(labels[k])
-                    out.append((labels[x], labels[k]))
+                    done.add(theirs[k])
+                    out.append((label, theirs[k]))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -483,8 +536,15 @@ def _links(bands: Bands):
 
 
 def _meet(seekers: DataFrame, members: DataFrame, bands: Bands) -> DataFrame:
-    """Links ``(a, b)`` between labels, from rows ``(block, cid, label, seeks)``; ``seeks`` is null for candidates."""
-    rows = seekers.join(members, "cid")
+    """Links ``(a, b)`` between labels, from rows ``(block, cid, label, seeks)``; ``seeks`` is null for candidates.
+
+    A whole set goes once to each block that names it. Where the names are few they go to the sets, so that sets are
+    shuffled by block alone and not for the join as well.
+    """
+    seekers = materialise(seekers)
+    places = materialise(seekers.select("block", "cid").distinct())
+    sent = members.join(F.broadcast(places) if places.count() <= BROADCAST_PLACES else places, "cid").select("block", "cid", "members")
+    rows = seekers.unionByName(sent, allowMissingColumns=True)
     return rows.groupBy("block").applyInArrow(_links(bands), "a long, b long").distinct()
 
 
@@ -597,7 +657,7 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     sent = asked.select("block", "sig", "part").distinct().join(arrays, ["sig", "part"]).select("block", "sig", "cids", "labels", "sizes")
     both = asked.select("block", "sig", "cid", "label", "size").unionByName(sent, allowMissingColumns=True)
     met = both.groupBy("block").applyInArrow(_gather, _SEEKS)
-    joined = components(_meet(materialise(met), members, bands), "a", "b").withColumnsRenamed({"node": "label", "component": "whole"})
+    joined = components(_meet(met, members, bands), "a", "b").withColumnsRenamed({"node": "label", "component": "whole"})
     label = label.withColumnsRenamed({"node": "cid", "component": "label"})
 
     of_set = sets.select("cid", "rep").join(label, "cid", "left")

@@ -21,6 +21,8 @@ _LOWER[0x41:0x5B] += 0x20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at a time.
 BLOCK = 1 << 18
+#: Bytes of text worked on at a time where each byte costs many arrays; a worker keeps what its largest slice took.
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
