@@ -1,7 +1,8 @@
 """Cleaning and packing of a document collection, stage by stage.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as Parquet and read again as
-the documents of the next. All but the last return the columns of ``documents``.
+the documents of the next. All but the last return the columns of ``documents``. A stage may be entered by itself and
+sets the runtime options it relies on.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without a letter, are not recognised and go. Very long texts are read whole, each of
     equal rows is judged alike, an empty table stays empty, and other columns are carried whatever their names are.
     """
+    tune(spark)
     pred, score = _free(docs, "__lang", "__score")
     model = fit(docs.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text", "lang"))
     judged = predict(docs, model, pred=pred, score=score)
@@ -59,16 +61,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     all without an identifier do. Very long texts are read whole; an empty table stays empty; other columns are carried
     whatever their names are, and equal rows may differ in them.
     """
+    tune(spark)
     keyed, key = _keyed(docs)
-    narrow = keyed.select(F.col(key).alias("key"), "doc_id", "text")
-    found = materialise(jaccard_join(narrow.select("key", "text"), doc="key").where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
-    named = found.join(narrow.select("key", "doc_id").distinct(), "key")
+    told = F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    # Stored once: steps that go by keys alone do not read whole texts again.
+    rows = materialise(keyed.select(F.col(key).alias("key"), "doc_id", told.alias("told")))
+    found = materialise(jaccard_join(keyed.select(F.col(key).alias("key"), "text"), doc="key").where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    named = found.join(rows.select("key", "doc_id").distinct(), "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
     keepers = named.groupBy("component_id").agg(first).select("first.key")
-    gone = materialise(found.select("key").join(keepers, "key", "left_anti").withColumnRenamed("key", key))
-    kept = keyed.join(gone, key, "left_anti")
-    told = kept.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    twice = materialise(told.select(key).groupBy(key).count().where("count > 1").select(key))
+    gone = materialise(found.select("key").join(keepers, "key", "left_anti"))
+    twice = rows.where("told").groupBy("key").count().where("count > 1").select("key")
+    twice = materialise(twice.join(gone, "key", "left_anti").withColumnRenamed("key", key))
+    kept = keyed.join(gone.withColumnRenamed("key", key), key, "left_anti")
     single = kept.join(twice, key, "left_anti").select(*docs.columns)
     return single.unionByName(kept.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
@@ -79,6 +84,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts hold no item and stay; very long texts are read whole; equal rows stay or go together; an
     empty table stays empty; other columns are carried whatever their names are.
     """
+    tune(spark)
     keyed, key = _keyed(docs)
     found = contaminated(keyed.select(F.col(key).alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="key")
     # Stored first: whole texts are then neither shuffled nor held while the search runs, and a short list is broadcast.
@@ -93,6 +99,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their spans. Null and empty texts stay as they are; very long texts are scanned whole; an empty table stays empty;
     other columns are carried whatever their names are.
     """
+    tune(spark)
     id_, crc, ranges_, new = _free(docs, "__id", "__crc", "__ranges", "__new")
     row_key = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.xxhash64("text")]
     spans = scan(docs.select("doc_id", "source", "text"), "text")
@@ -114,6 +121,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end mark alone; very long texts are cut into pieces; equal rows are packed one by one; an
     empty table gives no piece; columns other than the identifier and the text are not read.
     """
+    tune(spark)
     return pack(docs, bpe_path())
 
 
@@ -131,7 +139,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is stored in the shared folder before the next one reads it."""
-    tune(spark)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm.words import PUNCTUATION, mix, row_slices, text_bytes, windows, words
+from ionloom.llm.words import PUNCTUATION, SLICE, mix, row_slices, text_bytes, windows, words
 from ionloom.session import materialise
 
 WIDTH, LEAST = 8, 4
@@ -173,7 +173,7 @@ def _window_rows(pairs: tuple[tuple[int, int], ...] | None, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            for part in row_slices(batch, "text"):
+            for part in row_slices(batch, "text", SLICE):
                 ids = part.column("id").to_pylist()
                 w, streams, shape = _streams(part.column("text"))
                 weight = _weights(w)

@@ -21,6 +21,9 @@ _RUNTIME = {
     # A row here often becomes dozens (forms, sites, charges): a task that was given the default 64 MB of peptides would
     # sort gigabytes and spill them.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    # Rows are whole texts or packed numbers of many sets: ten thousand of them are held several times over on their way
+    # to and from Python.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from ionloom.llm import decontam
 from ionloom.llm.decontam import UNITS, contaminated, contamination, template_classes
 
 QUESTION = "Anna has 12 apples and gives 5 apples to Berta while walking 3 km along the old river road. How many apples does Anna keep?"
@@ -145,3 +149,21 @@ def test_against_all_pairs(spark):
                 possible.add((doc, r["item_id"]))
     got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, bench).collect()}
     assert whole and whole <= got <= possible | whole
+
+
+def test_a_batch_is_searched_in_small_slices(monkeypatch):
+    """What a slice holds in arrays is many times its bytes; slices of any size find the same windows."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=rng.randrange(0, 400))) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts)], names=["id", "text"])
+
+    class Every:
+        value = np.full(1 << (decontam.BITMAP_BITS - 6), 2**64 - 1, np.uint64)
+
+    seen, streams = [], decontam._streams
+    monkeypatch.setattr(decontam, "_streams", lambda part: (seen.append(part.nbytes), streams(part))[1])
+    rows = lambda: [r for b in decontam._window_rows(((2, 13),), Every)([batch]) for r in b.to_pylist()]
+    plain = rows()
+    assert len(seen) > 1 and max(seen) < 1 << 20
+    monkeypatch.setattr(decontam, "SLICE", 1 << 30)
+    assert len(plain) > 1000 and rows() == plain

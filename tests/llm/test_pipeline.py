@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from check_queries import compare, connect
 from ionloom.llm.queries import QUERIES, SQL
+from ionloom.session import tune
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(TABLES).exists(), reason="driver tables are not here")
@@ -86,3 +87,15 @@ def test_columns_with_the_names_of_helpers_pass_unchanged(spark, tmp_path):
         assert docs.where(" or ".join(f"`{h}` <> concat('{h}', doc_id)" for h in helpers)).count() == 0
         rows = lambda df: sorted(map(tuple, df.select(*plain.columns).collect()), key=str)
         assert rows(docs) == rows(plain)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_a_stage_entered_by_itself_sets_its_options(spark, no_docs, tmp_path, stage):
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        stage(spark, no_docs.select("doc_id", "text", "lang", "source", "n_chars"), str(tmp_path)).count()
+        assert spark.conf.get(name) == "4m"
+    finally:
+        tune(spark)
