@@ -19,7 +19,7 @@ from ionloom.llm.langid import fit, predict, rejected
 from ionloom.llm.packing import pack
 from ionloom.llm.q_packing import bpe_path
 from ionloom.llm.secrets import redact, scan, verdicts
-from ionloom.session import materialise, shared_folder, tune
+from ionloom.session import let_go, materialise, shared_folder, tune
 
 
 def _free(docs: DataFrame, *names: str) -> list[str]:
@@ -67,10 +67,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Stored once: steps that go by keys alone do not read whole texts again.
     rows = materialise(keyed.select(F.col(key).alias("key"), "doc_id", told.alias("told")))
     found = materialise(jaccard_join(keyed.select(F.col(key).alias("key"), "text"), doc="key").where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    let_go(spark)
     named = found.join(rows.select("key", "doc_id").distinct(), "key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first")
     keepers = named.groupBy("component_id").agg(first).select("first.key")
     gone = materialise(found.select("key").join(keepers, "key", "left_anti"))
+    let_go(spark)
     twice = rows.where("told").groupBy("key").count().where("count > 1").select("key")
     twice = materialise(twice.join(gone, "key", "left_anti").withColumnRenamed("key", key))
     kept = keyed.join(gone.withColumnRenamed("key", key), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.session import materialise
+from ionloom.session import let_go, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataF
     """``(node, component)`` for every node that has a link; the component is its smallest node.
 
     Alternating large-star and small-star steps until every node points at its smallest one. A hub costs
-    a join row per link, never a list; each round is stored, so a lost executor costs a re-read.
+    a join row per link, never a list; each round is stored, so a lost executor costs a re-read. After each round the
+    driver lets go of what the round has broadcast and shuffled.
     """
     now = materialise(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
     seen = None
@@ -39,4 +40,5 @@ def components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataF
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = state
+        let_go(now.sparkSession)
     raise RuntimeError("the components did not settle; raise most_rounds")

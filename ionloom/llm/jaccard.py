@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from ionloom.llm.graph import components
 from ionloom.llm.words import SLICE, mix, row_slices, shingles, words
 from ionloom.operators.joins import null_safe
-from ionloom.session import materialise
+from ionloom.session import let_go, materialise
 
 #: Sets of up to this many shingles form the lowest band; there every shingle is a segment.
 TINY = 64
@@ -543,6 +543,7 @@ def _meet(seekers: DataFrame, members: DataFrame, bands: Bands) -> DataFrame:
     """
     seekers = materialise(seekers)
     places = materialise(seekers.select("block", "cid").distinct())
+    let_go(seekers.sparkSession)
     sent = members.join(F.broadcast(places) if places.count() <= BROADCAST_PLACES else places, "cid").select("block", "cid", "members")
     rows = seekers.unionByName(sent, allowMissingColumns=True)
     return rows.groupBy("block").applyInArrow(_links(bands), "a long, b long").distinct()
@@ -619,22 +620,27 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     most = found.where("kind = 0").agg(F.max("n")).first()[0] or 1
     lows = bands.low(int(most))
     sets = materialise(sets.withColumn("low", _at_or_below(F.col("n"), lows)))
+    let_go(spark)
 
     marked = _lists(shared, sets, bands)
     taken = marked.where("taken").select("sig", "cid")
     # Lists that nobody takes cannot bring a candidate.
     lists = materialise(marked.join(taken.select("sig").distinct(), "sig", "left_semi").groupBy("sig", "cid").agg(F.max("weight").alias("weight")))
+    let_go(spark)
     members = _fetch_sets(source, lists.select("cid").distinct(), sets, width)
+    let_go(spark)
 
     # Every set against the leader it shares most lists with; a list's leader has the most shared segments.
     leaders = lists.groupBy("sig").agg(F.max_by("cid", F.struct("weight", "cid")).alias("lead"))
     votes = lists.join(leaders, "sig").where("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("votes"))
     first = materialise(votes.groupBy("cid").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")))
     many = first.groupBy("lead").agg(F.count(F.lit(1)).alias("many"))
+    let_go(spark)
     dealt = first.join(many, "lead").withColumn("block", F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / block))))
     seek = dealt.select("block", "cid", F.col("cid").alias("label"), F.array("lead").alias("seeks"))
     heads = dealt.select("block", F.col("lead").alias("cid"), F.col("lead").alias("label"), F.lit(None).cast("array<long>").alias("seeks")).distinct()
     label = materialise(components(_meet(seek.unionByName(heads), members, bands), "a", "b"))
+    let_go(spark)
 
     # Lists whose sets are still apart: the set of the smaller component seeks, block by block.
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -643,6 +649,7 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("long"))
     mixed = materialise(mixed.where("a <> z").select("sig", "top", "long"))
     open_ = materialise(labelled.join(mixed, "sig"))
+    let_go(spark)
     longest = open_.agg(F.max("long")).first()[0] or 1
     split = F.pmod(F.xxhash64("cid"), F.lit(-(-int(longest) // LIST_BLOCK)))
     arrays = open_.groupBy("sig", split.alias("part")).agg(*[F.collect_list(c).alias(f"{c}s") for c in ("cid", "label", "size")])
@@ -653,6 +660,7 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     arrays = materialise(arrays)
     asked = seekers.join(arrays.select("sig", "part"), "sig")
     asked = materialise(asked.withColumn("block", F.xxhash64("lead", "part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("many") / block)))))
+    let_go(spark)
     # A list travels once to each block that asks for it, not once for each seeker.
     sent = asked.select("block", "sig", "part").distinct().join(arrays, ["sig", "part"]).select("block", "sig", "cids", "labels", "sizes")
     both = asked.select("block", "sig", "cid", "label", "size").unionByName(sent, allowMissingColumns=True)
@@ -663,6 +671,7 @@ def jaccard_join(docs: DataFrame, doc: str = "doc_id", text: str = "text", perce
     of_set = sets.select("cid", "rep").join(label, "cid", "left")
     of_set = of_set.withColumn("label", _label(F.col("cid"), "label")).join(joined, "label", "left").withColumn("label", F.coalesce("whole", "label"))
     of_set = materialise(of_set.select("cid", "rep", "label"))
+    let_go(spark)
     smallest = of_set.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = of_set.join(smallest, "label").select("cid", "component_id")
     out = rows.join(named, (rows["cid"] == named["cid"]) & (rows["n"] > 0), "left")

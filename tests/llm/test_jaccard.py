@@ -108,3 +108,17 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long"), "u", "v").distinct().collect())
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == -5 for i in [-5, *range(100, 161)])
     assert components(spark.createDataFrame([], "u long, v long"), "u", "v").count() == 0
+
+
+def test_components_let_go_of_finished_rounds(spark):
+    """A long chain takes several rounds; what they have shuffled and broadcast does not stay on the driver."""
+
+    def collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName())
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    before = collections()
+    out = components(edges, "a", "b")
+    assert collections() >= before + 2
+    assert sorted(out.collect()) == [(i, 0) for i in range(41)]
