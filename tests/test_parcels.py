@@ -97,3 +97,12 @@ def test_a_library_is_built_from_one_shuffle_and_stores_nothing(spark, proteins)
     names = ["source", "proforma", "charge", "decoy", "n_proteins", "first_protein", "n_peaks", "precursor_mz"]
     got, want = (sorted(map(tuple, x.select(*names).collect())) for x in (rows, slow))
     assert got == want and len(got) > 1000
+
+
+def test_a_capped_library_is_built_from_the_same_shuffle(proteins):
+    options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3), max_fragments=15)
+    rows = plan.build_library(proteins, options)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    slow = plan.library_from_peptides(protein_groups(digest(proteins, options.rules)), options)
+    got, want = (sorted(map(tuple, x.select("proforma", "charge", "decoy", "n_peaks").collect())) for x in (rows, slow))
+    assert got == want and max(r[3] for r in got) == 15
