@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.constants import MODIFICATIONS
@@ -15,8 +15,8 @@ from ionloom.operators.decoys import DECOY_PREFIX, number_decoy_groups, search_d
 from ionloom.operators.digest import DigestRules, digest, peptide_table, protein_lists
 from ionloom.operators.labeler import library_batches, predicted_rows, smooth_arrays
 from ionloom.operators.modforms import expand_charges, modified_forms
-from ionloom.operators.ordering import with_position
-from ionloom.session import materialise, spread_rows
+from ionloom.operators.parcels import numbered, parcel_partitions
+from ionloom.session import let_go, materialise
 from ionloom.sinks.library_writer import save_library
 
 DEFAULT_DELTAS = {accession: delta for accession, _, _, delta in MODIFICATIONS}
@@ -165,20 +165,29 @@ def complete_library(proteins: DataFrame, options: LibraryOptions = LibraryOptio
 
 
 def writer_inputs(proteins: DataFrame, options: LibraryOptions) -> DataFrame:
-    """What a library writer needs of every peptidoform, before any spectrum: narrow rows, joined once.
+    """What a library writer needs of every peptidoform, before any spectrum: narrow rows, in the order of their targets.
 
     ``first_group`` and ``place`` number competition groups and entries: a peptidoform's charges take the numbers from
-    there on. Protein names and groups meet the peptidoforms here, so spectra are never shuffled.
+    there on. Two shuffles of parcels: memberships by peptide, forms by ranges of their text, so spectra are never shuffled.
     """
     memberships = digest(proteins, options.rules).select("peptide", "protein_id")
-    lists = materialise(protein_lists(memberships))
-    inputs = predictor_inputs(peptidoform_frame(lists.select("peptide"), options, target_form=True), options)
+    # Stored, since the ranges, their counts and the forms are read from it; compact, since it stays beside the library.
+    peptides = materialise(peptide_table(memberships, lists=True, decoys=options.decoys), "zstd")
+    let_go(proteins.sparkSession)
+    forms = target_forms(peptides.drop("n_proteins"), options)
+    text = render_proforma(F.col("peptide"), F.col("sites"))
+    shown = forms.withColumn("shown", F.when(text != F.col("peptide"), text))
+    weighed = shown.withColumn("entries", F.when(F.col("emits_decoy"), 2).otherwise(1))
+    carried = ["peptide", "sites", "proteins", "emits_decoy"]
     # Targets before decoys: a form's number is its place among the targets.
-    placed = with_position(inputs, [F.col("target_form").asc(), F.col("decoy").asc()], "place")
-    targets = numbered_groups(lists.select("peptide"), options).where(F.col("charge") == options.rules.min_charge)
-    grouped = placed.join(targets.select("target_form", F.col("decoy_group").alias("first_group")), "target_form")
-    named = with_protein_names(grouped, lists.select("peptide", "proteins"))
-    return named.withColumn("spelling", diann_spelling(F.col("proforma"))).drop("target_form", "source")
+    placed = numbered(weighed, carried, "shown", "entries", parcel_partitions(proteins.sparkSession), otherwise="peptide")
+    block = options.rules.max_charge - options.rules.min_charge + 1
+    named = both_readings(placed).select(
+        "peptide", "sites", "decoy", "proforma", decoy_names().alias("proteins"),
+        (F.col("rank") * block + 1).alias("first_group"), (F.col("before") + F.col("decoy").cast("int")).alias("place"),
+        diann_spelling(F.col("proforma")).alias("spelling"),
+    )
+    return predictor_inputs(named, options)
 
 
 def settings_document(options: LibraryOptions) -> dict:
@@ -206,7 +215,7 @@ def write_library(
     ``form`` is ``diann`` (tab-separated peaks) or ``text`` (entries). The settings go into the header of the text form
     and, with the counts of the build, into a sidecar for both. Returns the counts.
     """
-    inputs = spread_rows(writer_inputs(proteins, options), "peptide")
+    inputs = writer_inputs(proteins, options)
     charges = list(range(options.rules.min_charge, options.rules.max_charge + 1))
     keys = [c for c in inputs.columns if c not in ("mod_pos", "mod_delta")]
     least, most = options.min_intensity, options.max_fragments
@@ -217,7 +226,9 @@ def write_library(
             index = pc.add(pc.add(pc.multiply(batch.column("place"), len(charges)), step), 1)
             yield batch.append_column("decoy_group", pc.add(batch.column("first_group"), step)).append_column("index", index)
 
-    return save_library(inputs, folder, form, settings_document(options), name, compression, rows)
+    counts = save_library(inputs, folder, form, settings_document(options), name, compression, rows)
+    let_go(proteins.sparkSession)
+    return counts
 
 
 def listed_library(
@@ -250,14 +261,18 @@ def listed_library(
     return out, counts.join(unpaired, "__one").drop("__one")
 
 
+def decoy_names() -> Column:
+    """``proteins`` of a row; generated decoys carry the decoy prefix."""
+    return F.when(
+        F.col("decoy"), F.transform("proteins", lambda p: F.concat(F.lit(DECOY_PREFIX), p))
+    ).otherwise(F.col("proteins"))
+
+
 def with_protein_names(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """Rows with their protein list by source peptide; generated decoys carry the decoy prefix.
 
     A source peptide without a list stops the job: no row is left out.
     """
-    names = F.when(
-        F.col("decoy"), F.transform("proteins", lambda p: F.concat(F.lit(DECOY_PREFIX), p))
-    ).otherwise(F.col("proteins"))
     missing = F.raise_error(F.concat(F.lit("no protein list for "), F.col("source"))).cast("array<string>")
     joined = rows.join(lists.select(F.col("peptide").alias("source"), "proteins"), "source", "left")
-    return joined.withColumn("proteins", F.coalesce(names, missing))
+    return joined.withColumn("proteins", F.coalesce(decoy_names(), missing))

@@ -52,17 +52,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write the rows once as a table in the shared folder and continue from that copy.
 
     Used where later steps must see the same rows twice (range boundaries, loops) or would
     compute them twice. The copy outlives any executor, so a lost one costs a re-read and never a
     different answer. Parquet rather than a checkpoint: rows are computed once, and later reads
-    take only the columns they need. The folder's owner clears old runs.
+    take only the columns they need. The folder's owner clears old runs. ``compression`` is the session's unless named.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

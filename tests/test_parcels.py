@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ionloom.operators import parcels
 from ionloom.operators.digest import DigestRules, digest, peptide_table, protein_groups, protein_lists
 from ionloom.plans import library as plan
-from ionloom.sinks import library_writer as writer
 
 SITE = pa.struct([("site_kind", pa.string()), ("pos", pa.int32()), ("spec", pa.string())])
 SCHEMA = pa.schema([("t", pa.string()), ("l", pa.list_(pa.string())), ("s", pa.list_(SITE)), ("b", pa.bool_()), ("i", pa.int64()), ("d", pa.float64())])
@@ -106,3 +105,22 @@ def test_a_capped_library_is_built_from_the_same_shuffle(proteins):
     slow = plan.library_from_peptides(protein_groups(digest(proteins, options.rules)), options)
     got, want = (sorted(map(tuple, x.select("proforma", "charge", "decoy", "n_peaks").collect())) for x in (rows, slow))
     assert got == want and max(r[3] for r in got) == 15
+
+
+def test_a_library_is_written_from_one_stored_table_in_the_order_of_its_entries(spark, proteins, tmp_path):
+    options = plan.LibraryOptions(rules=DigestRules(min_charge=2, max_charge=3), variable=("M[UNIMOD:35]",), max_fragments=3)
+    before = stored(spark)
+    inputs = plan.writer_inputs(proteins, options)
+    assert len(stored(spark) - before) == 1
+    assert inputs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = [(r["place"], r["part"], r["decoy"], r["first_group"]) for r in inputs.withColumn("part", F.spark_partition_id()).orderBy("place").collect()]
+    assert [f[0] for f in found] == list(range(len(found))) and [f[1] for f in found] == sorted(f[1] for f in found)
+    groups = [f[3] for f in found if not f[2]]
+    assert groups == [1 + 2 * i for i in range(len(groups))] and [f[3] for f in found] == sorted(f[3] for f in found)
+    counts = plan.write_library(proteins, str(tmp_path / "made"), options, form="text")
+    assert counts["precursors"] == 2 * len(found)
+
+
+def test_an_empty_proteome_is_an_empty_library(spark, proteins, tmp_path):
+    counts = plan.write_library(proteins.where("false"), str(tmp_path / "none"), plan.LibraryOptions())
+    assert counts == {"precursors": 0, "fragments": 0, "decoys": 0}
