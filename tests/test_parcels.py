@@ -1,6 +1,8 @@
 """Parcels: blocks that open as they were packed, buckets in one task, numbers in the order of the text, one shuffle a library."""
 
+import gzip
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ionloom.operators import parcels
 from ionloom.operators.digest import DigestRules, digest, peptide_table, protein_groups, protein_lists
 from ionloom.plans import library as plan
+from ionloom.sinks import library_writer as writer
 
 SITE = pa.struct([("site_kind", pa.string()), ("pos", pa.int32()), ("spec", pa.string())])
 SCHEMA = pa.schema([("t", pa.string()), ("l", pa.list_(pa.string())), ("s", pa.list_(SITE)), ("b", pa.bool_()), ("i", pa.int64()), ("d", pa.float64())])
@@ -124,3 +127,13 @@ def test_a_library_is_written_from_one_stored_table_in_the_order_of_its_entries(
 def test_an_empty_proteome_is_an_empty_library(spark, proteins, tmp_path):
     counts = plan.write_library(proteins.where("false"), str(tmp_path / "none"), plan.LibraryOptions())
     assert counts == {"precursors": 0, "fragments": 0, "decoys": 0}
+
+
+def test_parts_leave_out_short_repeats(spark, proteins, tmp_path):
+    """Digits that happen to repeat are dearer as a reference than as digits."""
+    plan.write_library(proteins, str(tmp_path / "made"), plan.LibraryOptions(rules=DigestRules(missed_cleavages=0)))
+    parts = [p.read_bytes() for p in sorted((tmp_path / "made").glob("part-*"))]
+    text = b"".join(gzip.decompress(p) for p in parts)
+    fast = zlib.compressobj(1, zlib.DEFLATED, 31)
+    assert len(b"".join(parts)) < 0.85 * len(fast.compress(text) + fast.flush())
+    assert writer.read_diann_lines(spark, str(tmp_path / "made")).count() == text.count(b"\n") - 1
